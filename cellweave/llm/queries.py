@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, lang_id, secret_scan
+from cellweave.llm import decontaminate, lang_id, ngram_jaccard, secret_scan
 from cellweave.llm.common import documents, remainder
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard.link(documents(spark, sf_dir), n_words=4, percent=85)
+
+
 def op7_lang_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = lang_id.fit(docs, remainder("doc_id", 3) != 1)
@@ -27,4 +31,4 @@ def op9_secret_scan(spark, sf_dir):
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
