@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, lang_id, ngram_jaccard, secret_scan
+from cellweave.llm import decontaminate, lang_id, ngram_jaccard, secret_scan, sentencepiece_codec
 from cellweave.llm.common import documents, remainder
 
 
+def op3_sentencepiece(spark, sf_dir):
+    out = sentencepiece_codec.encode(documents(spark, sf_dir))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.link(documents(spark, sf_dir), n_words=4, percent=85)
 
@@ -31,4 +36,4 @@ def op9_secret_scan(spark, sf_dir):
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
