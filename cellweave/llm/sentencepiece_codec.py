@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A text is a row of units, a unit being a run of the space mark and the characters up to the next one; no piece of the
-vocabulary has the mark after another character, so units are encoded on their own. For each batch the distinct units not met
+A text is a row of units, a unit being a run of the space mark and the characters up to the next one (or to a control
+character that no piece has); no piece has the mark after another character, so units are encoded on their own. For each batch the distinct units not met
 before in the task are concatenated and indexed by a suffix array, ordered to the length of the longest piece by prefix doubling;
-every piece is binary-searched for its range of occurrences; the edges so found are sorted by position and relaxed in
-that order, which gives each unit the segmentation of the greatest summed score (an equal score keeps the one found first,
-whose last piece is longest). The vocabulary's stored scores are used as they are; a character that is no piece costs ten
-less than the least score and is written as byte pieces, and so is a literal space mark in the input, which makes
-decoding exact for every text.
+every piece is binary-searched for its range of occurrences; the edges so found are sorted by position and relaxed in that
+order. The vocabulary is of the pair-merging kind, whose encoding is the one row of pieces in which each neighbouring pair
+is what merging the pair's own text gives; so an edge from a reached position relaxes the position at its end if its piece
+agrees with the piece that reached its start. The ids equal those of the sentencepiece library. A character that is no
+piece is written as byte pieces, and so is a literal space mark in the input (which the library would turn into a space),
+which makes decoding exact for every text.
 
 The vocabulary is a file of public scores whose path is a parameter; it is read on the driver and broadcast (its size is fixed).
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-LITERAL = ""  # stands for a literal mark while encoding; itself unknown to the vocabulary, as the check in load() makes sure
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-PENALTY = 10.0
-CACHE = 200_000  # units a task remembers
+CACHE = 400_000  # units a task remembers
+PAIRS = 1 << 21  # slots for pairs of pieces that a task remembers
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def load(path: str = VOCABULARY) -> Vocabulary:
     n = sp.get_piece_size()
     pieces = [sp.id_to_piece(i) for i in range(n)]
     usable = np.array([i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))])
-    bad = [p for p in (pieces[i] for i in usable) if MARK in p.lstrip(MARK) or LITERAL in p]
+    bad = [p for p in (pieces[i] for i in usable) if MARK in p.lstrip(MARK)]
     if bad or any(not sp.is_byte(sp.piece_to_id(f"<0x{b:02X}>")) for b in range(256)):
         raise ValueError(f"the vocabulary needs byte pieces, and marks only in front: {bad[:3]}")
     return Vocabulary(pieces, np.array([sp.get_score(i) for i in range(n)], np.float32), usable, np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32))
@@ -60,6 +60,8 @@ class Matcher:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.alphabet = {c: i + 1 for i, c in enumerate(sorted({c for i in v.usable for c in v.pieces[i]}))}
+        ends = "".join(c for c in "\t\n\r\v\f" if c not in self.alphabet)
+        self.unit = re.compile(f"[{ends}]|{MARK}+[^{MARK}{ends}]*|[^{MARK}{ends}]+" if ends else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.depth = 4
         longest = max(len(v.pieces[i]) for i in v.usable)
         while self.depth < longest:
@@ -73,8 +75,50 @@ class Matcher:
             text[row, : self.lengths[row]] = [self.alphabet[c] for c in v.pieces[i]]
         high = np.where(np.arange(self.depth) < self.lengths[:, None], text, np.uint64(0xFFFF))
         self.low_keys, self.high_keys = self._packed_rows(text), self._packed_rows(high)
-        self.unknown = np.float32(v.scores[v.usable].min() - PENALTY)
-        self.cache: dict[str, np.ndarray] = {}
+        self.rank = {v.pieces[i]: -float(v.scores[i]) for i in v.usable}
+        self.pair, self.agrees = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self.forget()
+        self.made: dict[int, bool] = {}
+
+    def whole(self, left: str, right: str) -> bool:
+        """Whether merging left + right from characters, best score first and leftmost among equals, ends as these two pieces."""
+        parts, cut = [*left, *right], len(left)
+        while len(parts) > 2:
+            r, k = min((self.rank.get(parts[k] + parts[k + 1], np.inf), k) for k in range(len(parts) - 1))
+            if r == np.inf:
+                return False
+            if sum(map(len, parts[: k + 1])) == cut:
+                return False  # a merge across the border
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts == [left, right] and left + right not in self.rank
+
+    def agreed(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token may follow the token before it; -1 stands for a character that is no piece, -2 for the start."""
+        code = (before + 2) * np.int64(len(self.v.pieces) + 2) + token
+        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (PAIRS - 1)
+        free = (token < 0) | (before == -1)
+        for i in np.flatnonzero((self.pair[slot] != code) & ~free).tolist():
+            if self.pair[slot[i]] != code[i]:
+                left = "" if before[i] < 0 else self.v.pieces[before[i]]
+                self.pair[slot[i]], self.agrees[slot[i]] = code[i], self.alone(int(token[i])) if not left else self.whole(left, self.v.pieces[token[i]])
+        ok = self.agrees[slot]
+        late = np.flatnonzero((self.pair[slot] != code) & ~free)  # slots that pairs of this call share
+        for i in late.tolist():
+            ok[i] = self.alone(int(token[i])) if before[i] < 0 else self.whole(self.v.pieces[before[i]], self.v.pieces[token[i]])
+        ok[free] = [token[i] < 0 or self.alone(int(token[i])) for i in np.flatnonzero(free).tolist()]
+        return ok
+
+    def alone(self, token: int) -> bool:
+        """Whether merging a piece's own characters ends as that piece."""
+        if token not in self.made:
+            parts = [*self.v.pieces[token]]
+            while len(parts) > 1:
+                r, k = min((self.rank.get(parts[k] + parts[k + 1], np.inf), k) for k in range(len(parts) - 1))
+                if r == np.inf:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            self.made[token] = len(parts) == 1
+        return self.made[token]
 
     @staticmethod
     def _packed_rows(rows: np.ndarray) -> list[np.ndarray]:
@@ -126,31 +170,29 @@ class Matcher:
         many = last - first
         piece = np.repeat(np.arange(len(many)), many)
         position = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
-        length, token, score = self.lengths[piece], self.v.usable[piece], self.v.scores[self.v.usable][piece]
+        length, token = self.lengths[piece], self.v.usable[piece]
         single = np.zeros(len(code), bool)
         single[position[length == 1]] = True
         lone = np.flatnonzero(~single & (chars != 0))
         position, length = np.append(position, lone), np.append(length, np.ones(len(lone), np.int64))
-        token, score = np.append(token, np.full(len(lone), -1)), np.append(score, np.full(len(lone), self.unknown, np.float32))
+        token = np.append(token, np.full(len(lone), -1))
 
         ends = np.flatnonzero(chars == 0)
         begins = np.append(0, ends[:-1] + 1)
-        offset = position - begins[np.searchsorted(ends, position)]
+        offset = position - np.repeat(begins, ends - begins + 1)[position]
         by = np.argsort(offset, kind="stable")
-        position, length, token, score, offset = position[by], length[by], token[by], score[by], offset[by]
-        best, back, step = np.full(len(code), -np.inf), np.full(len(code), -1), np.zeros(len(code), np.int64)
-        best[begins] = 0.0
+        position, length, token, offset = position[by], length[by], token[by], offset[by]
+        last, step = np.full(len(code), -3), np.zeros(len(code), np.int64)  # the piece that reached each position; -3: none yet
+        last[begins] = -2
         cuts = [0, *(np.flatnonzero(np.diff(offset)) + 1).tolist(), len(offset)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):  # edges that start at the same offset of their units end apart
-            to = position[s:e] + length[s:e]
-            value = best[position[s:e]] + score[s:e]
-            better = value > best[to]
-            to = to[better]
-            best[to], back[to], step[to] = value[better], token[s:e][better], length[s:e][better]
+            good = self.agreed(last[position[s:e]], token[s:e])
+            to = (position[s:e] + length[s:e])[good]
+            last[to], step[to] = token[s:e][good], length[s:e][good]
 
         at, unit, found, owner = ends.copy(), np.arange(len(units)), [], []
         while len(at):
-            found.append((back[at], at))
+            found.append((last[at], at))
             owner.append(unit)
             at = at - step[at]
             open_ = at > begins[unit]
@@ -158,50 +200,51 @@ class Matcher:
         ids, where, owner = np.concatenate([f[0] for f in found])[::-1], np.concatenate([f[1] for f in found])[::-1], np.concatenate(owner)[::-1]
         by = np.argsort(owner, kind="stable")
         ids, where, counts = ids[by], where[by], np.bincount(owner, minlength=len(units))
-        parts = np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])
-        for u in np.unique(owner[by][ids < 0]).tolist():
-            lo = int(counts[:u].sum())
-            parts[u] = np.concatenate([self.v.byte_ids[list((MARK if (c := text[w - 1]) == LITERAL else c).encode("utf-8", "surrogatepass"))] if i < 0 else np.array([i], np.int32) for i, w in zip(ids[lo : lo + counts[u]], where[lo : lo + counts[u]].tolist(), strict=True)])
-        return parts
+        if len(lone := np.flatnonzero(ids < 0)):  # a character that is no piece becomes its bytes' pieces
+            raw = [self.v.byte_ids[list(text[w - 1].encode("utf-8", "surrogatepass"))] for w in where[lone].tolist()]
+            width = np.ones(len(ids), np.int64)
+            width[lone] = [len(x) for x in raw]
+            counts = np.bincount(np.sort(owner), weights=width, minlength=len(units)).astype(np.int64)
+            at, ids = np.cumsum(width) - width, np.repeat(ids, width)
+            for k, x in zip(at[lone].tolist(), raw, strict=True):
+                ids[k : k + len(x)] = x
+        return ids.astype(np.int32), counts
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}  # unit -> its place in size and start
+        self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        local: dict[str, int] = {}
-        rows = []
+        if len(self.index) > CACHE:
+            self.forget()
+        index, known, rows = self.index, len(self.index), []
         for t in texts:
-            if not t:
-                rows.append([])
-                continue
-            if MARK in t or LITERAL in t or "\0" in t:
+            if MARK in t or "\0" in t:
                 rows.append(None)
-                continue
-            rows.append([local.setdefault(u, len(local)) for u in UNIT.findall(MARK + t.replace(" ", MARK))])
-        fresh = [u for u in local if u not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache = {u: self.cache[u] for u in local if u in self.cache}
-        if fresh:
-            self.cache.update(zip(fresh, self.encode_units(fresh), strict=True))
-        table = [self.cache[u] for u in local]
-        size = np.array([len(x) for x in table], np.int64)
-        start, flat = np.cumsum(size) - size, np.concatenate(table) if table else np.zeros(0, np.int32)
+            else:
+                rows.append([index.setdefault(u, len(index)) for u in self.unit.findall(MARK + t.replace(" ", MARK))] if t else [])
+        if fresh := list(islice(index, known, None)):
+            ids, counts = self.encode_units(fresh)
+            self.start = np.append(self.start, len(self.flat) + np.cumsum(counts) - counts)
+            self.size, self.flat = np.append(self.size, counts), np.append(self.flat, ids)
         out = []
         for t, row in zip(texts, rows, strict=True):
             if row is None:
                 out.append(self.rare(t))
                 continue
             u = np.array(row, np.int64)
-            n = size[u]
-            out.append(flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[u], n)])
+            n = self.size[u]
+            out.append(self.flat[np.arange(n.sum()) + np.repeat(self.start[u] - np.cumsum(n) + n, n)])
         return out
 
     def rare(self, text: str) -> np.ndarray:
-        """A text with a literal mark, the stand-in or NUL: these go as bytes, what lies between is encoded as ever."""
-        out = []
-        for k, part in enumerate(re.split(f"([{MARK}{LITERAL}\0])", text)):
+        """A text with a literal mark or NUL: these go as bytes, what lies between is encoded as ever."""
+        out = [self.encode_units([MARK])[0]] if text[0] in f"{MARK}\0" else []
+        for k, part in enumerate(re.split(f"([{MARK}\0])", text)):
             if k % 2:
                 out.append(self.v.byte_ids[list(part.encode("utf-8"))])
-            elif part or k == 0:
-                units = UNIT.findall((MARK if k == 0 else "") + part.replace(" ", MARK))
-                out += self.encode_units(units)
+            elif part:
+                out.append(self.encode_units(self.unit.findall(("" if k else MARK) + part.replace(" ", MARK)))[0])
         return np.concatenate(out)
 
 
@@ -225,7 +268,7 @@ def decoded(ids: np.ndarray, v: Vocabulary, byte_of: dict[int, int]) -> str:
     return "".join(out)[1:]
 
 
-def _encode(shared, keep_text: bool):
+def _encode(shared):
     def run(batches):
         m = Matcher(shared.value)
         byte_of = {int(b): k for k, b in enumerate(m.v.byte_ids)}
@@ -254,7 +297,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col="doc_id", text_col="t
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_encode(shared, False), f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_encode(shared), f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def _decode(shared):
