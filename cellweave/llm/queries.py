@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, embedding_dedup, lang_id, ngram_jaccard, secret_scan, sentencepiece_codec
+from cellweave.llm import decontaminate, embedding_dedup, lang_id, lattice_lm, ngram_jaccard, secret_scan, sentencepiece_codec, url_filter
 from cellweave.llm.common import documents, remainder
 
 
@@ -40,4 +40,17 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op10_embedding_dedup": op10_embedding_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
+def op2_lattice_lm(spark, sf_dir):
+    out = lattice_lm.score(documents(spark, sf_dir), remainder("doc_id", 10) != 0)
+    return out.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
+#: The contract's rules.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+QUERIES = {"op2_lattice_lm": op2_lattice_lm, "op5_url_filter": op5_url_filter, "op10_embedding_dedup": op10_embedding_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
