@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, embedding_dedup, lang_id, lattice_lm, ngram_jaccard, secret_scan, sentencepiece_codec, url_filter
+from cellweave.llm import decontaminate, embedding_dedup, lang_id, lattice_lm, ngram_jaccard, secret_scan, sentencepiece_codec, toxicity, url_filter
 from cellweave.llm.common import documents, remainder
 
 
@@ -53,4 +53,11 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-QUERIES = {"op2_lattice_lm": op2_lattice_lm, "op5_url_filter": op5_url_filter, "op10_embedding_dedup": op10_embedding_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
+def op1_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, remainder("doc_id", 5) != 0)
+    out = toxicity.predict(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_lattice_lm": op2_lattice_lm, "op5_url_filter": op5_url_filter, "op10_embedding_dedup": op10_embedding_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
