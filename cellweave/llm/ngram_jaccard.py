@@ -12,9 +12,9 @@ A document's set holds the distinct hashes of its n-word shingles (64 bits); two
    overlap with a node by the summed minima of the query's and the node's upper coordinates, descends where the bound can
    reach the threshold, and bounds each point in the same way. Prefix hashes of over ``HOT`` classes are cut by size band
    and dealt into blocks whose pairs run as tasks of their own.
-4. Surviving pairs are verified on the whole sets. The first round proposes at most one leader for each point of a tree, the
-   second all surviving pairs that the links found so far don't connect already, so thousands of near copies
-   cost a few pairs each while no component is lost.
+4. Surviving pairs are verified on the whole sets, cluster by cluster of candidates. The first turns propose at most one
+   leader for each point of a tree, the last one all surviving pairs that the links found so far don't connect already, so
+   thousands of near copies cost a few pairs each while no component is lost.
 
 Texts are fetched for candidates only: a bitmap of the candidates' ids, of a fixed ``BITMAP`` size, spares other texts the
 shuffle (when it is full it lets all pass, and the join still decides).
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import components, stored
-from cellweave.llm.shingles import as_bytes, chunks, runs, shingle_sets
+from cellweave.llm.shingles import as_bytes, chunks, mix, runs, shingle_sets
 
 PACK = 16  # entries of an R-tree node
 HOT = 1024
 BITMAP = 1 << 22
-PER_TASK = 512  # candidates verified against one leader in one group
+SMALL = 8  # points of a run that need no tree
+CLUSTER = 1024  # candidates of a cluster that meet in one group
+TURNS = 3  # of leaders, before all pairs that are left
 
 
 def _signatures(n_words: int, percent: int):
@@ -115,18 +117,42 @@ class RTree:
         return found
 
 
-def _propose(percent: int, every: bool):
+def close(n: list[int], vecs: list[bytes], percent: int):
+    """Pairs of a few points, in order of size, whose overlap bound reaches the threshold."""
+    groups = [max(16, 1 << (k // 8).bit_length()) for k in n]
+    points = [folded(v, k, g) for v, k, g in zip(vecs, n, groups, strict=True)]
+    for i in range(len(n) - 1):
+        for j in range(i + 1, len(n)):
+            if percent * n[j] > 100 * n[i]:
+                break
+            other = points[j] if groups[j] == groups[i] else points[j].reshape(-1, groups[i]).sum(0)
+            if (100 + percent) * int(np.minimum(points[i], other).sum()) >= percent * (n[i] + n[j]):
+                yield i, j
+
+
+def _propose(percent: int, every: bool, turn: int):
     """Pairs (a, b) from sorted runs of (key, part): a leader for each point, or every pair of different labels."""
 
+    def batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+        rows = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+
     def run(batches):
+        pairs: set[tuple[int, int]] = set()  # a pair is proposed once a task, however many keys it shares
         for t, bounds in runs(batches, "key", "part"):
             size, ids, label, home = (t.column(c).to_numpy() for c in ("n", "id", "label", "home"))
-            vecs, a, b = t.column("vec").to_pylist(), [], []
+            vecs = t.column("vec").to_pylist()
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s < 2 or (label[s:e] == label[s]).all():
                     continue
+                if e - s <= SMALL:
+                    for i, j in close(size[s:e].tolist(), vecs[s:e], percent):
+                        if label[s + i] != label[s + j] and (home[s + i] or home[s + j]):
+                            pairs.add((min(x := int(ids[s + i]), y := int(ids[s + j])), max(x, y)))
+                    continue
                 tree, taken = RTree(size[s:e].astype(np.int64), vecs[s:e], percent), np.zeros(e - s, bool)
-                for i in range(e - s - 1):
+                order = np.argsort(mix(ids[s:e].astype(np.uint64) + np.uint64(turn))) if turn else np.arange(e - s)
+                for i in order.tolist():
                     if not every and taken[i]:
                         continue
                     got = tree.search(i)
@@ -134,16 +160,21 @@ def _propose(percent: int, every: bool):
                     if not every:
                         got = got[~taken[got]]
                         taken[got] = True
-                    a += [ids[s + i]] * len(got)
-                    b += ids[s + got].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    x = int(ids[s + i])
+                    pairs.update((min(x, y), max(x, y)) for y in ids[s + got].tolist())
+            if len(pairs) > 200_000:
+                yield batch(pairs)
+                pairs.clear()
+        yield batch(pairs)
 
     return run
 
 
-def proposals(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+def proposals(rows: DataFrame, percent: int, every: bool, turn: int = 0) -> DataFrame:
     """rows: key, id, n, vec, label. Distinct pairs (a, b), a < b, of keys with different labels."""
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    if turn:  # small runs proposed all their pairs in the first turn
+        mixed = mixed.where(F.col("m") > SMALL)
     rows = rows.join(stored(mixed), "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     blocks = F.ceil(F.col("m") / HOT).cast("int")
@@ -154,8 +185,7 @@ def proposals(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     placed = rows.select("key", "id", "n", "vec", "label", F.explode(F.when(F.col("m") > HOT, places).otherwise(whole)).alias("p"))
     placed = placed.select("key", F.xxhash64("p.part").alias("part"), "id", "n", "vec", "label", F.col("p.home").alias("home"))
     sorted_ = placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
-    pairs = sorted_.mapInArrow(_propose(percent, every), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sorted_.mapInArrow(_propose(percent, every, turn), "a long, b long").distinct()
 
 
 def bitmap(ids: DataFrame, size: int = BITMAP) -> np.ndarray:
@@ -165,52 +195,57 @@ def bitmap(ids: DataFrame, size: int = BITMAP) -> np.ndarray:
     out = np.zeros(size // 32, np.uint32)
     for r in words.toLocalIterator():
         out[r["w"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out
 
 
 def _needed(bits: np.ndarray):
     def run(batches):
+        set_ = np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
         for b in batches:
-            yield b.select(["id", "text"]).filter(pa.array(bits[b.column("at").to_numpy()]))
+            yield b.select(["id", "text"]).filter(pa.array(set_[b.column("at").to_numpy()]))
 
     return run
 
 
 def _verify(n_words: int, percent: int):
+    """Links of the pairs (a, b) in sorted runs of group; the texts of their ids come first in each run."""
+
     def run(batches):
-        for t, bounds in runs(batches, "a", "salt"):
-            a, b, texts, out_a, out_b = t.column("a").to_numpy(), t.column("b").to_pylist(), as_bytes(t.column("text").combine_chunks()), [], []
+        for t, bounds in runs(batches, "group"):
+            a, b, texts = t.column("a").to_pylist(), t.column("b").to_pylist(), as_bytes(t.column("text").combine_chunks())
+            out = []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                lead = []
-                for lo, part in chunks(texts[s:e]):
-                    for k, u in enumerate(shingle_sets(part, n_words), s + lo):
-                        if b[k] is None:  # leaders come first
-                            lead.append(u)
-                            continue
-                        for v in lead:
-                            both = len(np.intersect1d(u, v, assume_unique=True))
-                            if 100 * both >= percent * (len(u) + len(v) - both):
-                                out_a.append(a[k])
-                                out_b.append(b[k])
-                                break
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                split = next((k for k in range(s, e) if b[k] is not None), e)
+                sets = {}
+                for lo, part in chunks(texts[s:split]):
+                    sets.update(zip(a[s + lo : s + lo + len(part)], shingle_sets(part, n_words), strict=True))
+                for k in range(split, e):
+                    u, v = sets[a[k]], sets[b[k]]
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        out.append((a[k], b[k]))
+            rows = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
     return run
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs that link. docs: doc_id, text."""
-    pairs = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")), "a")
-    pairs = stored(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    """The pairs that link. docs: doc_id, text. Pairs meet the texts by cluster of candidates, so that a text goes once to
+    each group, not to each pair; a cluster of over CLUSTER texts is dealt into buckets whose pairs are the groups."""
+    cluster = components(pairs)
+    cluster = stored(cluster.join(cluster.groupBy("component_id").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("k")), "component_id"))
+    one = cluster.select("id", F.col("component_id").alias("c"), F.pmod(F.xxhash64("id"), F.col("k")).alias("bucket"))
+    two = one.select(F.col("id").alias("b"), F.col("bucket").alias("other"))
+    met = pairs.join(one.withColumnRenamed("id", "a"), "a").join(two, "b")
+    met = stored(met.select("a", "b", F.xxhash64("c", F.least("bucket", "other"), F.greatest("bucket", "other")).alias("group")))
     at = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").withColumn("at", at)
-    texts = rows.mapInArrow(_needed(bitmap(ids)), "id long, text string")
-    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
-    leads = pairs.select("a", "salts").distinct().select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"))
-    wanted = leads.unionByName(pairs.select("a", "b", salt.alias("salt"), F.col("b").alias("id")))
-    got = wanted.join(texts, "id").select("a", "salt", "b", "text")
-    return got.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(_verify(n_words, percent), "a long, b long")
+    texts = rows.mapInArrow(_needed(bitmap(cluster)), "id long, text string")
+    wanted = met.select("group", F.col("a").alias("id")).union(met.select("group", "b")).distinct()
+    got = wanted.join(texts, "id").select("group", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    both = got.unionByName(met.select("group", "a", "b", F.lit(None).cast("string").alias("text")))
+    return both.repartition("group").sortWithinPartitions("group", F.asc_nulls_first("b"), "a").mapInArrow(_verify(n_words, percent), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
@@ -226,12 +261,16 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
     rows = keys.select("key", "doc_id").join(shared, "key").join(member, "doc_id", "left").select("key", F.coalesce("cid", "doc_id").alias("doc_id")).distinct()
     rows = stored(rows.join(known.select("doc_id", "n", "vec").dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("doc_id").alias("id"), "n", "vec"))
 
-    first = stored(proposals(rows.withColumn("label", F.col("id")), percent, every=False))
-    links = stored(verified(first, docs, n_words, percent))
-    found = components(links)
-    labelled = rows.join(found, "id", "left").select("key", "id", "n", "vec", F.coalesce("component_id", "id").alias("label"))
-    second = proposals(stored(labelled), percent, every=True).join(first, ["a", "b"], "left_anti")
-    links = links.union(stored(verified(stored(second), docs, n_words, percent)))
+    tested = stored(proposals(rows.withColumn("label", F.col("id")), percent, every=False))
+    links = stored(verified(tested, docs, n_words, percent))
+    for turn in range(1, TURNS + 1):
+        labelled = rows.join(components(links), "id", "left").select("key", "id", "n", "vec", F.coalesce("component_id", "id").alias("label"))
+        more = stored(proposals(stored(labelled), percent, turn == TURNS, turn).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            if turn < TURNS:
+                continue
+            break
+        tested, links = tested.union(more), links.union(stored(verified(more, docs, n_words, percent)))
 
     group = components(links.union(member.select(F.col("doc_id").alias("a"), F.col("cid").alias("b")))).withColumnRenamed("id", "doc_id")
     return marks.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(group, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
