@@ -9,7 +9,8 @@ Vectors of one direction at cosine c lie within eps = sqrt(2 - 2c) of each other
 3. Pairs of intervals come from an equi-join on the cells that their bounds cover on the first two dimensions, and stay
    only if their bounds are within eps on all projected dimensions.
 4. In a task, a pair of intervals is joined by recursion: sequences are halved and halves whose bounds are provably
-   farther apart than eps are skipped; what is left at ``LEAF`` points is compared exactly, in double precision.
+   farther apart than eps are skipped. What is left at ``LEAF`` points is compared by ``FILTER`` projections, which again
+   never lengthen a distance, and what passes exactly, in double precision.
    A pair of intervals gives each point's weighted number of links and a spanning forest of its links, so dense groups never
    expand into all their pairs.
 
@@ -30,25 +31,34 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import components, stored
 
-BLOCK = 512
-LEAF = 64
+BLOCK = 2048
+LEAF = 512
+FILTER = 24  # projections by which points of two leaves are first compared
 SLACK = 1e-6  # on distances of projections, against rounding
 
 
-def units(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of length one in double precision, padded to width; the vectors are valid."""
+def padded(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows, with zeros up to width."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy().astype(np.float64)
     if (sizes == width).all():
-        x = flat.reshape(-1, width)
-    else:
-        x = np.zeros((len(sizes), width))
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        x[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        return flat.reshape(-1, width)
+    x = np.zeros((len(sizes), width))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return x
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def units(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of length one in double precision; the vectors are valid."""
+    return scaled(padded(column, width))
+
+
 def _moments(width: int):
     def run(batches):
         total = np.zeros((width, width))
@@ -74,24 +84,26 @@ def _cells(width: int, axes: np.ndarray, eps: float):
             u = units(b.column("v"), width)
             y = u @ axes
             cell = np.floor(y / eps).astype(np.int32)
-            cols = [b.column("id"), b.column("m"), pa.array([r.tobytes() for r in u], pa.binary()), *[pa.array(cell[:, k]) for k in range(axes.shape[1])], pa.array(y[:, 0])]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "m", "u", *[f"c{k}" for k in range(axes.shape[1])], "y0"])
+            cols = [b.column("id"), b.column("m"), pa.array([r.tobytes() for r in padded(b.column("v"), width)], pa.binary()), *[pa.array(cell[:, k]) for k in range(axes.shape[1])], pa.array(y[:, 0])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "m", "v", *[f"c{k}" for k in range(axes.shape[1])], "y0"])
 
     return run
 
 
 def _cut(width: int, axes: np.ndarray):
     def block(part: int, k: int, t: pa.Table):
-        u = np.frombuffer(b"".join(t.column("u").to_pylist())).reshape(-1, width)
-        y = u @ axes
+        v = np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(-1, width)
+        y = scaled(v) @ axes
+        with np.errstate(over="ignore"):
+            short = v.astype("<f4")
         ids, m = t.column("id").to_numpy().astype("<i8"), t.column("m").to_numpy().astype("<i8")
-        rows = [[(part << 32) + k], [ids.tobytes()], [m.tobytes()], [u.tobytes()], [y.min(0).tolist()], [y.max(0).tolist()]]
-        return pa.RecordBatch.from_arrays([pa.array(r, type=k) for r, k in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["block", "ids", "m", "u", "lo", "hi"])
+        rows = [[(part << 32) + k], [ids.tobytes()], [m.tobytes()], [(short if (short == v).all() else v).tobytes()], [y.min(0).tolist()], [y.max(0).tolist()]]
+        return pa.RecordBatch.from_arrays([pa.array(r, type=k) for r, k in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["block", "ids", "m", "v", "lo", "hi"])
 
     def run(batches):
         part, k, left = TaskContext.get().partitionId(), 0, None
         for b in batches:
-            t = pa.Table.from_batches([b.select(["id", "m", "u"])])
+            t = pa.Table.from_batches([b.select(["id", "m", "v"])])
             left = t if left is None else pa.concat_tables([left, t])
             while left.num_rows >= BLOCK:
                 yield block(part, k, left.slice(0, BLOCK))
@@ -103,12 +115,12 @@ def _cut(width: int, axes: np.ndarray):
 
 
 def blocks(points: DataFrame, width: int, axes: np.ndarray, eps: float) -> DataFrame:
-    """points: id, m, v. Rows (block, ids, m, u, lo, hi): the intervals of the sequence in epsilon grid order."""
+    """points: id, m, v. Rows (block, ids, m, v, lo, hi): the intervals of the sequence in epsilon grid order."""
     dims = axes.shape[1]
     cells = [f"c{k}" for k in range(dims)]
-    placed = points.mapInArrow(_cells(width, axes, eps), "id long, m long, u binary, " + ", ".join(f"{c} int" for c in cells) + ", y0 double")
+    placed = points.mapInArrow(_cells(width, axes, eps), "id long, m long, v binary, " + ", ".join(f"{c} int" for c in cells) + ", y0 double")
     ordered = placed.repartitionByRange(*cells, "y0", "id").sortWithinPartitions(*cells, "y0", "id")
-    return ordered.mapInArrow(_cut(width, axes), "block long, ids binary, m binary, u binary, lo array<double>, hi array<double>")
+    return ordered.mapInArrow(_cut(width, axes), "block long, ids binary, m binary, v binary, lo array<double>, hi array<double>")
 
 
 def block_pairs(cut: DataFrame, eps: float, dims: int) -> DataFrame:
@@ -128,16 +140,25 @@ def block_pairs(cut: DataFrame, eps: float, dims: int) -> DataFrame:
     return a.join(b, ["g0", "g1"]).where((F.col("a") <= F.col("b")) & (gap <= (eps + SLACK) ** 2)).select("a", "b").distinct()
 
 
-def linked(u: np.ndarray, v: np.ndarray, yu: np.ndarray, yv: np.ndarray, cosine: float, eps: float) -> np.ndarray:
+def linked(u: np.ndarray, v: np.ndarray, axes: np.ndarray, dims: int, cosine: float, eps: float) -> np.ndarray:
     """Which rows of u and v are at the cosine, by recursion over two sequences in epsilon grid order."""
     out = np.zeros((len(u), len(v)), bool)
+    pu, pv = u @ axes, v @ axes
+    yu, yv = pu[:, :dims], pv[:, :dims]
+    # half the squared distance of projections is hu + hv - pu . pv: one product of rows that carry it
+    fu = np.column_stack([pu, -(pu * pu).sum(1) / 2, -np.ones(len(u))]).astype(np.float32)
+    fv = np.column_stack([pv, np.ones(len(v)), (pv * pv).sum(1) / 2]).astype(np.float32)
+    least = -(eps * eps) / 2 - 1e-4
 
     def join(a: int, b: int, c: int, d: int) -> None:
         gap = np.maximum(np.maximum(yu[a:b].min(0) - yv[c:d].max(0), yv[c:d].min(0) - yu[a:b].max(0)), 0)
         if (gap * gap).sum() > (eps + SLACK) ** 2:
             return
         if b - a <= LEAF and d - c <= LEAF:
-            out[a:b, c:d] = u[a:b] @ v[c:d].T >= cosine
+            i, j = np.nonzero(fu[a:b] @ fv[c:d].T >= least)
+            for k in range(0, len(i), 100_000):
+                x, y = i[k : k + 100_000], j[k : k + 100_000]
+                out[a + x, c + y] = np.einsum("ij,ij->i", u[a + x], v[c + y]) >= cosine
         elif b - a >= d - c:
             join(a, (a + b) // 2, c, d)
             join((a + b) // 2, b, c, d)
@@ -166,13 +187,13 @@ def forest(link: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.n
     return ids[roots != far], roots[roots != far]
 
 
-def _join(width: int, axes: np.ndarray, cosine: float, eps: float):
+def _join(width: int, axes: np.ndarray, dims: int, cosine: float, eps: float):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                u, v = (np.frombuffer(r[c]).reshape(-1, width) for c in ("ua", "ub"))
                 ia, ib, ma, mb = (np.frombuffer(r[c], "<i8") for c in ("ia", "ib", "ma", "mb"))
-                link = linked(u, v, u @ axes, v @ axes, cosine, eps)
+                u, v = (scaled(np.frombuffer(r[c], "<f8" if len(r[c]) == 8 * width * len(i) else "<f4").reshape(-1, width).astype(float)) for c, i in (("va", ia), ("vb", ib)))
+                link = linked(u, v, axes, dims, cosine, eps)
                 same = r["a"] == r["b"]
                 if same:
                     np.fill_diagonal(link, False)
@@ -199,12 +220,14 @@ def link(vectors: DataFrame, cosine: float = 0.9, dims: int = 8, id_col="vec_id"
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     points = stored(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
     copies = stored(good.select(F.col("id").alias("own"), "v").join(points.where("m > 1").select("v", F.col("id").alias("id"), "m"), "v").select("own", "id", "m"))
-    axes = np.ascontiguousarray(directions(points, width, min(dims, width)))
-    cut = stored(blocks(points, width, axes, eps))
-    pairs = stored(block_pairs(cut, eps, axes.shape[1]))
-    side = lambda s: cut.select(F.col("block").alias(s), F.col("ids").alias(f"i{s}"), F.col("m").alias(f"m{s}"), F.col("u").alias(f"u{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib", "ma", "mb", "ua", "ub")
-    found = stored(met.repartition("a", "b").mapInArrow(_join(width, axes, cosine, eps), "id long, n long, to long"))
+    axes = np.ascontiguousarray(directions(points, width, min(max(dims, FILTER), width)))
+    dims = min(dims, width)
+    grid = np.ascontiguousarray(axes[:, :dims])
+    cut = stored(blocks(points, width, grid, eps))
+    pairs = stored(block_pairs(cut, eps, dims))
+    side = lambda s: cut.select(F.col("block").alias(s), F.col("ids").alias(f"i{s}"), F.col("m").alias(f"m{s}"), F.col("v").alias(f"v{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib", "ma", "mb", "va", "vb")
+    found = stored(met.mapInArrow(_join(width, axes, dims, cosine, eps), "id long, n long, to long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     own = rows.select("id").join(copies.select(F.col("own").alias("id"), F.col("id").alias("rep"), "m").distinct(), "id", "left")
     own = own.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("m", F.lit(1)).alias("m"))
