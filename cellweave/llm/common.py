@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITMAP = 1 << 22
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -31,6 +35,32 @@ def remainder(id_col, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def bitmap(ids: DataFrame, size: int) -> np.ndarray:
+    """Bits of the hashed ids: a fixed number of words, whatever the number of ids."""
+    at = F.pmod(F.xxhash64("id"), F.lit(size))
+    words = ids.select(F.floor(at / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 32, np.uint32)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["bits"]
+    return out
+
+
+def _needed(bits: np.ndarray):
+    def run(batches):
+        set_ = np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+        for b in batches:
+            yield b.select(["id", "text"]).filter(pa.array(set_[b.column("at").to_numpy()]))
+
+    return run
+
+
+def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id long, text) that a later join with ids can need: a bitmap of the hashed ids, BITMAP bits whatever their number,
+    spares most other texts the shuffle. Rows of other ids may pass."""
+    at = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
+    return rows.select("id", "text").withColumn("at", at).mapInArrow(_needed(bitmap(ids, BITMAP)), "id long, text string")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component_id), component_id the least id of the component.
 

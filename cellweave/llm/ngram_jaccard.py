@@ -16,7 +16,7 @@ A document's set holds the distinct hashes of its n-word shingles (64 bits); two
    leader for each point of a tree, the last one all surviving pairs that the links found so far don't connect already, so
    thousands of near copies cost a few pairs each while no component is lost.
 
-Texts are fetched for candidates only: a bitmap of the candidates' ids, of a fixed ``BITMAP`` size, spares other texts the
+Texts are fetched for candidates only: a bitmap of the candidates' ids, of a fixed size, spares other texts the
 shuffle (when it is full it lets all pass, and the join still decides).
 
 Defined results: null and empty texts and texts without words have an empty set (n_shingles 0) and link with nothing.
@@ -32,12 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import components, stored
+from cellweave.llm.common import components, stored, texts_of
 from cellweave.llm.shingles import as_bytes, chunks, mix, runs, shingle_sets
 
 PACK = 16  # entries of an R-tree node
 HOT = 1024
-BITMAP = 1 << 22
 SMALL = 8  # points of a run that need no tree
 CLUSTER = 1024  # candidates of a cluster that meet in one group
 TURNS = 3  # of leaders, before all pairs that are left
@@ -188,25 +187,6 @@ def proposals(rows: DataFrame, percent: int, every: bool, turn: int = 0) -> Data
     return sorted_.mapInArrow(_propose(percent, every, turn), "a long, b long").distinct()
 
 
-def bitmap(ids: DataFrame, size: int = BITMAP) -> np.ndarray:
-    """Bits of the hashed ids: a fixed number of words, whatever the number of ids."""
-    at = F.pmod(F.xxhash64("id"), F.lit(size))
-    words = ids.select(F.floor(at / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(size // 32, np.uint32)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["bits"]
-    return out
-
-
-def _needed(bits: np.ndarray):
-    def run(batches):
-        set_ = np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
-        for b in batches:
-            yield b.select(["id", "text"]).filter(pa.array(set_[b.column("at").to_numpy()]))
-
-    return run
-
-
 def _verify(n_words: int, percent: int):
     """Links of the pairs (a, b) in sorted runs of group; the texts of their ids come first in each run."""
 
@@ -239,9 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> D
     two = one.select(F.col("id").alias("b"), F.col("bucket").alias("other"))
     met = pairs.join(one.withColumnRenamed("id", "a"), "a").join(two, "b")
     met = stored(met.select("a", "b", F.xxhash64("c", F.least("bucket", "other"), F.greatest("bucket", "other")).alias("group")))
-    at = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").withColumn("at", at)
-    texts = rows.mapInArrow(_needed(bitmap(cluster)), "id long, text string")
+    texts = texts_of(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), cluster.select("id"))
     wanted = met.select("group", F.col("a").alias("id")).union(met.select("group", "b")).distinct()
     got = wanted.join(texts, "id").select("group", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     both = got.unionByName(met.select("group", "a", "b", F.lit(None).cast("string").alias("text")))

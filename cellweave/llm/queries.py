@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, embedding_dedup, lang_id, lattice_lm, ngram_jaccard, secret_scan, sentencepiece_codec, toxicity, url_filter
+from cellweave.llm import decontaminate, embedding_dedup, lang_id, lattice_lm, ngram_jaccard, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from cellweave.llm.common import documents, remainder
 
 
@@ -49,6 +49,11 @@ def op2_lattice_lm(spark, sf_dir):
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir), least=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_url_filter(spark, sf_dir):
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -60,4 +65,4 @@ def op1_toxicity(spark, sf_dir):
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_lattice_lm": op2_lattice_lm, "op5_url_filter": op5_url_filter, "op10_embedding_dedup": op10_embedding_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op4_suffix_dedup": op4_suffix_dedup, "op1_toxicity": op1_toxicity, "op2_lattice_lm": op2_lattice_lm, "op5_url_filter": op5_url_filter, "op10_embedding_dedup": op10_embedding_dedup, "op3_sentencepiece": op3_sentencepiece, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_lang_id": op7_lang_id, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan}
