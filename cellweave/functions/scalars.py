@@ -78,7 +78,7 @@ def flow_destination(x: Column, y: Column, angle: Column, magnitude: float, widt
     """The pixel that the angle points to, rounded half to even and kept in the grid."""
     fx = F.rint(x + magnitude * F.cos(angle)).cast("long")
     fy = F.rint(y + magnitude * F.sin(angle)).cast("long")
-    return F.greatest(F.least(fx, width - 1), F.lit(0)), F.greatest(F.least(fy, height - 1), F.lit(0))
+    return clip(fx, 0, width - 1), clip(fy, 0, height - 1)
 
 
 def ring_edges(ring: Column) -> Column:

@@ -33,7 +33,7 @@ def numbered(df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
 def pixel_grid(spark: SparkSession, width: int, height: int, resolution: float = 1.0) -> DataFrame:
     """Every pixel with its centre in slide units."""
     nx, ny = math.ceil(width / resolution), math.ceil(height / resolution)
-    rows = spark.range(nx).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).cast("long").alias("y"))
+    rows = spark.range(nx).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ny - 1).cast("long"))).alias("y"))
     return rows.select("x", "y", ((F.col("x") + 0.5) * resolution).alias("center_x"), ((F.col("y") + 0.5) * resolution).alias("center_y"))
 
 
