@@ -59,30 +59,31 @@ class Lattice:
         for c, i in alphabet.items():
             self.lut[ord(c)] = i
         self.longest = max(map(len, self.pieces))
-        self.hash, self.id = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1)
-        for i, p in enumerate(self.pieces):
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in p:
+        self.hash, self.id = np.zeros(SLOTS, np.uint64), np.full(SLOTS, EMPTY)
+        places: dict[int, int] = {}
+        with np.errstate(over="ignore"):
+            for i, p in enumerate(self.pieces):  # all beginnings of pieces, so that a span that begins none ends its search
+                h = np.uint64(0)
+                for n, c in enumerate(p, 1):
                     h = h * BASE + np.uint64(alphabet[c])
-            k = int(slot(np.array([h]))[0])
-            while self.id[k] >= 0:
+                    places[int(h)] = max(i if n == len(p) else BEGINNING, places.get(int(h), BEGINNING))
+        hashes = np.array(list(places), np.uint64)
+        for h, k, i in zip(places, slot(hashes).tolist(), places.values(), strict=True):
+            while self.id[k] != EMPTY:
                 k = (k + 1) % SLOTS
             self.hash[k], self.id[k] = h, i
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in self.pieces if len(p) == 1]] = True
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes; -1: none."""
+        """Ids of the pieces with these hashes; BEGINNING: of pieces' beginnings only; EMPTY: none."""
         k = slot(h)
-        out = np.full(len(h), -1)
-        left = np.arange(len(h))
+        out = self.id[k]
+        left = np.flatnonzero((out != EMPTY) & (self.hash[k] != h))
         while len(left):
-            have = self.id[k[left]]
-            hit = (have >= 0) & (self.hash[k[left]] == h[left])
-            out[left[hit]] = have[hit]
-            left = left[(have >= 0) & ~hit]
             k[left] = (k[left] + 1) % SLOTS
+            out[left] = self.id[k[left]]
+            left = left[(out[left] != EMPTY) & (self.hash[k[left]] != h[left])]
         return out
 
     def edges(self, units: list[str]):
@@ -93,19 +94,34 @@ class Lattice:
         width = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
         found = {}
         for s in range(n):
-            h = np.zeros(len(units), np.uint64)
-            alive = np.ones(len(units), bool)
+            rows = np.flatnonzero(code[:, s])  # those whose span from s still begins a piece
+            h = np.zeros(len(rows), np.uint64)
             for e in range(s + 1, min(n, s + self.longest) + 1):
-                h = h * BASE + code[:, e - 1]
-                alive &= code[:, e - 1] > 0
-                if not alive.any():
-                    break
+                h = h * BASE + code[rows, e - 1]
                 ids = self.find(h)
-                ids[~alive] = -1
-                if (ids >= 0).any():
-                    found[s, e] = ids
+                if len(use := np.flatnonzero(ids >= 0)):
+                    found[s, e] = rows[use], ids[use]
+                go = ids != EMPTY
+                rows, h = rows[go], h[go]
+                if not len(rows):
+                    break
         return n, found, lone, width
 
+    @staticmethod
+    def summed(first: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log of the sum of exponentials of one value a unit and of further values of some units."""
+        if not others:
+            return first
+        top = first.copy()
+        for rows, v in others:
+            top[rows] = np.maximum(top[rows], v)
+        base = np.where(np.isfinite(top), top, 0.0)
+        out = np.exp(first - base)
+        for rows, v in others:
+            out[rows] += np.exp(v - base[rows])
+        with np.errstate(divide="ignore"):
+            return np.log(out) + base
+
     def forward(self, units: list[str]) -> np.ndarray:
         return self.recursions(units, None)[0]
 
@@ -113,37 +129,34 @@ class Lattice:
         """Natural log of each unit's marginal probability and, with weights, the expected count of each piece."""
         n, found, lone, width = self.edges(units)
         byte = self.log_p[-2]
-        a = np.full((len(units), n + 1), -np.inf)
-        a[:, 0] = 0.0
+        a = np.full((n + 1, len(units)), -np.inf)
+        a[0] = 0.0
         by_end, by_start = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-        logs = {}
-        for (s, e), ids in found.items():
-            logs[s, e] = np.where(ids >= 0, self.log_p[ids], -np.inf)
-            by_end[e].append(s)
-            by_start[s].append(e)
-        lone_log = np.where(lone, width * byte, -np.inf)
-        with np.errstate(invalid="ignore"):
-            for e in range(1, n + 1):
-                a[:, e] = np.logaddexp.reduce([a[:, e - 1] + lone_log[:, e - 1], *(a[:, s] + logs[s, e] for s in by_end[e])])
-            total = a[:, n]
-            if weights is None:
-                return total, None
-            b = np.full((len(units), n + 1), -np.inf)
-            b[:, n] = 0.0
-            for s in range(n - 1, -1, -1):
-                b[:, s] = np.logaddexp.reduce([lone_log[:, s] + b[:, s + 1], *(logs[s, e] + b[:, e] for e in by_start[s])])
-            expected = np.zeros(len(self.log_p))
-            for (s, e), ids in found.items():
-                use = np.flatnonzero(ids >= 0)
-                share = np.exp(a[use, s] + logs[s, e][use] + b[use, e] - total[use]) * weights[use]
-                expected += np.bincount(ids[use], share, len(self.log_p))
-            for s in range(n):
-                use = np.flatnonzero(lone[:, s])
-                expected[-2] += (np.exp(a[use, s] + lone_log[use, s] + b[use, s + 1] - total[use]) * width[use, s] * weights[use]).sum()
+        for (s, e), (rows, ids) in found.items():
+            by_end[e].append((s, rows, self.log_p[ids]))
+            by_start[s].append((e, rows, self.log_p[ids]))
+        lone_log = np.where(lone, width * byte, -np.inf).T
+        for e in range(1, n + 1):
+            a[e] = self.summed(a[e - 1] + lone_log[e - 1], [(rows, a[s, rows] + p) for s, rows, p in by_end[e]])
+        total = a[n]
+        if weights is None:
+            return total, None
+        b = np.full((n + 1, len(units)), -np.inf)
+        b[n] = 0.0
+        for s in range(n - 1, -1, -1):
+            b[s] = self.summed(lone_log[s] + b[s + 1], [(rows, p + b[e, rows]) for e, rows, p in by_start[s]])
+        expected = np.zeros(len(self.log_p))
+        for (s, e), (rows, ids) in found.items():
+            share = np.exp(a[s, rows] + self.log_p[ids] + b[e, rows] - total[rows]) * weights[rows]
+            expected += np.bincount(ids, share, len(self.log_p))
+        for s in range(n):
+            use = np.flatnonzero(lone[:, s])
+            expected[-2] += (np.exp(a[s, use] + lone_log[s, use] + b[s + 1, use] - total[use]) * width[use, s] * weights[use]).sum()
         return total, expected
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BEGINNING, EMPTY = -1, -2
 
 
 def slot(h: np.ndarray) -> np.ndarray:
