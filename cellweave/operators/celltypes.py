@@ -93,3 +93,13 @@ def relative_expression(counts: DataFrame, types: DataFrame, genes: DataFrame, f
 def top_markers(relative: DataFrame, n: int = 10) -> DataFrame:
     order = F.row_number().over(W.partitionBy("celltype").orderBy(F.desc(F.round("relative_expression", 9)), "gene_id"))
     return relative.withColumn("rank", order).where(F.col("rank") <= n)
+
+
+def with_noise(profiles: DataFrame, priors: DataFrame, totals: DataFrame, genes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Adds type 0, of equal gene shares; its prior is the share of cells with fewer than `least` transcripts. Types move up by one."""
+    g = genes.count()
+    share = totals.agg(F.avg((F.col("total") < least).cast("double")).alias("share"))
+    flat = genes.select(F.lit(0).alias("celltype"), "gene_id", F.lit(1.0 / g).alias("prob"))
+    moved = profiles.select((F.col("celltype") + 1).cast("int").alias("celltype"), "gene_id", "prob")
+    rest = priors.crossJoin(F.broadcast(share)).select((F.col("celltype") + 1).cast("int").alias("celltype"), (F.col("prior") * (1 - F.col("share"))).alias("prior"))
+    return flat.unionByName(moved), share.select(F.lit(0).alias("celltype"), F.col("share").alias("prior")).unionByName(rest)

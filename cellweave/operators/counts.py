@@ -125,3 +125,27 @@ def segment_intensity(pixels: DataFrame, image: DataFrame, most: int = 4000) ->
 def histogram(values: DataFrame, column: str, low: float, high: float, bins: int = 100) -> DataFrame:
     at = F.least(F.greatest(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(0)), F.lit(bins - 1))
     return values.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def label_rule(nearest: DataFrame, dense: DataFrame, inner: float, outer: float) -> DataFrame:
+    """Training labels: the nucleus within `inner`, 0 beyond `outer` (or near none) unless transcripts are dense, else -1.
+
+    nearest: x, y, label, distance (null if none is near); dense: x, y."""
+    near = nearest.join(dense.withColumn("dense", F.lit(True)), ["x", "y"], "left")
+    far = F.col("distance").isNull() | (F.col("distance") > outer)
+    return near.select("x", "y", F.when(F.col("distance") <= inner, F.col("label")).when(far & F.col("dense").isNull(), F.lit(0)).otherwise(F.lit(-1)).cast("long").alias("label"))
+
+
+def tile_batches(px: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """A row a tile: its transcripts (x, y, gene_id) in tile coordinates, in order. A tile's transcripts are bounded by its area."""
+    placed = grid.points_to_tiles(px, tiles, size)
+    item = F.struct((F.col("x") - F.col("x1")).alias("x"), (F.col("y") - F.col("y1")).alias("y"), "gene_id")
+    return placed.groupBy("tile_id").agg(F.sort_array(F.collect_list(item)).alias("transcripts"))
+
+
+def upper_median_tile(per_tile: DataFrame, count: str) -> DataFrame:
+    """The first tile whose count equals the upper median of the counts."""
+    n = per_tile.count()
+    place = F.row_number().over(W.orderBy(count, "tile_id")) - 1  # one row a tile
+    at = per_tile.withColumn("_p", place).where(F.col("_p") == n // 2).select(F.col(count).alias("_m"))
+    return per_tile.join(F.broadcast(at), F.col(count) == F.col("_m")).agg(F.min("tile_id").alias("tile_id"), F.max(count).alias(count))

@@ -59,7 +59,7 @@ def write_transcript_tiles(tx: DataFrame, tiles: DataFrame, path: str, size: int
 
 
 def tile_id_of_path(path=None):
-    return F.regexp_extract(path if path is not None else F.col("_metadata.file_path"), r"tile_id=(\d+)|tile_(\d+)", 1).cast("int")
+    return F.regexp_extract(path if path is not None else F.col("_metadata.file_path"), r"tile_(?:id=)?(\d+)", 1).cast("int")
 
 
 def load_nuclei(vertices: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
@@ -70,3 +70,20 @@ def load_nuclei(vertices: DataFrame, area: tuple[float, float, float, float]) ->
     inside = rings.where((b["xmin"] >= x0) & (b["ymin"] >= y0) & (b["xmax"] <= x1) & (b["ymax"] <= y1))
     cx, cy = S.ring_centroid(F.col("ring"))
     return grid.numbered(inside, "cell_id", "nucleus_label", 1).select("cell_id", "nucleus_label", "ring", cx.alias("cx"), cy.alias("cy"))
+
+
+BASE_TILE = 64
+
+
+def write_grid(pixels: DataFrame, path: str) -> None:
+    """A pixel table laid out by base tile, so that reading one area prunes to its folders."""
+    at = lambda c: F.floor(F.col(c) / BASE_TILE).cast("int")
+    pixels.withColumn("bx", at("x")).withColumn("by", at("y")).write.partitionBy("bx", "by").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str, x1: int, y1: int, x2: int, y2: int) -> DataFrame:
+    """Pixels of the half-open box, in coordinates of its corner."""
+    folders = F.col("bx").between(x1 // BASE_TILE, (x2 - 1) // BASE_TILE) & F.col("by").between(y1 // BASE_TILE, (y2 - 1) // BASE_TILE)
+    inside = (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
+    rows = spark.read.parquet(path).where(folders & inside).drop("bx", "by")
+    return rows.withColumn("x", F.col("x") - x1).withColumn("y", F.col("y") - y1)
