@@ -12,9 +12,10 @@ A document's set holds the distinct hashes of its n-word shingles (64 bits); two
    overlap with a node by the summed minima of the query's and the node's upper coordinates, descends where the bound can
    reach the threshold, and bounds each point in the same way. Prefix hashes of over ``HOT`` classes are cut by size band
    and dealt into blocks whose pairs run as tasks of their own.
-4. Surviving pairs are verified on the whole sets, cluster by cluster of candidates. The first turns propose at most one
-   leader for each point of a tree, the last one all surviving pairs that the links found so far don't connect already, so
-   thousands of near copies cost a few pairs each while no component is lost.
+4. Surviving pairs are verified on the whole sets, cluster by cluster of candidates. The first turn proposes at most one
+   leader for each point of a tree; the second searches from the points that followed a leader and proposes all surviving
+   pairs that the links found so far don't connect already, so thousands of near copies cost a few pairs each while no
+   component is lost.
 
 Texts are fetched for candidates only: a bitmap of the candidates' ids, of a fixed size, spares other texts the
 shuffle (when it is full it lets all pass, and the join still decides).
@@ -33,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import components, stored, texts_of
-from cellweave.llm.shingles import as_bytes, chunks, mix, runs, shingle_sets
+from cellweave.llm.shingles import as_bytes, chunks, runs, shingle_sets
 
 PACK = 16  # entries of an R-tree node
 HOT = 1024
 SMALL = 8  # points of a run that need no tree
 CLUSTER = 1024  # candidates of a cluster that meet in one group
-TURNS = 3  # of leaders, before all pairs that are left
 
 
 def _signatures(n_words: int, percent: int):
@@ -76,44 +76,47 @@ def folded(vec: bytes, n: int, groups: int) -> np.ndarray:
 
 
 class RTree:
-    """Points (count vectors of sets, in order of size) packed PACK to a node, level by level, up to a root level of at most
-    PACK nodes. A node keeps its points' greatest coordinates and sizes' range."""
+    """Points (count vectors of sets, in order of size) packed PACK to a node, level by level, up to at most PACK nodes. A node
+    keeps its points' greatest coordinates. A search goes from a point to those after it, which are no smaller, so it needs
+    the vectors at the query's number of groups, and only of points that are near enough in size."""
 
     def __init__(self, sizes: np.ndarray, vecs: list[bytes], percent: int):
-        self.n, self.vecs, self.percent, self.levels = sizes, vecs, percent, {}
-
-    def at(self, groups: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Levels (upper coordinates, least size, greatest size), the points first; at this number of groups."""
-        if groups not in self.levels:
-            first = next(i for i, n in enumerate(self.n) if max(16, 1 << (int(n) // 8).bit_length()) >= groups)
-            points = np.zeros((len(self.n), groups), np.int32)
-            for i in range(first, len(self.n)):
-                points[i] = folded(self.vecs[i], int(self.n[i]), groups)
-            levels = [(points, self.n, self.n)]
-            while len(levels[-1][0]) > PACK:
-                up, lo, hi = levels[-1]
-                cut = np.arange(0, len(up), PACK)
-                levels.append((np.maximum.reduceat(up, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)))
-            self.levels[groups] = levels
-        return self.levels[groups]
+        self.n, self.vecs, self.percent, self.built = sizes, vecs, percent, {}
+        self.groups = np.array([max(16, 1 << (k // 8).bit_length()) for k in sizes.tolist()])
+        self.last = np.searchsorted(sizes, 100 * sizes // percent, "right")  # beyond the largest that can link with each
+
+    def at(self, groups: int) -> tuple[int, list[np.ndarray]]:
+        """(first, levels): the points from `first` on, then each level's upper coordinates."""
+        if groups not in self.built:
+            first, end = np.searchsorted(self.groups, groups), np.searchsorted(self.groups, groups, "right")
+            stop = int(self.last[end - 1])
+            levels = [np.stack([folded(self.vecs[i], int(self.n[i]), groups) for i in range(first, stop)])]
+            while len(levels[-1]) > PACK:
+                levels.append(np.maximum.reduceat(levels[-1], np.arange(0, len(levels[-1]), PACK)))
+            self.built[groups] = int(first), levels
+        return self.built[groups]
 
     def search(self, i: int) -> np.ndarray:
         """Points after i, in order, whose overlap bound with point i reaches the threshold."""
-        n = int(self.n[i])
-        levels = self.at(max(16, 1 << (n // 8).bit_length()))
-        query = levels[0][0][i]
-        found = np.arange(len(levels[-1][0]))
-        for depth in range(len(levels) - 1, -1, -1):
-            up, lo, hi = levels[depth]
-            if depth == 0:
-                found = found[found > i]
-            found = found[(100 * hi[found] >= self.percent * n) & (self.percent * lo[found] <= 100 * n) & (hi[found] >= n)]
-            bound = np.minimum(up[found], query).sum(1)
-            found = found[(100 + self.percent) * bound >= self.percent * (n + np.maximum(lo[found], n))]
-            if depth:
+        stop = int(self.last[i])
+        if stop <= i + 1:
+            return np.zeros(0, np.int64)
+        first, levels = self.at(int(self.groups[i]))
+        query, lo, hi, n = levels[0][i - first], i + 1 - first, stop - first, int(self.n[i])
+        depth = 0
+        while (hi - lo) // PACK**depth > 4 * PACK and depth + 1 < len(levels):
+            depth += 1
+        found = np.arange(lo // PACK**depth, (hi - 1) // PACK**depth + 1)
+        for level in range(depth, -1, -1):
+            bound = np.minimum(levels[level][found], query).sum(1)
+            if level:
+                found = found[(100 + self.percent) * bound >= self.percent * 2 * n]
                 found = (found[:, None] * PACK + np.arange(PACK)).ravel()
-                found = found[found < len(levels[depth - 1][0])]
-        return found
+                step = PACK ** (level - 1)
+                found = found[(found >= lo // step) & (found <= (hi - 1) // step)]
+            else:
+                found = found[(100 + self.percent) * bound >= self.percent * (n + self.n[first + found])]
+        return found + first
 
 
 def close(n: list[int], vecs: list[bytes], percent: int):
@@ -129,17 +132,22 @@ def close(n: list[int], vecs: list[bytes], percent: int):
                 yield i, j
 
 
-def _propose(percent: int, every: bool, turn: int):
-    """Pairs (a, b) from sorted runs of (key, part): a leader for each point, or every pair of different labels."""
+def _propose(percent: int, every: bool):
+    """From sorted runs of (key, part): rows (a, b) of proposed pairs, and rows (key, id) of points that are still to search.
 
-    def batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-        rows = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+    The first turn gives each point of a tree at most one leader; a leader has searched the tree, a point that a leader took has
+    not. The second turn (every) searches from those and proposes all pairs of different labels."""
+
+    def batch(pairs: set[tuple[int, int]], waits: list[tuple[int, int]]) -> pa.RecordBatch:
+        p, w = np.array(sorted(pairs), np.int64).reshape(-1, 2), np.array(waits, np.int64).reshape(-1, 2)
+        cols = [pa.concat_arrays([pa.array(p[:, k]), pa.nulls(len(w), pa.int64())]) for k in (0, 1)] + [pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(w[:, k])]) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "id"])
 
     def run(batches):
         pairs: set[tuple[int, int]] = set()  # a pair is proposed once a task, however many keys it shares
+        waits: list[tuple[int, int]] = []
         for t, bounds in runs(batches, "key", "part"):
-            size, ids, label, home = (t.column(c).to_numpy() for c in ("n", "id", "label", "home"))
+            key, size, ids, label, home, open_ = (t.column(c).to_numpy() for c in ("key", "n", "id", "label", "home", "open"))
             vecs = t.column("vec").to_pylist()
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s < 2 or (label[s:e] == label[s]).all():
@@ -150,30 +158,31 @@ def _propose(percent: int, every: bool, turn: int):
                             pairs.add((min(x := int(ids[s + i]), y := int(ids[s + j])), max(x, y)))
                     continue
                 tree, taken = RTree(size[s:e].astype(np.int64), vecs[s:e], percent), np.zeros(e - s, bool)
-                order = np.argsort(mix(ids[s:e].astype(np.uint64) + np.uint64(turn))) if turn else np.arange(e - s)
-                for i in order.tolist():
-                    if not every and taken[i]:
+                for i in np.flatnonzero(open_[s:e]).tolist():
+                    if taken[i]:
                         continue
                     got = tree.search(i)
+                    if not len(got):
+                        continue
                     got = got[(label[s + got] != label[s + i]) & (home[s + got] | home[s + i])]
                     if not every:
                         got = got[~taken[got]]
                         taken[got] = True
                     x = int(ids[s + i])
                     pairs.update((min(x, y), max(x, y)) for y in ids[s + got].tolist())
-            if len(pairs) > 200_000:
-                yield batch(pairs)
+                waits += [(int(key[s]), y) for y in ids[s:e][taken].tolist()]
+            if len(pairs) + len(waits) > 200_000:
+                yield batch(pairs, waits)
                 pairs.clear()
-        yield batch(pairs)
+                waits.clear()
+        yield batch(pairs, waits)
 
     return run
 
 
-def proposals(rows: DataFrame, percent: int, every: bool, turn: int = 0) -> DataFrame:
-    """rows: key, id, n, vec, label. Distinct pairs (a, b), a < b, of keys with different labels."""
+def proposals(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """rows: key, id, n, vec, label, open. Rows (a, b, null, null) of pairs a < b and (null, null, key, id) of points left."""
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    if turn:  # small runs proposed all their pairs in the first turn
-        mixed = mixed.where(F.col("m") > SMALL)
     rows = rows.join(stored(mixed), "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     blocks = F.ceil(F.col("m") / HOT).cast("int")
@@ -181,10 +190,9 @@ def proposals(rows: DataFrame, percent: int, every: bool, turn: int = 0) -> Data
     pair = lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))
     places = F.flatten(F.transform(F.array(band, band + 1), lambda at: F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.struct(at.alias("band"), pair(i).alias("pair")).alias("part"), (at == band).alias("home")))))
     whole = F.array(F.struct(F.struct(F.lit(-1).alias("band"), F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")).alias("pair")).alias("part"), F.lit(True).alias("home")))
-    placed = rows.select("key", "id", "n", "vec", "label", F.explode(F.when(F.col("m") > HOT, places).otherwise(whole)).alias("p"))
-    placed = placed.select("key", F.xxhash64("p.part").alias("part"), "id", "n", "vec", "label", F.col("p.home").alias("home"))
-    sorted_ = placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
-    return sorted_.mapInArrow(_propose(percent, every, turn), "a long, b long").distinct()
+    placed = rows.select("key", "id", "n", "vec", "label", "open", F.explode(F.when(F.col("m") > HOT, places).otherwise(whole)).alias("p"))
+    placed = placed.select("key", F.xxhash64("p.part").alias("part"), "id", "n", "vec", "label", "open", F.col("p.home").alias("home"))
+    return placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id").mapInArrow(_propose(percent, every), "a long, b long, key long, id long")
 
 
 def _verify(n_words: int, percent: int):
@@ -239,16 +247,14 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
     rows = keys.select("key", "doc_id").join(shared, "key").join(member, "doc_id", "left").select("key", F.coalesce("cid", "doc_id").alias("doc_id")).distinct()
     rows = stored(rows.join(known.select("doc_id", "n", "vec").dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("doc_id").alias("id"), "n", "vec"))
 
-    tested = stored(proposals(rows.withColumn("label", F.col("id")), percent, every=False))
-    links = stored(verified(tested, docs, n_words, percent))
-    for turn in range(1, TURNS + 1):
-        labelled = rows.join(components(links), "id", "left").select("key", "id", "n", "vec", F.coalesce("component_id", "id").alias("label"))
-        more = stored(proposals(stored(labelled), percent, turn == TURNS, turn).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if turn < TURNS:
-                continue
-            break
-        tested, links = tested.union(more), links.union(stored(verified(more, docs, n_words, percent)))
+    first = stored(proposals(rows.withColumns({"label": F.col("id"), "open": F.lit(True)}), percent, every=False))
+    pairs = stored(first.where("a IS NOT NULL").select("a", "b").distinct())
+    links = stored(verified(pairs, docs, n_words, percent))
+    left = stored(first.where("key IS NOT NULL").select("key", "id").distinct().withColumn("open", F.lit(True)))
+    again = rows.join(left.select("key").distinct(), "key", "left_semi").join(left, ["key", "id"], "left").join(components(links), "id", "left")
+    again = again.select("key", "id", "n", "vec", F.coalesce("component_id", "id").alias("label"), F.coalesce("open", F.lit(False)).alias("open"))
+    second = stored(proposals(stored(again), percent, every=True).select("a", "b").distinct())
+    links = links.union(stored(verified(stored(second.join(pairs, ["a", "b"], "left_anti")), docs, n_words, percent)))
 
     group = components(links.union(member.select(F.col("doc_id").alias("a"), F.col("cid").alias("b")))).withColumnRenamed("id", "doc_id")
     return marks.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(group, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
