@@ -103,3 +103,43 @@ def with_noise(profiles: DataFrame, priors: DataFrame, totals: DataFrame, genes:
     moved = profiles.select((F.col("celltype") + 1).cast("int").alias("celltype"), "gene_id", "prob")
     rest = priors.crossJoin(F.broadcast(share)).select((F.col("celltype") + 1).cast("int").alias("celltype"), (F.col("prior") * (1 - F.col("share"))).alias("prior"))
     return flat.unionByName(moved), share.select(F.lit(0).alias("celltype"), F.col("share").alias("prior")).unionByName(rest)
+
+
+def confidence_trace(increments: DataFrame, profiles: DataFrame, priors: DataFrame, steps: int) -> DataFrame:
+    """Rows (segment_id, step, gain): norm of the mean of a segment's type posteriors at step 0 and at a step, less the norm at step 0.
+
+    increments: segment_id, step, gene_id, n, the transcripts that a step adds; step 0 holds those of the start. A window sums
+    log likelihoods over steps, so no step counts its transcripts anew. There are types x steps rows a segment."""
+    lp = F.broadcast(profiles.select("gene_id", "celltype", F.log("prob").alias("lp")))
+    added = increments.join(lp, "gene_id").groupBy("segment_id", "step", "celltype").agg(F.sum(F.col("n") * F.col("lp")).alias("s"))
+    types = F.broadcast(priors.select("celltype", F.log("prior").alias("log_prior")))
+    every = increments.select("segment_id").distinct().crossJoin(types).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    rows = every.join(added, ["segment_id", "step", "celltype"], "left")
+    so_far = F.sum(F.coalesce("s", F.lit(0.0))).over(W.partitionBy("segment_id", "celltype").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    joint = rows.withColumn("joint", F.col("log_prior") + so_far)
+    w = W.partitionBy("segment_id", "step")
+    e = joint.withColumn("e", F.exp(F.col("joint") - F.max("joint").over(w)))
+    p = e.withColumn("p", F.col("e") / F.sum("e").over(w))
+    first = F.first("p").over(W.partitionBy("segment_id", "celltype").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    both = p.withColumn("p0", first)
+    mean = (F.col("p") + F.col("p0")) / 2
+    return both.groupBy("segment_id", "step").agg((F.sqrt(F.sum(mean * mean)) - F.sqrt(F.sum(F.col("p0") * F.col("p0")))).alias("gain"))
+
+
+def best_k(scores: DataFrame, sensitivity: float = 2.0) -> DataFrame:
+    """One row (k, rule): the k that both criteria choose, else the knee of the BIC curve (convex, decreasing), else BIC's least.
+
+    scores: k, aic, bic, one row a k: a handful of rows."""
+    order = W.orderBy("k")
+    whole = W.partitionBy()
+    unit = lambda c: (F.col(c) - F.min(c).over(whole)) / F.nullif(F.max(c).over(whole) - F.min(c).over(whole), F.lit(0.0))
+    rows = scores.select(F.col("k").cast("double").alias("kk"), "k", F.col("aic").cast("double").alias("aic"), F.col("bic").cast("double").alias("bic"))
+    d = rows.withColumn("x", unit("kk")).withColumn("d", 1 - unit("bic") - F.col("x"))
+    step = d.withColumn("gap", F.lit(1.0) / F.nullif(F.count("*").over(whole) - 1, F.lit(0)))
+    top = step.withColumn("peak", (F.col("d") > F.lag("d").over(order)) & (F.col("d") >= F.lead("d").over(order)))
+    run = top.withColumn("run", F.sum(F.coalesce(F.col("peak"), F.lit(False)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    knees = run.where("run > 0").groupBy("run").agg(F.max_by("k", F.col("peak").cast("int")).alias("k"), (F.max("d") - sensitivity * F.max("gap")).alias("line"), F.min("d").alias("low"))
+    knee = knees.where("low < line").agg(F.min("k").alias("knee"))
+    least = rows.agg(F.min_by("k", F.struct("aic", "k")).alias("a"), F.min_by("k", F.struct("bic", "k")).alias("b"))
+    rule = F.when(F.col("a") == F.col("b"), "both").when(F.col("knee").isNotNull(), "knee").otherwise("bic")
+    return least.crossJoin(F.broadcast(knee)).select(F.when(F.col("a") == F.col("b"), F.col("b")).otherwise(F.coalesce("knee", "b")).alias("k"), rule.alias("rule"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as S
+from cellweave.operators.celltypes import confidence_trace
 from cellweave.operators.grid import dictionary, surrounded
 from cellweave.sources.scratch import stored
 
@@ -116,3 +117,34 @@ def cull_empty_pixels(labels: DataFrame, tx: DataFrame, prior: DataFrame) -> Dat
 def best_step(trace: DataFrame) -> DataFrame:
     """trace: segment_id, step, gain. The step of greatest gain, the latest on ties."""
     return trace.groupBy("segment_id").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), "step")).alias("_b")).select("segment_id", F.col("_b.step").alias("step"), F.col("_b.gain").alias("gain"))
+
+
+def early_stopped(pixels: DataFrame, px: DataFrame, profiles: DataFrame, priors: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5) -> DataFrame:
+    """Rows (x, y, label): growth in which a segment stops at the step that gained most confidence in its type.
+
+    The first run keeps the transcripts that each step adds; the second stops a segment once the step reaches its best one."""
+    before = stored(pixels.select("x", "y", "label"))
+    gained = [before.where("label > 0").join(px, ["x", "y"]).groupBy(F.col("label").alias("segment_id"), "gene_id").agg(F.count("*").alias("n")).withColumn("step", F.lit(0))]
+    last = [before]
+
+    def keep(step: int, labels: DataFrame) -> None:
+        new = labels.where("label > 0").join(last[0].where("label > 0").select("x", "y"), ["x", "y"], "left_anti")
+        gained.append(stored(new.join(px, ["x", "y"]).groupBy(F.col("label").alias("segment_id"), "gene_id").agg(F.count("*").alias("n")).withColumn("step", F.lit(step + 1))))
+        last[0] = labels
+
+    greedy_expansion(pixels, width, height, steps, threshold, on_step=keep)
+    every = gained[0]
+    for more in gained[1:]:
+        every = every.unionByName(more)
+    best = stored(best_step(confidence_trace(every, profiles, priors, steps)))
+    stop = lambda step, labels: best.where(F.col("step") <= step).select(F.col("segment_id").alias("label"))
+    return greedy_expansion(pixels, width, height, steps, threshold, exclude=stop)
+
+
+def ray_segmentation(pixels: DataFrame, hits: DataFrame, best: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows (x, y, label): labels are kept; an unlabelled foreground pixel takes the segment its ray hits within that segment's best length.
+
+    hits: x, y, segment_id, distance; best: segment_id, step (a length)."""
+    near = hits.join(best.select("segment_id", "step"), "segment_id").where(F.col("distance") <= F.col("step")).select("x", "y", "segment_id")
+    open_ = (F.col("label") == -1) & (F.col("foreground") >= threshold) & F.col("segment_id").isNotNull()
+    return pixels.join(near, ["x", "y"], "left").select("x", "y", F.when(open_, F.col("segment_id")).when(F.col("label") > 0, F.col("label")).otherwise(F.lit(0)).alias("label"))
