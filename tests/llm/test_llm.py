@@ -321,10 +321,11 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     passage = prose(30)
     rows = [(i, prose(50), "en", "s", 1) for i in range(20)]
     rows += [(30, rows[0][1] + " end", "en", "s", 1), (31, passage, "en", "s", 1), (32, "%%% 123", "en", "s", 1), (33, prose(40) + " password=hunter2222", "en", "s", 1)]
+    rows += [(None, prose(45) + " token: abcdef123", None, None, None), (40, None, "en", "s", None), (41, "", None, "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(out) == {*range(20), 33} and all(r.round_trip for r in out.values())
+    assert set(out) == {*range(20), 33, None} and all(r.round_trip for r in out.values())
     text = sentencepiece_codec.decode(spark.createDataFrame([(33, out[33].ids)], "doc_id long, ids array<int>")).first().text
     assert text.endswith("[SECRET]")
 
