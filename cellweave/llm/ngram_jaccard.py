@@ -12,10 +12,9 @@ A document's set holds the distinct hashes of its n-word shingles (64 bits); two
    overlap with a node by the summed minima of the query's and the node's upper coordinates, descends where the bound can
    reach the threshold, and bounds each point in the same way. Prefix hashes of over ``HOT`` classes are cut by size band
    and dealt into blocks whose pairs run as tasks of their own.
-4. Surviving pairs are verified on the whole sets, cluster by cluster of candidates. The first turn proposes at most one
-   leader for each point of a tree; the second searches from the points that followed a leader and proposes all surviving
-   pairs that the links found so far don't connect already, so thousands of near copies cost a few pairs each while no
-   component is lost.
+4. Of the surviving pairs a task keeps a spanning forest of each tree, so groups of any size give a row a point at most. Links
+   can only stand inside the clusters these connect. A cluster's texts meet once (large clusters by pairs of buckets), where
+   surviving pairs are verified on the whole sets, and again a spanning forest of the links is put out.
 
 Texts are fetched for candidates only: a bitmap of the candidates' ids, of a fixed size, spares other texts the
 shuffle (when it is full it lets all pass, and the join still decides).
@@ -132,86 +131,94 @@ def close(n: list[int], vecs: list[bytes], percent: int):
                 yield i, j
 
 
-def _propose(percent: int, every: bool):
-    """From sorted runs of (key, part): rows (a, b) of proposed pairs, and rows (key, id) of points that are still to search.
+class Forest:
+    """Connected groups of a few ids; join() says whether two groups became one."""
 
-    The first turn gives each point of a tree at most one leader; a leader has searched the tree, a point that a leader took has
-    not. The second turn (every) searches from those and proposes all pairs of different labels."""
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    def batch(pairs: set[tuple[int, int]], waits: list[tuple[int, int]]) -> pa.RecordBatch:
-        p, w = np.array(sorted(pairs), np.int64).reshape(-1, 2), np.array(waits, np.int64).reshape(-1, 2)
-        cols = [pa.concat_arrays([pa.array(p[:, k]), pa.nulls(len(w), pa.int64())]) for k in (0, 1)] + [pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(w[:, k])]) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "id"])
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _propose(percent: int):
+    """Pairs (a, b) from sorted runs of (key, part): a spanning forest of the pairs whose bound reaches the threshold."""
 
     def run(batches):
-        pairs: set[tuple[int, int]] = set()  # a pair is proposed once a task, however many keys it shares
-        waits: list[tuple[int, int]] = []
         for t, bounds in runs(batches, "key", "part"):
-            key, size, ids, label, home, open_ = (t.column(c).to_numpy() for c in ("key", "n", "id", "label", "home", "open"))
-            vecs = t.column("vec").to_pylist()
+            size, ids, home = (t.column(c).to_numpy() for c in ("n", "id", "home"))
+            vecs, pairs = t.column("vec").to_pylist(), set()
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if e - s < 2 or (label[s:e] == label[s]).all():
+                if e - s < 2:
                     continue
+                forest = Forest()
                 if e - s <= SMALL:
-                    for i, j in close(size[s:e].tolist(), vecs[s:e], percent):
-                        if label[s + i] != label[s + j] and (home[s + i] or home[s + j]):
-                            pairs.add((min(x := int(ids[s + i]), y := int(ids[s + j])), max(x, y)))
-                    continue
-                tree, taken = RTree(size[s:e].astype(np.int64), vecs[s:e], percent), np.zeros(e - s, bool)
-                for i in np.flatnonzero(open_[s:e]).tolist():
-                    if taken[i]:
-                        continue
-                    got = tree.search(i)
-                    if not len(got):
-                        continue
-                    got = got[(label[s + got] != label[s + i]) & (home[s + got] | home[s + i])]
-                    if not every:
-                        got = got[~taken[got]]
-                        taken[got] = True
-                    x = int(ids[s + i])
-                    pairs.update((min(x, y), max(x, y)) for y in ids[s + got].tolist())
-                waits += [(int(key[s]), y) for y in ids[s:e][taken].tolist()]
-            if len(pairs) + len(waits) > 200_000:
-                yield batch(pairs, waits)
-                pairs.clear()
-                waits.clear()
-        yield batch(pairs, waits)
+                    found = close(size[s:e].tolist(), vecs[s:e], percent)
+                else:
+                    tree = RTree(size[s:e].astype(np.int64), vecs[s:e], percent)
+                    found = ((i, j) for i in range(e - s - 1) for j in tree.search(i).tolist())
+                for i, j in found:
+                    x, y = int(ids[s + i]), int(ids[s + j])
+                    if (home[s + i] or home[s + j]) and forest.join(x, y):
+                        pairs.add((min(x, y), max(x, y)))
+            p = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
     return run
 
 
-def proposals(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """rows: key, id, n, vec, label, open. Rows (a, b, null, null) of pairs a < b and (null, null, key, id) of points left."""
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    rows = rows.join(stored(mixed), "key")
+def proposals(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: key, id, n, vec. Distinct pairs (a, b), a < b, that connect what the bound can't tell from a link."""
+    rows = rows.join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     blocks = F.ceil(F.col("m") / HOT).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pair = lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))
     places = F.flatten(F.transform(F.array(band, band + 1), lambda at: F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.struct(at.alias("band"), pair(i).alias("pair")).alias("part"), (at == band).alias("home")))))
     whole = F.array(F.struct(F.struct(F.lit(-1).alias("band"), F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")).alias("pair")).alias("part"), F.lit(True).alias("home")))
-    placed = rows.select("key", "id", "n", "vec", "label", "open", F.explode(F.when(F.col("m") > HOT, places).otherwise(whole)).alias("p"))
-    placed = placed.select("key", F.xxhash64("p.part").alias("part"), "id", "n", "vec", "label", "open", F.col("p.home").alias("home"))
-    return placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id").mapInArrow(_propose(percent, every), "a long, b long, key long, id long")
+    placed = rows.select("key", "id", "n", "vec", F.explode(F.when(F.col("m") > HOT, places).otherwise(whole)).alias("p"))
+    placed = placed.select("key", F.xxhash64("p.part").alias("part"), "id", "n", "vec", F.col("p.home").alias("home"))
+    return placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id").mapInArrow(_propose(percent), "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]):
+    """For each set the sizes of its intersections with all sets, by the sets that hold each of its members."""
+    who = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
+    flat = np.concatenate(sets)
+    by = np.argsort(flat, kind="stable")
+    name = np.cumsum(np.append(False, flat[by][1:] != flat[by][:-1]))
+    place = np.empty(len(flat), np.int64)
+    place[by] = name
+    holders, first = who[by], np.searchsorted(name, np.arange(name[-1] + 2))
+    at = 0
+    for u in sets:
+        mine = place[at : at + len(u)]
+        at += len(u)
+        start, many = first[mine], first[mine + 1] - first[mine]
+        yield np.bincount(holders[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)], minlength=len(sets))
 
 
 def _verify(n_words: int, percent: int):
-    """Links of the pairs (a, b) in sorted runs of group; the texts of their ids come first in each run."""
+    """A spanning forest of the links among the texts of each run of group, on whole sets."""
 
     def run(batches):
         for t, bounds in runs(batches, "group"):
-            a, b, texts = t.column("a").to_pylist(), t.column("b").to_pylist(), as_bytes(t.column("text").combine_chunks())
-            out = []
+            ids, texts, out = t.column("id").to_pylist(), as_bytes(t.column("text").combine_chunks()), []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                split = next((k for k in range(s, e) if b[k] is not None), e)
-                sets = {}
-                for lo, part in chunks(texts[s:split]):
-                    sets.update(zip(a[s + lo : s + lo + len(part)], shingle_sets(part, n_words), strict=True))
-                for k in range(split, e):
-                    u, v = sets[a[k]], sets[b[k]]
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    if 100 * both >= percent * (len(u) + len(v) - both):
-                        out.append((a[k], b[k]))
+                sets = [u for _, part in chunks(texts[s:e]) for u in shingle_sets(part, n_words)]
+                size, forest = np.array([len(u) for u in sets]), Forest()
+                for i, both in enumerate(overlaps(sets)):
+                    linked = np.flatnonzero((both > 0) & (100 * both >= percent * (size + size[i] - both)))
+                    out += [(ids[s + i], ids[s + j]) for j in linked.tolist() if j > i and forest.join(ids[s + i], ids[s + j])]
             rows = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
@@ -219,19 +226,15 @@ def _verify(n_words: int, percent: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs that link. docs: doc_id, text. Pairs meet the texts by cluster of candidates, so that a text goes once to
-    each group, not to each pair; a cluster of over CLUSTER texts is dealt into buckets whose pairs are the groups."""
+    """Links (a, b) that connect all that link. docs: doc_id, text. Links can only join texts of one cluster of proposals, so
+    each cluster's texts meet in one group, once; a cluster of over CLUSTER texts is dealt into buckets whose pairs are the groups."""
     cluster = components(pairs)
     cluster = stored(cluster.join(cluster.groupBy("component_id").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("k")), "component_id"))
-    one = cluster.select("id", F.col("component_id").alias("c"), F.pmod(F.xxhash64("id"), F.col("k")).alias("bucket"))
-    two = one.select(F.col("id").alias("b"), F.col("bucket").alias("other"))
-    met = pairs.join(one.withColumnRenamed("id", "a"), "a").join(two, "b")
-    met = stored(met.select("a", "b", F.xxhash64("c", F.least("bucket", "other"), F.greatest("bucket", "other")).alias("group")))
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.xxhash64("component_id", F.least(i, own), F.greatest(i, own)))
     texts = texts_of(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), cluster.select("id"))
-    wanted = met.select("group", F.col("a").alias("id")).union(met.select("group", "b")).distinct()
-    got = wanted.join(texts, "id").select("group", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    both = got.unionByName(met.select("group", "a", "b", F.lit(None).cast("string").alias("text")))
-    return both.repartition("group").sortWithinPartitions("group", F.asc_nulls_first("b"), "a").mapInArrow(_verify(n_words, percent), "a long, b long").distinct()
+    got = cluster.select("id", F.explode(places).alias("group")).join(texts, "id").select("group", "id", "text")
+    return got.repartition("group").sortWithinPartitions("group", "id").mapInArrow(_verify(n_words, percent), "a long, b long").where("a <> b").distinct()
 
 
 def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
@@ -247,14 +250,7 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
     rows = keys.select("key", "doc_id").join(shared, "key").join(member, "doc_id", "left").select("key", F.coalesce("cid", "doc_id").alias("doc_id")).distinct()
     rows = stored(rows.join(known.select("doc_id", "n", "vec").dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("doc_id").alias("id"), "n", "vec"))
 
-    first = stored(proposals(rows.withColumns({"label": F.col("id"), "open": F.lit(True)}), percent, every=False))
-    pairs = stored(first.where("a IS NOT NULL").select("a", "b").distinct())
-    links = stored(verified(pairs, docs, n_words, percent))
-    left = stored(first.where("key IS NOT NULL").select("key", "id").distinct().withColumn("open", F.lit(True)))
-    again = rows.join(left.select("key").distinct(), "key", "left_semi").join(left, ["key", "id"], "left").join(components(links), "id", "left")
-    again = again.select("key", "id", "n", "vec", F.coalesce("component_id", "id").alias("label"), F.coalesce("open", F.lit(False)).alias("open"))
-    second = stored(proposals(stored(again), percent, every=True).select("a", "b").distinct())
-    links = links.union(stored(verified(stored(second.join(pairs, ["a", "b"], "left_anti")), docs, n_words, percent)))
+    links = stored(verified(stored(proposals(rows, percent)), docs, n_words, percent))
 
     group = components(links.union(member.select(F.col("doc_id").alias("a"), F.col("cid").alias("b")))).withColumnRenamed("id", "doc_id")
     return marks.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(group, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
