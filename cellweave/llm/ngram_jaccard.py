@@ -176,10 +176,15 @@ def _propose(percent: int):
     return run
 
 
+def size_band(percent: int):
+    """Sets that can link are of one band or of neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+
+
 def proposals(rows: DataFrame, percent: int) -> DataFrame:
     """rows: key, id, n, vec. Distinct pairs (a, b), a < b, that connect what the bound can't tell from a link."""
     rows = rows.join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    band = size_band(percent)
     blocks = F.ceil(F.col("m") / HOT).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pair = lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))
@@ -248,6 +253,10 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
     keys = known.select(F.explode("keys").alias("key"), "doc_id", F.xxhash64("mark").alias("m"))
     shared = stored(keys.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("key"))
     rows = keys.select("key", "doc_id").join(shared, "key").join(member, "doc_id", "left").select("key", F.coalesce("cid", "doc_id").alias("doc_id")).distinct()
+    rows = stored(rows.join(known.select("doc_id", "n").dropDuplicates(["doc_id"]), "doc_id"))
+    cells = rows.select("key", "doc_id", F.explode(F.array(size_band(percent), size_band(percent) + 1)).alias("band"))
+    near = stored(cells.groupBy("key", "band").agg(F.count("*").alias("m")).where("m > 1").select("key", "band"))
+    rows = cells.join(near, ["key", "band"]).select("key", "doc_id").distinct()  # others share the hash with no set of like size
     rows = stored(rows.join(known.select("doc_id", "n", "vec").dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("doc_id").alias("id"), "n", "vec"))
 
     links = stored(verified(stored(proposals(rows, percent)), docs, n_words, percent))
