@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 400_000  # units a task remembers
+BATCH = 2_000_000  # characters indexed at once
 PAIRS = 1 << 21  # slots for pairs of pieces that a task remembers
 
 
@@ -277,7 +278,7 @@ def _encode(shared):
             lo = size = 0
             for i, t in enumerate(texts):
                 size += len(t or "")
-                if size < 4_000_000 and i < len(texts) - 1:
+                if size < BATCH and i < len(texts) - 1:
                     continue
                 part = texts[lo : i + 1]
                 ids = m.encode([t or "" for t in part])
