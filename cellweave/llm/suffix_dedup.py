@@ -10,8 +10,10 @@
    repeat can begin: those whose window is met again and whose occurrences differ in what stands to the left. A scan with a stack
    walks the array's common-prefix intervals; an interval of at least ``least`` bytes whose occurrences have diverse left
    extensions is a maximal repeat group and is put out with all its occurrences.
-   An anchor of over HOT distinct contexts is dealt by two longer strings, one of which each window around it must hold.
-4. Spans of both kinds are merged a text at a time, and the covered bytes are removed.
+4. An anchor of over HOT distinct contexts isn't dealt. The windows whose anchor it is are exploded as hashes, those met in two
+   places are found by partial aggregation, and a context's spans from its first to its last such window, all of which hold
+   the anchor. Windows whose longer half around the anchor is met once are left out before.
+5. Spans of all kinds are merged a text at a time, and the covered bytes are removed.
 
 Bytes are those of UTF-8. Defined results: null and empty texts have no bytes and no spans; texts under ``least`` bytes are kept
 whole; equal rows are occurrences of each other. Rows are told apart by a 64-bit hash of id and text. Only these two columns are read.
@@ -27,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import stored, texts_of
-from cellweave.llm.shingles import as_bytes, chunks, powers, runs
+from cellweave.llm.common import BITMAP, bitmap, stored, texts_of
+from cellweave.llm.shingles import as_bytes, chunks, mix, powers, runs
 
 GRAM = 64  # bytes of an anchor, a power of two
 HOT = 4096
@@ -36,8 +38,8 @@ BATCH = 1 << 20  # bytes of contexts in one suffix array, but for a longer run o
 VALUE = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def anchors(texts: list[bytes], least: int) -> list[np.ndarray]:
-    """Each text's anchor positions."""
+def window_anchors(texts: list[bytes], least: int) -> list[np.ndarray]:
+    """The anchor position of each of a text's windows."""
     reach = least - GRAM + 1
     sizes = np.array([len(t) for t in texts])
     starts = np.cumsum(sizes) - sizes
@@ -58,11 +60,15 @@ def anchors(texts: list[bytes], least: int) -> list[np.ndarray]:
     first = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
     out = []
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        at = first[s : s + n - least + 1] if n >= least else first[:0]
-        out.append(at[np.append(True, at[1:] != at[:-1])] - s if len(at) else at)
+        out.append(first[s : s + n - least + 1] - s if n >= least else first[:0])
     return out
 
 
+def anchors(texts: list[bytes], least: int) -> list[np.ndarray]:
+    """Each text's anchor positions."""
+    return [at[np.append(True, at[1:] != at[:-1])] if len(at) else at for at in window_anchors(texts, least)]
+
+
 def _anchors(least: int):
     reach = least - GRAM
 
@@ -85,29 +91,81 @@ def _anchors(least: int):
 
 
 def _contexts(least: int):
-    """Rows (deal, id, at, bytes): the context of each wanted position; a hot anchor's is dealt by its two longer strings."""
+    """Rows (deal, id, at, bytes): the context of each wanted position."""
     reach = least - GRAM
-    half = reach // 2
 
     def run(batches):
         for b in batches:
             ids, texts, wants = b.column("id").to_numpy(), as_bytes(b.column("text")), b.column("wants").to_pylist()
             deal, key, at, cut = [], [], [], []
+            for i, t, want in zip(ids.tolist(), texts, wants, strict=True):
+                for w in want:
+                    s = max(0, w["pos"] - reach)
+                    deal.append(w["gram"])
+                    key.append(i)
+                    at.append(s)
+                    cut.append(t[s : w["pos"] + GRAM + reach])
+            yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(cut, pa.binary())], ["deal", "id", "at", "bytes"])
+
+    return run
+
+
+def _halves(least: int):
+    """Rows (id, pos, at, bytes, l, r): the context of each wanted position, and hashes of its two longer strings, one of which each
+    window around the anchor must hold; null where the text ends before."""
+    reach = least - GRAM
+    half = reach // 2
+
+    def run(batches):
+        for b in batches:
+            ids, texts, wants = b.column("id").to_numpy(), as_bytes(b.column("text")), b.column("wants").to_pylist()
+            key, pos, at, cut, left, right = [], [], [], [], [], []
             for i, t, want in zip(ids.tolist(), texts, wants, strict=True):
                 for w in want:
                     p = w["pos"]
                     s = max(0, p - reach)
-                    if not w["hot"]:
-                        places = [w["gram"]]
-                    else:
-                        parts = ([b"l" + t[p - half : p + GRAM]] if p >= half else []) + ([b"r" + t[p : p + GRAM + half]] if p + GRAM + half <= len(t) else [])
-                        places = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in parts]
-                    for d in places:
-                        deal.append(d)
-                        key.append(i)
-                        at.append(s)
-                        cut.append(t[s : p + GRAM + reach])
-            yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(cut, pa.binary())], ["deal", "id", "at", "bytes"])
+                    key.append(i)
+                    pos.append(p)
+                    at.append(s)
+                    cut.append(t[s : p + GRAM + reach])
+                    left.append(xxhash.xxh3_64_intdigest(t[p - half : p + GRAM], 1) - 2**63 if p >= half else None)
+                    right.append(xxhash.xxh3_64_intdigest(t[p : p + GRAM + half], 2) - 2**63 if p + GRAM + half <= len(t) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(at, pa.int32()), pa.array(cut, pa.binary()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "pos", "at", "bytes", "l", "r"])
+
+    return run
+
+
+def _windows(least: int, bits: np.ndarray):
+    """Rows (window, id, pos, start): the hashes of the windows whose anchor is at pos, without those that no other place can hold."""
+    half = (least - GRAM) // 2
+
+    def run(batches):
+        set_ = np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+        for b in batches:
+            ids, cuts = b.column("id").to_numpy(), as_bytes(b.column("bytes"))
+            pos, at = b.column("pos").to_numpy(), b.column("at").to_numpy()
+            left, right = (set_[b.column(c).to_numpy()] for c in ("l_at", "r_at"))
+            for lo, part in chunks(cuts, 1 << 19):
+                sizes = np.array([len(c) for c in part])
+                begin = np.cumsum(sizes) - sizes
+                buf = np.frombuffer(b"".join(part), np.uint8)
+                up, down = powers(len(buf) + 1)
+                total = np.zeros(len(buf) + 1, np.uint64)
+                np.cumsum(VALUE[buf] * up[:-1], out=total[1:])
+                row, start = [], []
+                for k, first in enumerate(window_anchors(part, least)):
+                    anchor = int(pos[lo + k] - at[lo + k])
+                    j = np.flatnonzero(first == anchor)
+                    if not left[lo + k]:
+                        j = j[anchor - j < half]
+                    if not right[lo + k]:
+                        j = j[j + least - anchor - GRAM < half]
+                    row.append(np.full(len(j), k))
+                    start.append(j)
+                row, start = np.concatenate(row), np.concatenate(start)
+                p = begin[row] + start
+                window = mix((total[p + least] - total[p]) * down[p]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(ids[lo + row]), pa.array(pos[lo + row]), pa.array((at[lo + row] + start).astype(np.int32))], ["window", "id", "pos", "start"])
 
     return run
 
@@ -196,9 +254,27 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), text).alias("id"), F.col(id_col).alias("doc"), text.alias("text"))
 
 
+def _wants(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    wants = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram")).alias("wants"))  # a text's anchors at most
+    return texts_of(rows, wanted.select("id")).join(wants, "id")
+
+
+def repeated_windows(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """rows: id, text; wanted: id, pos, gram of distinct contexts. Rows (key, start, end): what a context's windows that are met in
+    two places cover, of the windows whose anchor is at pos."""
+    near = stored(_wants(rows, wanted).mapInArrow(_halves(least), "id long, pos int, at int, bytes binary, l long, r long"))
+    halves = near.select(F.explode(F.array("l", "r")).alias("id")).where("id IS NOT NULL")
+    bits = bitmap(halves.groupBy("id").agg(F.count("*").alias("m")).where("m > 1"), BITMAP)
+    at = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(0))), F.lit(BITMAP)).cast("int")  # noqa: E731  no window needs a half that isn't there
+    windows = near.select("id", "pos", "at", "bytes", at("l").alias("l_at"), at("r").alias("r_at")).mapInArrow(_windows(least, bits), "window long, id long, pos int, start int")
+    windows = stored(windows)
+    met = stored(windows.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window"))
+    return windows.join(met, "window").groupBy(F.col("id").alias("key"), "pos").agg(F.min("start").alias("start"), (F.max("start") + least).alias("end")).select("key", "start", "end")
+
+
 def spans(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """rows: id, text. (covered, groups): contexts (key, start, end) met as a whole at least twice, and the maximal
-    repeats (group, key, start, end) around contexts that aren't."""
+    repeats (group, key, start, end) around contexts that aren't; of hot anchors what their repeated windows cover is in covered."""
     reach = least - GRAM
     found = stored(rows.select("id", "text").mapInArrow(_anchors(least), "key long, n int, pos int, gram long, context long"))
     shared = stored(found.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"))
@@ -208,10 +284,10 @@ def spans(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     covered = whole.select("key", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), F.least(F.col("pos") + GRAM + reach, F.col("n")).alias("end"))
     mixed = stored(classes.groupBy("gram").agg(F.min("m").alias("lo"), F.count("*").alias("d")).where("lo = 1 AND d > 1").select("gram", (F.col("d") > HOT).alias("hot")))
     wanted = stored(classes.join(mixed, "gram").select(F.col("one.key").alias("id"), F.col("one.pos").alias("pos"), "gram", "hot"))
-    wants = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("wants"))  # a text's anchors at most
-    cuts = texts_of(rows, wanted.select("id")).join(wants, "id").mapInArrow(_contexts(least), "deal long, id long, at int, bytes binary")
+    cuts = _wants(rows, wanted.where("NOT hot")).mapInArrow(_contexts(least), "deal long, id long, at int, bytes binary")
     groups = cuts.repartition("deal").sortWithinPartitions("deal", "id", "at").mapInArrow(_repeats(least), "group long, key long, start int, end int")
-    return covered, groups
+    hot = wanted.where("hot")
+    return (covered if hot.isEmpty() else covered.union(repeated_windows(rows, hot, least))), groups
 
 
 def _remove(batches):

@@ -187,6 +187,17 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
         assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_suffix_dedup_deals_no_hot_group(spark, monkeypatch):
+    passage = prose(40)[:300]
+    rows = [(i, f"{prose(25)} {passage} {prose(25)}") for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    covered, groups = suffix_dedup.spans(suffix_dedup.keyed(table(spark, rows), "doc_id", "text"), 200)
+    assert all(n <= 8 for (n,) in groups.groupBy("group").count().select("count").collect()) and covered.select("key").distinct().count() == 60
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()}
+    for i, t in rows:
+        assert (got[i].n_spans, passage.encode() in got[i].kept) == (1, False) and got[i].n_removed >= 300
+
+
 def test_maximal_repeats_lists_all_occurrences():
     a, b = prose(60).encode(), prose(60).encode()
     cuts = [b"1" + a + b"x", b"2" + a + b"y" + b, b"3" + a[:250] + b"z"]
