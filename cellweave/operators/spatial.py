@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions import scalars as S
+from cellweave.sources.scratch import stored
 
 CELL = 16.0  # side of a grid cell
 
@@ -61,16 +62,20 @@ def nearest_points(sites: DataFrame, points: DataFrame, point: str, most: float)
 
 
 def tile_ownership(polygons: DataFrame, tiles: DataFrame, id_col: str) -> DataFrame:
-    """Rows (id_col, tile_id): the tile whose centre is nearest to the polygon, the least on ties. tiles are few and sized by
-    the slide, but no bound is proved: the pairs come from cells of twice a tile's side."""
+    """Rows (id_col, tile_id): the tile whose centre is nearest to the polygon, the least on ties. The pairs come from neighbouring cells
+    of a tile's side; a polygon without a centre there that is surely nearest meets every tile, which are few and sized by the slide."""
     side = float(tiles.agg(F.max(F.col("x2") - F.col("x1"))).first()[0])
     centers = tiles.select("tile_id", ((F.col("x1") + F.col("x2")) / 2).alias("tx"), ((F.col("y1") + F.col("y2")) / 2).alias("ty"))
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side) + 1))
     b = S.ring_bounds(F.col("ring"))
-    at = polygons.select(id_col, "ring", F.floor(b["xmin"] / side).alias("_gx"), F.floor(b["ymin"] / side).alias("_gy"))
+    extent = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])  # a centre of another cell is farther than side - extent
+    at = polygons.select(id_col, "ring", extent.alias("_extent"), F.floor(b["xmin"] / side).alias("_gx"), F.floor(b["ymin"] / side).alias("_gy"))
     met = at.join(centers.withColumn("_gx", around("tx")).withColumn("_gy", around("ty")), ["_gx", "_gy"])
     d = S.ring_distance(F.col("ring"), F.col("tx"), F.col("ty"))
-    return met.groupBy(id_col).agg(F.min(F.struct(F.round(d, 9).alias("d"), "tile_id")).alias("_b")).select(id_col, F.col("_b.tile_id").alias("tile_id"))
+    best = F.min(F.struct(F.round(d, 9).alias("d"), "tile_id")).alias("_b")
+    near = stored(met.groupBy(id_col).agg(best, F.max("_extent").alias("_extent")).where(F.col("_b.d") < side - F.col("_extent")).select(id_col, F.col("_b.tile_id").alias("tile_id")))
+    far = polygons.select(id_col, "ring").join(near, id_col, "left_anti").crossJoin(F.broadcast(centers))
+    return near.unionByName(far.groupBy(id_col).agg(best).select(id_col, F.col("_b.tile_id").alias("tile_id")))
 
 
 def pixel_overlaps(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFrame:

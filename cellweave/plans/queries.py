@@ -33,6 +33,10 @@ class Tables:
     def size(self) -> tuple[int, int]:
         return 160, int(self.slide.first()[0]) * 20
 
+    def slide_size(self) -> tuple[int, int]:
+        """Of transcripts and nuclei: 40 columns of 20; size() is that of the pixels table."""
+        return 800, self.size()[1]
+
     def polygons(self, name: str, key: str) -> DataFrame:
         return io.assemble_polygons(getattr(self, name), key)
 
@@ -297,23 +301,51 @@ def split_tiles(t):
     return grid.split_tiles(tiles_of(t), 5)
 
 
+def slide_tiles_of(t) -> DataFrame:
+    """Tiles of the whole slide; those of tiles_of() cover the pixels table's strip, as the statements do."""
+    return grid.tile_grid(t.spark, *t.slide_size(), 64, 0.2)
+
+
 @query(f"WITH {TILES} SELECT transcript_id, tile_id FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2")
 def points_to_tiles(t):
     return grid.points_to_tiles(t.tx, tiles_of(t), 64, "x_location", "y_location").select("transcript_id", "tile_id")
 
 
+@query(None)
+def points_to_slide_tiles(t):
+    return grid.points_to_tiles(t.tx, slide_tiles_of(t), 64, "x_location", "y_location").select("transcript_id", "tile_id")
+
+
 @query(f"WITH {TILES} SELECT CAST(tile_id AS INTEGER) AS tile_id, count(*) AS n FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2 GROUP BY 1")
 def write_transcript_tiles(t):
+    return _written_transcripts(t, tiles_of(t))
+
+
+@query(None)
+def write_transcript_slide_tiles(t):
+    return _written_transcripts(t, slide_tiles_of(t))
+
+
+def _written_transcripts(t, tiles):
     path = scratch(t.spark)
-    io.write_transcript_tiles(t.tx.select("transcript_id", "x_location", "y_location"), tiles_of(t), path, 64)
+    io.write_transcript_tiles(t.tx.select("transcript_id", "x_location", "y_location"), tiles, path, 64)
     files = t.spark.read.option("recursiveFileLookup", True).parquet(path)
     return files.select(io.tile_id_of_path().alias("tile_id")).groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TILES} SELECT tile_id, cell_id, count(*) AS n FROM {{nucleus_vertices}} JOIN tiles ON vertex_x >= x1 AND vertex_x < x2 AND vertex_y >= y1 AND vertex_y < y2 GROUP BY ALL")
 def write_nuclei_tiles(t):
+    return _written_nuclei(t, tiles_of(t))
+
+
+@query(None)
+def write_nuclei_slide_tiles(t):
+    return _written_nuclei(t, slide_tiles_of(t))
+
+
+def _written_nuclei(t, tiles):
     path = scratch(t.spark)
-    grid.points_to_tiles(t.nucleus_vertices, tiles_of(t), 64, "vertex_x", "vertex_y").write.partitionBy("tile_id").parquet(path)
+    grid.points_to_tiles(t.nucleus_vertices, tiles, 64, "vertex_x", "vertex_y").write.partitionBy("tile_id").parquet(path)
     return t.spark.read.parquet(path).groupBy(F.col("tile_id").cast("long").alias("tile_id"), "cell_id").agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ from cellweave.functions import scalars as S
 from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
 from cellweave.plans.queries import (
     _A, _DIST, _HARD, _J, _JOINED, _PROBS, CELL_COUNTS, NUCLEUS, PX, TILES, _cell_counts, _encoded, _judged, _members, _memberships, _soft, _start, _with_pred,
-    edges_sql, inside_sql, query, r6, tiles_of,
+    edges_sql, inside_sql, query, r6, slide_tiles_of, tiles_of,
 )
 from cellweave.sources import io
 from cellweave.sources.scratch import scratch, stored
@@ -108,6 +108,11 @@ def tile_ownership(t):
     return spatial.tile_ownership(on_slide, tiles_of(t), "cell_id")
 
 
+@query(None)
+def slide_tile_ownership(t):
+    return spatial.tile_ownership(t.polygons("nucleus_vertices", "cell_id"), slide_tiles_of(t), "cell_id")
+
+
 _CHUNKS = "cx0 AS (SELECT unnest(generate_series(0, 700, 100)) AS s), cy0 AS (SELECT unnest(generate_series(0, CAST(ceil(n_rows*20/100.0E0) AS BIGINT)*100 - 100, 100)) AS s FROM {slide}), tiles AS (SELECT row_number() OVER (ORDER BY a.s, b.s) - 1 AS tile_id, a.s AS x1, b.s AS y1, a.s + 100 AS x2, b.s + 100 AS y2 FROM cx0 a CROSS JOIN cy0 b)"
 
 
@@ -460,9 +465,18 @@ def job_comparison_layers(t):
 
 @query(f"WITH {TILES} SELECT tile_id, count(*) AS transcripts FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2 GROUP BY tile_id")
 def job_tile_slide(t):
+    return _tiled(t, tiles_of(t))
+
+
+@query(None)
+def job_tile_whole_slide(t):
+    return _tiled(t, slide_tiles_of(t))
+
+
+def _tiled(t, tiles):
     path = scratch(t.spark)
-    io.write_transcript_tiles(t.tx.select("transcript_id", "x_location", "y_location"), tiles_of(t), f"{path}/transcripts", 64)
-    io.write_transcript_tiles(t.nucleus_vertices.select("cell_id", F.col("vertex_x").alias("x_location"), F.col("vertex_y").alias("y_location")), tiles_of(t), f"{path}/nuclei", 64)
+    io.write_transcript_tiles(t.tx.select("transcript_id", "x_location", "y_location"), tiles, f"{path}/transcripts", 64)
+    io.write_transcript_tiles(t.nucleus_vertices.select("cell_id", F.col("vertex_x").alias("x_location"), F.col("vertex_y").alias("y_location")), tiles, f"{path}/nuclei", 64)
     return t.spark.read.parquet(f"{path}/transcripts").groupBy(F.col("tile_id").cast("long").alias("tile_id")).agg(F.count("*").alias("transcripts"))
 
 

@@ -162,3 +162,10 @@ def test_tile_ownership_keeps_one_owner(spark):
     tiles = grid.tile_grid(spark, 20, 20, 10, 0.5)
     p = polygons(spark, [(0, box(4, 4, 6, 6)), (1, box(14, 14, 16, 16))])
     assert rows(spatial.tile_ownership(p, tiles, "segment_id")) == [(0, 0), (1, 8)]
+
+
+def test_tile_ownership_of_far_and_wide_polygons(spark):
+    box = lambda x, y, w, h: [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    polygons = spark.createDataFrame([(1, box(500, 10, 2, 2)), (2, box(1, 1, 2, 2)), (3, box(-150, 9, 205, 2))], "id long, ring array<struct<x double, y double>>")
+    tiles = spark.createDataFrame([(0, 0, 0, 10, 10), (1, 10, 0, 20, 10), (2, 50, 0, 60, 10)], "tile_id long, x1 long, y1 long, x2 long, y2 long")
+    assert {r.id: r.tile_id for r in spatial.tile_ownership(polygons, tiles, "id").collect()} == {1: 2, 2: 0, 3: 0}
