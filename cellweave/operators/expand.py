@@ -15,6 +15,7 @@ from cellweave.operators.celltypes import confidence_trace
 from cellweave.operators.grid import dictionary, surrounded
 from cellweave.sources.scratch import stored
 
+STEPS = 15  # the most steps of growth
 DIAGONALS = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
@@ -58,9 +59,11 @@ def filled(labels: DataFrame) -> DataFrame:
 
 
 def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, on_step: Callable[[int, DataFrame], None] | None = None, exclude: Callable[[int, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Rows (x, y, label) after `steps` steps. exclude(step, labels) may give ids (label) that stop growing."""
+    """Rows (x, y, label) after `steps` steps, or once a step changes no pixel. exclude(step, labels) may give ids (label) that
+    stop growing, and at a later step no fewer of them. The first step looks less far than the others, so it never is the last."""
     grid = stored(with_targets(pixels, width, height).drop("label"))
     labels = stored(pixels.select("x", "y", "label"))
+    left = labels.where("label = -1").count()  # a step changes only open pixels, and leaves none that it changes open
     for step in range(steps):
         after = expand_step(grid, labels, width, height, step == 0, threshold)
         if exclude is not None:
@@ -70,6 +73,9 @@ def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, thr
         labels = stored(after)
         if on_step is not None:
             on_step(step, labels)
+        before, left = left, labels.where("label = -1").count()
+        if step and left == before:
+            break
     return labels
 
 

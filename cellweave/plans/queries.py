@@ -578,6 +578,14 @@ def fit_celltypes(t):
     return profiles.select("celltype", "gene_id", r6(F.col("prob")).alias("prob"))
 
 
+@query(None)
+def fit_celltypes_whole(t):
+    """To the tolerance, in 100 steps at most."""
+    n, genes = _cell_counts(t)
+    profiles, _ = celltypes.fit(n, genes, *_start(t))
+    return profiles.select("celltype", "gene_id", r6(F.col("prob")).alias("prob"))
+
+
 @query(f"WITH {_LP}, ll AS (SELECT cell, max(mj) + ln(sum(exp(j - mj))) AS ll FROM (SELECT *, max(j) OVER (PARTITION BY cell) AS mj FROM jn) GROUP BY cell) SELECT round(sum(ll), 3) AS loglik, round(2*143 - 2*sum(ll), 3) AS aic, round(143*ln(count(*)) - 2*sum(ll), 3) AS bic FROM ll")
 def model_scores(t):
     return celltypes.model_scores(_cell_counts(t)[0], *_start(t)).select(*[F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic")])
@@ -702,6 +710,11 @@ def greedy_expansion(t):
     return expand.greedy_expansion(_with_pred(t), *t.size(), 3)
 
 
+@query(None)
+def greedy_expansion_whole(t):
+    return expand.greedy_expansion(_with_pred(t), *t.size(), expand.STEPS)
+
+
 @query("SELECT label AS segment_id, count(*) AS area FROM {pixels} WHERE label > 0 GROUP BY label")
 def polygonize(t):
     """Areas of the chained outlines, which equal the pixel counts."""

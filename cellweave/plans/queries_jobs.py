@@ -414,7 +414,7 @@ def flow_components(t):
 
 @query(None)
 def cull_empty_pixels(t):
-    grown = expand.greedy_expansion(_with_pred(t), *t.size(), 2)
+    grown = expand.greedy_expansion(_with_pred(t), *t.size(), expand.STEPS)
     tx = t.tx.select(F.floor("x_location").alias("x"), F.floor("y_location").alias("y"))
     return expand.cull_empty_pixels(grown, tx, t.pixels.where("label > 0").select("x", "y"))
 
@@ -483,7 +483,7 @@ def _tiled(t, tiles):
 @query(None)
 def job_segment(t):
     """Grow segments, outline them, count their genes and type them."""
-    labels = stored(expand.greedy_expansion(_with_pred(t), *t.size(), 3))
+    labels = expand.greedy_expansion(_with_pred(t), *t.size(), expand.STEPS)
     segments = labels.where("label > 0").select("x", "y", F.col("label").alias("segment_id"))
     rings = shapes.chained(shapes.boundary_edges(segments)).groupBy("segment_id").agg(F.count("*").alias("rings"))
     px, _ = _encoded(t)

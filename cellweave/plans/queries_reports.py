@@ -39,7 +39,7 @@ def confidence_trace(t):
 @query(None)
 def expand_early_stop(t):
     px, _ = _encoded(t)
-    return expand.early_stopped(_with_pred(t), px, *_start(t), *t.size(), 2)
+    return expand.early_stopped(_with_pred(t), px, *_start(t), *t.size(), expand.STEPS)
 
 
 _RAY = f"""{NUCLEUS}, r AS (SELECT x, y, x + 0.5E0 AS ox, y + 0.5E0 AS oy, cos(angle) AS dx, sin(angle) AS dy FROM {{pred}} JOIN {{pixels}} USING (x, y) WHERE label <= 0),

@@ -169,3 +169,43 @@ def test_tile_ownership_of_far_and_wide_polygons(spark):
     polygons = spark.createDataFrame([(1, box(500, 10, 2, 2)), (2, box(1, 1, 2, 2)), (3, box(-150, 9, 205, 2))], "id long, ring array<struct<x double, y double>>")
     tiles = spark.createDataFrame([(0, 0, 0, 10, 10), (1, 10, 0, 20, 10), (2, 50, 0, 60, 10)], "tile_id long, x1 long, y1 long, x2 long, y2 long")
     assert {r.id: r.tile_id for r in spatial.tile_ownership(polygons, tiles, "id").collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_growth_to_its_end_equals_brute_force(spark, monkeypatch):
+    from cellweave.plans import queries_jobs, queries_reports  # noqa: F401
+    from cellweave.plans.queries import QUERIES
+
+    width, height, toward = 24, 7, math.pi + 0.6
+    label = {(x, y): 5 if x < 3 and y < 4 else 0 if x > 20 else -1 for x in range(width) for y in range(height)}
+    angle = {p: toward if (p[0] + p[1]) % 5 else math.pi for p in label}
+    on = {p: 1.0 if (p[0] * 7 + p[1] * 3) % 11 else 0.2 for p in label}
+    df = spark.createDataFrame([(*p, label[p], angle[p], on[p]) for p in label], "x long, y long, label long, angle double, foreground double")
+    flow = {(r.x, r.y): ((r.fx, r.fy), (r.gx, r.gy)) for r in expand.with_targets(df, width, height).collect()}
+    want, ran, last = dict(label), 0, -1
+    for step in range(expand.STEPS):
+        now = dict(want)
+        for (x, y), v in want.items():
+            if v == -1 and on[x, y] >= 0.5:
+                f = want[flow[x, y][0]] if step == 0 else max(want[flow[x, y][0]], want[flow[x, y][1]])
+                corners = [(min(max(x + i, 0), width - 1), min(max(y + j, 0), height - 1)) for i, j in expand.DIAGONALS]
+                if f != -1 and f in [want[c] for c in corners]:
+                    now[x, y] = f
+        full = dict(now)
+        for (x, y), v in now.items():
+            around = {now.get((x + i, y + j)) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))}
+            if v == -1 and len(around) == 1 and (s := around.pop()) is not None and s > 0:
+                full[x, y] = s
+        ran, changed, want = step + 1, full != want, full
+        last = step + 1 if changed else last
+        if step and not changed:
+            break
+    steps = []
+    got = {(r.x, r.y): r.label for r in expand.greedy_expansion(df, width, height, expand.STEPS, on_step=lambda k, _: steps.append(k)).collect()}
+    assert got == want and len(steps) == ran and last > 3
+
+    asked = []
+    for name in ("greedy_expansion", "early_stopped"):
+        monkeypatch.setattr(expand, name, lambda *a, **k: asked.append(next(x for x in reversed(a) if isinstance(x, int))) or spark.createDataFrame([], "x long, y long, label long"))
+    for name in ("job_segment", "expand_early_stop", "cull_empty_pixels", "greedy_expansion_whole"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [15] * 4
