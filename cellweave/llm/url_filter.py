@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST = 63  # letters of a host's name, by the rules of host names; longer names are cut there
 BROADCAST = 200_000
 
 
@@ -54,8 +53,10 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
 def best_split(name: str, logs: dict[str, float], total: float) -> list[str]:
     """The likeliest words of name under a unigram model."""
     best, cut = [0.0], [0]
+    longest, letter, lead = max(map(len, logs), default=0), math.log(10), (-math.inf, 0)
     for e in range(1, len(name) + 1):
-        score, at = max((best[s] + logs.get(name[s:e], -math.log(max(total, 1.0)) - (e - s) * math.log(10)), s) for s in range(e))
+        lead = max(lead, (best[e - 1] + (e - 1) * letter, e - 1))  # where the best piece that is no word starts, whatever its end
+        score, at = max([(lead[0] - math.log(max(total, 1.0)) - e * letter, lead[1]), *((best[s] + logs[name[s:e]], s) for s in range(max(0, e - longest), e) if name[s:e] in logs)])
         best.append(score)
         cut.append(at)
     out, e = [], len(name)
@@ -77,9 +78,10 @@ def _split(total: float):
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """names: name. Rows (name, words) for the distinct names."""
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    cut = names.select(F.substr("name", F.lit(1), F.lit(LONGEST)).alias("name")).distinct()
-    spans = cut.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("s")).select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("s") + 1), lambda k: F.substr("name", F.col("s"), k))).alias("word")).distinct()
-    met = spans.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("met"))  # at most LONGEST squared words
+    longest = int(counts.agg(F.max(F.length("word"))).first()[0] or 1)  # longer substrings are no words
+    cut = names.select("name").distinct()
+    spans = cut.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("s")).select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name") - F.col("s") + 1, F.lit(longest))), lambda k: F.substr("name", F.col("s"), k))).alias("word")).distinct()
+    met = spans.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("met"))  # at most a name's length times the longest word's
     return cut.join(met, "name", "left").mapInArrow(_split(total), "name string, words array<string>")
 
 
@@ -88,7 +90,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col="page_id",
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("hit", ruled(F.col("host"), F.col("path"), rules))
     urls = stored(rows.select("host", "path", F.col("hit.verdict").alias("known")).groupBy("host", "path").agg(F.first("known").alias("known"), F.count("*").alias("n")))
-    named = urls.select("host").distinct().select("host", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("full")).where("full <> ''").withColumn("name", F.substr("full", F.lit(1), F.lit(LONGEST)))
+    named = urls.select("host").distinct().select("host", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("name")).where("name <> ''")
     split = segmented(named.select("name"), stored(word_counts(pages, html_col)))
     host_words = stored(named.join(split, "name").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words")))  # a host has few names
     tokens = F.transform(F.filter(F.split(F.lower("path"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(t).cast("string"))).otherwise(F.concat(F.lit("/"), t)))

@@ -280,6 +280,14 @@ def brute_links(vectors, cosine):
     return [(a, b) for a, b in combinations(unit, 2) if unit[a] @ unit[b] >= cosine]
 
 
+def test_url_segmentation_takes_whole_names(spark):
+    counts = spark.createDataFrame([("gold", 5), ("mine", 5), ("red", 2)], "word string, n long")
+    name = "goldmine" * 10 + "red"
+    got = url_filter.segmented(spark.createDataFrame([(name,), ("goldxyred",)], "name string"), counts).collect()
+    assert {r["name"]: r["words"] for r in got} == {name: ["gold", "mine"] * 10 + ["red"], "goldxyred": ["gold", "xy", "red"]}
+    assert "".join(url_filter.best_split("q" * 20000, {}, 12.0)) == "q" * 20000
+
+
 def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
     monkeypatch.setattr(embedding_dedup, "LEAF", 8)
