@@ -6,22 +6,30 @@ A document's set holds the distinct hashes of its n-word shingles (64 bits); two
 1. ``signatures`` gives one row a document: the set's size, its 128-bit fingerprint, the count vector (shingle hashes dealt
    into a power-of-two number of groups, the groups' counts being the point's coordinates) and the set's prefix, its
    least hashes, of which linked sets must share one.
-2. Documents with equal sets become one class, kept by its least id. Prefix hashes met in at least two classes are found by
+2. Rows with equal sets become one class, kept by one row. Prefix hashes met in at least two classes are found by
    a partially aggregated count; the rows of these come back by a join whose hot keys Spark's skew join splits.
-3. Within each shared prefix hash the classes' points are packed, in order of size, into an R-tree. A search bounds the
-   overlap with a node by the summed minima of the query's and the node's upper coordinates, descends where the bound can
-   reach the threshold, and bounds each point in the same way. Prefix hashes of over ``HOT`` classes are cut by size band
-   and dealt into blocks whose pairs run as tasks of their own.
-4. Of the surviving pairs a task keeps a spanning forest of each tree, so groups of any size give a row a point at most. Links
-   can only stand inside the clusters these connect. A cluster's texts meet once (large clusters by pairs of buckets), where
-   surviving pairs are verified on the whole sets, and again a spanning forest of the links is put out.
+3. A prefix hash of at most ``SMALL`` classes is a single leaf: its pairs go out without vectors, and a pair's shared hashes are
+   counted. All that two sets share below the end of the shorter prefix is counted so, and beyond it lies a known number of hashes,
+   which bounds the overlap; pairs that stay get their count vectors, once a pair, and are bounded by the summed minima.
+4. Within each other shared prefix hash the classes' points are packed, in order of size, into an R-tree. A search bounds the
+   overlap with a node by the summed minima of the query's and the node's upper coordinates (an upper bound needs no lower
+   ones; the node's least size bounds the union), descends where the bound can reach the threshold, and bounds each point in
+   the same way. Prefix hashes of over ``HOT`` classes are cut by size band and dealt into blocks whose pairs run as tasks of
+   their own. Vectors are attached to rows of these hashes only, and only where a set of like size shares the hash.
+5. Of a tree's surviving pairs a task keeps a spanning forest, so groups of any size give a row a point at most. Links
+   can only stand inside the clusters that all these connect. A cluster's texts meet once (clusters that are large, by rows or by
+   shingles, by pairs of buckets), where surviving pairs are verified on the whole sets; links are counted for each row, and a
+   spanning forest of the links is put out.
+
+A pair that shares a hash of step 4 is met there, so step 3 need be exact only for pairs that share none.
 
 Texts are fetched for candidates only: a bitmap of the candidates' ids, of a fixed size, spares other texts the
 shuffle (when it is full it lets all pass, and the join still decides).
 
 Defined results: null and empty texts and texts without words have an empty set (n_shingles 0) and link with nothing.
-Ids are expected to be unique whole numbers; rows that share an id are one node; rows with a null id keep a null
-component. Only the id and text columns are read.
+Ids are whole numbers, unique in general. Rows that share an id are one document with several texts: it links if any of them does,
+and all get its component; n_shingles and n_links are each row's own. Rows with a null id keep a null component and link with
+nothing. Only the id and text columns are read, so other columns may have any name. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,14 +45,15 @@ from cellweave.llm.shingles import as_bytes, chunks, runs, shingle_sets
 
 PACK = 16  # entries of an R-tree node
 HOT = 1024
-SMALL = 8  # points of a run that need no tree
-CLUSTER = 1024  # candidates of a cluster that meet in one group
+SMALL = 8  # points of a run that is a single leaf, less than PACK
+CLUSTER = 512  # candidates of a cluster's bucket; two buckets meet in a group
+SHINGLES = 1 << 20  # shingles of a bucket, about
 
 
 def _signatures(n_words: int, percent: int):
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), as_bytes(b.column(1))
+            texts = as_bytes(b.column("text"))
             for lo, part in chunks(texts):
                 n, mark, vec, keys = [], [], [], []
                 for u in shingle_sets(part, n_words):
@@ -57,14 +66,18 @@ def _signatures(n_words: int, percent: int):
                     keys.append(u[: k - -(-percent * k // 100) + 1].view(np.int64) if k else u.view(np.int64))
                 at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(n, pa.int32()), pa.array(mark, pa.binary()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n", "mark", "vec", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, len(part)) for c in ("id", "doc_id")] + [pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "doc_id", "n", "mark", "vec", "keys"])
 
     return run
 
 
 def signatures(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """docs: doc_id, text. Rows (doc_id, n, mark, vec, keys)."""
-    return docs.mapInArrow(_signatures(n_words, percent), "doc_id long, n int, mark binary, vec binary, keys array<long>")
+    """docs: doc_id, text. Rows (id, doc_id, n, mark, vec, keys), id being a 64-bit hash of id and text: repeated rows share it."""
+    return keyed(docs).mapInArrow(_signatures(n_words, percent), "id long, doc_id long, n long, mark binary, vec binary, keys array<long>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("id"), "doc_id", "text")
 
 
 def folded(vec: bytes, n: int, groups: int) -> np.ndarray:
@@ -109,7 +122,8 @@ class RTree:
         for level in range(depth, -1, -1):
             bound = np.minimum(levels[level][found], query).sum(1)
             if level:
-                found = found[(100 + self.percent) * bound >= self.percent * 2 * n]
+                least = self.n[first + found * PACK**level]
+                found = found[(100 + self.percent) * bound >= self.percent * (n + least)]
                 found = (found[:, None] * PACK + np.arange(PACK)).ravel()
                 step = PACK ** (level - 1)
                 found = found[(found >= lo // step) & (found <= (hi - 1) // step)]
@@ -118,17 +132,21 @@ class RTree:
         return found + first
 
 
-def close(n: list[int], vecs: list[bytes], percent: int):
-    """Pairs of a few points, in order of size, whose overlap bound reaches the threshold."""
-    groups = [max(16, 1 << (k // 8).bit_length()) for k in n]
-    points = [folded(v, k, g) for v, k, g in zip(vecs, n, groups, strict=True)]
-    for i in range(len(n) - 1):
-        for j in range(i + 1, len(n)):
-            if percent * n[j] > 100 * n[i]:
-                break
-            other = points[j] if groups[j] == groups[i] else points[j].reshape(-1, groups[i]).sum(0)
-            if (100 + percent) * int(np.minimum(points[i], other).sum()) >= percent * (n[i] + n[j]):
-                yield i, j
+def close(n: tuple[int, int], vecs: tuple[bytes, bytes], percent: int) -> bool:
+    """Whether the overlap bound of two points reaches the threshold."""
+    groups = min(max(16, 1 << (k // 8).bit_length()) for k in n)
+    a, b = (folded(v, k, groups) for v, k in zip(vecs, n, strict=True))
+    return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * sum(n)
+
+
+def _close(percent: int):
+    def run(batches):
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("lo", "hi", "lo_vec", "hi_vec"))
+            keep = [close((lo, hi), (u, v), percent) for lo, hi, u, v in zip(*cols, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 class Forest:
@@ -161,12 +179,8 @@ def _propose(percent: int):
                 if e - s < 2:
                     continue
                 forest = Forest()
-                if e - s <= SMALL:
-                    found = close(size[s:e].tolist(), vecs[s:e], percent)
-                else:
-                    tree = RTree(size[s:e].astype(np.int64), vecs[s:e], percent)
-                    found = ((i, j) for i in range(e - s - 1) for j in tree.search(i).tolist())
-                for i, j in found:
+                tree = RTree(size[s:e].astype(np.int64), vecs[s:e], percent)
+                for i, j in ((i, j) for i in range(e - s - 1) for j in tree.search(i).tolist()):
                     x, y = int(ids[s + i]), int(ids[s + j])
                     if (home[s + i] or home[s + j]) and forest.join(x, y):
                         pairs.add((min(x, y), max(x, y)))
@@ -181,6 +195,24 @@ def size_band(percent: int):
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
 
 
+def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: key, id, n of prefix hashes that few classes share. Rows (a, b, lo, hi), sizes lo <= hi, of the pairs that share
+    enough of these hashes: beyond the end of the shorter prefix a set has at most ceil(percent * hi / 100) - 1 hashes."""
+    at = rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "id"))).alias("at"))  # at most SMALL
+    near = lambda x, i: F.filter(F.slice("at", i + 2, F.lit(SMALL)), lambda y: percent * y["n"] <= 100 * x["n"])
+    pair = F.flatten(F.transform("at", lambda x, i: F.transform(near(x, i), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("lo"), y["n"].alias("hi")))))
+    counted = at.select(F.explode(pair).alias("p")).select("p.*").groupBy("a", "b", "lo", "hi").agg(F.count("*").alias("c"))
+    overlap = F.col("c") + F.floor((percent * F.col("hi") + 99) / 100) - 1
+    return counted.where((100 + percent) * overlap >= percent * (F.col("lo") + F.col("hi"))).select("a", "b", "lo", "hi")
+
+
+def alike(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: key, id, n. Those that share their key with a set of like size, each once."""
+    cells = rows.select("key", "id", "n", F.explode(F.array(size_band(percent), size_band(percent) + 1)).alias("band"))
+    near = stored(cells.groupBy("key", "band").agg(F.count("*").alias("m")).where("m > 1").select("key", "band"))
+    return cells.join(near, ["key", "band"]).select("key", "id", "n").distinct()
+
+
 def proposals(rows: DataFrame, percent: int) -> DataFrame:
     """rows: key, id, n, vec. Distinct pairs (a, b), a < b, that connect what the bound can't tell from a link."""
     rows = rows.join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
@@ -213,53 +245,75 @@ def overlaps(sets: list[np.ndarray]):
 
 
 def _verify(n_words: int, percent: int):
-    """A spanning forest of the links among the texts of each run of group, on whole sets."""
+    """Rows (a, b, links) of each run of group, on whole sets: a spanning forest of the links (links 0), and for each text that has
+    any (a, a, links), the rows it links with. Of two buckets that meet only pairs across them are counted."""
 
     def run(batches):
         for t, bounds in runs(batches, "group"):
-            ids, texts, out = t.column("id").to_pylist(), as_bytes(t.column("text").combine_chunks()), []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                sets = [u for _, part in chunks(texts[s:e]) for u in shingle_sets(part, n_words)]
-                size, forest = np.array([len(u) for u in sets]), Forest()
+                part = t.slice(s, e - s)
+                ids, same, weight = (part.column(c).to_numpy() for c in ("id", "same", "w"))
+                bucket, texts = part.column("bucket").to_numpy(), as_bytes(part.column("text").combine_chunks())
+                sets, out, forest = [u for _, some in chunks(texts) for u in shingle_sets(some, n_words)], [], Forest()
+                size = np.array([len(u) for u in sets])
                 for i, both in enumerate(overlaps(sets)):
                     linked = np.flatnonzero((both > 0) & (100 * both >= percent * (size + size[i] - both)))
-                    out += [(ids[s + i], ids[s + j]) for j in linked.tolist() if j > i and forest.join(ids[s + i], ids[s + j])]
-            rows = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+                    linked = linked[linked != i]
+                    out += [(ids[i], ids[j], 0) for j in linked.tolist() if j > i and forest.join(ids[i], ids[j])]
+                    counts = linked if same[i] else linked[bucket[linked] != bucket[i]]
+                    if len(counts):
+                        out.append((ids[i], ids[i], weight[counts].sum()))
+                rows = np.array(out, np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "links"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that link. docs: doc_id, text. Links can only join texts of one cluster of proposals, so
-    each cluster's texts meet in one group, once; a cluster of over CLUSTER texts is dealt into buckets whose pairs are the groups."""
-    cluster = components(pairs)
-    cluster = stored(cluster.join(cluster.groupBy("component_id").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("k")), "component_id"))
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.xxhash64("component_id", F.least(i, own), F.greatest(i, own)))
-    texts = texts_of(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), cluster.select("id"))
-    got = cluster.select("id", F.explode(places).alias("group")).join(texts, "id").select("group", "id", "text")
-    return got.repartition("group").sortWithinPartitions("group", "id").mapInArrow(_verify(n_words, percent), "a long, b long").where("a <> b").distinct()
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Rows as of _verify. classes: id, n, w (rows of the class); docs: id, text. Links can only join texts of one cluster of proposals,
+    so each cluster's texts meet in one group, once; a large cluster is dealt into buckets whose pairs are the groups."""
+    cluster = components(pairs).join(classes, "id")
+    sums = cluster.groupBy("component_id").agg(F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("k"))
+    cluster = stored(cluster.join(sums, "component_id").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
+    own = F.col("bucket")
+    places = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.xxhash64("component_id", F.least(i, own), F.greatest(i, own)).alias("group"), (i == own).alias("same")))
+    texts = texts_of(docs, cluster.select("id")).dropDuplicates(["id"])  # rows that share an id are equal
+    got = cluster.join(texts, "id").select(F.explode(places).alias("p"), "id", "w", "bucket", "text").select("p.group", "p.same", "id", "w", "bucket", "text")
+    got = got.repartition("group").sortWithinPartitions("group", "id")
+    return got.mapInArrow(_verify(n_words, percent), "a long, b long, links long")
 
 
 def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
-    """Rows (doc_id long, n_shingles long, component_id long), one for each row of docs."""
+    """Rows (doc_id long, n_shingles long, component_id long, n_links long), one for each row of docs. n_links counts the other rows
+    that a row's text links with, copies included."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = stored(signatures(docs, n_words, percent))
     known = marks.where("n > 0 AND doc_id IS NOT NULL")
-    same = known.groupBy("mark").agg(F.min("doc_id").alias("cid"), F.count("*").alias("m")).where("m > 1").select("mark", "cid")
-    member = stored(known.select("doc_id", "mark").join(stored(same), "mark").select("doc_id", "cid").distinct())
-
-    keys = known.select(F.explode("keys").alias("key"), "doc_id", F.xxhash64("mark").alias("m"))
-    shared = stored(keys.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("key"))
-    rows = keys.select("key", "doc_id").join(shared, "key").join(member, "doc_id", "left").select("key", F.coalesce("cid", "doc_id").alias("doc_id")).distinct()
-    rows = stored(rows.join(known.select("doc_id", "n").dropDuplicates(["doc_id"]), "doc_id"))
-    cells = rows.select("key", "doc_id", F.explode(F.array(size_band(percent), size_band(percent) + 1)).alias("band"))
-    near = stored(cells.groupBy("key", "band").agg(F.count("*").alias("m")).where("m > 1").select("key", "band"))
-    rows = cells.join(near, ["key", "band"]).select("key", "doc_id").distinct()  # others share the hash with no set of like size
-    rows = stored(rows.join(known.select("doc_id", "n", "vec").dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("doc_id").alias("id"), "n", "vec"))
-
-    links = stored(verified(stored(proposals(rows, percent)), docs, n_words, percent))
-
-    group = components(links.union(member.select(F.col("doc_id").alias("a"), F.col("cid").alias("b")))).withColumnRenamed("id", "doc_id")
-    return marks.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(group, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    same = stored(known.groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("w")).where("w > 1"))
+    member = stored(known.select("id", "mark").join(same, "mark").select("id", "node").distinct())
+    kept = known.join(member.where("id <> node").select("id"), "id", "left_anti")
+
+    keys = kept.select(F.explode("keys").alias("key"), "id", "n")
+    shared = stored(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
+    rows = stored(keys.join(shared, "key"))
+    vecs = kept.select("id", "vec").dropDuplicates(["id"])
+    few = stored(leaf_pairs(rows.where(F.col("m") <= SMALL), percent))
+    few = few.join(vecs.select(F.col("id").alias("a"), F.col("vec").alias("lo_vec")), "a").join(vecs.select(F.col("id").alias("b"), F.col("vec").alias("hi_vec")), "b")
+    few = few.mapInArrow(_close(percent), "a long, b long")
+    many = stored(alike(rows.where(F.col("m") > SMALL), percent).join(vecs, "id"))
+
+    pairs = stored(few.union(proposals(many, percent)).distinct())
+    classes = kept.select("id", "n").distinct().join(same.select(F.col("node").alias("id"), "w"), "id", "left").na.fill(1, ["w"])
+    found = stored(verified(pairs, classes, keyed(docs).where("doc_id IS NOT NULL").select("id", "text"), n_words, percent))
+
+    ids = known.select("id", "doc_id").distinct()
+    alias = ids.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").join(ids, "doc_id").select(F.col("id").alias("a"), F.col("lo").alias("b"))
+    edges = found.where("a <> b").select("a", "b").union(member.select(F.col("id").alias("a"), F.col("node").alias("b"))).union(alias)
+    group = components(edges).withColumnRenamed("component_id", "root").join(ids, "id")
+    least = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    info = group.join(least, "root").select("id", "component_id").join(member, "id", "left").withColumn("node", F.coalesce("node", "id"))
+    info = info.join(same.select("node", "w"), "node", "left").join(links, "node", "left")
+    info = info.select("id", "component_id", (F.coalesce("w", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    out = marks.select("id", "doc_id", F.col("n").alias("n_shingles")).join(stored(info), "id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -73,12 +73,32 @@ def test_ngram_jaccard_equals_brute_force(spark, n, percent):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    pairs = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    want = components(pairs, sets)
+    texts = [(i, shingles(t)) for i, t in rows if i is not None]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    want = components([(i, j) for (i, a), (j, b) in combinations(texts, 2) if linked(a, b)], {i for i, _ in texts})
     assert len(got) == len(rows)
-    for r in got:
-        assert (r.component_id, r.n_shingles) == (want.get(r.doc_id), len(sets[r.doc_id]) if r.doc_id is not None else len(shingles("one two")))
+    expected = [(want.get(i), len(shingles(t)), sum(linked(shingles(t), b) for _, b in texts) - bool(shingles(t)) if i is not None else 0) for i, t in rows]
+    order = lambda r: tuple(x or 0 for x in r)
+    assert sorted(((r.component_id, r.n_shingles, r.n_links) for r in got), key=order) == sorted(expected, key=order)
+
+
+def test_ngram_jaccard_ids_with_several_texts(spark, monkeypatch):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(5, a), (5, b), (3, a + " end"), (4, b + " end"), (9, c), (9, c)]
+    out = ngram_jaccard.link(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in out) == [(3, 3, 1), (4, 3, 1), (5, 3, 1), (5, 3, 1), (9, 9, 1), (9, 9, 1)]
+
+
+def test_ngram_jaccard_large_clusters_meet_by_buckets(spark, monkeypatch):
+    base = prose(60).split()
+    rows = [(i, " ".join([*base[:i], "x" * i, *base[i + 1 :]])) for i in range(40)]
+    one = sorted(map(tuple, ngram_jaccard.link(table(spark, rows)).collect()))
+    assert {r[2] for r in one} == {0} and min(r[3] for r in one) > 0
+    monkeypatch.setattr(ngram_jaccard, "CLUSTER", 7)
+    assert one == sorted(map(tuple, ngram_jaccard.link(table(spark, rows)).collect()))
+    monkeypatch.setattr(ngram_jaccard, "SHINGLES", 300)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 1)
+    assert one == sorted(map(tuple, ngram_jaccard.link(table(spark, rows)).collect()))
 
 
 def test_ngram_jaccard_tree_finds_what_the_bound_allows():
