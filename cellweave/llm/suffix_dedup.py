@@ -7,16 +7,20 @@
    all of it and need no text; they are counted with partial aggregation, so a group of copies of any size is a few rows.
 3. Of the other shared anchors each distinct context is fetched once and dealt by anchor. A task concatenates contexts and builds an
    enhanced suffix array (suffixes in order, with the common-prefix length of neighbours) over the starts at which a
-   repeat can begin: those whose window is met again and whose occurrences differ in what stands to the left. A scan with a stack
-   walks the array's common-prefix intervals; an interval of at least ``least`` bytes whose occurrences have diverse left
-   extensions is a maximal repeat group and is put out with all its occurrences.
+   repeat can begin: those whose window is met again and whose occurrences differ in what stands to the left. The array is sparse, as
+   other suffixes can't open a group, and as starts of one window agree on ``least`` bytes only what lies beyond is compared.
+   A scan with a stack walks the array's common-prefix intervals; an interval of at least ``least`` bytes whose occurrences have
+   diverse left extensions is a maximal repeat group and is put out with all its occurrences. A group ends at the context's
+   end: a longer repeat is put out as groups that overlap, one an anchor, and their union is the repeat.
 4. An anchor of over HOT distinct contexts isn't dealt. The windows whose anchor it is are exploded as hashes, those met in two
    places are found by partial aggregation, and a context's spans from its first to its last such window, all of which hold
    the anchor. Windows whose longer half around the anchor is met once are left out before.
 5. Spans of all kinds are merged a text at a time, and the covered bytes are removed.
 
 Bytes are those of UTF-8. Defined results: null and empty texts have no bytes and no spans; texts under ``least`` bytes are kept
-whole; equal rows are occurrences of each other. Rows are told apart by a 64-bit hash of id and text. Only these two columns are read.
+whole; equal rows are occurrences of each other, and rows with a null id are texts like others. Very long texts are cut into contexts,
+which leave a task in pieces of bounded size. Rows are told apart by a 64-bit hash of id and text. Only these two columns are read,
+so others may have any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from cellweave.llm.shingles import as_bytes, chunks, mix, powers, runs
 
 GRAM = 64  # bytes of an anchor, a power of two
 HOT = 4096
-BATCH = 1 << 20  # bytes of contexts in one suffix array, but for a longer run of one anchor
+BATCH = 1 << 19  # bytes of contexts in one suffix array, but for a longer run of one anchor
+PIECE = 1 << 20  # bytes of contexts in one piece of output
+ROWS = 1 << 16  # occurrences in one piece of output, about
 VALUE = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -91,21 +97,29 @@ def _anchors(least: int):
 
 
 def _contexts(least: int):
-    """Rows (deal, id, at, bytes): the context of each wanted position."""
+    """Rows (deal, id, at, bytes): the context of each wanted position, in pieces of about PIECE bytes."""
     reach = least - GRAM
 
     def run(batches):
+        deal, key, at, cut = [], [], [], []
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(cut, pa.binary())], ["deal", "id", "at", "bytes"])
+
         for b in batches:
-            ids, texts, wants = b.column("id").to_numpy(), as_bytes(b.column("text")), b.column("wants").to_pylist()
-            deal, key, at, cut = [], [], [], []
-            for i, t, want in zip(ids.tolist(), texts, wants, strict=True):
-                for w in want:
+            ids, texts, wants = b.column("id").to_numpy(), b.column("text"), b.column("wants")
+            for k in range(b.num_rows):
+                t = texts[k].as_py().encode()
+                for w in wants[k].as_py():
                     s = max(0, w["pos"] - reach)
                     deal.append(w["gram"])
-                    key.append(i)
+                    key.append(ids[k])
                     at.append(s)
                     cut.append(t[s : w["pos"] + GRAM + reach])
-            yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(cut, pa.binary())], ["deal", "id", "at", "bytes"])
+                    if len(cut) * (2 * reach + GRAM) > PIECE:
+                        yield rows()
+                        deal, key, at, cut = [], [], [], []
+        yield rows()
 
     return run
 
@@ -171,7 +185,7 @@ def _windows(least: int, bits: np.ndarray):
 
 
 def maximal_repeats(ids: list[int], at: list[int], cuts: list[bytes], least: int):
-    """Groups (length, [places]) of the maximal repeats of at least `least` bytes among cuts, a place being an index and an offset.
+    """Groups (length, cuts, offsets) of the maximal repeats of at least `least` bytes among cuts, as arrays of indexes and offsets.
 
     ids and at say which text a cut comes from and where it begins, so that one place in two cuts counts once."""
     sizes = np.array([len(c) for c in cuts])
@@ -199,52 +213,69 @@ def maximal_repeats(ids: list[int], at: list[int], cuts: list[bytes], least: int
     if not len(keep):
         return
     cut, off, p, before = cut[keep], off[keep], p[keep], before[keep]
-    left = sizes[cut] - off
-    longest = int(left.max())
-    grid = np.minimum(p[:, None] + np.arange(longest), len(buf) - 1)
-    suffix = np.where(np.arange(longest) < left[:, None], buf[grid].astype(np.uint16) + 1, 0).astype(">u2")  # 0 beyond a cut's end
-    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{2 * longest}").ravel(), kind="stable")
-    suffix, left = suffix[order], left[order]
-    differs = suffix[1:] != suffix[:-1]
-    common = np.where(differs.any(1), differs.argmax(1), longest) if len(order) > 1 else np.zeros(0, np.int64)
-    common = np.minimum(common, np.minimum(left[1:], left[:-1]))
+    # Starts of one window agree on `least` bytes: what orders their suffixes is the window's rank, then the bytes beyond.
+    rank = np.repeat(np.arange(len(many)), many)[np.repeat((many > 1) & diverse, many)]
+    left = sizes[cut] - off - least
+    reach = int(left.max())
+    beyond = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(least + reach, np.uint8)), max(reach, 1))[p + least]
+    suffix = beyond.astype(">u2")
+    suffix += 1
+    suffix[np.arange(suffix.shape[1]) >= left[:, None]] = 0  # beyond a cut's end
+    del beyond
+    order = np.lexsort((suffix.view(f"S{2 * suffix.shape[1]}").ravel(), rank))
+    common = np.zeros(len(order), np.int64)  # with the suffix before
+    for lo in range(1, len(order), 4096):
+        x, y = order[lo - 1 : lo + 4095], order[lo : lo + 4096]
+        x = x[: len(y)]
+        differs = suffix[x] != suffix[y]
+        same = np.minimum(np.where(differs.any(1), differs.argmax(1), reach), np.minimum(left[x], left[y]))
+        common[lo : lo + len(y)] = np.where(rank[x] == rank[y], least + same, 0)
     stack: list[tuple[int, int]] = []  # (common prefix, first suffix) of the open intervals
-    for i, c in enumerate([*common.tolist(), 0]):
-        c, start = c if c >= least else 0, i
+    for i, c in enumerate([*common[1:].tolist(), 0]):
+        start = i
         while stack and stack[-1][0] > c:
             length, start = stack.pop()
             inside = order[start : i + 1]
             b = before[inside]
             if (b != b[0]).any():
-                yield length, [(int(cut[k]), int(off[k])) for k in inside]
+                yield length, cut[inside], off[inside]
         if c and (not stack or stack[-1][0] < c):
             stack.append((c, start))
 
 
 def _repeats(least: int):
     def out(ids, at, cuts):
-        group, key, start, end = [], [], [], []
-        for length, places in maximal_repeats(ids, at, cuts, least):
-            k, o = places[0]
-            name = xxhash.xxh3_64_intdigest(cuts[k][o : o + length]) - 2**63
-            for k, o in places:
-                group.append(name)
-                key.append(ids[k])
-                start.append(at[k] + o)
-                end.append(at[k] + o + length)
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["group", "key", "start", "end"])
+        key, place, parts, total = np.array(ids, np.int64), np.array(at, np.int64), [], 0
+        for length, k, o in maximal_repeats(ids, at, cuts, least):
+            name = xxhash.xxh3_64_intdigest(cuts[k[0]][o[0] : o[0] + length]) - 2**63
+            parts.append((np.full(len(k), name), key[k], place[k] + o, place[k] + o + length))
+            total += len(k)
+            if total > ROWS:
+                yield batch(parts)
+                parts, total = [], 0
+        if parts:
+            yield batch(parts)
+
+    def batch(parts):
+        group, key, start, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["group", "key", "start", "end"])
 
     def run(batches):
         ids, at, cuts, size = [], [], [], 0
         for t, bounds in runs(batches, "deal"):
-            i, a, c = t.column("id").to_pylist(), t.column("at").to_pylist(), t.column("bytes").to_pylist()
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    ids, at, cuts, size = ids + i[s:e], at + a[s:e], cuts + c[s:e], size + sum(map(len, c[s:e]))
+                    part = t.slice(s, e - s)
+                    more = part.column("bytes").to_pylist()
+                    ids += part.column("id").to_pylist()
+                    at += part.column("at").to_pylist()
+                    cuts += more
+                    size += sum(map(len, more))
                 if size > BATCH:
-                    yield out(ids, at, cuts)
+                    yield from out(ids, at, cuts)
                     ids, at, cuts, size = [], [], [], 0
-        yield out(ids, at, cuts)
+        if cuts:
+            yield from out(ids, at, cuts)
 
     return run
 

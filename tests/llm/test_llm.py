@@ -187,7 +187,8 @@ def test_sentencepiece_equals_the_library_and_round_trips(spark):
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     shared = [prose(80) for _ in range(4)]
     rows = [(i + 10, f"{prose(RNG.randint(0, 60))} {shared[i % 4][: RNG.randint(150, 400)]} {prose(RNG.randint(0, 40))}") for i in range(24)]
-    rows += [(50, rows[0][1]), (51, rows[3][1][:-5]), (52, "ab" * 400)] + EDGE
+    rows += [(50, rows[0][1]), (51, rows[3][1][:-5]), (52, "ab" * 400), (53, "x" + prose(4000)), (54, "abcdefg" * 90)] + EDGE
+    rows += [(55, rows[-len(EDGE) - 2][1][900:1600])]
     texts = [(t or "").encode() for _, t in rows]
     starts = {}
     for k, b in enumerate(texts):
@@ -208,7 +209,7 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
 
 
 def test_suffix_dedup_deals_no_hot_group(spark, monkeypatch):
-    passage = prose(40)[:300]
+    passage = prose(80)[:300]
     rows = [(i, f"{prose(25)} {passage} {prose(25)}") for i in range(60)]
     monkeypatch.setattr(suffix_dedup, "HOT", 8)
     covered, groups = suffix_dedup.spans(suffix_dedup.keyed(table(spark, rows), "doc_id", "text"), 200)
@@ -221,11 +222,24 @@ def test_suffix_dedup_deals_no_hot_group(spark, monkeypatch):
 def test_maximal_repeats_lists_all_occurrences():
     a, b = prose(60).encode(), prose(60).encode()
     cuts = [b"1" + a + b"x", b"2" + a + b"y" + b, b"3" + a[:250] + b"z"]
-    groups = list(suffix_dedup.maximal_repeats([1, 2, 3], [0, 0, 0], cuts, 200))
-    by = {length: sorted(p) for length, p in groups}
+    groups = suffix_dedup.maximal_repeats([1, 2, 3], [0, 0, 0], cuts, 200)
+    by = {length: sorted(zip(k.tolist(), o.tolist())) for length, k, o in groups}
     assert by[len(a)] == [(0, 1), (1, 1)] and by[250] == [(0, 1), (1, 1), (2, 1)]
 
 
+def test_maximal_repeats_of_equal_cuts_take_little_memory():
+    import tracemalloc
+
+    cut = bytes(RNG.randrange(256) for _ in range(336))
+    tracemalloc.start()
+    groups = [(length, len(k)) for length, k, _ in suffix_dedup.maximal_repeats(list(range(3000)), [0] * 3000, [cut] * 3000, 200)]
+    assert groups == [(336, 3000)] and tracemalloc.get_traced_memory()[1] < 300e6
+    cuts = [bytes([k % 251]) + cut[:60] + bytes([k // 251]) + cut[61:] for k in range(1500)]
+    groups = [(length, len(k)) for length, k, _ in suffix_dedup.maximal_repeats(list(range(1500)), [0] * 1500, cuts, 200)]
+    assert (275, 1500) in groups and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_language_id_on_held_out_rows(spark):
     kinds = {"aa": ["the", "ing", "tion", "er"], "bb": ["sch", "ung", "lich", "ei"], "cc": ["eau", "oi", "que", "re"]}
     rows = [(i, lang, " ".join("".join(RNG.choices(kinds[lang], k=2)) for _ in range(20))) for i, lang in enumerate(RNG.choices(list(kinds), k=300))]
