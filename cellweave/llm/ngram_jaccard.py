@@ -14,8 +14,8 @@ A document's set holds the distinct hashes of its n-word shingles (64 bits); two
 4. Within each other shared prefix hash the classes' points are packed, in order of size, into an R-tree. A search bounds the
    overlap with a node by the summed minima of the query's and the node's upper coordinates (an upper bound needs no lower
    ones; the node's least size bounds the union), descends where the bound can reach the threshold, and bounds each point in
-   the same way. Prefix hashes of over ``HOT`` classes are cut by size band and dealt into blocks whose pairs run as tasks of
-   their own. Vectors are attached to rows of these hashes only, and only where a set of like size shares the hash.
+   the same way. Prefix hashes of over ``HOT`` classes are cut by size band, and a band of over ``HOT`` is dealt into blocks whose
+   pairs run as tasks of their own. Vectors are attached to rows of these hashes only, and only where a set of like size shares the hash.
 5. Of a tree's surviving pairs a task keeps a spanning forest, so groups of any size give a row a point at most. Links
    can only stand inside the clusters that all these connect. A cluster's texts meet once (clusters that are large, by rows or by
    shingles, by pairs of buckets), where surviving pairs are verified on the whole sets; links are counted for each row, and a
@@ -44,7 +44,7 @@ from cellweave.llm.common import components, stored, texts_of
 from cellweave.llm.shingles import as_bytes, chunks, runs, shingle_sets
 
 PACK = 16  # entries of an R-tree node
-HOT = 1024
+HOT = 2048  # points of a tree, about
 SMALL = 8  # points of a run that is a single leaf, less than PACK
 CLUSTER = 512  # candidates of a cluster's bucket; two buckets meet in a group
 SHINGLES = 1 << 20  # shingles of a bucket, about
@@ -215,15 +215,16 @@ def alike(rows: DataFrame, percent: int) -> DataFrame:
 
 def proposals(rows: DataFrame, percent: int) -> DataFrame:
     """rows: key, id, n, vec. Distinct pairs (a, b), a < b, that connect what the bound can't tell from a link."""
-    rows = rows.join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
-    band = size_band(percent)
-    blocks = F.ceil(F.col("m") / HOT).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    pair = lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))
-    places = F.flatten(F.transform(F.array(band, band + 1), lambda at: F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.struct(at.alias("band"), pair(i).alias("pair")).alias("part"), (at == band).alias("home")))))
-    whole = F.array(F.struct(F.struct(F.lit(-1).alias("band"), F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")).alias("pair")).alias("part"), F.lit(True).alias("home")))
-    placed = rows.select("key", "id", "n", "vec", F.explode(F.when(F.col("m") > HOT, places).otherwise(whole)).alias("p"))
-    placed = placed.select("key", F.xxhash64("p.part").alias("part"), "id", "n", "vec", F.col("p.home").alias("home"))
+    band, vast = size_band(percent), F.col("m") > HOT
+    cell = lambda at, home: F.struct(at.cast("int").alias("band"), F.lit(home).alias("home"))
+    cells = F.when(vast, F.array(cell(band, True), cell(band + 1, False))).otherwise(F.array(cell(F.lit(-1), True)))
+    slim = rows.select("key", "id", "n").join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
+    slim = stored(slim.select("key", "id", F.explode(cells).alias("c")).select("key", "id", "c.band", "c.home"))
+    sizes = slim.where("band >= 0").groupBy("key", "band").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.xxhash64("band", F.least(i, own), F.greatest(i, own)))
+    placed = slim.join(sizes, ["key", "band"], "left").na.fill(1, ["blocks"]).select("key", "id", "home", F.explode(parts).alias("part"))
+    placed = placed.join(rows, ["key", "id"]).select("key", "part", "id", "n", "vec", "home")
     return placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id").mapInArrow(_propose(percent), "a long, b long").distinct()
 
 
@@ -295,7 +296,7 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
 
     keys = kept.select(F.explode("keys").alias("key"), "id", "n")
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
-    rows = stored(keys.join(shared, "key"))
+    rows = stored(keys.join(shared.hint("merge"), "key"))  # both grow with the corpus
     vecs = kept.select("id", "vec").dropDuplicates(["id"])
     few = stored(leaf_pairs(rows.where(F.col("m") <= SMALL), percent))
     few = few.join(vecs.select(F.col("id").alias("a"), F.col("vec").alias("lo_vec")), "a").join(vecs.select(F.col("id").alias("b"), F.col("vec").alias("hi_vec")), "b")
