@@ -105,7 +105,8 @@ def test_ngram_jaccard_tree_finds_what_the_bound_allows():
     sizes = np.array(sorted(RNG.randint(5, 200) for _ in range(150)))
     sets = [np.array(RNG.sample(range(10**6), int(k)), np.uint64) for k in sizes]
     sets = [s if i % 3 or not i else np.append(sets[i - 1][: len(s) - 1], s[:1])[: len(s)] for i, s in enumerate(sets)]
-    vecs = []
+    sets = sorted(sets, key=len)  # a changed set may be smaller than drawn
+    sizes, vecs = np.array([len(s) for s in sets]), []
     for s in sets:
         g = max(16, 1 << (len(s) // 8).bit_length())
         vecs.append(np.bincount((s & np.uint64(g - 1)).astype(int), minlength=g).astype("u1").tobytes())
