@@ -213,18 +213,18 @@ def alike(rows: DataFrame, percent: int) -> DataFrame:
     return cells.join(near, ["key", "band"]).select("key", "id", "n").distinct()
 
 
-def proposals(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: key, id, n, vec. Distinct pairs (a, b), a < b, that connect what the bound can't tell from a link."""
+def proposals(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
+    """rows: key, id, n; vecs: id, vec. Distinct pairs (a, b), a < b, that connect what the bound can't tell from a link."""
     band, vast = size_band(percent), F.col("m") > HOT
     cell = lambda at, home: F.struct(at.cast("int").alias("band"), F.lit(home).alias("home"))
     cells = F.when(vast, F.array(cell(band, True), cell(band + 1, False))).otherwise(F.array(cell(F.lit(-1), True)))
-    slim = rows.select("key", "id", "n").join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
-    slim = stored(slim.select("key", "id", F.explode(cells).alias("c")).select("key", "id", "c.band", "c.home"))
+    slim = rows.join(stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key")
+    slim = stored(slim.select("key", "id", "n", F.explode(cells).alias("c")).select("key", "id", "n", "c.band", "c.home"))
     sizes = slim.where("band >= 0").groupBy("key", "band").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.xxhash64("band", F.least(i, own), F.greatest(i, own)))
-    placed = slim.join(sizes, ["key", "band"], "left").na.fill(1, ["blocks"]).select("key", "id", "home", F.explode(parts).alias("part"))
-    placed = placed.join(rows, ["key", "id"]).select("key", "part", "id", "n", "vec", "home")
+    placed = slim.join(sizes, ["key", "band"], "left").na.fill(1, ["blocks"]).select("key", "id", "n", "home", F.explode(parts).alias("part"))
+    placed = placed.join(vecs, "id").select("key", "part", "id", "n", "vec", "home")  # the vectors move once more, to their parts
     return placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id").mapInArrow(_propose(percent), "a long, b long").distinct()
 
 
@@ -292,7 +292,7 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
     known = marks.where("n > 0 AND doc_id IS NOT NULL")
     same = stored(known.groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("w")).where("w > 1"))
     member = stored(known.select("id", "mark").join(same, "mark").select("id", "node").distinct())
-    kept = known.join(member.where("id <> node").select("id"), "id", "left_anti")
+    kept = known.join(member.where("id <> node").select("id").hint("merge"), "id", "left_anti")  # both grow with the corpus
 
     keys = kept.select(F.explode("keys").alias("key"), "id", "n")
     shared = stored(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
@@ -301,9 +301,9 @@ def link(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col="doc_id",
     few = stored(leaf_pairs(rows.where(F.col("m") <= SMALL), percent))
     few = few.join(vecs.select(F.col("id").alias("a"), F.col("vec").alias("lo_vec")), "a").join(vecs.select(F.col("id").alias("b"), F.col("vec").alias("hi_vec")), "b")
     few = few.mapInArrow(_close(percent), "a long, b long")
-    many = stored(alike(rows.where(F.col("m") > SMALL), percent).join(vecs, "id"))
+    many = stored(alike(rows.where(F.col("m") > SMALL), percent))
 
-    pairs = stored(few.union(proposals(many, percent)).distinct())
+    pairs = stored(few.union(proposals(many, vecs, percent)).distinct())
     classes = kept.select("id", "n").distinct().join(same.select(F.col("node").alias("id"), "w"), "id", "left").na.fill(1, ["w"])
     found = stored(verified(pairs, classes, keyed(docs).where("doc_id IS NOT NULL").select("id", "text"), n_words, percent))
 
