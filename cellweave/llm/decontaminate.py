@@ -2,16 +2,19 @@
 
 A word is a run of ASCII letters or digits or of characters beyond ASCII, A-Z lower-cased. Every item gives windows of
 ``size`` consecutive words (an item with fewer words, but not none, is one window). The corpus's count of each benchmark
-term picks the ``anchors`` rarest terms of each window; the index stores the postings (term, document, position) of those
-terms. A window's posting lists are shifted by the terms' offsets and intersected on (document, start), from the rarest
-term; what all lists share is verified against the words that stand around the posting, which gives exact phrases.
-:func:`near` returns the looser proximity matches, where two shifted lists agree only to within some words.
+term picks each window's two rarest terms; the index stores the postings (term, document, position) of those terms.
+A window's two posting lists are shifted by the terms' offsets and intersected within a document; a window of one distinct
+term has one list. Where the shifted lists agree the window may stand, and these places alone are verified against the text's words,
+which gives exact phrases. Where they agree to within ``slack`` words the window is close: a proximity match, as of a passage with a word
+put in, left out or changed. A window with a term that the corpus lacks can't be exact, but can be close by its other terms.
 
 A hot passage costs one posting for each copy and no pair of documents is ever formed. The benchmark's vocabulary is
-broadcast only if it is counted to be at most ``BROADCAST`` terms; beyond that the same joins shuffle.
+broadcast only if it is counted to be at most ``BROADCAST`` terms; beyond that the same joins shuffle postings, never texts.
+What is gathered for a document is bounded by its own words.
 
 Defined results: null and empty texts have no words; documents without a hit appear with zeros and no items; repeated rows
-get equal results each; items with a null id or no words have no windows; with no window nothing is contaminated.
+get equal results each, null ids included; items with a null id or no words have no windows; with no window nothing is contaminated;
+empty tables give empty ones. Texts are processed whole, whatever their length. Only the named columns are read, so others may clash.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Window as W
 from cellweave.llm.common import stored
 
 SIZE = 13
-ANCHORS = 2
+SLACK = 3
 SHARE = 20  # contaminated if SHARE * hit words >= words
 BROADCAST = 300_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,67 +46,75 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(items: DataFrame, size: int = SIZE, id_col="item_id", text_col="text") -> DataFrame:
-    """Rows (phrase, terms, item_ids), one for each distinct window; item_ids are strings in string order."""
+    """Rows (window, terms, item_ids), one for each distinct window, numbered; item_ids are strings in string order."""
     w = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - F.lit(size - 1), F.lit(1))
     rows = w.select("item", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice("w", i, F.lit(size)))).alias("terms"))
-    return rows.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).select(F.array_join("terms", " ").alias("phrase"), "terms", "item_ids")
+    rows = rows.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    return stored(rows.select(F.monotonically_increasing_id().alias("window"), "terms", "item_ids"))  # written once, so numbers stay
 
 
-def anchored(docs: DataFrame, wins: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """Rows (phrase, terms, rank, term, off): each window's rarest corpus terms; windows with a term the corpus lacks go."""
-    at = wins.select("phrase", "terms", F.posexplode("terms").alias("off", "term"))
+def sized(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= BROADCAST else small
+
+
+def anchored(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """Rows (window, rank, term, off, lists, lacks): each window's two rarest corpus terms, how many it has, and whether the corpus lacks
+    another of its terms."""
+    at = wins.select("window", F.posexplode("terms").alias("off", "term"))
     vocabulary = stored(at.select("term").distinct())
     seen = docs.select(F.explode_outer(words(F.col("text"))).alias("term")).join(sized(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
-    counted = at.join(stored(seen), "term", "left")
-    one = counted.groupBy("phrase", "term").agg(F.min("off").alias("off"), F.first("terms").alias("terms"), F.max("n").alias("n"))
-    order = W.partitionBy("phrase").orderBy("n", "term")
-    ranked = one.withColumn("lacks", F.max(F.col("n").isNull()).over(W.partitionBy("phrase"))).withColumn("rank", F.row_number().over(order))
-    return ranked.where(~F.col("lacks") & (F.col("rank") <= anchors)).select("phrase", "terms", "rank", "term", "off")
+    one = at.join(stored(seen), "term", "left").groupBy("window", "term").agg(F.min("off").alias("off"), F.max("n").alias("n"))
+    of = W.partitionBy("window")
+    ranked = one.select("*", F.row_number().over(of.orderBy(F.col("n").asc_nulls_last(), "term")).alias("rank"), F.max(F.col("n").isNull()).over(of).alias("lacks"), F.least(F.count("n").over(of), F.lit(2)).alias("lists"))
+    return ranked.where("n IS NOT NULL AND rank <= 2").select("window", "rank", "term", "off", "lists", "lacks")
 
 
-def sized(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= BROADCAST else small
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: rows (term, key, pos)."""
+    at = docs.select("key", F.posexplode_outer(words(F.col("text"))).alias("pos", "term"))
+    return at.join(sized(terms), "term").select("term", "key", "pos")
 
 
-def postings(docs: DataFrame, terms: DataFrame, size: int = SIZE) -> DataFrame:
-    """The index: rows (term, key, pos, low, around), around being the words from position low to pos + size - 1."""
-    w = docs.select("key", words(F.col("text")).alias("w"))
-    at = w.select("key", "w", F.posexplode_outer("w").alias("pos", "term")).join(sized(terms), "term")
-    low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    return at.select("term", "key", "pos", low.alias("low"), F.slice("w", low + 1, F.col("pos") - low + size).alias("around"))
+def matched(index: DataFrame, chosen: DataFrame, slack: int = SLACK) -> DataFrame:
+    """Rows (key, window, starts, close): the places where a window's shifted lists agree, and whether they do to within slack words."""
+    lists = index.join(sized(stored(chosen)), "term").select("key", "window", "lists", "lacks", "rank", (F.col("pos") - F.col("off")).alias("start"))
+    of = lambda k: F.collect_set(F.when(F.col("rank") == k, F.col("start"))).alias(f"s{k}")  # noqa: E731  a document's postings at most
+    both = lists.groupBy("key", "window").agg(F.first("lists").alias("lists"), F.first("lacks").alias("lacks"), of(1), of(2))
+    spread = F.flatten(F.transform("s2", lambda s: F.sequence(s - slack, s + slack)))
+    starts = F.when(F.col("lacks"), F.array().cast("array<int>")).when(F.col("lists") == 1, F.col("s1")).otherwise(F.array_intersect("s1", "s2"))
+    rows = both.where((F.size("s1") > 0) & ((F.col("lists") == 1) | (F.size("s2") > 0)))
+    rows = rows.select("key", "window", starts.alias("starts"), ((F.col("lists") == 2) & F.arrays_overlap("s1", spread)).alias("close"))
+    return rows.where(F.col("close") | (F.size("starts") > 0))
 
 
-def exact(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """Rows (key, phrase, start, n): where each window stands; wins comes from anchored()."""
-    wins = wins.withColumn("lists", F.count("*").over(W.partitionBy("phrase")))
-    lists = index.join(sized(stored(wins)), "term").select("key", "phrase", "terms", "lists", "rank", (F.col("pos") - F.col("off")).alias("start"), "low", "around")
-    fits = (F.col("start") >= F.col("low")) & (F.slice("around", F.greatest(F.col("start") - F.col("low") + 1, F.lit(1)), F.size("terms")) == F.col("terms"))
-    met = lists.where(fits).groupBy("key", "phrase", "start").agg(F.count_distinct("rank").alias("met"), F.first("lists").alias("lists"), F.first(F.size("terms")).alias("n"))
-    return met.where("met = lists").select("key", "phrase", "start", "n")
+def covered(spans: Column) -> Column:
+    """How many positions the spans (start, end), in order of start, cover."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
 
+    def step(acc: Column, s: Column) -> Column:
+        more = F.greatest(s["end"] - F.greatest(s["start"], acc["end"]), F.lit(0))
+        return F.struct((acc["n"] + more).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
 
-def near(index: DataFrame, wins: DataFrame, slack: int = 3) -> DataFrame:
-    """Rows (key, phrase, start, off_by): the two rarest terms of a window stand in order, off by at most slack words."""
-    lists = index.join(sized(stored(wins)), "term").select("key", "phrase", "rank", (F.col("pos") - F.col("off")).alias("start"))
-    cell = F.floor(F.col("start") / (slack + 1))
-    a = lists.where("rank = 1").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    b = lists.where("rank = 2").select("key", "phrase", F.col("start").alias("other"), F.floor(F.col("start") / (slack + 1)).alias("cell"))
-    off = F.abs(F.col("start") - F.col("other"))
-    return a.join(b, ["key", "phrase", "cell"]).where(off <= slack).groupBy("key", "phrase", "start").agg(F.min(off).alias("off_by"))
+    return F.aggregate(spans, zero, step)["n"]
 
 
-def judge(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col="doc_id", text_col="text", item_id="item_id", item_text="text") -> DataFrame:
-    """One row for each row of docs: id_col, text_col, n_words, n_hit, item_ids (strings in order), contaminated."""
+def judge(docs: DataFrame, items: DataFrame, size: int = SIZE, share: int = SHARE, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", slack: int = SLACK) -> DataFrame:
+    """One row for each row of docs: id_col, text_col, n_words, n_hit, item_ids (strings in order), n_close (windows that stand close,
+    exact ones included), contaminated."""
     rows = keyed(docs, id_col, text_col)
-    wins = stored(windows(items, size, item_id, item_text))
+    wins = windows(items, size, item_id, item_text)
     chosen = stored(anchored(rows, wins))
-    index = stored(postings(rows, stored(chosen.select("term").distinct()), size))
-    hits = stored(exact(index, chosen))
-    hit = hits.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    found = hits.select("key", "phrase").distinct().join(wins.select("phrase", F.explode("item_ids").alias("item")), "phrase").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    hit, found = hit.withColumnRenamed("key", "hit_key"), found.withColumnRenamed("key", "found_key")
-    out = rows.join(hit, F.col("key").eqNullSafe(F.col("hit_key")), "left").join(found, F.col("key").eqNullSafe(F.col("found_key")), "left")
-    n, h = F.size(words(F.col("text"))).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
-    out = out.select(F.col("key.id").alias(id_col), F.col("text").alias(text_col), n.alias("n_words"), h.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    index = stored(postings(rows, stored(chosen.select("term").distinct())))
+    met = stored(matched(index, chosen, slack)).join(wins, "window")
+    place = F.when(F.size("starts") > 0, F.struct("starts", "terms", "item_ids"))
+    by_doc = stored(met.groupBy(F.col("key").alias("met_key")).agg(F.collect_list(place).alias("places"), F.sum(F.col("close").cast("long")).alias("n_close")))
+
+    out = rows.join(by_doc, F.col("key").eqNullSafe(F.col("met_key")), "left").select("key", "text", "places", "n_close", words(F.col("text")).alias("w"))
+    stands = lambda p: F.filter(p["starts"], lambda s: (s >= 0) & (F.slice("w", F.greatest(s, F.lit(0)) + 1, F.size(p["terms"])) == p["terms"]))
+    found = F.transform("places", lambda p: F.struct(stands(p).alias("starts"), F.size(p["terms"]).alias("n"), p["item_ids"].alias("item_ids")))
+    out = out.select("key", "text", "n_close", F.size("w").cast("long").alias("n_words"), F.filter(found, lambda p: F.size(p["starts"]) > 0).alias("found"))
+    spans = F.sort_array(F.flatten(F.transform("found", lambda p: F.transform(p["starts"], lambda s: F.struct(s.alias("start"), (s + p["n"]).alias("end"))))))
+    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda p: p["item_ids"]))))
+    out = out.select(F.col("key.id").alias(id_col), F.col("text").alias(text_col), "n_words", F.coalesce(covered(spans), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_close", F.lit(0)).cast("long").alias("n_close"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
