@@ -2,19 +2,22 @@
 
 A text is lower-cased and cut into character 1-, 2- and 3-grams; each n-gram is hashed to one of ``buckets`` embedding
 rows, the rows are averaged over the text and a linear softmax gives the languages' probabilities. The model is trained on
-a bounded sample of labelled rows (``Params.sample`` rows a language, spread by a hash of the id); of that sample a fifth
-is kept back to fit the softmax temperature and the rejection threshold. Because averaging and the linear layer commute,
+a bounded sample of labelled rows (about ``Params.sample`` rows a language, and ``Params.rows`` in all, spread by a hash of the id); of
+that sample a fifth is kept back to fit the softmax temperature and the rejection threshold. Because averaging and the linear layer commute,
 the trained embedding times the output matrix is one small table of bucket scores, which is broadcast
-(buckets x languages floats, a size fixed by the parameters) and summed over each whole text.
+(buckets x languages floats: every language that a row to learn from names is learnt, so its size is set by how many
+languages there are, not by the corpus) and summed over each whole text.
+
+A letter is a character of Unicode's general category L, in training and prediction alike.
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0.0 and is rejected; with no labelled row
-to learn from every text does. Ties go to the first language in sorted order. Repeated rows are scored each on their own.
+to learn from every text does. Ties go to the first language in sorted order. Repeated rows are scored each on their own; ids may be null. Very long texts
+are averaged whole, a few at a time. An empty table gives an empty one.
 Only the id and text columns are read for a prediction; other columns of the input never clash with the output.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,7 @@ class Params:
     buckets: int = 1 << 15
     dim: int = 16
     sample: int = 1200  # labelled rows a language at most
-    languages: int = 256  # the most frequent ones at most
+    rows: int = 400_000  # labelled rows in all, about
     epochs: int = 6
     rate: float = 0.5
     keep: float = 0.999  # share of the calibration rows' true languages that rejection must leave
@@ -75,19 +78,19 @@ def _features(params: Params):
 
 def fit(docs: DataFrame, train, params: Params = Params(), id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """train: a column that says which rows may be learnt from. A sampled row reaches the driver as at most `buckets` counts."""
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()}
-    langs = sorted(sizes)
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(LETTER))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Model([], np.zeros((params.buckets, 0)), np.zeros(0), 0.0, params.buckets)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, params.sample / n))).otherwise(share)
+    most = min(params.sample, max(20, params.rows // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.where(draw < share).select("lang", "text").limit(2 * params.sample * len(langs))
+    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text").limit(2 * most * len(langs))  # a row a language is broadcast
     got = sorted(sample.mapInArrow(_features(params), "lang string, ids binary, share binary").collect(), key=lambda r: (r["lang"], bytes(r["ids"]), bytes(r["share"])))
     x = [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["share"], "<f4").astype(float)) for r in got]
-    y = np.array([langs.index(r["lang"]) for r in got])
+    place = {lang: k for k, lang in enumerate(langs)}
+    y = np.array([place[r["lang"]] for r in got])
     return train_model(x, y, langs, params)
 
 
@@ -126,9 +129,8 @@ def train_model(x: list, y: np.ndarray, langs: list[str], params: Params) -> Mod
 
 
 def _score(model: Model):
-    def part(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def part(texts: list[str], known: np.ndarray) -> tuple[list[str], np.ndarray]:
         k, n = len(model.languages), len(texts)
-        known = np.array([bool(LETTER.search(t)) for t in texts]) if k else np.zeros(n, bool)
         ids, starts = grams(texts, model.buckets)
         total = 3 * np.diff([*starts, len(ids[0])])
         z = np.empty((n, k))
@@ -144,12 +146,12 @@ def _score(model: Model):
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
+            ids, texts, known = b.column(0), [t or "" for t in b.column(1).to_pylist()], b.column(2).to_numpy(zero_copy_only=False)
             lang, score, lo, size = [], [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
                 if size > 1_000_000 or i == len(texts) - 1:
-                    a, s = part(texts[lo : i + 1])
+                    a, s = part(texts[lo : i + 1], known[lo : i + 1])
                     lang += a
                     score.append(s)
                     lo, size = i + 1, 0
@@ -162,6 +164,7 @@ def _score(model: Model):
 
 def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """Rows (id_col, lang_pred, score, rejected), one a row of docs."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("letters"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_score(model), f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
