@@ -13,7 +13,8 @@
 A text's score is the logistic of bias plus the weights of its distinct words, over the whole text; the weights have a
 fixed size and are broadcast. Labels, language, source and id are never inputs of a score.
 
-Defined results: null and empty texts score the logistic of the bias. With no labelled training row the public lexicon and
+Defined results: null and empty texts score the logistic of the bias; an empty table gives an empty one. Rows with a null id are
+scored and not learnt from. Texts are scored whole, whatever their length. Only the named columns are read, so others may clash. With no labelled training row the public lexicon and
 patterns alone vote. Of several labels of one row the greatest counts. Repeated rows are scored each.
 """
 
@@ -40,7 +41,6 @@ VOTERS = SHARDS + 4  # the shards, the public lexicon, shouting, capitals, sever
 @dataclass(frozen=True)
 class Params:
     labelled: int = 4000  # labelled rows a class that lexicons are induced from
-    lexicon: int = 1600  # marks kept at most
     least: int = 3  # toxic sample texts that a mark must stand in
     odds: float = 12.0  # times likelier in toxic texts, at least
     evidence: float = 10.0  # log-likelihood that a mark's toxic texts aren't chance, at least
@@ -73,7 +73,8 @@ def _counts(batches):
 
 
 def induce(rows: DataFrame, labels: DataFrame, params: Params) -> tuple[list[str], float]:
-    """Marks of toxic texts, best first, and the labelled share of toxic rows. rows: id, text; labels: id, toxic."""
+    """Marks of toxic texts, best first, and the labelled share of toxic rows. rows: id, text; labels: id, toxic. All marks that pass the
+    tests are kept; there are no more of them than the bounded sample of labelled texts holds."""
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return [], 0.1
@@ -85,7 +86,7 @@ def induce(rows: DataFrame, labels: DataFrame, params: Params) -> tuple[list[str
     pos, neg = min(params.labelled, sizes[1]), min(params.labelled, sizes[0])
     odds = (F.col("p") / pos) / ((F.col("q") + 0.5) / neg)
     evidence = F.col("p") * F.log(F.col("p") / (F.col("p") + F.col("q")) * ((pos + neg) / pos))
-    top = seen.where((F.col("p") >= params.least) & (odds >= params.odds) & (evidence >= params.evidence)).orderBy(F.desc("p"), "mark").limit(params.lexicon)
+    top = seen.where((F.col("p") >= params.least) & (odds >= params.odds) & (evidence >= params.evidence)).orderBy(F.desc("p"), "mark")
     return [r["mark"] for r in top.collect()], sizes[1] / (sizes[0] + sizes[1])
 
 
@@ -145,7 +146,7 @@ class LabelModel:
             both = ((x.T * w) @ x + 1) / n
             for joint, a, b in ((both, p[:, None], p[None]), (p[:, None] - both, p[:, None], 1 - p[None]), (p[None] - both, 1 - p[:, None], p[None]), (1 - p[:, None] - p[None] + both, 1 - p[:, None], 1 - p[None])):
                 joint = np.maximum(joint, 1e-12)
-                info += n / weights.sum() * joint * np.log(joint / np.maximum(a * b, 1e-12))
+                info += n / max(weights.sum(), 1.0) * joint * np.log(joint / np.maximum(a * b, 1e-12))
         self.parent, inside = [-1] * VOTERS, {0}
         while len(inside) < VOTERS:
             j, i = max(((j, i) for j in inside for i in range(VOTERS) if i not in inside), key=lambda e: (info[e], -e[0], -e[1]))

@@ -139,11 +139,41 @@ def test_decontamination_finds_phrases(spark):
 
 
 def test_decontamination_proximity(spark):
-    docs = decontaminate.keyed(table(spark, [(1, "aa bb cc extra dd ee"), (2, "aa bb cc dd ee"), (3, "ee dd")]), "doc_id", "text")
-    wins = common.stored(decontaminate.anchored(docs, decontaminate.windows(spark.createDataFrame([(1, "aa bb cc dd ee")], "item_id long, text string"))))
-    index = common.stored(decontaminate.postings(docs, wins.select("term").distinct()))
-    assert [r.key.id for r in decontaminate.exact(index, wins).collect()] == [2]
-    assert {r.key.id for r in decontaminate.near(index, wins, 2).collect()} >= {2}
+    texts = {1: "aa bb cc extra dd ee", 2: "zz aa bb cc dd ee", 3: "ee dd", 4: "aa bb cc dd", 5: "ee aa bb cc dd"}
+    items = [(1, "aa bb cc dd ee"), (2, "aa bb missing dd"), (3, "cc cc")]
+    out = {r.doc_id: r for r in decontaminate.judge(table(spark, list(texts.items())), spark.createDataFrame(items, "item_id long, text string"), slack=2).collect()}
+    w = {i: t.split() for i, t in texts.items()}
+    count = lambda t: sum(x.count(t) for x in w.values())
+
+    def near(doc, item):
+        rare = sorted({t for t in item if count(t)}, key=lambda t: (count(t), t))[:2]
+        at = [[k - item.index(t) for k, x in enumerate(doc) if x == t] for t in rare]
+        return len(rare) == 2 and any(abs(x - y) <= 2 for x in at[0] for y in at[1])
+
+    for i, doc in w.items():
+        assert out[i].n_close == sum(near(doc, t.split()) for _, t in items), i
+    assert [i for i in texts if out[i].n_hit] == [2] and out[2].n_hit == 5 and out[3].n_close < 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_decontamination_equals_brute_force(spark, seed):
+    g = random.Random(seed)
+    draw = lambda n: [g.choice("abcdef") for _ in range(n)]
+    docs = [(i, " ".join(draw(g.randint(0, 40)))) for i in range(40)] + EDGE[:4]
+    items = [(i, " ".join(draw(g.choice([1, 2, 3, 4, 6])))) for i in range(12)]
+    out = decontaminate.judge(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), size=4).collect()
+    want = []
+    for i, t in docs:
+        doc, hit, ids = (t or "").split(), set(), set()
+        for k, item in items:
+            w = item.split()
+            for win in {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if w else ():
+                for s in range(len(doc) - len(win) + 1):
+                    if tuple(doc[s : s + len(win)]) == win:
+                        hit |= set(range(s, s + len(win)))
+                        ids.add(str(k))
+        want.append((i, len(doc), len(hit), sorted(ids)))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in out) == sorted(want)
 
 
 def test_decontamination_without_items(spark):
@@ -168,6 +198,33 @@ def test_secret_scan_equals_re(spark):
     assert "abcdefgh" not in by[10].clean and by[10].clean.startswith("[SECRET]")
 
 
+def test_trigram_queries_hold_for_every_match():
+    g = random.Random(5)
+    forms = [("ab(cd|ce)f?gh+", "abcdefgh"), ("(xyz|xyw)[0-9]{2,}end", "xyzw0123end"), ("a?bcd(ef)*ghi", "abcdefghi"), ("(?i:Key|Lock)=x{3}y", "keylocKEYLOC=xy"), ("[ab]cd[ef]", "abcdef"), ("q|rst", "qrst")]
+    for regex, letters in forms:
+        clauses = secret_scan.mandatory(regex)
+        for _ in range(20_000):
+            t = "".join(g.choices(letters, k=g.randint(1, 14)))
+            if m := re.search(regex, t):
+                assert all(any(w in m[0].lower() for w in c) for c in clauses), (regex, m[0], clauses)
+    assert secret_scan.mandatory("q|rst") == [] and secret_scan.mandatory("[0-9a-f]{24,}") == []
+
+
+def test_secret_scan_of_a_text_with_many_spans(spark):
+    token = "0123456789abcdef01234567"
+    text = " é ".join([token] * 20_000)
+    out = secret_scan.scan(table(spark, [(1, text), (2, "x" * 1_000_000)])).collect()
+    by = {r.doc_id: r.spans for r in out}
+    assert [(x.start, x.end) for x in by[1]] == [(27 * k, 27 * k + 24) for k in range(20_000)] and by[2] == []
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    df = spark.createDataFrame([("abcdefghij", [(0, 2), (1, 4), (6, 7), (7, 9)]), ("abc", []), ("x" * 2000, [(2 * k, 2 * k + 1) for k in range(900)])], "text string, spans array<struct<start:int,end:int>>")
+    got = [r[0] for r in df.select(secret_scan.redact(F.col("text"), F.col("spans"), "*")).collect()]
+    assert got[:2] == ["*ef**j", "abc"]
+    assert got[2] == "*x" * 900 + "x" * 200
+
+
 def test_sentencepiece_equals_the_library_and_round_trips(spark):
     import sentencepiece
 
@@ -253,6 +310,28 @@ def test_language_id_on_held_out_rows(spark):
     assert sum(r.rejected for i, r in out.items() if i < 900) < 6
 
 
+def test_language_id_learns_every_language_and_knows_letters(spark):
+    rows = [(1000 * k + i, f"l{k:03d}", " ".join([f"{chr(0x4E00 + k)}{chr(0x5E00 + k)}"] * 5)) for k in range(300) for i in range(4)]
+    docs = spark.createDataFrame([*rows, (900_001, None, "² ½ ① Ⅷ"), (900_002, None, "́ 1")], "doc_id long, lang string, text string")
+    model = lang_id.fit(docs, F.lit(True), lang_id.Params(epochs=3, buckets=1 << 12))
+    assert len(model.languages) == 300
+    out = {r.doc_id: r for r in lang_id.predict(docs, model).collect()}
+    assert all(out[i].lang_pred == "und" and out[i].rejected and out[i].score == 0 for i in (900_001, 900_002))
+    assert all(out[i].lang_pred in model.languages for i, *_ in rows)
+
+
+def test_language_id_scores_equal_direct_averaging(spark):
+    rows = [(i, "aa" if i % 2 else "bb", ("ox en " if i % 2 else "zu ki ") * (1 + i % 4)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (99, None, "Ox éa " * 50_000)], "doc_id long, lang string, text string")
+    model = lang_id.fit(docs, F.lit(True), lang_id.Params(buckets=1 << 10, epochs=2))
+    for r in lang_id.predict(docs, model).collect():
+        text = next(t for i, _, t in [*rows, (99, None, "Ox éa " * 50_000)] if i == r.doc_id)
+        ids = np.concatenate(lang_id.grams([text], model.buckets)[0])
+        z = model.table[ids].astype(float).mean(0) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-6)
+
+
 def test_language_id_with_nothing_to_learn_from(spark):
     docs = table(spark, EDGE).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in lang_id.predict(docs, lang_id.fit(docs, F.lit(True))).collect()} == {"und"}
@@ -308,6 +387,58 @@ def test_url_rules_and_segmentation(spark):
     assert url_filter.best_split("goldmine", {"gold": math.log(0.4), "mine": math.log(0.4)}, 10.0) == ["gold", "mine"]
 
 
+def test_url_verdicts_equal_naive_bayes_by_hand(spark):
+    from collections import Counter
+
+    rules = [("good.org", "/", "allow"), ("bad.org", "/", "block")]
+    g = random.Random(2)
+    urls = [f"http://{h}.good.org/{g.choice(['news', 'daily'])}/{k}" for k, h in enumerate(["redcat", "catred", "cat"])] + [f"http://{h}.bad.org/{g.choice(['win', 'spin'])}/{10 * k}" for k, h in enumerate(["goldwin", "goldcat", "win"])]
+    urls += ["http://goldred.net/win/1", "http://cat.net/daily/22", "http://unseen.net/", "http://" + "gold" * 60 + ".net/x", None, ""]
+    html = "<p>red cat gold win red cat gold win org net good bad</p>"
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate([*urls, *urls[:2]])] + [(None, "http://cat.net/daily/22", None)], "page_id long, url string, html string")
+    for c in ("name", "words", "word", "n", "token", "known", "score", "hit"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    out = url_filter.judge(pages, rules).collect()
+    assert len(out) == pages.count()
+    vocabulary = {w: 1.0 for w in ("red", "cat", "gold", "win", "org", "net", "good", "bad", "p")}
+
+    def tokens(u):
+        m = re.match(r"http://([^/]*)(.*)", u or "")
+        if not m:
+            return []
+        logs = {w: math.log(1 / 10) for w in vocabulary}
+        host = [x for name in m[1].split(".") if name for x in url_filter.best_split(name, logs, 10.0)]
+        return host + ["#" + str(len(t)) if t.isdigit() else "/" + t for t in m[2].split("/") if t]
+
+    known = [(u, "allow" if "good.org" in u else "block") for u in [r.url for r in pages.select("url").collect()] if u and (".good.org" in u or ".bad.org" in u)]
+    seen = {v: Counter(t for u, k in known if k == v for t in tokens(u)) for v in ("allow", "block")}
+    v = len(set(seen["allow"]) | set(seen["block"]))
+    prior = {k: sum(x == k for _, x in known) + 1 for k in seen}
+    for r in out:
+        u = next(x.url for x in pages.collect() if x.page_id == r.page_id)
+        if r.rule is None:
+            z = {k: math.log(prior[k]) + sum(math.log((c[t] + 1) / (sum(c.values()) + v + 1)) for t in tokens(u)) for k, c in seen.items()}
+            unseen = [t for t in tokens(u) if not seen["allow"][t] and not seen["block"][t]]
+            z = {k: z[k] - sum(math.log(1 / (sum(c.values()) + v + 1)) for _ in unseen) for k, c in seen.items()}
+            assert r.verdict == ("block" if z["block"] > z["allow"] else "allow"), u
+
+
+def test_label_model_posterior_equals_enumeration():
+    g = np.random.default_rng(1)
+    patterns = np.unique(g.integers(0, 1 << toxicity.VOTERS, 40))
+    counts, told = g.integers(1, 50, len(patterns)).astype(float), g.integers(0, 3, (2, len(patterns))).astype(float)
+    m = toxicity.LabelModel(patterns, counts, told, np.full(len(patterns), 0.3), 5)
+    x = (patterns[:, None] >> np.arange(toxicity.VOTERS)) & 1
+    assert sum(p < 0 for p in m.parent) == 1
+    for row, got in zip(x, m.posterior(x)):
+        p = [float(m.prior[c]) for c in (0, 1)]
+        for c in (0, 1):
+            for i, j in enumerate(m.parent):
+                f = m.fires[c, i, row[j] if j >= 0 else 0]
+                p[c] *= f if row[i] else 1 - f
+        assert got == pytest.approx(p[1] / sum(p), rel=1e-6)
+
+
 def brute_links(vectors, cosine):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     width = max(map(len, ok.values()))
@@ -389,4 +520,10 @@ def test_empty_tables(spark, empty):
     docs = table(spark, empty)
     n = len(empty)
     assert ngram_jaccard.link(docs).count() == n and suffix_dedup.remove_repeats(docs).count() == n and secret_scan.scan(docs).count() == n
+    tagged = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("toxic", F.lit(0))
+    assert lang_id.predict(docs, lang_id.fit(tagged, F.lit(True))).count() == n
+    assert toxicity.predict(docs, toxicity.fit(docs, tagged.select("doc_id", "toxic"), F.lit(True))).count() == n
+    assert decontaminate.judge(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == n
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    assert url_filter.judge(pages, [("com", "/", "allow")]).count() == n
     assert sentencepiece_codec.encode(docs).count() == n and lattice_lm.score(docs, F.lit(True)).count() == n
