@@ -108,15 +108,24 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
     """Inside by crossing number, or on an edge."""
     edges = ring_edges(ring)
-    crossed = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))), 1).otherwise(0))
-    on = F.exists(edges, lambda e: ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"])) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-    return (crossed % 2 == 1) | on
+    crossed = F.size(F.filter(edges, lambda e: edge_crossed(e, x, y)))
+    return (crossed % 2 == 1) | F.exists(edges, lambda e: on_edge(e, x, y))
+
+
+def edge_crossed(e: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from a point to the right crosses an edge; its lower end counts, its upper doesn't."""
+    across = x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+    return ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce(across, F.lit(False))
+
+
+def on_edge(e: Column, x: Column, y: Column) -> Column:
+    return ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"])) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
 
 def edge_distance_sq(e: Column, x: Column, y: Column) -> Column:
     """Squared distance of a point to an edge."""
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy)))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
     px, py = e["x1"] + t * dx - x, e["y1"] + t * dy - y
     return px * px + py * py
 
@@ -150,3 +159,10 @@ def crossing_edges(ring: Column) -> Column:
 
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
+
+
+def whole_box(ring: Column, space, low_x: float, low_y: float) -> list[Column]:
+    """Whole numbers x1, y1, x2, y2 around a ring moved by space(value, low)."""
+    b = ring_bounds(ring)
+    down = [F.floor(space(b[c], low)).alias(n) for c, low, n in (("xmin", low_x, "x1"), ("ymin", low_y, "y1"))]
+    return down + [F.ceil(space(b[c], low)).alias(n) for c, low, n in (("xmax", low_x, "x2"), ("ymax", low_y, "y2"))]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as S
 from cellweave.operators.celltypes import confidence_trace
-from cellweave.operators.grid import dictionary, surrounded
+from cellweave.operators.grid import dictionary, shared_around
 from cellweave.sources.scratch import stored
 
 STEPS = 15  # the most steps of growth
@@ -31,10 +31,11 @@ def gathered(rows: DataFrame, labels: DataFrame, at: tuple[str, str], name: str)
     return rows.join(labels.select(F.col("x").alias(at[0]), F.col("y").alias(at[1]), F.col("label").alias(name)), list(at), "left")
 
 
-def expand_step(grid: DataFrame, labels: DataFrame, width: int, height: int, first: bool, threshold: float = 0.5) -> DataFrame:
+def expand_step(grid: DataFrame, labels: DataFrame, width: int, height: int, first: bool, threshold: float = 0.5, stopped: DataFrame | None = None) -> DataFrame:
     """One step: an unlabelled foreground pixel takes the label at its flow target if a diagonal neighbour has it; then islands fill.
 
-    grid: with_targets() without labels; labels: x, y, label. Only the open pixels are joined with their targets."""
+    grid: with_targets() without labels; labels: x, y, label; stopped: flow, the labels that no pixel may flow into any more (islands
+    still take them). Only the open pixels are joined with their targets."""
     open_ = labels.where("label = -1").select("x", "y").join(grid.where(F.col("foreground") >= threshold), ["x", "y"])
     met = gathered(open_, labels, ("fx", "fy"), "l1")
     if first:
@@ -43,6 +44,8 @@ def expand_step(grid: DataFrame, labels: DataFrame, width: int, height: int, fir
         met = gathered(met, labels, ("gx", "gy"), "l2")
         flow = F.greatest("l1", "l2")
     met = met.select("x", "y", flow.alias("flow")).where("flow <> -1")
+    if stopped is not None:
+        met = met.join(stopped, "flow", "left_anti")
     near = met
     for k, (i, j) in enumerate(DIAGONALS):
         near = near.withColumn(f"x{k}", S.clip(F.col("x") + i, 0, width - 1)).withColumn(f"y{k}", S.clip(F.col("y") + j, 0, height - 1))
@@ -53,24 +56,20 @@ def expand_step(grid: DataFrame, labels: DataFrame, width: int, height: int, fir
 
 
 def filled(labels: DataFrame) -> DataFrame:
-    """Unlabelled pixels whose four neighbours share a label other than -1 and 0 take it."""
-    around = labels.withColumn("_s", surrounded())
-    return around.select("x", "y", F.when((F.col("label") == -1) & (F.col("_s") > 0), F.col("_s")).otherwise(F.col("label")).alias("label"))
+    """Unlabelled pixels whose four neighbours share a label other than -1, background included, take it."""
+    shared = shared_around(labels, labels.where("label = -1")).where("shared <> -1")
+    return labels.join(shared, ["x", "y"], "left").select("x", "y", F.coalesce("shared", "label").alias("label"))
 
 
 def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, on_step: Callable[[int, DataFrame], None] | None = None, exclude: Callable[[int, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows (x, y, label) after `steps` steps, or once a step changes no pixel. exclude(step, labels) may give ids (label) that
-    stop growing, and at a later step no fewer of them. The first step looks less far than the others, so it never is the last."""
+    nothing flows into any more, and at a later step no fewer of them. The first step looks less far than the others, so it never is the last."""
     grid = stored(with_targets(pixels, width, height).drop("label"))
     labels = stored(pixels.select("x", "y", "label"))
     left = labels.where("label = -1").count()  # a step changes only open pixels, and leaves none that it changes open
     for step in range(steps):
-        after = expand_step(grid, labels, width, height, step == 0, threshold)
-        if exclude is not None:
-            stopped = exclude(step, labels).select(F.col("label").alias("after"), F.lit(True).alias("stop"))
-            both = after.withColumnRenamed("label", "after").join(labels, ["x", "y"]).join(stopped, "after", "left")
-            after = both.select("x", "y", F.when(F.col("stop"), F.col("label")).otherwise(F.col("after")).alias("label"))
-        labels = stored(after)
+        stopped = None if exclude is None else exclude(step, labels).select(F.col("label").alias("flow"))
+        labels = stored(expand_step(grid, labels, width, height, step == 0, threshold, stopped))
         if on_step is not None:
             on_step(step, labels)
         before, left = left, labels.where("label = -1").count()
@@ -80,14 +79,14 @@ def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, thr
 
 
 def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20, threshold: float = 0.5) -> DataFrame:
-    """Undirected components of foreground pixels linked to their flow targets, of at least `least` pixels, numbered 1 .. n
-    by their first pixel; other pixels are 0. Labels are the least pixel number of a component, by propagation with jumps."""
+    """Undirected components of foreground pixels linked to their flow targets, which need not be foreground themselves, of at least
+    `least` foreground pixels, numbered 1 .. n by their first pixel; other pixels are 0, but for those whose four neighbours
+    share a component, which join it. Labels are the least pixel number of a component, by propagation with jumps."""
     number = F.col("x") * height + F.col("y")
     fx, fy = S.flow_destination(F.col("x"), F.col("y"), F.col("angle"), math.sqrt(2), width, height)
     on = stored(pixels.where(F.col("foreground") >= threshold).select(number.alias("id"), (fx * height + fy).alias("to")))
-    edges = on.join(on.select(F.col("id").alias("to")), "to", "left_semi")
-    edges = stored(edges.select(F.col("id").alias("a"), F.col("to").alias("b")).union(edges.select("to", "id")))
-    labels = stored(on.select("id", F.col("id").alias("c")))
+    edges = stored(on.select(F.col("id").alias("a"), F.col("to").alias("b")).union(on.select("to", "id")))
+    labels = stored(edges.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "id")
         step = labels.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
@@ -96,10 +95,13 @@ def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20,
         if after.where("moved").isEmpty():
             break
         labels = after.select("id", "c")
+    labels = stored(labels.join(on.select("id"), "id", "left_semi"))
     sizes = labels.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     named = dictionary(sizes, "c", "label", 1)
     found = labels.join(named, "c").select("id", "label")
-    return pixels.select("x", "y", number.alias("id")).join(found, "id", "left").select("x", "y", F.coalesce("label", F.lit(0)).alias("label"))
+    out = stored(pixels.select("x", "y", number.alias("id")).join(found, "id", "left").select("x", "y", F.coalesce("label", F.lit(0)).cast("long").alias("label")))
+    islands = shared_around(out, out.where("label = 0")).where("shared <> 0")
+    return out.join(islands, ["x", "y"], "left").select("x", "y", F.coalesce("shared", "label").alias("label"))
 
 
 def cull_empty_pixels(labels: DataFrame, tx: DataFrame, prior: DataFrame) -> DataFrame:

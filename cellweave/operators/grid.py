@@ -8,19 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cellweave.sources.scratch import stored
+
 
 def dictionary(df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
     """Rows (key, name): the distinct keys numbered first, first + 1, ... in their order.
 
-    Genes, nuclei and segments of one slide are numbered; a bucket of keys is ranked on its own and shifted by
-    the sizes of the buckets before it, so no task holds all keys."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    cuts = [r[0] for r in keys.agg(F.min(key), F.max(key)).collect()]
-    if cuts[0] is None or isinstance(cuts[0], str):
-        bucket = F.substr(key, F.lit(1), F.lit(6)) if cuts[0] is not None else F.lit(0)
-    else:
-        bucket = F.floor(F.col(key) / F.lit(65536)).cast("long")
-    keys = keys.withColumn("_b", bucket)
+    Keys are range-partitioned, each range is ranked on its own and shifted by the sizes of the ranges before it, so no task holds
+    all keys and no bucket is hot, whatever the keys look like. Only one row a range is gathered."""
+    keys = stored(df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).withColumn("_b", F.spark_partition_id()))
     before = keys.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(W.partitionBy("_b").orderBy(key)) + F.col("_before") - 1 + first
     return keys.join(before, "_b").select(key, rank.cast("long").alias(name))
@@ -77,8 +73,10 @@ def neighbour_edges(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return right.unionAll(up)
 
 
-def surrounded(label: str = "label") -> Column:
-    """For a dense grid: the label that all four neighbours share, null where they don't or where one is missing."""
-    row, col = W.partitionBy("x").orderBy("y"), W.partitionBy("y").orderBy("x")
-    n = [F.lag(label).over(row), F.lead(label).over(row), F.lag(label).over(col), F.lead(label).over(col)]
-    return F.when((n[0] == n[1]) & (n[1] == n[2]) & (n[2] == n[3]), n[0])
+def shared_around(labels: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """labels: x, y, label. Rows (x, y, shared) of the pixels of `of` (x, y; default all) whose four neighbours exist and share a label."""
+    sides = F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    near = (labels if of is None else of).select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(sides).alias("_p")).select("_x", "_y", "_p.x", "_p.y")
+    met = near.join(labels.select("x", "y", "label"), ["x", "y"]).groupBy(F.col("_x").alias("x"), F.col("_y").alias("y"))
+    four = met.agg(F.count("label").alias("_n"), F.min("label").alias("shared"), F.max("label").alias("_hi"))
+    return four.where("_n = 4 AND shared = _hi").select("x", "y", "shared")

@@ -34,12 +34,20 @@ def assign_points_first(polygons: DataFrame, points: DataFrame, id_col: str, poi
 
 
 def nearest_polygon(polygons: DataFrame, points: DataFrame, id_col: str, point: list[str], x: str, y: str, most: float) -> DataFrame:
-    """Rows (*point, id_col, distance): the nearest polygon within `most`; the least id on ties; null if there is none."""
+    """Rows (*point, id_col, distance): the nearest polygon within `most`; the least id on ties; null if there is none.
+
+    A point meets the polygons of its cell, those whose grown box holds it give a row an edge, and edges are folded by partial
+    aggregation. point: columns that tell points apart."""
     at = points.withColumn("_gx", F.floor(F.col(x) / CELL)).withColumn("_gy", F.floor(F.col(y) / CELL))
-    d = S.ring_distance(F.col("ring"), F.col(x), F.col(y))
-    met = at.join(covered(polygons.select(id_col, "ring"), most), ["_gx", "_gy"]).select(*point, id_col, d.alias("distance")).where(F.col("distance") <= most)
-    best = met.groupBy(*point).agg(F.min(F.struct("distance", id_col)).alias("_b")).select(*point, F.col(f"_b.{id_col}").alias(id_col), F.col("_b.distance").alias("distance"))
-    return points.select(*point).join(best, point, "left")
+    near = F.col(x).between(F.col("_xmin") - most, F.col("_xmax") + most) & F.col(y).between(F.col("_ymin") - most, F.col("_ymax") + most)
+    met = at.join(covered(polygons.select(id_col, "ring"), most), ["_gx", "_gy"], "left").select(*point, x, y, F.when(near, F.col(id_col)).alias(id_col), F.when(near, F.col("ring")).alias("ring"))
+    edges = met.select(*point, x, y, id_col, F.explode_outer(S.ring_edges(F.col("ring"))).alias("e"))
+    e, px, py = F.col("e"), F.col(x), F.col(y)
+    crossed, on = S.edge_crossed(e, px, py), S.on_edge(e, px, py)
+    each = edges.groupBy(*point, id_col).agg(F.min(S.edge_distance_sq(e, px, py)).alias("_d"), F.sum(crossed.cast("int")).alias("_n"), F.max(on).alias("_on"))
+    d = F.when((F.col("_n") % 2 == 1) | F.col("_on"), F.lit(0.0)).otherwise(F.sqrt("_d"))
+    best = each.withColumn("distance", d).groupBy(*point).agg(F.min(F.when(F.col("distance") <= most, F.struct("distance", id_col))).alias("_b"))
+    return best.select(*point, F.col(f"_b.{id_col}").alias(id_col), F.col("_b.distance").alias("distance"))
 
 
 def dense_near(pixels: DataFrame, tx: DataFrame, k: int, radius: int, x: str, y: str) -> DataFrame:

@@ -181,6 +181,21 @@ def bbox_to_raster(t):
     return t.polygons("nucleus_vertices", "cell_id").select("cell_id", F.floor(b["xmin"] / 2).alias("x1"), F.floor(b["ymin"] / 2).alias("y1"), F.ceil(b["xmax"] / 2).alias("x2"), F.ceil(b["ymax"] / 2).alias("y2"))
 
 
+_BOX = "FROM (SELECT cell_id, min(vertex_x) AS xmin, max(vertex_x) AS xmax, min(vertex_y) AS ymin, max(vertex_y) AS ymax FROM {nucleus_vertices} GROUP BY cell_id)"
+
+
+@query(f"SELECT cell_id, CAST(floor(xmin*0.5E0 + 11) AS BIGINT) AS x1, CAST(floor(ymin*0.5E0 + 7) AS BIGINT) AS y1, CAST(ceil(xmax*0.5E0 + 11) AS BIGINT) AS x2, CAST(ceil(ymax*0.5E0 + 7) AS BIGINT) AS y2 {_BOX}")
+def bbox_to_slide(t):
+    """Whole slide units around raster boxes of half a unit a pixel, of an area that begins at (11, 7)."""
+    return t.polygons("nucleus_vertices", "cell_id").select("cell_id", *S.whole_box(F.col("ring"), lambda v, low: S.to_slide(v, low, 0.5), 11.0, 7.0))
+
+
+@query(f"SELECT cell_id, CAST(floor((xmin - 11)/0.5E0) AS BIGINT) AS x1, CAST(floor((ymin - 7)/0.5E0) AS BIGINT) AS y1, CAST(ceil((xmax - 11)/0.5E0) AS BIGINT) AS x2, CAST(ceil((ymax - 7)/0.5E0) AS BIGINT) AS y2 {_BOX}")
+def bbox_to_slice(t):
+    """Whole pixels around slide boxes, of an area that begins at (11, 7)."""
+    return t.polygons("nucleus_vertices", "cell_id").select("cell_id", *S.whole_box(F.col("ring"), lambda v, low: S.to_raster(v, low, 0.5), 11.0, 7.0))
+
+
 @query("SELECT cell_id, k, round(vertex_x*0.2125E0 + vertex_y*0.01E0 + 3, 6) AS x, round(vertex_y*0.2125E0 - vertex_x*0.01E0 + 5, 6) AS y FROM {nucleus_vertices}")
 def affine_transform(t):
     moved = t.polygons("nucleus_vertices", "cell_id").select("cell_id", F.posexplode(S.affine(F.col("ring"), [[0.2125, 0.01, 3.0], [-0.01, 0.2125, 5.0]])).alias("k", "p"))
@@ -354,10 +369,11 @@ def neighbour_edges(t):
     return grid.neighbour_edges(t.pixels, *t.size())
 
 
-@query("""SELECT p.x, p.y, CASE WHEN a.label = b.label AND b.label = c.label AND c.label = d.label THEN a.label END AS shared FROM {pixels} p
-LEFT JOIN {pixels} a ON a.x = p.x - 1 AND a.y = p.y LEFT JOIN {pixels} b ON b.x = p.x + 1 AND b.y = p.y LEFT JOIN {pixels} c ON c.x = p.x AND c.y = p.y - 1 LEFT JOIN {pixels} d ON d.x = p.x AND d.y = p.y + 1""")
+@query("""SELECT x, y, CASE WHEN a = b AND b = c AND c = d THEN a END AS shared FROM (SELECT x, y, lag(label) OVER v AS a, lead(label) OVER v AS b, lag(label) OVER u AS c, lead(label) OVER u AS d
+FROM {pixels} WINDOW v AS (PARTITION BY x ORDER BY y), u AS (PARTITION BY y ORDER BY x))""")
 def adjacent_pixels(t):
-    return t.pixels.select("x", "y", "label").withColumn("shared", grid.surrounded()).select("x", "y", "shared")
+    labels = t.pixels.select("x", "y", "label")
+    return labels.select("x", "y").join(grid.shared_around(labels), ["x", "y"], "left")
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------------------
@@ -692,7 +708,7 @@ def _grown_sql(steps: int) -> str:
         out.append(f"c{k} AS (SELECT l.x, l.y, {flow} AS flow, n_rows*20 - 1 AS h FROM l{k} l JOIN g USING (x, y) CROSS JOIN {{slide}} JOIN l{k} f1 ON f1.x = fx AND f1.y = fy{second} WHERE l.label = -1)")
         out.append(f"t{k} AS (SELECT c.x, c.y, flow FROM c{k} c {joins} WHERE flow <> -1 AND ({near}))")
         out.append(f"m{k} AS (SELECT x, y, coalesce(flow, label) AS label FROM l{k} LEFT JOIN t{k} USING (x, y))")
-        out.append(f"l{k + 1} AS (SELECT x, y, CASE WHEN label = -1 AND a = b AND b = c AND c = d AND a > 0 THEN a ELSE label END AS label FROM (SELECT x, y, label, lag(label) OVER v AS a, lead(label) OVER v AS b, lag(label) OVER u AS c, lead(label) OVER u AS d FROM m{k} WINDOW v AS (PARTITION BY x ORDER BY y), u AS (PARTITION BY y ORDER BY x)))")
+        out.append(f"l{k + 1} AS (SELECT x, y, CASE WHEN label = -1 AND a = b AND b = c AND c = d AND a <> -1 THEN a ELSE label END AS label FROM (SELECT x, y, label, lag(label) OVER v AS a, lead(label) OVER v AS b, lag(label) OVER u AS c, lead(label) OVER u AS d FROM m{k} WINDOW v AS (PARTITION BY x ORDER BY y), u AS (PARTITION BY y ORDER BY x)))")
     return ", ".join(out)
 
 

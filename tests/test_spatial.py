@@ -209,3 +209,64 @@ def test_growth_to_its_end_equals_brute_force(spark, monkeypatch):
     for name in ("job_segment", "expand_early_stop", "cull_empty_pixels", "greedy_expansion_whole"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert asked == [15] * 4
+
+
+def grid_of(spark, rng, n=14):
+    rows = [(x, y, float(rng.uniform(-3.1, 3.1)), float(rng.random())) for x in range(n) for y in range(n)]
+    return rows, spark.createDataFrame(rows, "x long, y long, angle double, foreground double")
+
+
+def test_flow_components_equal_brute_force(spark):
+    import numpy as np
+
+    n, least = 14, 3
+    rows, df = grid_of(spark, np.random.default_rng(4), n)
+    up = list(range(n * n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    on = set()
+    for x, y, angle, foreground in rows:
+        if foreground >= 0.5:
+            on.add(x * n + y)
+            fx, fy = (int(min(max(np.floor(v + 0.5 + d * np.sqrt(2)), 0), n - 1)) for v, d in ((x, np.cos(angle)), (y, np.sin(angle))))
+            a, b = root(x * n + y), root(fx * n + fy)
+            up[max(a, b)] = min(a, b)
+    size = {r: sum(root(i) == r for i in on) for r in {root(i) for i in on}}
+    names = {r: k + 1 for k, r in enumerate(sorted(r for r in size if size[r] >= least))}
+    want = {i: names.get(root(i), 0) if i in on else 0 for i in range(n * n)}
+    for i, v in dict(want).items():
+        x, y = divmod(i, n)
+        if not v and 0 < x < n - 1 and 0 < y < n - 1 and len(s := {want[i - 1], want[i + 1], want[i - n], want[i + n]}) == 1 and s != {0}:
+            want[i] = -s.pop()  # marked, so that it fills no other
+    got = {r.x * n + r.y: r.label for r in expand.flow_components(df, n, n, least).collect()}
+    assert got == {i: abs(v) for i, v in want.items()}
+
+
+def test_islands_take_background_too_and_sparse_grids_have_none(spark):
+    cells = [(x, y, 0) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [(1, 1, -1)]
+    assert {(r.x, r.y): r.label for r in expand.filled(spark.createDataFrame(cells, "x long, y long, label long")).collect()}[(1, 1)] == 0
+    sparse = [(0, 2, 5), (4, 2, 5), (2, 0, 5), (2, 4, 5), (2, 2, -1)]
+    assert {(r.x, r.y): r.label for r in expand.filled(spark.createDataFrame(sparse, "x long, y long, label long")).collect()}[(2, 2)] == -1
+
+
+def test_stopped_segments_still_fill_islands(spark):
+    n = 5
+    labels = spark.createDataFrame([(x, y, -1 if (x, y) == (2, 2) or x == 4 else 7) for x in range(n) for y in range(n)], "x long, y long, label long")
+    pixels = labels.selectExpr("x", "y", "label", "3.14159D AS angle", "1D AS foreground")
+    stop = lambda step, _: spark.createDataFrame([(7,)], "label long")
+    out = {(r.x, r.y): r.label for r in expand.greedy_expansion(pixels, n, n, 3, exclude=stop).collect()}
+    assert out[(2, 2)] == 7 and all(out[(4, y)] == -1 for y in range(n))
+    free = {(r.x, r.y): r.label for r in expand.greedy_expansion(pixels, n, n, 3).collect()}
+    assert any(free[(4, y)] == 7 for y in range(n))
+
+
+def test_dictionary_numbers_keys_in_order(spark):
+    from cellweave.operators import grid
+
+    for keys, kind in (([f"cell_1{k}" for k in range(500)], "string"), (list(range(0, 90_000, 7)), "long"), ([], "string")):
+        got = sorted((r[1], r[0]) for r in grid.dictionary(spark.createDataFrame([(k,) for k in [*keys, None]], f"k {kind}"), "k", "n", 3).collect())
+        assert got == list(enumerate(sorted(keys), 3))
