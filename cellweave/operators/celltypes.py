@@ -71,6 +71,19 @@ def model_scores(counts: DataFrame, profiles: DataFrame, priors: DataFrame) -> D
     return ll.agg(F.sum("ll").alias("loglik"), F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("loglik", (2 * dof - 2 * F.col("loglik")).alias("aic"), (dof * F.log("n") - 2 * F.col("loglik")).alias("bic"))
 
 
+def fit_chains(counts: DataFrame, genes: DataFrame, ks: list[int], chains: int, steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """Rows (k, chain, loglik, aic, bic): for each number of types, `chains` fits from starts of their own. Each fit is a Spark job over all
+    cells of counts; the loop runs over models, a handful of them."""
+    counts, genes = stored(counts), stored(genes)
+    out = None
+    for k in ks:
+        for chain in range(chains):
+            model = fit(counts, genes, *initial(counts.sparkSession, genes, k, chain + 1), steps=steps, tolerance=tolerance)
+            scores = stored(model_scores(counts, *model)).select(F.lit(k).alias("k"), F.lit(chain).alias("chain"), "loglik", "aic", "bic")
+            out = scores if out is None else out.unionByName(scores)
+    return out
+
+
 def hard_types(post: DataFrame) -> DataFrame:
     """Rows (cell, celltype, p) of the likeliest type, the least on ties."""
     best = F.row_number().over(W.partitionBy("cell").orderBy(F.desc(F.round("p", 9)), "celltype"))

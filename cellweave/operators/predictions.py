@@ -30,6 +30,22 @@ def dice(a: Column, b: Column) -> Column:
     return (2 * F.sum(a * b) + EPS) / (F.sum(a) + F.sum(b) + EPS)
 
 
+def multiclass_dice(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """rows: *by, truth, predicted (classes 1 .. k; others count for none). One row (multiclass_dice): the mean of the Dice of each class in
+    each group, a class that neither side has counting as 1. Counts are gathered a group and pair of classes first."""
+    pairs = rows.groupBy(*by, "truth", "predicted").agg(F.count("*").alias("_n"))
+    each = pairs.select(*by, "_n", "truth", "predicted", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_c"))
+    a, b = F.col("truth") == F.col("_c"), F.col("predicted") == F.col("_c")
+    both, size = 2 * F.sum(F.when(a & b, F.col("_n")).otherwise(0)), F.sum(F.col("_n") * (F.coalesce(a, F.lit(False)).cast("int") + F.coalesce(b, F.lit(False)).cast("int")))
+    per = each.groupBy(*by, "_c").agg(both.alias("_i"), size.alias("_s"))
+    return per.agg(F.avg((F.col("_i") + EPS) / (F.when(F.col("_s") == 0, F.col("_i")).otherwise(F.col("_s")) + EPS)).alias("multiclass_dice"))
+
+
+def dice_loss(a: Column, b: Column) -> Column:
+    """1 less the Dice of a whole batch."""
+    return 1 - dice(a, b)
+
+
 def foreground_accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows: label, foreground. Dice of foreground over nuclei with nuclei."""
     nucleus = F.when(F.col("label") > 0, 1.0).otherwise(0.0)

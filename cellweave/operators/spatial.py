@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions import scalars as S
+from cellweave.operators.grid import dictionary
 from cellweave.sources.scratch import stored
 
 CELL = 16.0  # side of a grid cell
@@ -50,6 +51,12 @@ def nearest_polygon(polygons: DataFrame, points: DataFrame, id_col: str, point:
     return best.select(*point, F.col(f"_b.{id_col}").alias(id_col), F.col("_b.distance").alias("distance"))
 
 
+def chunk_by_position(segments: DataFrame, id_col: str, x: str, y: str, size: int) -> DataFrame:
+    """Rows (id_col, chunk): segments in order of x, y and id, `size` to a chunk. Places are numbered by ranges, not in one task."""
+    placed = segments.select(F.struct(x, y, id_col).alias("_k"))
+    return dictionary(placed, "_k", "_at").select(F.col(f"_k.{id_col}").alias(id_col), F.floor(F.col("_at") / size).cast("long").alias("chunk"))
+
+
 def dense_near(pixels: DataFrame, tx: DataFrame, k: int, radius: int, x: str, y: str) -> DataFrame:
     """Rows (x, y) of pixels whose k-th nearest floored transcript is nearer than radius: counts a pixel are spread by offsets."""
     counts = tx.groupBy(F.floor(x).alias("x"), F.floor(y).alias("y")).agg(F.count("*").alias("n"))

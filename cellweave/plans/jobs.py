@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cellweave.operators import counts, spatial
+from cellweave.operators import celltypes, counts, spatial
 from cellweave.sources import io
+from cellweave.sources.scratch import stored
 
 
 def nuclear_counts(tx: DataFrame, vertices: DataFrame, least_qv: float = 20.0, least_molecules: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -18,3 +20,12 @@ def nuclear_counts(tx: DataFrame, vertices: DataFrame, least_qv: float = 20.0, l
     if least_molecules > 1:
         n = counts.cell_gene_table(n, "cell", least_molecules).select("cell", "gene_id", "n")
     return n, genes
+
+
+def fit_celltypes(found: DataFrame, genes: DataFrame, area: DataFrame, ks: list[int], chains: int, share: float = 0.25, steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """Rows (k, chain, loglik, aic, bic): the cells of `found` (cell, gene_id, n) inside an area (cell) with no fewer transcripts than the
+    `share` percentile of totals there, fitted for each number of types from `chains` starts."""
+    inside = stored(found.join(area.select("cell"), "cell", "left_semi"))
+    totals = inside.groupBy("cell").agg(F.sum("n").alias("total"))
+    kept = totals.crossJoin(F.broadcast(counts.percentile_cutoff(totals, share))).where("total >= cutoff").select("cell")  # one row is broadcast
+    return celltypes.fit_chains(inside.join(kept, "cell", "left_semi"), genes, ks, chains, steps, tolerance)

@@ -256,6 +256,25 @@ def dice(t):
     return _judged(t).agg(r6(predictions.dice(F.col("foreground"), truth)).alias("dice"))
 
 
+@query(f"""WITH {_JOINED}, c3 AS (SELECT unnest(generate_series(1, 3)) AS c),
+per AS (SELECT tile_id, c, 2*count(*) FILTER (class = c AND k = c) AS i, count(*) FILTER (class = c) + count(*) FILTER (k = c) AS s FROM j CROSS JOIN c3 GROUP BY tile_id, c)
+SELECT round(avg((i + 1e-6)/(CASE WHEN s = 0 THEN i ELSE s END + 1e-6)), 6) AS multiclass_dice FROM per""")
+def multiclass_dice(t):
+    out = predictions.multiclass_dice(_judged(t).withColumnRenamed("class", "truth"), ["tile_id"], 3)
+    return out.select(r6(F.col("multiclass_dice")).alias("multiclass_dice"))
+
+
+@query(f"WITH {_JOINED} SELECT round(1 - (2*sum(CASE WHEN label > 0 THEN foreground ELSE 0 END) + 1e-6)/(sum(foreground) + count(*) FILTER (label > 0) + 1e-6), 6) AS dice_loss FROM j")
+def dice_loss(t):
+    truth = F.when(F.col("label") > 0, 1.0).otherwise(0.0)
+    return _judged(t).agg(r6(predictions.dice_loss(F.col("foreground"), truth)).alias("dice_loss"))
+
+
+@query("SELECT cell_id, CAST(floor(CAST(row_number() OVER (ORDER BY x_centroid, y_centroid, cell_id) - 1 AS DOUBLE)/100) AS BIGINT) AS chunk FROM {cell_metadata}")
+def chunk_by_position(t):
+    return spatial.chunk_by_position(t.cell_metadata, "cell_id", "x_centroid", "y_centroid", 100)
+
+
 @query(f"""WITH {_JOINED}, m AS (SELECT tile_id, (2*sum(CASE WHEN label > 0 THEN foreground ELSE 0 END) + 1e-6)/(sum(CASE WHEN label > 0 THEN foreground ELSE 0 END) + count(*) FILTER (label > 0) + 1e-6) AS f,
  1 - avg(sqrt(least((a-b)*(a-b), (a-b-1)*(a-b-1), (a-b+1)*(a-b+1)))) FILTER (label > 0) AS g, (2*count(*) FILTER (label > 0 AND class = k) + 1e-6)/(2*count(*) FILTER (label > 0) + 1e-6) AS c FROM j GROUP BY tile_id HAVING count(*) FILTER (label > 0) > 0)
 SELECT round(avg(f), 6) AS foreground_accuracy, round(avg(g), 6) AS angle_accuracy, round(avg(c), 6) AS celltype_accuracy, round((avg(f) + avg(g) + avg(c))/3, 6) AS val_accuracy FROM m""")

@@ -270,3 +270,32 @@ def test_dictionary_numbers_keys_in_order(spark):
     for keys, kind in (([f"cell_1{k}" for k in range(500)], "string"), (list(range(0, 90_000, 7)), "long"), ([], "string")):
         got = sorted((r[1], r[0]) for r in grid.dictionary(spark.createDataFrame([(k,) for k in [*keys, None]], f"k {kind}"), "k", "n", 3).collect())
         assert got == list(enumerate(sorted(keys), 3))
+
+
+def test_multiclass_dice_equals_the_mean_over_groups_and_classes(spark):
+    rows = [(0, 1, 1), (0, 1, 2), (0, 2, 2), (0, 0, 3), (1, 3, 3), (1, 3, 3), (1, 0, 0)]
+    got = predictions.multiclass_dice(spark.createDataFrame(rows, "tile_id long, truth int, predicted int"), ["tile_id"], 3).first()[0]
+    want = []
+    for tile in (0, 1):
+        for c in (1, 2, 3):
+            a, b = [r[1] == c for r in rows if r[0] == tile], [r[2] == c for r in rows if r[0] == tile]
+            both, size = 2 * sum(x and y for x, y in zip(a, b)), sum(a) + sum(b)
+            want.append((both + 1e-6) / ((size or both) + 1e-6))
+    assert got == pytest.approx(sum(want) / len(want))
+
+
+def test_chunks_by_position(spark):
+    rows = [(k, float((k * 7) % 10), float((k * 3) % 5)) for k in range(53)]
+    got = {r.id: r.chunk for r in spatial.chunk_by_position(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 10).collect()}
+    assert got == {k: i // 10 for i, (_, _, k) in enumerate(sorted((x, y, k) for k, x, y in rows))}
+
+
+def test_fit_job_chooses_the_planted_number_of_types(spark):
+    from cellweave.plans import jobs
+
+    rows = [(c, g, 10 + (c * 7 + g) % 5 if g // 4 == c % 3 else 1) for c in range(60) for g in range(12)]
+    rows += [(c, 0, 1) for c in range(100, 110)] + [(c, g, 500) for c in (200, 201) for g in range(12)]  # too few transcripts; outside
+    n = spark.createDataFrame(rows, "cell long, gene_id long, n long")
+    area = spark.range(150).withColumnRenamed("id", "cell")
+    out = jobs.fit_celltypes(n, n.select("gene_id").distinct(), area, [2, 3], 2, steps=8).collect()
+    assert len(out) == 4 and min(out, key=lambda r: r.bic).k == 3
