@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Lower-case prefixes of control features.
 CONTROLS = ["negcontrolprobe_", "antisense_", "negcontrolcodeword_", "blank_", "deprecatedcodeword_", "unassignedcodeword_"]
@@ -166,3 +168,9 @@ def whole_box(ring: Column, space, low_x: float, low_y: float) -> list[Column]:
     b = ring_bounds(ring)
     down = [F.floor(space(b[c], low)).alias(n) for c, low, n in (("xmin", low_x, "x1"), ("ymin", low_y, "y1"))]
     return down + [F.ceil(space(b[c], low)).alias(n) for c, low, n in (("xmax", low_x, "x2"), ("ymax", low_y, "y2"))]
+
+
+@F.pandas_udf(DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    """Standard normal distribution function; null where z is."""
+    return z.map(lambda v: (1 + math.erf(v / math.sqrt(2))) / 2, na_action="ignore")

@@ -76,6 +76,48 @@ def nearest_points(sites: DataFrame, points: DataFrame, point: str, most: float)
     return met.groupBy(point).agg(F.min(F.struct("distance", "site")).alias("_b")).select(point, F.col("_b.site").alias("site"), F.col("_b.distance").alias("distance"))
 
 
+def kth_distance(pixels: DataFrame, tx: DataFrame, k: int, x: str, y: str, first: float = 4.0) -> DataFrame:
+    """Rows (x, y, distance): from each pixel to its k-th nearest floored transcript, infinity where there are fewer than k.
+
+    Transcripts are counted a place, pixels meet the places of neighbouring cells by an equi-join and running counts are read in order of
+    distance. Pixels without k within the radius are met again with twice the radius, so only sparse regions look far."""
+    places = stored(tx.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.floor(x).alias("_px"), F.floor(y).alias("_py")).agg(F.count("*").alias("_n")))
+    left = pixels.select("x", "y").distinct()
+    a = places.agg(F.sum("_n"), F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).first()
+    b = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if b[0] is None or (a[0] or 0) < k:
+        return left.withColumn("distance", F.lit(float("inf")))
+    far = max(a[2], b[1]) - min(a[1], b[0]) + max(a[4], b[3]) - min(a[3], b[2])
+    around = lambda c, r: F.explode(F.sequence(F.floor(F.col(c) / r) - 1, F.floor(F.col(c) / r) + 1))
+    d2 = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
+    out, r = None, first
+    while True:
+        placed = places.withColumn("_gx", around("_px", r)).withColumn("_gy", around("_py", r))
+        met = left.withColumn("_gx", F.floor(F.col("x") / r)).withColumn("_gy", F.floor(F.col("y") / r)).join(placed, ["_gx", "_gy"])
+        rings = met.select("x", "y", d2.alias("_d"), "_n").where(F.col("_d") <= r * r).groupBy("x", "y", "_d").agg(F.sum("_n").alias("_n"))
+        held = rings.withColumn("_n", F.sum("_n").over(W.partitionBy("x", "y").orderBy("_d"))).where(F.col("_n") >= k)
+        found = stored(held.groupBy("x", "y").agg(F.sqrt(F.min("_d")).alias("distance")))
+        out = found if out is None else out.unionByName(found)
+        left = stored(left.join(found, ["x", "y"], "left_anti"))
+        if r > far or left.isEmpty():
+            return out
+        r *= 2
+
+
+def uniformity_p(sums: DataFrame, trials: int, exact: bool) -> DataFrame:
+    """sums: gene_id, trial (0: as observed, then the uniform ones), s. Rows (gene_id, p): the share of trials whose sum is no more than the
+    observed one, or the normal approximation to it from the trials' mean and deviation. A sum that lacks counts as 0."""
+    seen = F.coalesce(F.max(F.when(F.col("trial") == 0, F.col("s"))), F.lit(0.0))
+    null = F.collect_list(F.when(F.col("trial") > 0, F.col("s")))  # at most `trials` values
+    each = sums.groupBy("gene_id").agg(seen.alias("t"), null.alias("n")).withColumn("n", F.concat("n", F.array_repeat(F.lit(0.0), F.lit(trials) - F.size("n"))))
+    if exact:
+        return each.select("gene_id", (F.size(F.filter("n", lambda v: v <= F.col("t"))) / trials).alias("p"))
+    mean = F.aggregate("n", F.lit(0.0), lambda a, v: a + v) / trials
+    var = F.aggregate("n", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / trials
+    z = each.withColumn("m", mean).withColumn("sd", F.sqrt(var))
+    return z.select("gene_id", S.normal_cdf(F.when(F.col("sd") > 0, (F.col("t") - F.col("m")) / F.col("sd"))).alias("p"))
+
+
 def tile_ownership(polygons: DataFrame, tiles: DataFrame, id_col: str) -> DataFrame:
     """Rows (id_col, tile_id): the tile whose centre is nearest to the polygon, the least on ties. The pairs come from neighbouring cells
     of a tile's side; a polygon without a centre there that is surely nearest meets every tile, which are few and sized by the slide."""

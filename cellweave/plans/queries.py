@@ -413,6 +413,20 @@ def kth_nearest_transcript(t):
     return spatial.dense_near(t.pixels, t.tx, 5, 4, "x_location", "y_location")
 
 
+@query("""WITH c AS (SELECT CAST(floor(x_location) AS BIGINT) AS tx, CAST(floor(y_location) AS BIGINT) AS ty, count(*) AS n FROM {tx} GROUP BY 1, 2),
+o AS (SELECT i, j FROM (SELECT unnest(generate_series(-1, 1)) AS i) CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS j)),
+cc AS (SELECT tx, ty, n, tx // 8 + i AS gx, ty // 8 + j AS gy FROM c CROSS JOIN o),
+near AS (SELECT x, y, (x - tx)*(x - tx) + (y - ty)*(y - ty) AS d, n FROM {pixels} JOIN cc ON gx = x // 8 AND gy = y // 8),
+run AS (SELECT x, y, d, sum(n) OVER (PARTITION BY x, y ORDER BY d) AS n FROM near WHERE d <= 64),
+f AS (SELECT x, y, min(d) AS d FROM run WHERE n >= 5 GROUP BY x, y),
+wide AS (SELECT x, y, (x - tx)*(x - tx) + (y - ty)*(y - ty) AS d, n FROM (SELECT x, y FROM {pixels} ANTI JOIN f USING (x, y)) CROSS JOIN c),
+g AS (SELECT x, y, min(d) AS d FROM (SELECT x, y, d, sum(n) OVER (PARTITION BY x, y ORDER BY d) AS n FROM wide) WHERE n >= 5 GROUP BY x, y)
+SELECT x, y, round(sqrt(d), 6) AS distance FROM (SELECT * FROM f UNION ALL SELECT * FROM g)""")
+def kth_nearest_distance(t):
+    d = spatial.kth_distance(t.pixels, t.tx, 5, "x_location", "y_location")
+    return d.select("x", "y", r6(F.col("distance")).alias("distance"))
+
+
 @query("""WITH d AS (SELECT n.cell_id, m.cell_id AS site, sqrt((m.x_centroid - n.cx - 7)*(m.x_centroid - n.cx - 7) + (m.y_centroid - n.cy - 4)*(m.y_centroid - n.cy - 4)) AS d FROM {nuclei} n JOIN {cell_metadata} m ON abs(m.x_centroid - n.cx - 7) <= 30 AND abs(m.y_centroid - n.cy - 4) <= 30)
 SELECT cell_id, arg_min(site, (d, site)) AS site, round(min(d), 6) AS distance FROM d WHERE d <= 30 GROUP BY cell_id""")
 def nearest_celltype(t):

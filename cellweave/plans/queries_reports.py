@@ -84,28 +84,51 @@ def benchmark_merge(t):
 TRIALS = 3
 
 
-@query(f"""WITH {GENES}, tr AS (SELECT CAST(k AS INTEGER) AS trial FROM (SELECT unnest(generate_series(0, {TRIALS})) AS k)),
-pts AS (SELECT trial, transcript_id, gene_id, CASE WHEN trial = 0 THEN x_location ELSE CAST((transcript_id % 1000003 * 7919 + trial * 104729) % 80000 AS DOUBLE)/100 END AS px,
-  CASE WHEN trial = 0 THEN y_location ELSE CAST((transcript_id % 1000003 * 15485863 + trial * 1299709) % (n_rows*2000) AS DOUBLE)/100 END AS py FROM prep JOIN genes USING (feature_name) CROSS JOIN tr CROSS JOIN {{slide}}),
-d AS (SELECT trial, transcript_id, any_value(gene_id) AS gene_id, min(sqrt((x_centroid - px)*(x_centroid - px) + (y_centroid - py)*(y_centroid - py))) AS d FROM pts JOIN {{cell_metadata}} ON abs(x_centroid - px) <= 30 AND abs(y_centroid - py) <= 30 GROUP BY trial, transcript_id),
-s AS (SELECT gene_id, trial, sum(d) AS s FROM d WHERE d <= 30 GROUP BY ALL)
-SELECT gene_id, round(max(s) FILTER (trial = 0), 6) AS total, round(avg(s) FILTER (trial > 0), 6) AS null_mean, round(stddev_pop(s) FILTER (trial > 0), 6) AS null_sd FROM s GROUP BY gene_id""")
-def uniformity_test(t):
-    """Per gene the summed distance to the nearest cell, against uniform points (hashed from the transcript ids)."""
+def _null_sums(t, trials):
+    """Rows (gene_id, trial, s): summed distances to the nearest cell; trial 0 as observed, the others of points hashed from transcript ids."""
     _, height = t.size()
     tx = counts.encode_genes(counts.prepared(t.tx)).select("transcript_id", "gene_id", "x_location", "y_location")
-    trials = tx.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS))))
+    trials = tx.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
     m = F.col("transcript_id") % 1000003
     x = F.when(F.col("trial") == 0, F.col("x_location")).otherwise(((m * 7919 + F.col("trial") * 104729) % 80000).cast("double") / 100)
     y = F.when(F.col("trial") == 0, F.col("y_location")).otherwise(((m * 15485863 + F.col("trial") * 1299709) % (height * 100)).cast("double") / 100)
     points = trials.select(F.struct("transcript_id", "trial").alias("p"), "gene_id", x.alias("x"), y.alias("y"))
     sites = t.cell_metadata.select(F.col("cell_id").alias("site"), F.col("x_centroid").alias("sx"), F.col("y_centroid").alias("sy"))
     near = spatial.nearest_points(sites, points.select("p", "x", "y"), "p", 30.0).join(points.select("p", "gene_id"), "p")
-    sums = near.groupBy("gene_id", F.col("p.trial").alias("trial")).agg(F.sum("distance").alias("s"))
+    return near.groupBy("gene_id", F.col("p.trial").alias("trial")).agg(F.sum("distance").alias("s"))
+
+
+def _null_sums_sql(trials):
+    return f"""{GENES}, tr AS (SELECT CAST(k AS INTEGER) AS trial FROM (SELECT unnest(generate_series(0, {trials})) AS k)),
+pts AS (SELECT trial, transcript_id, gene_id, CASE WHEN trial = 0 THEN x_location ELSE CAST((transcript_id % 1000003 * 7919 + trial * 104729) % 80000 AS DOUBLE)/100 END AS px,
+  CASE WHEN trial = 0 THEN y_location ELSE CAST((transcript_id % 1000003 * 15485863 + trial * 1299709) % (n_rows*2000) AS DOUBLE)/100 END AS py FROM prep JOIN genes USING (feature_name) CROSS JOIN tr CROSS JOIN {{slide}}),
+d AS (SELECT trial, transcript_id, any_value(gene_id) AS gene_id, min(sqrt((x_centroid - px)*(x_centroid - px) + (y_centroid - py)*(y_centroid - py))) AS d FROM pts JOIN {{cell_metadata}} ON abs(x_centroid - px) <= 30 AND abs(y_centroid - py) <= 30 GROUP BY trial, transcript_id),
+s AS (SELECT gene_id, trial, sum(d) AS s FROM d WHERE d <= 30 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_null_sums_sql(TRIALS)}
+SELECT gene_id, round(max(s) FILTER (trial = 0), 6) AS total, round(avg(s) FILTER (trial > 0), 6) AS null_mean, round(stddev_pop(s) FILTER (trial > 0), 6) AS null_sd FROM s GROUP BY gene_id""")
+def uniformity_test(t):
+    """Per gene the summed distance to the nearest cell, against uniform points (hashed from the transcript ids)."""
+    sums = _null_sums(t, TRIALS)
     null = F.when(F.col("trial") > 0, F.col("s"))
     return sums.groupBy("gene_id").agg(r6(F.max(F.when(F.col("trial") == 0, F.col("s")))).alias("total"), r6(F.avg(null)).alias("null_mean"), r6(F.stddev_pop(null)).alias("null_sd"))
 
 
+P_TRIALS = 10
+
+
+@query(f"""WITH {_null_sums_sql(P_TRIALS)}, t AS (SELECT gene_id, coalesce(max(s) FILTER (trial = 0), 0) AS total FROM s GROUP BY 1)
+SELECT gene_id, round(1 - CAST(count(*) FILTER (trial > 0 AND s > total) AS DOUBLE)/{P_TRIALS}, 6) AS p FROM s JOIN t USING (gene_id) GROUP BY gene_id""")
+def uniformity_exact(t):
+    return spatial.uniformity_p(_null_sums(t, P_TRIALS), P_TRIALS, True).select("gene_id", r6(F.col("p")).alias("p"))
+
+
+@query(None)
+def uniformity_normal(t):
+    return spatial.uniformity_p(_null_sums(t, P_TRIALS), P_TRIALS, False).select("gene_id", r6(F.col("p")).alias("p"))
+
+
 @query(f"WITH {_SCORES} SELECT 'bic' AS score, k, min(bic) AS low, max(bic) AS high FROM scores GROUP BY k UNION ALL SELECT 'aic', k, min(aic), max(aic) FROM scores GROUP BY k")
 def job_model_report(t):
     s = _scores(t)

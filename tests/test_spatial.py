@@ -1,6 +1,7 @@
 """Golden fixtures of the spatial operators."""
 
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,26 @@ def test_fit_job_chooses_the_planted_number_of_types(spark):
     area = spark.range(150).withColumnRenamed("id", "cell")
     out = jobs.fit_celltypes(n, n.select("gene_id").distinct(), area, [2, 3], 2, steps=8).collect()
     assert len(out) == 4 and min(out, key=lambda r: r.bic).k == 3
+
+
+def test_kth_distance_against_all_pairs(spark):
+    spots = [(i * 7 % 50, i * i % 37) for i in range(30)] + [(90, 4)] * 3 + [(None, 1)]
+    tx = spark.createDataFrame([(None if a is None else a + 0.25, b + 0.75) for a, b in spots], "px double, py double")
+    pixels = spark.createDataFrame([(x, y) for x in (0, 3, 20, 49, 95, 400) for y in (-5, 0, 18, 36)] + [(0, 0)], "x bigint, y bigint")
+    got = {(r.x, r.y): r.distance for r in spatial.kth_distance(pixels, tx, 4, "px", "py").collect()}
+    for (x, y), d in got.items():
+        assert d == pytest.approx(sorted(math.dist((x, y), s) for s in spots if s[0] is not None)[3])
+    assert len(got) == 24
+    assert {r.distance for r in spatial.kth_distance(pixels, tx, 34, "px", "py").collect()} == {math.inf}
+    assert spatial.kth_distance(pixels.limit(0), tx, 4, "px", "py").count() == 0
+
+
+def test_uniformity_p(spark):
+    sums = {1: [5.0, 4.0, 6.0, 5.0, 9.0], 2: [0.5, 4.0, 6.0, 5.0], 3: [None, 1.0, 2.0, 3.0, 4.0], 4: [2.0, 2.0, 2.0, 2.0, 2.0]}
+    data = spark.createDataFrame([(g, i, v) for g, s in sums.items() for i, v in enumerate(s) if v is not None], "gene_id long, trial int, s double")
+    exact, normal = (dict(rows(spatial.uniformity_p(data, 4, e))) for e in (True, False))
+    assert exact == {1: 0.5, 2: 0.25, 3: 0.0, 4: 1.0}  # the trial that gene 2 lacks is 0
+    for g, s in sums.items():
+        null = (s[1:] + [0.0])[:4]
+        sd = statistics.pstdev(null)
+        assert normal[g] is None if sd == 0 else normal[g] == pytest.approx(statistics.NormalDist(statistics.fmean(null), sd).cdf(s[0] or 0.0))
