@@ -35,6 +35,7 @@ SHOUT = re.compile(r"!!|\?!|!\?")
 # A public lexicon of common English insults, a voter of its own.
 INSULTS = ["idiot", "stupid", "moron", "loser", "pathetic", "trash", "scum", "worthless", "disgusting", "clown", "dumb", "jerk", "fool", "imbecile", "freak", "bastard", "crap", "shit", "fuck", "bitch"]
 SHARDS = 8
+MEMORY = 300_000  # words whose votes or weights a task remembers
 VOTERS = SHARDS + 4  # the shards, the public lexicon, shouting, capitals, several lexicon words
 
 
@@ -96,21 +97,33 @@ class Voters:
         for k, m in enumerate(lexicon):
             self.bit[m] = 1 << (k % SHARDS)
         self.public = set(INSULTS)
+        self.known: dict[str, int] = {}  # votes of words met, cleared when it holds MEMORY words
+
+    def of(self, word: str) -> int:
+        """The lexicon voters that a word fires."""
+        fired = 1 << SHARDS if word in self.public else 0
+        for m in marks(word):
+            fired |= self.bit.get(m, 0)
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        self.known[word] = fired
+        return fired
 
     def vote(self, text: str | None) -> int:
         out = hits = 0
         text = text or ""
         for w in distinct(text):
-            fired = 0
-            for m in marks(w):
-                fired |= self.bit.get(m, 0)
-            if w in self.public:
-                fired |= 1 << SHARDS
-            out |= fired
-            hits += fired > 0
+            fired = self.known.get(w)
+            if fired is None:
+                fired = self.of(w)
+            if fired:
+                out |= fired
+                hits += 1
         if SHOUT.search(text):
             out |= 1 << SHARDS + 1
-        if sum(w.isupper() and len(w) > 2 for w in text.split()) * 10 > len(text.split()) > 0:
+        parts = text.split()
+        upper = sum(map(str.isupper, parts))  # short words too: more than those in capitals, and cheap
+        if upper * 10 > len(parts) and sum(w.isupper() and len(w) > 2 for w in parts) * 10 > len(parts):
             out |= 1 << SHARDS + 2
         return out | (hits > 1) << SHARDS + 3
 
@@ -270,7 +283,7 @@ def _score(shared, size: int):
                 for x in words:
                     f = known.get(x)
                     if f is None:
-                        if len(known) > 300_000:
+                        if len(known) >= MEMORY:
                             known.clear()
                         f = known[x] = tuple(k for m in marks(x) if w[k := zlib.crc32(m.encode("utf-8", "surrogatepass")) & (size - 1)])
                     if f:
