@@ -9,29 +9,35 @@ from pyspark.sql import Window as W
 from cellweave.sources.scratch import stored
 
 
-def log_joint(counts: DataFrame, profiles: DataFrame, priors: DataFrame) -> DataFrame:
-    """Rows (cell, celltype, joint): log prior + sum of n * log p. profiles has types x genes rows, priors one a type."""
-    lp = F.broadcast(profiles.select("gene_id", "celltype", F.log("prob").alias("lp")))
-    summed = counts.join(lp, "gene_id").groupBy("cell", "celltype").agg(F.sum(F.col("n") * F.col("lp")).alias("s"))
-    return summed.join(F.broadcast(priors), "celltype").select("cell", "celltype", (F.col("s") + F.log("prior")).alias("joint"))
+def _attached(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """totals holds one row a model."""
+    return df.join(F.broadcast(totals), keys) if keys else df.crossJoin(F.broadcast(totals))
+
 
+def log_joint(counts: DataFrame, profiles: DataFrame, priors: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Rows (*keys, cell, celltype, joint): log prior + sum of n * log p. profiles has types x genes rows, priors one a type.
+    keys name the columns of profiles and priors that tell several models apart; all of them meet the counts in one pass."""
+    lp = F.broadcast(profiles.select(*keys, "gene_id", "celltype", F.log("prob").alias("lp")))
+    summed = counts.join(lp, "gene_id").groupBy(*keys, "cell", "celltype").agg(F.sum(F.col("n") * F.col("lp")).alias("s"))
+    return summed.join(F.broadcast(priors), [*keys, "celltype"]).select(*keys, "cell", "celltype", (F.col("s") + F.log("prior")).alias("joint"))
 
-def posterior(counts: DataFrame, profiles: DataFrame, priors: DataFrame) -> DataFrame:
-    """Rows (cell, celltype, p)."""
-    w = W.partitionBy("cell")
-    top = log_joint(counts, profiles, priors).withColumn("e", F.exp(F.col("joint") - F.max("joint").over(w)))
-    return top.select("cell", "celltype", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
+def posterior(counts: DataFrame, profiles: DataFrame, priors: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Rows (*keys, cell, celltype, p)."""
+    w = W.partitionBy(*keys, "cell")
+    top = log_joint(counts, profiles, priors, keys).withColumn("e", F.exp(F.col("joint") - F.max("joint").over(w)))
+    return top.select(*keys, "cell", "celltype", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
-def mstep(counts: DataFrame, post: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def mstep(counts: DataFrame, post: DataFrame, genes: DataFrame, keys: list[str] = []) -> tuple[DataFrame, DataFrame]:
     """(profiles, priors) with one added to every count."""
-    types = post.groupBy("celltype").agg(F.sum("p").alias("cells"))
-    grid = types.select("celltype").crossJoin(F.broadcast(genes.select("gene_id")))
-    seen = counts.join(post, "cell").groupBy("celltype", "gene_id").agg(F.sum(F.col("p") * F.col("n")).alias("v"))
-    raw = grid.join(seen, ["celltype", "gene_id"], "left").select("celltype", "gene_id", (F.coalesce("v", F.lit(0.0)) + 1).alias("v"))
-    profiles = raw.select("celltype", "gene_id", (F.col("v") / F.sum("v").over(W.partitionBy("celltype"))).alias("prob"))
-    whole = types.agg(F.sum("cells").alias("all"), F.count("*").alias("k"))
-    priors = types.crossJoin(F.broadcast(whole)).select("celltype", ((F.col("cells") + 1) / (F.col("all") + F.col("k"))).alias("prior"))
+    types = post.groupBy(*keys, "celltype").agg(F.sum("p").alias("cells"))
+    grid = types.select(*keys, "celltype").crossJoin(F.broadcast(genes.select("gene_id")))
+    seen = counts.join(post, "cell").groupBy(*keys, "celltype", "gene_id").agg(F.sum(F.col("p") * F.col("n")).alias("v"))
+    raw = grid.join(seen, [*keys, "celltype", "gene_id"], "left").select(*keys, "celltype", "gene_id", (F.coalesce("v", F.lit(0.0)) + 1).alias("v"))
+    profiles = raw.select(*keys, "celltype", "gene_id", (F.col("v") / F.sum("v").over(W.partitionBy(*keys, "celltype"))).alias("prob"))
+    whole = types.groupBy(*keys).agg(F.sum("cells").alias("all"), F.count("*").alias("k"))
+    priors = _attached(types, whole, keys).select(*keys, "celltype", ((F.col("cells") + 1) / (F.col("all") + F.col("k"))).alias("prior"))
     return profiles, priors
 
 
@@ -44,44 +50,59 @@ def initial(spark: SparkSession, genes: DataFrame, k: int, seed: int) -> tuple[D
     return profiles, spark.range(k).select(F.col("id").cast("int").alias("celltype"), F.lit(1.0 / k).alias("prior"))
 
 
-def fit(counts: DataFrame, genes: DataFrame, profiles: DataFrame, priors: DataFrame, steps: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """Expectation-maximisation from a start; the model (types x genes rows) is written each step, which cuts lineage."""
+def fit(counts: DataFrame, genes: DataFrame, profiles: DataFrame, priors: DataFrame, steps: int = 100, tolerance: float = 1e-4, keys: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """Expectation-maximisation from a start; the models (types x genes rows each) are written each step, which cuts lineage.
+
+    With keys every model named by them takes its step in the same jobs. A model whose profiles move by no more than the
+    tolerance (relative norm) keeps them and takes no further steps; only one number a model reaches the driver."""
     counts = stored(counts)
+    ended = []
     for _ in range(steps):
-        post = posterior(counts, profiles, priors)
-        after, priors = mstep(counts, stored(post), genes)
-        after, priors = stored(after), stored(priors)
+        post = stored(posterior(counts, profiles, priors, keys))
+        after, shares = (stored(m) for m in mstep(counts, post, genes, keys))
+        still = F.lit(True)
         if tolerance:
-            d = after.withColumnRenamed("prob", "q").join(profiles, ["celltype", "gene_id"])
-            moved = d.agg(F.sqrt(F.sum((F.col("q") - F.col("prob")) * (F.col("q") - F.col("prob")))) / F.sqrt(F.sum(F.col("prob") * F.col("prob")))).first()[0]
-            profiles = after
-            if moved <= tolerance:
-                break
-        profiles = after
+            d = after.withColumnRenamed("prob", "q").join(profiles, [*keys, "celltype", "gene_id"])
+            moved = d.groupBy(*keys).agg((F.sqrt(F.sum((F.col("q") - F.col("prob")) * (F.col("q") - F.col("prob")))) / F.sqrt(F.sum(F.col("prob") * F.col("prob")))).alias("moved"))
+            rows = moved.collect()
+            for r in rows:
+                if r["moved"] is not None and r["moved"] <= tolerance:
+                    same = F.lit(True)
+                    for c in keys:
+                        same = same & (F.col(c) == r[c])
+                    ended.append((after.where(same), shares.where(same)))
+                    still = still & ~same
+            open_ = [r for r in rows if r["moved"] is None or r["moved"] > tolerance]
+        profiles, priors = after.where(still), shares.where(still)
+        if tolerance and not open_:
+            break
+    for p, q in ended:
+        profiles, priors = profiles.unionByName(p), priors.unionByName(q)
     return profiles, priors
 
 
-def model_scores(counts: DataFrame, profiles: DataFrame, priors: DataFrame) -> DataFrame:
-    """One row (loglik, aic, bic) with K(G-1)+K-1 degrees of freedom."""
-    joint = log_joint(counts, profiles, priors)
-    per = joint.groupBy("cell").agg(F.max("joint").alias("m"), F.collect_list("joint").alias("j"))  # one entry a type
-    ll = per.select((F.col("m") + F.log(F.aggregate(F.transform("j", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda a, v: a + v))).alias("ll"))
-    size = profiles.agg(F.count_distinct("celltype").alias("k"), F.count_distinct("gene_id").alias("g"))
+def model_scores(counts: DataFrame, profiles: DataFrame, priors: DataFrame, keys: list[str] = []) -> DataFrame:
+    """One row a model (*keys, loglik, aic, bic) with K(G-1)+K-1 degrees of freedom."""
+    joint = log_joint(counts, profiles, priors, keys)
+    per = joint.groupBy(*keys, "cell").agg(F.max("joint").alias("m"), F.collect_list("joint").alias("j"))  # one entry a type
+    ll = per.select(*keys, (F.col("m") + F.log(F.aggregate(F.transform("j", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda a, v: a + v))).alias("ll"))
+    size = profiles.groupBy(*keys).agg(F.count_distinct("celltype").alias("k"), F.count_distinct("gene_id").alias("g"))
     dof = F.col("k") * (F.col("g") - 1) + F.col("k") - 1
-    return ll.agg(F.sum("ll").alias("loglik"), F.count("*").alias("n")).crossJoin(F.broadcast(size)).select("loglik", (2 * dof - 2 * F.col("loglik")).alias("aic"), (dof * F.log("n") - 2 * F.col("loglik")).alias("bic"))
+    found = _attached(ll.groupBy(*keys).agg(F.sum("ll").alias("loglik"), F.count("*").alias("n")), size, keys)
+    return found.select(*keys, "loglik", (2 * dof - 2 * F.col("loglik")).alias("aic"), (dof * F.log("n") - 2 * F.col("loglik")).alias("bic"))
 
 
 def fit_chains(counts: DataFrame, genes: DataFrame, ks: list[int], chains: int, steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """Rows (k, chain, loglik, aic, bic): for each number of types, `chains` fits from starts of their own. Each fit is a Spark job over all
-    cells of counts; the loop runs over models, a handful of them."""
+    """Rows (k, chain, loglik, aic, bic): for each number of types, `chains` fits from starts of their own, all stepped together."""
     counts, genes = stored(counts), stored(genes)
-    out = None
+    profiles = priors = None
     for k in ks:
         for chain in range(chains):
-            model = fit(counts, genes, *initial(counts.sparkSession, genes, k, chain + 1), steps=steps, tolerance=tolerance)
-            scores = stored(model_scores(counts, *model)).select(F.lit(k).alias("k"), F.lit(chain).alias("chain"), "loglik", "aic", "bic")
-            out = scores if out is None else out.unionByName(scores)
-    return out
+            start = [m.select(F.lit(k).alias("types"), F.lit(chain).alias("chain"), "*") for m in initial(counts.sparkSession, genes, k, chain + 1)]
+            profiles, priors = start if profiles is None else (profiles.unionByName(start[0]), priors.unionByName(start[1]))
+    keys = ["types", "chain"]
+    model = fit(counts, genes, stored(profiles), stored(priors), steps, tolerance, keys)
+    return model_scores(counts, *model, keys).withColumnRenamed("types", "k")
 
 
 def hard_types(post: DataFrame) -> DataFrame:

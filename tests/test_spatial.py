@@ -302,6 +302,16 @@ def test_fit_job_chooses_the_planted_number_of_types(spark):
     assert len(out) == 4 and min(out, key=lambda r: r.bic).k == 3
 
 
+def test_models_stepped_together_equal_fits_alone(spark):
+    n = spark.createDataFrame([(c, g, 1 + (c * 7 + g) % 5 + (9 if g // 3 == c % 2 else 0)) for c in range(24) for g in range(6)], "cell long, gene_id long, n long")
+    genes = n.select("gene_id").distinct()
+    together = {(r.k, r.chain): r for r in celltypes.fit_chains(n, genes, [2, 3], 2, steps=6, tolerance=0.05).collect()}  # some settle earlier
+    assert len(together) == 4
+    for (k, chain), r in together.items():
+        alone = celltypes.model_scores(n, *celltypes.fit(n, genes, *celltypes.initial(spark, genes, k, chain + 1), steps=6, tolerance=0.05)).first()
+        assert (r.loglik, r.aic, r.bic) == pytest.approx((alone.loglik, alone.aic, alone.bic))
+
+
 def test_kth_distance_against_all_pairs(spark):
     spots = [(i * 7 % 50, i * i % 37) for i in range(30)] + [(90, 4)] * 3 + [(None, 1)]
     tx = spark.createDataFrame([(None if a is None else a + 0.25, b + 0.75) for a, b in spots], "px double, py double")
