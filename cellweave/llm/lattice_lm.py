@@ -37,7 +37,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 150_000
 PRIOR = 2000.0  # weight of the vocabulary's own scores, in pieces
-SLOTS = 1 << 18
+BITS = 18  # of a slot in the table of pieces' beginnings, at least; more where the vocabulary needs them
 
 
 def words(text: Column) -> Column:
@@ -59,7 +59,6 @@ class Lattice:
         for c, i in alphabet.items():
             self.lut[ord(c)] = i
         self.longest = max(map(len, self.pieces))
-        self.hash, self.id = np.zeros(SLOTS, np.uint64), np.full(SLOTS, EMPTY)
         places: dict[int, int] = {}
         with np.errstate(over="ignore"):
             for i, p in enumerate(self.pieces):  # all beginnings of pieces, so that a span that begins none ends its search
@@ -68,20 +67,25 @@ class Lattice:
                     h = h * BASE + np.uint64(alphabet[c])
                     places[int(h)] = max(i if n == len(p) else BEGINNING, places.get(int(h), BEGINNING))
         hashes = np.array(list(places), np.uint64)
-        for h, k, i in zip(places, slot(hashes).tolist(), places.values(), strict=True):
+        self.bits = max(BITS, (2 * len(places)).bit_length())  # at most half full
+        self.hash, self.id = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, EMPTY)
+        for h, k, i in zip(places, self.slot(hashes).tolist(), places.values(), strict=True):
             while self.id[k] != EMPTY:
-                k = (k + 1) % SLOTS
+                k = (k + 1) % len(self.id)
             self.hash[k], self.id[k] = h, i
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in self.pieces if len(p) == 1]] = True
 
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes; BEGINNING: of pieces' beginnings only; EMPTY: none."""
-        k = slot(h)
+        k = self.slot(h)
         out = self.id[k]
         left = np.flatnonzero((out != EMPTY) & (self.hash[k] != h))
         while len(left):
-            k[left] = (k[left] + 1) % SLOTS
+            k[left] = (k[left] + 1) % len(self.id)
             out[left] = self.id[k[left]]
             left = left[(out[left] != EMPTY) & (self.hash[k[left]] != h[left])]
         return out
@@ -159,10 +163,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BEGINNING, EMPTY = -1, -2
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64)
-
-
 def start(path: str = VOCABULARY) -> Lattice:
     """Weights from the vocabulary's stored scores: used as log probabilities if they sum to about one, else as ranks."""
     import sentencepiece

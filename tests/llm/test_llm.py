@@ -351,6 +351,15 @@ def test_lattice_marginal_sums_all_segmentations():
     assert expected[-2] == pytest.approx(2)
 
 
+def test_lattice_holds_vocabularies_of_any_size():
+    signs = [chr(0x4E00 + i) for i in range(66)]
+    pieces = [a + b + c for a in signs for b in signs for c in signs]  # 287,496 pieces, more than the least table has slots
+    m = lattice_lm.Lattice(pieces, np.zeros(len(pieces) + 2))
+    for i in (0, 1, 65, 70_000, len(pieces) - 1):
+        _, found, lone, _ = m.edges([pieces[i]])
+        assert {span: ids.tolist() for span, (_, ids) in found.items()} == {(0, 3): [i]} and lone.all()
+
+
 def test_lattice_scores_and_base(spark):
     rows = [(i, prose(15)) for i in range(40)] + EDGE + [(60, "UPPER Upper upper")]
     docs = table(spark, rows)
