@@ -13,7 +13,7 @@ from cellweave.plans.queries import ORACLE, QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
-NAMES = ["job_nuclear_counts", "assemble_polygons", "encode_genes", "tile_grid", "points_to_tiles", "write_transcript_tiles", "celltype_posterior", "greedy_expansion", "jaccard_index", "label_pixels", "stitch_predictions", "confidence_trace", "uniformity_test"]
+NAMES = ["job_nuclear_counts", "assemble_polygons", "encode_genes", "tile_grid", "points_to_tiles", "write_transcript_tiles", "celltype_posterior", "celltype_mstep", "fit_celltypes", "model_scores", "greedy_expansion", "jaccard_index", "label_pixels", "stitch_predictions", "confidence_trace", "uniformity_test"]
 
 
 @pytest.fixture(scope="module")
