@@ -92,19 +92,6 @@ def model_scores(counts: DataFrame, profiles: DataFrame, priors: DataFrame, keys
     return found.select(*keys, "loglik", (2 * dof - 2 * F.col("loglik")).alias("aic"), (dof * F.log("n") - 2 * F.col("loglik")).alias("bic"))
 
 
-def fit_chains(counts: DataFrame, genes: DataFrame, ks: list[int], chains: int, steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """Rows (k, chain, loglik, aic, bic): for each number of types, `chains` fits from starts of their own, all stepped together."""
-    counts, genes = stored(counts), stored(genes)
-    profiles = priors = None
-    for k in ks:
-        for chain in range(chains):
-            start = [m.select(F.lit(k).alias("types"), F.lit(chain).alias("chain"), "*") for m in initial(counts.sparkSession, genes, k, chain + 1)]
-            profiles, priors = start if profiles is None else (profiles.unionByName(start[0]), priors.unionByName(start[1]))
-    keys = ["types", "chain"]
-    model = fit(counts, genes, stored(profiles), stored(priors), steps, tolerance, keys)
-    return model_scores(counts, *model, keys).withColumnRenamed("types", "k")
-
-
 def hard_types(post: DataFrame) -> DataFrame:
     """Rows (cell, celltype, p) of the likeliest type, the least on ties."""
     best = F.row_number().over(W.partitionBy("cell").orderBy(F.desc(F.round("p", 9)), "celltype"))

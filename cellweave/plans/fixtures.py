@@ -48,6 +48,10 @@ SELECT x, y, 1/(1 + exp(-(49 - d2)/8)) AS foreground, atan2(dy, dx) AS angle,
     "init_profiles": """
 SELECT t AS celltype, g AS gene_id, CAST(1 + (t*31 + g*17) % 7 AS DOUBLE) / sum(1 + (t*31 + g*17) % 7) OVER (PARTITION BY t) AS prob
 FROM (SELECT SERIES(0, 2) AS t) a CROSS JOIN (SELECT SERIES(0, 47) AS g) b""",
+    "starts": """
+SELECT k, chain, t AS celltype, g AS gene_id, v / sum(v) OVER (PARTITION BY k, chain, t) AS prob FROM (
+  SELECT k, chain, t, g, CAST(1 + (t*31 + g*17 + chain*13 + k*5 + (t + 1)*(g % (3 + chain))) % 7 AS DOUBLE) AS v
+  FROM (SELECT SERIES(2, 5) AS k) a CROSS JOIN (SELECT SERIES(0, 1) AS chain) b CROSS JOIN (SELECT SERIES(0, 4) AS t) c CROSS JOIN (SELECT SERIES(0, 47) AS g) d WHERE t < k)""",
 }
 
 

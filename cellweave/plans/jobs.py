@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators import celltypes, counts, spatial
+from cellweave.operators import celltypes, counts, spatial, typefit
 from cellweave.sources import io
 from cellweave.sources.scratch import stored
 
@@ -22,10 +22,39 @@ def nuclear_counts(tx: DataFrame, vertices: DataFrame, least_qv: float = 20.0, l
     return n, genes
 
 
-def fit_celltypes(found: DataFrame, genes: DataFrame, area: DataFrame, ks: list[int], chains: int, share: float = 0.25, steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """Rows (k, chain, loglik, aic, bic): the cells of `found` (cell, gene_id, n) inside an area (cell) with no fewer transcripts than the
-    `share` percentile of totals there, fitted for each number of types from `chains` starts."""
-    inside = stored(found.join(area.select("cell"), "cell", "left_semi"))
+def sampled_cells(found: DataFrame, area: DataFrame | None, share: float, most: int, seed: int) -> DataFrame:
+    """The rows of `found` (cell, gene_id, n) of cells inside an area (cell; null: everywhere) with no fewer transcripts than the `share` percentile
+    of totals there; of more than `most` cells a sample, drawn by a seeded hash. Only the fit reads this sample; prediction reads all cells."""
+    inside = stored(found if area is None else found.join(area.select("cell"), "cell", "left_semi"))
     totals = inside.groupBy("cell").agg(F.sum("n").alias("total"))
-    kept = totals.crossJoin(F.broadcast(counts.percentile_cutoff(totals, share))).where("total >= cutoff").select("cell")  # one row is broadcast
-    return celltypes.fit_chains(inside.join(kept, "cell", "left_semi"), genes, ks, chains, steps, tolerance)
+    kept = totals.crossJoin(F.broadcast(counts.percentile_cutoff(totals, share))).where("total >= cutoff")  # one row is broadcast
+    drawn = kept.orderBy(F.xxhash64("cell", F.lit(seed)), "cell").limit(most).select("cell")
+    return inside.join(drawn, "cell", "left_semi")
+
+
+def fit_celltypes(found: DataFrame, genes: DataFrame, area: DataFrame | None, ks: list[int], chains: int, share: float = 0.25, most: int = 20_000, steps: int = 100, tolerance: float = 1e-4, warm: bool = False, seed: int = 0) -> typefit.Models:
+    """Models by (number of types, chain): the sampled cells fitted for each number of types from `chains` starts."""
+    cells = typefit.packed(sampled_cells(found, area, share, most, seed))
+    return typefit.fit_chains(cells, genes.count(), ks, chains, steps, tolerance, warm, seed)
+
+
+def model_report(found: DataFrame, models: typefit.Models, scores: DataFrame, genes: DataFrame, markers: int = 10) -> DataFrame:
+    """Rows (section, k, celltype, gene_id, rank, value): the least and greatest score of each number of types over chains, and of the chain
+    of least BIC the priors and the marker genes of every number of types. Numbers of types are few."""
+    spark = found.sparkSession
+    best = scores.select("chain", F.round("bic", 6).alias("bic"), "k").orderBy("bic", "chain", "k").first()["chain"]
+    none, ends = F.lit(None), {"low": F.min, "high": F.max}
+    shown = lambda df, section, celltype=none, gene=none, rank=none: df.select(F.lit(section).alias("section"), F.col("k").cast("long").alias("k"), celltype.cast("int").alias("celltype"), gene.cast("long").alias("gene_id"), rank.cast("int").alias("rank"), F.col("value").cast("double").alias("value"))
+    parts = [shown(scores.groupBy("k").agg(f(c).alias("value")), f"{c}_{end}") for c in ("aic", "bic") for end, f in ends.items()]
+    chosen = {key: m for key, m in models.items() if key[1] == best}
+    profiles, priors = typefit.tables(spark, chosen)
+    parts.append(shown(priors.withColumn("value", F.col("prior")), "prior", F.col("celltype")))
+    for k, _ in sorted(chosen):
+        own = lambda df, k=k: df.where(F.col("k") == k).drop("k", "chain")
+        types = celltypes.hard_types(celltypes.posterior(found, own(profiles), own(priors)))
+        top = celltypes.top_markers(celltypes.relative_expression(found, types, genes), markers).withColumn("k", F.lit(k)).withColumn("value", F.col("relative_expression"))
+        parts.append(shown(top, "marker", F.col("celltype"), F.col("gene_id"), F.col("rank")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -756,7 +756,7 @@ _A = "a AS (SELECT x, y, label AS a_id FROM {pixels} WHERE label > 0), b AS (SEL
 
 
 @query(f"WITH {_A}, o AS (SELECT a_id, b_id, count(*) AS overlap FROM a JOIN b USING (x, y) GROUP BY ALL), m AS (SELECT * FROM o WHERE overlap > 2 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY overlap DESC, b_id) = 1) SELECT m.a_id, m.b_id, overlap, round(CAST(overlap AS DOUBLE)/(na + nb - overlap), 6) AS iou FROM m JOIN (SELECT a_id, count(*) AS na FROM a GROUP BY a_id) p ON p.a_id = m.a_id JOIN (SELECT b_id, count(*) AS nb FROM b GROUP BY b_id) q ON q.b_id = m.b_id")
-def average_iou(t):
+def pixel_iou(t):
     on = t.pixels.where("label > 0")
     a, b = on.select("x", "y", F.col("label").alias("a_id")), on.select((F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.col("label").alias("b_id"))
     return shapes.pixel_iou(a, b, "a_id", "b_id", 2).select("a_id", "b_id", "overlap", r6(F.col("iou")).alias("iou"))
@@ -786,7 +786,7 @@ def jaccard_index(t):
 
 
 @query(f"WITH {_J} SELECT m.segment_id, b.truth_id AS own, count(*) AS n_transcripts, CAST(count(*) FILTER (t.truth_id IS NOT NULL AND t.truth_id <> b.truth_id) AS BIGINT) AS n_confused, CAST(count(*) FILTER (t.truth_id IS NULL) AS BIGINT) AS n_background FROM mb m JOIN best b ON b.segment_id = m.segment_id LEFT JOIN ta t ON t.transcript_id = m.transcript_id GROUP BY ALL")
-def benchmark_nuclear_prior(t):
+def segmentation_confusion(t):
     truth, method, best = _memberships(t)
     return shapes.confusion(truth, method, best, "transcript_id")
 

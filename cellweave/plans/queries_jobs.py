@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions import scalars as S
-from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
+from cellweave.operators import celltypes, counts, expand, grid, overlay, predictions, shapes, spatial, typefit
+from cellweave.plans import jobs
 from cellweave.plans.queries import (
-    _A, _DIST, _HARD, _J, _JOINED, _PROBS, CELL_COUNTS, NUCLEUS, PX, TILES, _cell_counts, _encoded, _judged, _members, _memberships, _soft, _start, _with_pred,
+    _A, _DIST, _HARD, _J, _JOINED, _PROBS, CELL_COUNTS, NUCLEUS, PREP, PX, TILES, _cell_counts, _encoded, _judged, _members, _memberships, _soft, _start, _with_pred,
     edges_sql, inside_sql, query, r6, slide_tiles_of, tiles_of,
 )
 from cellweave.sources import io
@@ -122,8 +125,58 @@ def chunk_segments(t):
     return spatial.tile_ownership(t.polygons("truth_vertices", "cell_id"), grid.tile_grid(t.spark, 800, height, 100, 0.0), "cell_id")
 
 
-@query(f"WITH {_A} SELECT a_id, b_id, count(*) AS overlap FROM a JOIN b USING (x, y) GROUP BY ALL")
+def _polys_sql(*parts: tuple[int, str, str]) -> str:
+    """polys(role, id, x1, y1, x2, y2), the edges of polygons of several tables, and their boxes."""
+    out = []
+    for role, table, key in parts:
+        w = f"(PARTITION BY {key} ORDER BY k)"
+        out.append(f"""SELECT {role} AS role, {key} AS id, vertex_x AS x1, vertex_y AS y1, coalesce(lead(vertex_x) OVER {w}, first_value(vertex_x) OVER {w}) AS x2,
+  coalesce(lead(vertex_y) OVER {w}, first_value(vertex_y) OVER {w}) AS y2 FROM {table}""")
+    return f"polys AS ({' UNION ALL '.join(out)}), boxes AS (SELECT role, id, min(x1) AS xmin, max(x1) AS xmax, min(y1) AS ymin, max(y1) AS ymax FROM polys GROUP BY role, id)"
+
+
+def _met_sql(name: str, a: int, b: int) -> str:
+    """name_g(g, role, id): the pairs of polygons of two roles whose boxes meet."""
+    return f"""{name}_c AS (SELECT row_number() OVER (ORDER BY a.id, b.id) AS g, a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.role = {a} AND b.role = {b} AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax),
+{name}_g AS (SELECT g, {a} AS role, a_id AS id FROM {name}_c UNION ALL SELECT g, {b}, b_id FROM {name}_c)"""
+
+
+def _slabs_sql(name: str, roles: tuple[int, ...]) -> str:
+    """name_a(g, ...): areas of convex polygons of a group, a<roles> of what those roles share, by slabs between vertices and crossings."""
+    both = [c for n in range(1, len(roles) + 1) for c in combinations(roles, n)]
+    det = "((a.x2 - a.x1)*(b.y2 - b.y1) - (a.y2 - a.y1)*(b.x2 - b.x1))"
+    lows = ", ".join(f"min(y) FILTER (role = {r}) AS l{r}, max(y) FILTER (role = {r}) AS h{r}" for r in roles)
+    areas = ", ".join(
+        f"coalesce(sum((xb - xa)*greatest(least({', '.join(f'h{r}' for r in c)}) - greatest({', '.join(f'l{r}' for r in c)}), 0)) FILTER ({' AND '.join(f'h{r} IS NOT NULL' for r in c)}), 0) AS a{''.join(map(str, c))}" for c in both
+    )
+    return f"""{name}_e AS (SELECT g, role, x1, y1, x2, y2 FROM {name}_g JOIN polys USING (role, id)),
+{name}_x AS (SELECT g, x1 AS x FROM {name}_e UNION SELECT g, x1 + t*(x2 - x1) FROM (SELECT a.g, a.x1, a.x2, ((b.x1 - a.x1)*(b.y2 - b.y1) - (b.y1 - a.y1)*(b.x2 - b.x1))/{det} AS t,
+  ((b.x1 - a.x1)*(a.y2 - a.y1) - (b.y1 - a.y1)*(a.x2 - a.x1))/{det} AS u FROM {name}_e a JOIN {name}_e b ON a.g = b.g AND a.role < b.role WHERE {det} <> 0) WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+{name}_s AS (SELECT g, x AS xa, lead(x) OVER (PARTITION BY g ORDER BY x) AS xb FROM {name}_x),
+{name}_y AS (SELECT s.g, xa, xb, role, y1 + ((xa + xb)/2 - x1)*(y2 - y1)/(x2 - x1) AS y FROM {name}_s s JOIN {name}_e e ON e.g = s.g WHERE xb IS NOT NULL AND x1 <> x2 AND (xa + xb)/2 BETWEEN least(x1, x2) AND greatest(x1, x2)),
+{name}_b AS (SELECT g, xa, xb, {lows} FROM {name}_y GROUP BY g, xa, xb),
+{name}_a AS (SELECT g, {areas} FROM {name}_b GROUP BY g)"""
+
+
+_PAIRED = f"{_polys_sql((0, '{truth_vertices}', 'cell_id'), (1, '{method_vertices}', 'segment_id'))}, {_met_sql('tm', 0, 1)}, {_slabs_sql('tm', (0, 1))}, o AS (SELECT a_id AS truth_id, b_id AS segment_id, a01 AS overlap, a0 + a1 - a01 AS union_area FROM tm_a JOIN tm_c USING (g) WHERE a01 > 0)"
+
+
+def _truth(t):
+    return t.polygons("truth_vertices", "cell_id").withColumnRenamed("cell_id", "truth_id")
+
+
+def _method(t):
+    return t.polygons("method_vertices", "segment_id")
+
+
+@query(f"WITH {_PAIRED} SELECT truth_id, segment_id, round(overlap, 6) AS overlap FROM o WHERE overlap > 1e-6")
 def overlay_area(t):
+    out = overlay.intersections(_truth(t), _method(t), "truth_id", "segment_id", 1e-6)
+    return out.select("truth_id", "segment_id", r6(F.col("overlap")).alias("overlap"))
+
+
+@query(f"WITH {_A} SELECT a_id, b_id, count(*) AS overlap FROM a JOIN b USING (x, y) GROUP BY ALL")
+def overlay_pixels(t):
     return spatial.pixel_overlaps(*_shifted(t), "a_id", "b_id")
 
 
@@ -132,37 +185,107 @@ def _shifted(t):
     return on.select("x", "y", F.col("label").alias("a_id")), on.select((F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.col("label").alias("b_id"))
 
 
-@query(f"WITH {_A}, o AS (SELECT a_id, b_id, count(*) AS overlap FROM a JOIN b USING (x, y) GROUP BY ALL) SELECT * FROM o WHERE overlap > 1 QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY overlap DESC, a_id) = 1")
+@query(f"WITH {_PAIRED} SELECT truth_id, segment_id, round(overlap, 6) AS overlap FROM o WHERE overlap > 1 QUALIFY row_number() OVER (PARTITION BY truth_id ORDER BY round(overlap, 9) DESC, segment_id) = 1")
 def max_overlap_join(t):
-    return spatial.max_overlap(spatial.pixel_overlaps(*_shifted(t), "a_id", "b_id"), "b_id", "a_id", 1)
+    out = overlay.best_overlap(_truth(t), _method(t), "truth_id", "segment_id", 1.0)
+    return out.select("truth_id", "segment_id", r6(F.col("overlap")).alias("overlap"))
 
 
-@query(f"WITH {_A}, o AS (SELECT a_id, b_id, count(*) AS overlap FROM a JOIN b USING (x, y) GROUP BY ALL) SELECT b_id, max(overlap) AS overlap FROM o WHERE overlap > 20 GROUP BY b_id")
+@query(f"WITH {_polys_sql((0, '{method_vertices}', 'segment_id'), (1, '{nucleus_vertices}', 'cell_id'))}, {_met_sql('mn', 0, 1)}, {_slabs_sql('mn', (0, 1))} SELECT a_id AS segment_id, round(max(a01), 6) AS nucleus_overlap_area FROM mn_a JOIN mn_c USING (g) WHERE a01 > 2 GROUP BY 1")
 def filter_by_nucleus_overlap(t):
-    return spatial.pixel_overlaps(*_shifted(t), "a_id", "b_id").where("overlap > 20").groupBy("b_id").agg(F.max("overlap").alias("overlap"))
+    met = overlay.intersections(_method(t), t.polygons("nucleus_vertices", "cell_id"), "segment_id", "cell_id", 2.0)
+    return met.groupBy("segment_id").agg(r6(F.max("overlap")).alias("nucleus_overlap_area"))
+
+
+@query(f"WITH {_PAIRED} SELECT truth_id, segment_id, round(overlap, 6) AS intersection, round(union_area, 6) AS union_area, round(overlap/union_area, 6) AS iou FROM o WHERE overlap > 2 QUALIFY row_number() OVER (PARTITION BY truth_id ORDER BY round(overlap, 9) DESC, segment_id) = 1")
+def average_iou(t):
+    out = overlay.best_overlap(_truth(t), _method(t), "truth_id", "segment_id", 2.0)
+    return out.select("truth_id", "segment_id", r6(F.col("overlap")).alias("intersection"), r6(F.col("union_area")).alias("union_area"), r6(F.col("overlap") / F.col("union_area")).alias("iou"))
+
+
+def _clipped_sql(*parts: tuple[int, str, str]) -> str:
+    """in_area(role, id, area): what of polygons lies in the box from (100, 50) to (500, 600)."""
+    edges = _polys_sql(*parts).split(", boxes AS")[0].replace("polys AS (", "polys0 AS (", 1)
+    roles = [r for r, _, _ in parts]
+    slabs = ", ".join(f"{_met_sql(f'c{r}', r, 9)}, {_slabs_sql(f'c{r}', (r, 9))}" for r in roles)
+    found = " UNION ALL ".join(f"SELECT {r} AS role, a_id AS id, a{r}9 AS area FROM c{r}_a JOIN c{r}_c USING (g)" for r in roles)
+    box = "SELECT 9 AS role, 0 AS id, unnest([100.0E0, 500, 500, 100]) AS x1, unnest([50.0E0, 50, 600, 600]) AS y1, unnest([500.0E0, 500, 100, 100]) AS x2, unnest([50.0E0, 600, 600, 50]) AS y2"
+    return f"{edges}, polys AS (SELECT * FROM polys0 UNION ALL {box}), boxes AS (SELECT role, id, min(x1) AS xmin, max(x1) AS xmax, min(y1) AS ymin, max(y1) AS ymax FROM polys GROUP BY role, id), {slabs}, in_area AS (SELECT * FROM ({found}) WHERE area > 1e-9)"
+
 
+@query(f"WITH {_clipped_sql((0, '{nucleus_vertices}', 'cell_id'))} SELECT id AS cell_id, round(area/0.25E0, 6) AS area FROM in_area")
+def polygons_to_raster_space(t):
+    """Nuclei clipped to an area, in pixels of half a unit."""
+    rings = overlay.to_raster_space(t.polygons("nucleus_vertices", "cell_id"), 100.0, 50.0, 500.0, 600.0, 0.5)
+    return rings.select("cell_id", S.ring_area(F.col("ring")).alias("a")).where("a > 4e-9").select("cell_id", r6(F.col("a")).alias("area"))
 
-_CYTO = f"tr AS ({_members('truth_vertices', 'cell_id', 'segment_id')}), nu AS ({_members('nucleus_vertices', 'cell_id', 'cell_id')})"
+
+#: Nuclei, and the same moved by (3, 2): they overlap each other, so that what they leave of a cell isn't a sum over pairs.
+_MOVED = "(SELECT cell_id, k, vertex_x + 3 AS vertex_x, vertex_y + 2 AS vertex_y FROM {nucleus_vertices})"
+_LEFT = f"{_polys_sql((0, '{truth_vertices}', 'cell_id'), (1, '{nucleus_vertices}', 'cell_id'), (2, _MOVED, 'cell_id'))}, lf_g AS (SELECT id AS g, 0 AS role, id FROM boxes WHERE role = 0 UNION ALL SELECT a.id, b.role, b.id FROM boxes a JOIN boxes b ON a.role = 0 AND b.role > 0 AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax), {_slabs_sql('lf', (0, 1, 2))}, left_ AS (SELECT g AS segment_id, a0 AS cell_area, a0 - a01 - a02 + a012 AS cytoplasm_area FROM lf_a)"
+_CYTO2 = f"tr AS ({_members('truth_vertices', 'cell_id', 'segment_id')}), nu AS ({_members('nucleus_vertices', 'cell_id', 'cell_id')} UNION ALL SELECT id AS cell_id, transcript_id FROM (WITH {PREP}, {edges_sql('nucleus_vertices', 'cell_id').replace('vertex_x', '(vertex_x + 3)').replace('vertex_y', '(vertex_y + 2)')}, {inside_sql('prep', 'transcript_id', 'x_location', 'y_location')} SELECT * FROM hit))"
+
+
+def _doubled_nuclei(t):
+    """Nuclei, and the same moved by (3, 2)."""
+    n = t.polygons("nucleus_vertices", "cell_id").select(F.col("cell_id").alias("nucleus_id"), "ring")
+    moved = F.transform("ring", lambda p: F.struct((p["x"] + 3).alias("x"), (p["y"] + 2).alias("y")))
+    return n.unionByName(n.select((-1 - F.col("nucleus_id")).alias("nucleus_id"), moved.alias("ring")))
 
 
 def _cytoplasm(t):
     tx = counts.prepared(t.tx).select("transcript_id", "x_location", "y_location")
-    inside = lambda table: spatial.points_in_polygons(t.polygons(table, "cell_id"), tx, "x_location", "y_location").select("cell_id", "transcript_id")
-    truth = inside("truth_vertices").withColumnRenamed("cell_id", "segment_id")
-    return truth, inside("nucleus_vertices").select("transcript_id").distinct()
+    cells, nuclei = t.polygons("truth_vertices", "cell_id").withColumnRenamed("cell_id", "segment_id"), _doubled_nuclei(t)
+    truth = spatial.points_in_polygons(cells, tx, "x_location", "y_location").select("segment_id", "transcript_id")
+    nuclear = spatial.points_in_polygons(nuclei, tx, "x_location", "y_location").select("transcript_id").distinct()
+    return truth, nuclear, overlay.differences(cells, nuclei, "segment_id", "nucleus_id")
 
 
-@query(f"WITH {_CYTO} SELECT segment_id, transcript_id FROM tr WHERE transcript_id NOT IN (SELECT transcript_id FROM nu)")
+@query(f"WITH {_CYTO2}, {_LEFT} SELECT segment_id, transcript_id, round(cytoplasm_area, 6) AS cytoplasm_area FROM tr JOIN left_ USING (segment_id) WHERE transcript_id NOT IN (SELECT transcript_id FROM nu)")
 def cytoplasm_overlay(t):
-    truth, nuclear = _cytoplasm(t)
-    return truth.join(nuclear, "transcript_id", "left_anti").select("segment_id", "transcript_id")
+    """Transcripts of cells outside of all nuclei, and the area of what nuclei leave of the cell."""
+    truth, nuclear, areas = _cytoplasm(t)
+    return truth.join(nuclear, "transcript_id", "left_anti").join(areas, "segment_id").select("segment_id", "transcript_id", r6(F.col("outside")).alias("cytoplasm_area"))
 
 
-@query(f"WITH {_CYTO} SELECT segment_id, count(*) AS n, count(*) FILTER (transcript_id NOT IN (SELECT transcript_id FROM nu)) AS cytoplasm FROM tr GROUP BY segment_id")
+@query(f"WITH {_CYTO2}, {_LEFT} SELECT segment_id, count(*) AS segmentation_count, count(*) FILTER (transcript_id NOT IN (SELECT transcript_id FROM nu)) AS cytoplasm_count, round(max(cell_area), 6) AS cell_area, round(max(cytoplasm_area), 6) AS cytoplasm_area FROM tr JOIN left_ USING (segment_id) GROUP BY segment_id HAVING count(*) FILTER (transcript_id NOT IN (SELECT transcript_id FROM nu)) > 0")
 def cyto_proportion(t):
-    truth, nuclear = _cytoplasm(t)
+    """Counts and areas of cells and of their cytoplasm, for cells with a transcript there."""
+    truth, nuclear, areas = _cytoplasm(t)
     marked = truth.join(nuclear.withColumn("nuclear", F.lit(1)), "transcript_id", "left")
-    return marked.groupBy("segment_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("nuclear").isNull(), 1)).alias("cytoplasm"))
+    n = marked.groupBy("segment_id").agg(F.count("*").alias("segmentation_count"), F.count(F.when(F.col("nuclear").isNull(), 1)).alias("cytoplasm_count"))
+    return n.where("cytoplasm_count > 0").join(areas, "segment_id").select("segment_id", "segmentation_count", "cytoplasm_count", r6(F.col("area")).alias("cell_area"), r6(F.col("outside")).alias("cytoplasm_area"))
+
+
+def _max_sql(name: str, other: str) -> str:
+    return f"{name}_m AS (SELECT a_id AS truth_id, b_id AS {other} FROM {name}_a JOIN {name}_c USING (g) WHERE a0{'1' if name == 'tm' else '2'} > 1 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY round(a0{'1' if name == 'tm' else '2'}, 9) DESC, b_id) = 1)"
+
+
+_PRIOR = f"""tr AS ({_members('truth_vertices', 'cell_id', 'truth_id')}), mb AS ({_members('method_vertices', 'segment_id', 'segment_id')}), nb AS ({_members('nucleus_vertices', 'cell_id', 'nucleus_id')}),
+{_polys_sql((0, '{truth_vertices}', 'cell_id'), (1, '{method_vertices}', 'segment_id'), (2, '{nucleus_vertices}', 'cell_id'))},
+{_met_sql('tm', 0, 1)}, {_slabs_sql('tm', (0, 1))}, {_met_sql('tn', 0, 2)}, {_slabs_sql('tn', (0, 2))}, {_max_sql('tm', 'segment_id')}, {_max_sql('tn', 'nucleus_id')},
+ids AS (SELECT b.id AS truth_id, segment_id, nucleus_id FROM boxes b LEFT JOIN tm_m ON tm_m.truth_id = b.id LEFT JOIN tn_m ON tn_m.truth_id = b.id WHERE b.role = 0),
+al_g AS (SELECT truth_id AS g, 0 AS role, truth_id AS id FROM ids WHERE nucleus_id IS NOT NULL UNION ALL SELECT truth_id, 1, segment_id FROM ids WHERE nucleus_id IS NOT NULL AND segment_id IS NOT NULL UNION ALL SELECT truth_id, 2, nucleus_id FROM ids WHERE nucleus_id IS NOT NULL),
+{_slabs_sql('al', (0, 1, 2))}, found AS (SELECT truth_id, segment_id, transcript_id FROM ids JOIN mb USING (segment_id) UNION SELECT truth_id, segment_id, transcript_id FROM ids JOIN nb USING (nucleus_id)),
+tru AS (SELECT truth_id, transcript_id FROM tr WHERE truth_id IN (SELECT truth_id FROM ids WHERE nucleus_id IS NOT NULL)),
+met AS (SELECT coalesce(f.segment_id, -1) AS segment_id, coalesce(f.truth_id, -1) AS matching, coalesce(t.truth_id, -1) AS of FROM found f FULL JOIN tru t ON f.transcript_id = t.transcript_id),
+err AS (SELECT segment_id, CAST(count(*) FILTER (of <> -1 AND of <> own) AS BIGINT) AS n_confused, CAST(count(*) FILTER (of = -1) AS BIGINT) AS n_background, CAST(count(*) AS BIGINT) AS n_transcripts FROM (SELECT *, max(matching) OVER (PARTITION BY segment_id) AS own FROM met) GROUP BY segment_id),
+sh AS (SELECT truth_id, count(*) AS n FROM found JOIN tru USING (truth_id, transcript_id) GROUP BY truth_id),
+jc AS (SELECT truth_id, coalesce(n, 0) AS jaccard_intersection, m + t - coalesce(n, 0) AS jaccard_union FROM (SELECT truth_id, count(*) AS m FROM found GROUP BY 1) JOIN (SELECT truth_id, count(*) AS t FROM tru GROUP BY 1) USING (truth_id) LEFT JOIN sh USING (truth_id))"""
+
+
+@query(f"""WITH {_PRIOR} SELECT ids.truth_id, coalesce(ids.segment_id, -1) AS segment_id, round(a01 + a02 - a012, 6) AS intersection_area, round(a0 + a1 + a2 - a01 - a02 - a12 + a012, 6) AS union_area,
+ round((a01 + a02 - a012)/(a0 + a1 + a2 - a01 - a02 - a12 + a012), 6) AS iou, jaccard_intersection, jaccard_union, round(CAST(jaccard_intersection AS DOUBLE)/jaccard_union, 6) AS jaccard_index, n_confused, n_background, n_transcripts, segmentation_method
+FROM ids JOIN err ON err.segment_id = coalesce(ids.segment_id, -1) LEFT JOIN al_a ON al_a.g = ids.truth_id LEFT JOIN jc ON jc.truth_id = ids.truth_id JOIN {{cell_metadata}} c ON c.cell_id = ids.truth_id""")
+def benchmark_nuclear_prior(t):
+    """Truth cells against the method's segments joined with nuclei: areas, transcripts and errors in one row a cell."""
+    tx = counts.prepared(t.tx).select("transcript_id", "x_location", "y_location")
+    sides = {"truth_id": _truth(t), "segment_id": _method(t), "nucleus_id": t.polygons("nucleus_vertices", "cell_id").withColumnRenamed("cell_id", "nucleus_id")}
+    members = [stored(spatial.points_in_polygons(p, tx, "x_location", "y_location").select(k, "transcript_id")) for k, p in sides.items()]
+    out = overlay.nuclear_prior_benchmark(*sides.values(), *members)
+    kind = t.cell_metadata.select(F.col("cell_id").alias("truth_id"), "segmentation_method")
+    rounded = [r6(F.col(c)).alias(c) for c in ("intersection_area", "union_area", "iou", "jaccard_index")]
+    return out.join(kind, "truth_id").select("truth_id", "segment_id", *rounded, "jaccard_intersection", "jaccard_union", "n_confused", "n_background", "n_transcripts", "segmentation_method")
 
 
 @query(f"WITH {edges_sql('truth_vertices', 'cell_id')}, {inside_sql('{cell_metadata}', 'cell_id', 'x_centroid', 'y_centroid')} SELECT h.id AS truth_id, m.cell_id, segmentation_method FROM hit h JOIN {{cell_metadata}} m USING (cell_id)")
@@ -233,21 +356,61 @@ def celltype_summary(t):
     return out.select("celltype", "cells", r6(F.col("a")).alias("area"), r6(F.col("q1")).alias("q1"), r6(F.col("q3")).alias("q3"))
 
 
-_SCORES = "scores AS (SELECT CAST(2 + l_partkey % 11 AS BIGINT) AS k, CAST(l_suppkey % 10 AS BIGINT) AS chain, CAST(sum(l_partkey * 31 % 97) AS BIGINT) AS bic, CAST(sum(l_orderkey * 17 % 89) AS BIGINT) AS aic FROM {lineitem} GROUP BY 1, 2)"
+FIT_STEPS = 2
+
 
+def _fits_sql() -> str:
+    """Models of several numbers of types and chains after FIT_STEPS steps from given starts, and their scores."""
+    of = "k, chain, celltype"
+    out = [f"{CELL_COUNTS}, f0 AS (SELECT * FROM {{starts}}), q0 AS (SELECT DISTINCT {of}, 1.0E0/k AS prior FROM f0)"]
+    for s in range(FIT_STEPS + 1):
+        out.append(f"fj{s} AS (SELECT k, chain, cell, celltype, sum(n*ln(prob)) + ln(max(prior)) AS j FROM cnt JOIN f{s} USING (gene_id) JOIN q{s} USING ({of}) GROUP BY ALL)")
+        out.append(f"fp{s} AS (SELECT k, chain, cell, celltype, j, mj, exp(j - mj)/sum(exp(j - mj)) OVER (PARTITION BY k, chain, cell) AS p FROM (SELECT *, max(j) OVER (PARTITION BY k, chain, cell) AS mj FROM fj{s}))")
+        if s < FIT_STEPS:
+            out.append(f"fv{s} AS (SELECT {of}, g.gene_id, coalesce(v, 0) + 1 AS v FROM q{s} CROSS JOIN genes g LEFT JOIN (SELECT {of}, gene_id, sum(p*n) AS v FROM cnt JOIN fp{s} USING (cell) GROUP BY ALL) s USING ({of}, gene_id))")
+            out.append(f"f{s + 1} AS (SELECT {of}, gene_id, v/sum(v) OVER (PARTITION BY {of}) AS prob FROM fv{s})")
+            out.append(f"q{s + 1} AS (SELECT {of}, (sum(p) + 1)/(count(*) + k) AS prior FROM fp{s} GROUP BY {of})")
+    out.append(f"fl AS (SELECT k, chain, cell, max(mj) + ln(sum(exp(j - mj))) AS ll FROM fp{FIT_STEPS} GROUP BY ALL)")
+    out.append("scores AS (SELECT k, chain, sum(ll) AS loglik, 2*(k*47 + k - 1) - 2*sum(ll) AS aic, (k*47 + k - 1)*ln(count(*)) - 2*sum(ll) AS bic FROM fl GROUP BY k, chain)")
+    return ", ".join(out)
 
-def _scores(t):
-    return t.lineitem.groupBy((2 + F.col("l_partkey") % 11).cast("long").alias("k"), (F.col("l_suppkey") % 10).cast("long").alias("chain")).agg(F.sum(F.col("l_partkey") * 31 % 97).cast("long").alias("bic"), F.sum(F.col("l_orderkey") * 17 % 89).cast("long").alias("aic"))
 
+_SCORES = _fits_sql()
 
-@query(f"WITH {_SCORES} SELECT k, min(bic) AS low, round(avg(bic), 6) AS mean, max(bic) AS high, min(aic) AS aic_low FROM scores GROUP BY k")
+
+def _fits(t):
+    """(counts, genes, models, scores) of the same fits."""
+    n, genes = _cell_counts(t)
+    n = stored(n)
+    starts: dict = {}
+    for r in t.starts.orderBy("k", "chain", "celltype", "gene_id").collect():  # numbers of types x chains x types x genes
+        starts.setdefault((r["k"], r["chain"]), {}).setdefault(r["celltype"], []).append(r["prob"])
+    models = {key: typefit.Model(np.array([p[c] for c in sorted(p)]), np.full(len(p), 1 / len(p))) for key, p in starts.items()}
+    models = typefit.fit(typefit.packed(n), genes.count(), models, FIT_STEPS, 0.0)
+    return n, genes, models, typefit.scores(t.spark, models)
+
+
+@query(f"WITH {_SCORES} SELECT k, chain, round(loglik, 3) AS loglik, round(aic, 3) AS aic, round(bic, 3) AS bic FROM scores")
+def fit_scores(t):
+    return _fits(t)[3].select("k", "chain", *[F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic")])
+
+
+@query(f"WITH {_SCORES} SELECT k, round(min(bic), 3) AS low, round(avg(bic), 3) AS mean, round(max(bic), 3) AS high, round(min(aic), 3) AS aic_low FROM scores GROUP BY k")
 def score_ranges(t):
-    return _scores(t).groupBy("k").agg(F.min("bic").alias("low"), r6(F.avg("bic")).alias("mean"), F.max("bic").alias("high"), F.min("aic").alias("aic_low"))
+    return _fits(t)[3].groupBy("k").agg(*[F.round(f(c), 3).alias(n) for f, c, n in ((F.min, "bic", "low"), (F.avg, "bic", "mean"), (F.max, "bic", "high"), (F.min, "aic", "aic_low"))])
 
 
-@query(f"WITH {_SCORES} SELECT chain, k, bic FROM scores ORDER BY bic, chain, k LIMIT 1")
+@query(f"WITH {_SCORES} SELECT chain, k, round(bic, 3) AS bic FROM scores ORDER BY round(scores.bic, 6), chain, k LIMIT 1")
 def best_chain(t):
-    return _scores(t).select("chain", "k", "bic").orderBy("bic", "chain", "k").limit(1)
+    return _fits(t)[3].orderBy(F.round("bic", 6), "chain", "k").limit(1).select("chain", "k", F.round("bic", 3).alias("bic"))
+
+
+@query(None)
+def job_fit_celltypes(t):
+    """Cells of an area with enough transcripts, fitted for 2 to 4 types from two seeded starts each, to the tolerance."""
+    n, genes = _cell_counts(t)
+    inside = t.cell_metadata.where("x_centroid > 50 AND y_centroid > 50").select(F.col("cell_id").alias("cell"))
+    return typefit.scores(t.spark, jobs.fit_celltypes(n, genes, inside, [2, 3, 4], 2, seed=1))
 
 
 @query(f"WITH {_JOINED} SELECT round((2*sum(CASE WHEN label > 0 THEN foreground ELSE 0 END) + 1e-6)/(sum(foreground) + count(*) FILTER (label > 0) + 1e-6), 6) AS dice FROM j")
@@ -474,12 +637,13 @@ def job_roi_layers(t):
     return pixels.agg(F.count("*").alias("n")).withColumn("layer", F.lit("pixels")).unionByName(tx.agg(F.count("*").alias("n")).withColumn("layer", F.lit("transcripts")))
 
 
-@query("SELECT segmentation_method AS layer, count(*) AS n FROM {cell_metadata} GROUP BY 1 UNION ALL SELECT 'method', count(DISTINCT segment_id) FROM {method_vertices}")
+@query(f"WITH {_clipped_sql((0, '{truth_vertices}', 'cell_id'), (1, '{method_vertices}', 'segment_id'))} SELECT CASE WHEN role = 1 THEN 'method' ELSE segmentation_method END AS layer, count(*) AS n, round(sum(area), 4) AS area FROM in_area LEFT JOIN {{cell_metadata}} c ON role = 0 AND c.cell_id = in_area.id GROUP BY 1")
 def job_comparison_layers(t):
-    """Truth polygons by the method of their cell, beside another method's polygons."""
+    """Truth polygons by the method of their cell beside another method's polygons, clipped to the area that is compared."""
     truth = t.polygons("truth_vertices", "cell_id").join(t.cell_metadata.select("cell_id", F.col("segmentation_method").alias("layer")), "cell_id").select("layer", "ring")
     other = t.polygons("method_vertices", "segment_id").select(F.lit("method").alias("layer"), "ring")
-    return truth.unionByName(other).groupBy("layer").agg(F.count("*").alias("n"))
+    inside = overlay.clipped(truth.unionByName(other), 100.0, 50.0, 500.0, 600.0).select("layer", S.ring_area(F.col("ring")).alias("area")).where("area > 1e-9")
+    return inside.groupBy("layer").agg(F.count("*").alias("n"), (F.round(F.sum("area"), 4) + 0.0).alias("area"))
 
 
 @query(f"WITH {TILES} SELECT tile_id, count(*) AS transcripts FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2 GROUP BY tile_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
+from cellweave.plans import jobs
 from cellweave.plans.queries import _J, GENES, NUCLEUS, TILES, _encoded, _members, _memberships, _soft, _start, _with_pred, query, r6, tiles_of
-from cellweave.plans.queries_jobs import _SCORES, _scores
+from cellweave.plans.queries_jobs import _SCORES, FIT_STEPS, _fits
 from cellweave.sources import io
 from cellweave.sources.scratch import scratch, stored
 
@@ -56,15 +57,23 @@ def ray_segmentation(t):
     return expand.ray_segmentation(_with_pred(t), hits, best)
 
 
-@query(f"WITH {_SCORES}, s AS (SELECT k, min(aic) AS aic, min(bic) AS bic FROM scores WHERE k < 13 GROUP BY k) SELECT arg_min(k, (bic, k)) AS least_bic, arg_min(k, (aic, k)) AS least_aic FROM s")
+_BY_K = f"{_SCORES}, s AS (SELECT k, min(aic) AS aic, min(bic) AS bic FROM scores GROUP BY k), lo AS (SELECT arg_min(k, (bic, k)) AS least_bic, arg_min(k, (aic, k)) AS least_aic FROM s)"
+
+
+def _by_k(t):
+    return _fits(t)[3].groupBy("k").agg(F.min("aic").alias("aic"), F.min("bic").alias("bic"))
+
+
+@query(f"WITH {_BY_K} SELECT least_bic, least_aic FROM lo")
 def best_k_criteria(t):
-    s = _scores(t).groupBy("k").agg(F.min("aic").alias("aic"), F.min("bic").alias("bic"))
-    return s.agg(F.min_by("k", F.struct("bic", "k")).alias("least_bic"), F.min_by("k", F.struct("aic", "k")).alias("least_aic"))
+    return _by_k(t).agg(F.min_by("k", F.struct("bic", "k")).alias("least_bic"), F.min_by("k", F.struct("aic", "k")).alias("least_aic"))
 
 
-@query(None)
+@query(f"""WITH {_BY_K}, u AS (SELECT k, 1 - (bic - min(bic) OVER ())/(max(bic) OVER () - min(bic) OVER ()) - CAST(k - min(k) OVER () AS DOUBLE)/(max(k) OVER () - min(k) OVER ()) AS d, 2.0E0/(count(*) OVER () - 1) AS fall FROM s),
+pk AS (SELECT *, d > lag(d) OVER (ORDER BY k) AND d >= lead(d) OVER (ORDER BY k) AS peak FROM u), kn AS (SELECT min(a.k) AS knee FROM pk a WHERE a.peak AND EXISTS (SELECT 1 FROM pk b WHERE b.k > a.k AND b.d < a.d - a.fall AND NOT EXISTS (SELECT 1 FROM pk c WHERE c.peak AND c.k > a.k AND c.k <= b.k)))
+SELECT CASE WHEN least_bic = least_aic THEN least_bic ELSE coalesce(knee, least_bic) END AS k, CASE WHEN least_bic = least_aic THEN 'both' WHEN knee IS NOT NULL THEN 'knee' ELSE 'bic' END AS rule FROM lo CROSS JOIN kn""")
 def bic_elbow(t):
-    return celltypes.best_k(_scores(t).groupBy("k").agg(F.min("aic").alias("aic"), F.min("bic").alias("bic")))
+    return celltypes.best_k(_by_k(t))
 
 
 @query(f"WITH {TILES}, p AS (SELECT tile_id, x1, y1, x2, y2, label AS segment_id, count(*) AS n, count(*) FILTER (x >= x1 + 6 AND x < x2 - 6 AND y >= y1 + 6 AND y < y2 - 6) AS core FROM {{pixels}} JOIN tiles ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 WHERE label > 0 GROUP BY ALL) SELECT tile_id, segment_id, n, core FROM p WHERE 2*core > n")
@@ -129,11 +138,18 @@ def uniformity_normal(t):
     return spatial.uniformity_p(_null_sums(t, P_TRIALS), P_TRIALS, False).select("gene_id", r6(F.col("p")).alias("p"))
 
 
-@query(f"WITH {_SCORES} SELECT 'bic' AS score, k, min(bic) AS low, max(bic) AS high FROM scores GROUP BY k UNION ALL SELECT 'aic', k, min(aic), max(aic) FROM scores GROUP BY k")
+@query(f"""WITH {_SCORES}, bc AS (SELECT chain FROM scores ORDER BY round(bic, 6), chain, k LIMIT 1), hd AS (SELECT k, cell, arg_min(celltype, (-round(p, 9), celltype)) AS celltype FROM fp{FIT_STEPS} JOIN bc USING (chain) GROUP BY k, cell),
+sz AS (SELECT k, celltype, count(*) AS cells FROM hd GROUP BY ALL), sn AS (SELECT k, celltype, gene_id, sum(n) AS v FROM cnt JOIN hd USING (cell) GROUP BY ALL),
+rl AS (SELECT z.k, z.celltype, g.gene_id, CAST(coalesce(v, 0) AS DOUBLE)/cells/greatest(CASE WHEN a > cells THEN CAST(coalesce(t, 0) - coalesce(v, 0) AS DOUBLE)/(a - cells) ELSE 0 END, 0.01E0) AS r
+ FROM sz z JOIN (SELECT k, sum(cells) AS a FROM sz GROUP BY k) w USING (k) CROSS JOIN genes g LEFT JOIN sn ON sn.k = z.k AND sn.celltype = z.celltype AND sn.gene_id = g.gene_id LEFT JOIN (SELECT k, gene_id, sum(v) AS t FROM sn GROUP BY ALL) q ON q.k = z.k AND q.gene_id = g.gene_id),
+mk AS (SELECT k, celltype, gene_id, r, CAST(row_number() OVER (PARTITION BY k, celltype ORDER BY round(r, 9) DESC, gene_id) AS INTEGER) AS rank FROM rl QUALIFY rank <= 10)
+SELECT section, k, CAST(NULL AS INTEGER) AS celltype, CAST(NULL AS BIGINT) AS gene_id, CAST(NULL AS INTEGER) AS rank, round(value, 3) AS value FROM (SELECT 'aic_low' AS section, k, min(aic) AS value FROM scores GROUP BY k UNION ALL SELECT 'aic_high', k, max(aic) FROM scores GROUP BY k UNION ALL SELECT 'bic_low', k, min(bic) FROM scores GROUP BY k UNION ALL SELECT 'bic_high', k, max(bic) FROM scores GROUP BY k)
+UNION ALL SELECT 'prior', k, CAST(celltype AS INTEGER), NULL, NULL, round(prior, 3) FROM q{FIT_STEPS} JOIN bc USING (chain) UNION ALL SELECT 'marker', k, CAST(celltype AS INTEGER), gene_id, rank, round(r, 3) FROM mk""")
 def job_model_report(t):
-    s = _scores(t)
-    parts = [s.groupBy("k").agg(F.min(c).alias("low"), F.max(c).alias("high")).withColumn("score", F.lit(c)) for c in ("bic", "aic")]
-    return parts[0].unionByName(parts[1])
+    """Score ranges by number of types, and of the best chain the priors and marker genes."""
+    n, genes, models, scored = _fits(t)
+    out = jobs.model_report(n, models, scored, genes)
+    return out.withColumn("value", F.round("value", 3) + 0.0)
 
 
 @query(f"WITH {_J}, cf AS (SELECT m.segment_id, count(*) AS n_transcripts, CAST(count(*) FILTER (t.truth_id IS NULL) AS BIGINT) AS n_background FROM mb m LEFT JOIN ta t ON t.transcript_id = m.transcript_id GROUP BY 1) SELECT b.truth_id, b.segment_id, round(CAST(shared AS DOUBLE)/(na + nb - shared), 6) AS jaccard, n_transcripts, n_background FROM best b JOIN (SELECT truth_id, count(*) AS na FROM ta GROUP BY 1) p ON p.truth_id = b.truth_id JOIN (SELECT segment_id, count(*) AS nb FROM mb GROUP BY 1) q ON q.segment_id = b.segment_id JOIN cf ON cf.segment_id = b.segment_id")

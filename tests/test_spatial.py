@@ -3,11 +3,12 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as S
-from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
+from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial, typefit
 from cellweave.sources import io
 
 
@@ -294,22 +295,51 @@ def test_chunks_by_position(spark):
 def test_fit_job_chooses_the_planted_number_of_types(spark):
     from cellweave.plans import jobs
 
-    rows = [(c, g, 10 + (c * 7 + g) % 5 if g // 4 == c % 3 else 1) for c in range(60) for g in range(12)]
-    rows += [(c, 0, 1) for c in range(100, 110)] + [(c, g, 500) for c in (200, 201) for g in range(12)]  # too few transcripts; outside
-    n = spark.createDataFrame(rows, "cell long, gene_id long, n long")
+    planted = [(c, g, 10 + (c * 7 + g) % 5 if g // 4 == c % 3 else 1) for c in range(60) for g in range(12)]
+    planted += [(c, 0, 1) for c in range(100, 110)] + [(c, g, 500) for c in (200, 201) for g in range(12)]  # too few transcripts; outside
+    n = spark.createDataFrame(planted, "cell long, gene_id long, n long")
     area = spark.range(150).withColumnRenamed("id", "cell")
-    out = jobs.fit_celltypes(n, n.select("gene_id").distinct(), area, [2, 3], 2, steps=8).collect()
-    assert len(out) == 4 and min(out, key=lambda r: r.bic).k == 3
-
-
-def test_models_stepped_together_equal_fits_alone(spark):
-    n = spark.createDataFrame([(c, g, 1 + (c * 7 + g) % 5 + (9 if g // 3 == c % 2 else 0)) for c in range(24) for g in range(6)], "cell long, gene_id long, n long")
-    genes = n.select("gene_id").distinct()
-    together = {(r.k, r.chain): r for r in celltypes.fit_chains(n, genes, [2, 3], 2, steps=6, tolerance=0.05).collect()}  # some settle earlier
-    assert len(together) == 4
-    for (k, chain), r in together.items():
-        alone = celltypes.model_scores(n, *celltypes.fit(n, genes, *celltypes.initial(spark, genes, k, chain + 1), steps=6, tolerance=0.05)).first()
-        assert (r.loglik, r.aic, r.bic) == pytest.approx((alone.loglik, alone.aic, alone.bic))
+    for warm in (False, True):
+        models = jobs.fit_celltypes(n, n.select("gene_id").distinct(), area, [2, 3, 4], 3, warm=warm, seed=5)
+        out = typefit.scores(spark, models).collect()
+        assert len(out) == 9 and {r.cells for r in out} == {60}
+        assert min(out, key=lambda r: r.bic).k == 3 and min(out, key=lambda r: r.aic).k == 3
+    few = jobs.sampled_cells(n, area, 0.0, 20, 1).select("cell").distinct()
+    assert few.count() == 20 and rows(few) == rows(jobs.sampled_cells(n.repartition(3), area, 0.0, 20, 1).select("cell").distinct())
+
+
+def test_models_stepped_together_equal_plain_em(spark):
+    n = [(c, g, 1 + (c * 7 + g) % 5 + (9 if g // 3 == c % 2 else 0)) for c in range(24) for g in range(6) if (c + g) % 4]
+    x = np.zeros((24, 6))
+    for c, g, v in n:
+        x[c, g] = v
+    cells = typefit.packed(spark.createDataFrame(n, "cell long, gene_id long, n long").repartition(3))
+    starts = {(k, c): typefit.cold(k, 6, np.random.default_rng([k, c])) for k in (2, 3) for c in (0, 1)}
+    together = typefit.fit(cells, 6, starts, 6, 0.05)  # some settle earlier
+    for key, start in starts.items():
+        p, q = start.profiles, start.priors
+        for step in range(6):
+            e = np.exp(x @ np.log(p).T) * q
+            post = e / e.sum(1, keepdims=True)
+            was, p = p, post.T @ x + 1
+            p, q = p / p.sum(1, keepdims=True), (post.sum(0) + 1) / (24 + len(q))
+            if np.linalg.norm(p - was) <= 0.05 * np.linalg.norm(was):
+                break
+        m = together[key]
+        assert m.profiles == pytest.approx(p) and m.priors == pytest.approx(q) and m.steps == step + 1
+        assert m.loglik == pytest.approx(np.log((np.exp(x @ np.log(p).T) * q).sum(1)).sum())
+    profiles, priors = typefit.tables(spark, together)
+    for r in typefit.scores(spark, together).collect():
+        own = [t.where((F.col("k") == r.k) & (F.col("chain") == r.chain)).drop("k", "chain") for t in (profiles, priors)]
+        score = celltypes.model_scores(spark.createDataFrame(n, "cell long, gene_id long, n long"), *own).first()
+        assert (score.loglik, score.aic, score.bic) == pytest.approx((r.loglik, r.aic, r.bic))
+
+
+def test_split_halves_the_dominant_type():
+    m = typefit.Model(np.array([[0.5, 0.5], [0.9, 0.1]]), np.array([0.3, 0.7]))
+    out = typefit.split(m, np.random.default_rng(1))
+    assert out.priors.sum() == pytest.approx(1) and out.priors[0] == 0.3 and out.priors[1] + out.priors[2] == pytest.approx(0.7)
+    assert (out.profiles[:2] == m.profiles).all() and out.profiles[2].sum() == pytest.approx(1)
 
 
 def test_kth_distance_against_all_pairs(spark):
