@@ -3,6 +3,12 @@
 # Patterns as in the operators' contracts.
 _WORDS8 = r"list_filter(string_split_regex(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+
+def _agree(place: str, word: str) -> str:
+    """How many of a window's words agree with the document's, counted by i from 0 until one doesn't."""
+    return f"coalesce(nullif(list_position(list_transform(range(0, n), lambda i: coalesce(CASE WHEN {place} >= 1 THEN d.w[{place}] END = {word}, false)), false), 0) - 1, n)"
+
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, {_WORDS8} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS8} AS w FROM benchmark),
@@ -13,10 +19,18 @@ dw AS (SELECT doc_id, k, n, array_to_string(w[k:k+n-1], ' ') AS phrase
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT DISTINCT doc_id, k, dw.n, item FROM dw JOIN iw ON dw.phrase = iw.phrase AND dw.n = iw.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id),
+pw AS (SELECT DISTINCT phrase, CAST(n AS BIGINT) AS n, string_split(phrase, ' ') AS w FROM iw WHERE len(list_distinct(string_split(phrase, ' '))) >= 3),
+half AS (SELECT DISTINCT unnest([n // 2, n - n // 2]) AS m FROM pw),
+dh AS (SELECT doc_id, p, m, array_to_string(w[p:p+m-1], ' ') AS ph FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, half WHERE len(w) >= m)),
+cand AS (SELECT DISTINCT doc_id, phrase, n, s FROM (SELECT doc_id, phrase, n, p AS s FROM dh JOIN pw ON dh.m = n // 2 AND ph = array_to_string(w[:n // 2], ' ')
+  UNION ALL SELECT doc_id, phrase, n, p - n // 2 + e AS s FROM dh JOIN pw ON dh.m = n - n // 2 AND ph = array_to_string(w[n // 2 + 1:], ' ') CROSS JOIN (VALUES (-1), (0), (1)) v(e))),
+met AS (SELECT doc_id, phrase, n, {_agree('s + i', 'pw.w[i + 1]')} AS ahead, {_agree('s + n - 1 - i', 'pw.w[n - i]')} AS b0, {_agree('s + n - i', 'pw.w[n - i]')} AS b1, {_agree('s + n - 2 - i', 'pw.w[n - i]')} AS b2
+  FROM cand JOIN d USING (doc_id) JOIN pw USING (phrase, n)),
+cls AS (SELECT doc_id, count(DISTINCT phrase) AS n_close FROM met WHERE ahead + b0 >= n - 1 OR ahead + b1 >= n OR ahead + b2 >= n - 1 GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_close, 0) AS n_close
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id LEFT JOIN cls ON d.doc_id = cls.doc_id
 """
 
 

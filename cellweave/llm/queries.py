@@ -26,7 +26,7 @@ def op7_lang_id(spark, sf_dir):
 
 def op8_decontaminate(spark, sf_dir):
     out = decontaminate.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", "n_close")
 
 
 def op9_secret_scan(spark, sf_dir):

@@ -5,12 +5,14 @@ wins. Urls that no rule fits are judged by naive Bayes over tokens, learnt from
 
 * The names in a host are cut at characters other than letters and digits, and each concatenated name is split into words by a unigram
   Viterbi search. Word counts come from the text of all pages. Each distinct name meets only the words that
-  are substrings of it, by a join, so no vocabulary is broadcast and none is capped; a piece that is no word costs as in a
+  may stand in it, by a join on hashes, so no vocabulary is broadcast and none is capped; a piece that is no word costs as in a
   corpus where each further letter makes it ten times rarer.
 * The host's words and the path's tokens (numbers by their count of digits) are scored by multinomial naive Bayes with add-one counts.
 
 Defined results: a null url or one without :// has an empty host and path and no tokens, and gets the likelier class (allow on
-a tie or with nothing to learn from). Repeated rows are judged each. The url column, and the page column for counts, are all that is read.
+a tie or with nothing to learn from). Repeated rows are judged each; an empty table gives an empty one. Names and words may have
+any length: a name of n letters makes PIECE * n hashes at most and is searched in n steps for each length of the words that stand in it.
+The url column, and the page column for counts, are all that is read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from cellweave.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST = 200_000
+PIECE = 32  # letters by which a name and a word meet
 
 
 def host_of(url: Column) -> Column:
@@ -51,12 +54,18 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
 
 
 def best_split(name: str, logs: dict[str, float], total: float) -> list[str]:
-    """The likeliest words of name under a unigram model."""
+    """The likeliest words of name under a unigram model; logs has the words that may stand in it."""
     best, cut = [0.0], [0]
-    longest, letter, lead = max(map(len, logs), default=0), math.log(10), (-math.inf, 0)
+    lengths = sorted({len(w) for w in logs})
+    letter, lead = math.log(10), (-math.inf, 0)
     for e in range(1, len(name) + 1):
         lead = max(lead, (best[e - 1] + (e - 1) * letter, e - 1))  # where the best piece that is no word starts, whatever its end
-        score, at = max([(lead[0] - math.log(max(total, 1.0)) - e * letter, lead[1]), *((best[s] + logs[name[s:e]], s) for s in range(max(0, e - longest), e) if name[s:e] in logs)])
+        score, at = lead[0] - math.log(max(total, 1.0)) - e * letter, lead[1]
+        for n in lengths:
+            if n > e:
+                break
+            if (log := logs.get(name[e - n : e])) is not None:
+                score, at = max((score, at), (best[e - n] + log, e - n))
         best.append(score)
         cut.append(at)
     out, e = [], len(name)
@@ -76,13 +85,20 @@ def _split(total: float):
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """names: name. Rows (name, words) for the distinct names."""
-    total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    longest = int(counts.agg(F.max(F.length("word"))).first()[0] or 1)  # longer substrings are no words
-    cut = names.select("name").distinct()
-    spans = cut.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("s")).select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name") - F.col("s") + 1, F.lit(longest))), lambda k: F.substr("name", F.col("s"), k))).alias("word")).distinct()
-    met = spans.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("met"))  # at most a name's length times the longest word's
-    return cut.join(met, "name", "left").mapInArrow(_split(total), "name string, words array<string>")
+    """names: name. Rows (name, words) for the distinct names.
+
+    A name meets the words that may stand in it by hashes: of its pieces at every place, in the lengths that words have up to ``PIECE``; a
+    longer word is met by its first PIECE letters. Only numbers and hashes are shuffled, no substrings, and the search compares the letters."""
+    head = F.least(F.length("word"), F.lit(PIECE))
+    words = stored(counts.select("word", "n", head.alias("size"), F.xxhash64(F.substr("word", F.lit(1), head)).alias("h")))
+    total = float(words.agg(F.sum("n")).first()[0] or 1)
+    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())  # at most PIECE
+    cut = stored(names.select("name").distinct().select(F.monotonically_increasing_id().alias("number"), "name"))  # written once, so numbers stay
+    pieces = cut.select("number", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substr("name", k, F.lit(PIECE)))).alias("piece"))
+    parts = F.filter(F.array(*[F.struct(F.lit(k).alias("size"), F.xxhash64(F.substr("piece", F.lit(1), F.lit(k))).alias("h")) for k in sizes]), lambda x: x["size"] <= F.length("piece"))
+    spans = pieces.select("number", F.explode(parts).alias("part")).select("number", "part.*").distinct() if sizes else cut.select("number", F.lit(0).alias("size"), F.lit(0).cast("long").alias("h")).limit(0)
+    met = spans.join(words, ["size", "h"]).groupBy("number").agg(F.collect_list(F.struct("word", "n")).alias("met"))  # words that stand in one name
+    return cut.join(met, "number", "left").select("name", "met").mapInArrow(_split(total), "name string, words array<string>")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col="page_id", url_col="url", html_col="html") -> DataFrame:

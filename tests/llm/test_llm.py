@@ -138,21 +138,62 @@ def test_decontamination_finds_phrases(spark):
     assert out[25].n_hit == 0 and out[21].n_words == 55 and len(out) == len({i for i, _ in docs})
 
 
-def test_decontamination_proximity(spark):
-    texts = {1: "aa bb cc extra dd ee", 2: "zz aa bb cc dd ee", 3: "ee dd", 4: "aa bb cc dd", 5: "ee aa bb cc dd"}
-    items = [(1, "aa bb cc dd ee"), (2, "aa bb missing dd"), (3, "cc cc")]
-    out = {r.doc_id: r for r in decontaminate.judge(table(spark, list(texts.items())), spark.createDataFrame(items, "item_id long, text string"), slack=2).collect()}
-    w = {i: t.split() for i, t in texts.items()}
-    count = lambda t: sum(x.count(t) for x in w.values())
+def edited(text, item):
+    """Whether item stands in text with at most one word put in, left out or changed, by trying every edit."""
+    n = len(item)
+    for s in range(len(text) + 1):
+        for size in (n - 1, n, n + 1):
+            part = text[s : s + size]
+            if len(part) != size:
+                continue
+            if size == n and sum(x != y for x, y in zip(part, item, strict=True)) <= 1:
+                return True
+            if size == n + 1 and any(part[:k] + part[k + 1 :] == item for k in range(n + 1)):
+                return True
+            if size == n - 1 and any(item[:k] + item[k + 1 :] == part for k in range(n)):
+                return True
+    return False
+
+
+def close_windows(text, items, size=13):
+    windows = {tuple(w[i : i + size]) for w in items for i in range(max(1, len(w) - size + 1)) if w}
+    return sum(edited(text, list(w)) for w in windows if len(set(w)) >= 3)
+
+
+def test_decontamination_finds_every_edit_of_one_word(spark):
+    item = [f"q{i}" for i in range(13)]
+    docs, want = {0: item}, {}
+    for k in range(13):
+        docs[100 + k] = [*item[:k], "changed", *item[k + 1 :]]
+        docs[200 + k] = item[:k] + item[k + 1 :]
+        docs[300 + k] = [*item[:k], "more", *item[k:]]
+        docs[400 + k] = [*item[:k], "more", "and", *item[k:]]  # two words put in
+    around = {i: ["a", "b", *w, "c", "d"] for i, w in docs.items()}
+    for rows in ({i: w for i, w in docs.items() if i}, around):  # without and with an exact copy in the corpus
+        out = decontaminate.judge(table(spark, [(i, " ".join(w)) for i, w in rows.items()]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+        got = {r.doc_id: r.n_close for r in out.collect()}
+        want = {i: close_windows(w, [item]) for i, w in rows.items()}
+        assert got == want and all(n for i, n in got.items() if i < 400)
 
-    def near(doc, item):
-        rare = sorted({t for t in item if count(t)}, key=lambda t: (count(t), t))[:2]
-        at = [[k - item.index(t) for k, x in enumerate(doc) if x == t] for t in rare]
-        return len(rare) == 2 and any(abs(x - y) <= 2 for x in at[0] for y in at[1])
 
-    for i, doc in w.items():
-        assert out[i].n_close == sum(near(doc, t.split()) for _, t in items), i
-    assert [i for i in texts if out[i].n_hit] == [2] and out[2].n_hit == 5 and out[3].n_close < 2
+@pytest.mark.parametrize("seed", range(2))
+def test_decontamination_proximity_equals_brute_force(spark, seed):
+    g = random.Random(seed)
+    some = lambda n, k: [f"t{g.randrange(k)}" for _ in range(n)]
+    items = [some(g.randint(1, 9), 7) for _ in range(25)]
+    texts = {}
+    for i in range(60):
+        w = some(g.randint(0, 6), 9)
+        for _ in range(g.randint(0, 2)):
+            part = list(g.choice(items))
+            k = g.randrange(len(part))
+            part = g.choice([part, part[:k] + part[k + 1 :], [*part[:k], "new", *part[k:]], [*part[:k], g.choice(["t1", "old"]), *part[k + 1 :]]])
+            w += part + some(g.randint(0, 2), 9)
+        texts[i] = w
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    out = decontaminate.judge(table(spark, [(i, " ".join(w)) for i, w in texts.items()]), rows, size=5)
+    got = {r.doc_id: r.n_close for r in out.collect()}
+    assert got == {i: close_windows(w, items, 5) for i, w in texts.items()} and sum(got.values()) > 20
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -463,6 +504,37 @@ def test_url_segmentation_takes_whole_names(spark):
     assert "".join(url_filter.best_split("q" * 20000, {}, 12.0)) == "q" * 20000
 
 
+def test_url_filter_takes_names_and_words_of_any_length(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    host, word = "".join(RNG.choices(letters, k=20000)), "".join(RNG.choices(letters, k=20000))
+    pages = spark.createDataFrame([(1, f"http://{host}.org/x", f"<p>{word} gold mine</p>"), (2, "http://goldmine.org/", "gold gold mine mine"), (3, f"http://{word[:3000]}gold.com/", f"{word[:3000]} {word[:3000]}")], "page_id long, url string, html string")
+    out = {r.page_id: r for r in url_filter.judge(pages, [("com", "/", "allow")]).collect()}
+    assert len(out) == 3 and out[1].host == f"{host}.org" and out[3].rule == "com/"
+    counts = spark.createDataFrame([("gold", 4), (word[:3000], 5), (word[:2000], 1), (word, 2)], "word string, n long")
+    got = {r.name: r.words for r in url_filter.segmented(spark.createDataFrame([(word + "gold",), (word[:3000] + "gold",), ("xgold",)], "name string"), counts).collect()}
+    assert got == {word + "gold": [word, "gold"], word[:3000] + "gold": [word[:3000], "gold"], "xgold": ["x", "gold"]}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_url_filter_segments_as_all_splits(spark, seed, monkeypatch):
+    monkeypatch.setattr(url_filter, "PIECE", 3)  # so that words are met by their beginnings too
+    g = random.Random(seed)
+    words = {"".join(g.choices("ab", k=g.randint(1, 6))): g.randint(1, 50) for _ in range(12)}
+    total = sum(words.values())
+    names = ["".join(g.choices("abc", k=g.randint(1, 9))) for _ in range(30)]
+
+    def value(parts):
+        return sum(math.log(words[p] / total) if p in words else -math.log(total) - len(p) * math.log(10) for p in parts)
+
+    def splits(n):
+        return [[n]] + [[n[:k], *rest] for k in range(1, len(n)) for rest in splits(n[k:])]
+
+    got = {r.name: r.words for r in url_filter.segmented(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    assert set(got) == set(names)
+    for n in names:
+        assert "".join(got[n]) == n and abs(value(got[n]) - max(map(value, splits(n)))) < 1e-9
+
+
 def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
     monkeypatch.setattr(embedding_dedup, "LEAF", 8)
