@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern of pre-tokens whose meaning `cuts` has.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 1_000_000  # pre-tokens a task remembers
-BATCH = 2_000_000  # characters cut at once
+BATCH = 1_000_000  # characters cut at once
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 BASE = 0x9E3779B97F4A7C15 | 1
 
