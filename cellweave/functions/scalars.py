@@ -93,6 +93,11 @@ def _summed(ring: Column, term) -> Column:
     return F.aggregate(ring_edges(ring), F.lit(0.0), lambda a, e: a + term(e, e["x1"] * e["y2"] - e["x2"] * e["y1"]))
 
 
+def ring_area_signed(ring: Column) -> Column:
+    """Positive for a ring that runs counter-clockwise, so that a ring's holes, which run the other way, are taken off in a sum."""
+    return _summed(ring, lambda e, c: c) / 2
+
+
 def ring_area(ring: Column) -> Column:
     return F.abs(_summed(ring, lambda e, c: c)) / 2
 

@@ -110,11 +110,9 @@ def relabel_within_tile(placed: DataFrame) -> DataFrame:
 
 
 def renumber_segments(segments: DataFrame) -> DataFrame:
-    """(tile_id, segment_id) -> global_id: an offset for each tile plus the rank in it."""
-    sizes = segments.groupBy("tile_id").agg(F.count("*").alias("n"))
-    offset = F.coalesce(F.sum("n").over(W.orderBy("tile_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("tile_id").orderBy("segment_id")) - 1
-    return segments.join(sizes.select("tile_id", offset.alias("offset")), "tile_id").select("tile_id", "segment_id", (F.col("offset") + rank).alias("global_id"))
+    """(tile_id, segment_id) -> global_id from 0, in order of tile and segment, numbered by ranges and not in one task."""
+    keys = segments.select(F.struct("tile_id", "segment_id").alias("_k"))
+    return grid.dictionary(keys, "_k", "global_id").select("_k.*", "global_id")
 
 
 def segment_intensity(pixels: DataFrame, image: DataFrame, most: int = 4000) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Growing and trimming of segments on a pixel grid. Loops are driven step by step; each step is a plan whose result is written.
+"""Growing and trimming of segments on a pixel grid. Growth runs to its end in blocks with margins, in one shuffle; components and
+trimming are loops whose every step is a plan that is written.
 
 Pixel tables are dense: pixels (x, y, label) with -1 unlabelled, 0 background, > 0 a segment."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from cellweave.sources.scratch import stored
 
 STEPS = 15  # the most steps of growth
 DIAGONALS = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
+REACH = 3  # pixels from which a step takes what it looks at: a flow target is 2 away at most, and an island's neighbour 1 more
+BLOCK = 192  # side of a block that is grown in one task
+NO_PIXEL, NEVER = -(1 << 40), 1 << 40
 
 
 def with_targets(pixels: DataFrame, width: int, height: int) -> DataFrame:
@@ -31,51 +36,77 @@ def gathered(rows: DataFrame, labels: DataFrame, at: tuple[str, str], name: str)
     return rows.join(labels.select(F.col("x").alias(at[0]), F.col("y").alias(at[1]), F.col("label").alias(name)), list(at), "left")
 
 
-def expand_step(grid: DataFrame, labels: DataFrame, width: int, height: int, first: bool, threshold: float = 0.5, stopped: DataFrame | None = None) -> DataFrame:
-    """One step: an unlabelled foreground pixel takes the label at its flow target if a diagonal neighbour has it; then islands fill.
-
-    grid: with_targets() without labels; labels: x, y, label; stopped: flow, the labels that no pixel may flow into any more (islands
-    still take them). Only the open pixels are joined with their targets."""
-    open_ = labels.where("label = -1").select("x", "y").join(grid.where(F.col("foreground") >= threshold), ["x", "y"])
-    met = gathered(open_, labels, ("fx", "fy"), "l1")
-    if first:
-        flow = F.col("l1")
-    else:
-        met = gathered(met, labels, ("gx", "gy"), "l2")
-        flow = F.greatest("l1", "l2")
-    met = met.select("x", "y", flow.alias("flow")).where("flow <> -1")
-    if stopped is not None:
-        met = met.join(stopped, "flow", "left_anti")
-    near = met
-    for k, (i, j) in enumerate(DIAGONALS):
-        near = near.withColumn(f"x{k}", S.clip(F.col("x") + i, 0, width - 1)).withColumn(f"y{k}", S.clip(F.col("y") + j, 0, height - 1))
-        near = gathered(near, labels, (f"x{k}", f"y{k}"), f"d{k}")
-    took = near.where(" OR ".join(f"d{k} = flow" for k in range(4))).select("x", "y", F.col("flow").alias("new"))
-    grown = labels.join(took, ["x", "y"], "left").select("x", "y", F.coalesce("new", "label").alias("label"))
-    return filled(grown)
-
-
 def filled(labels: DataFrame) -> DataFrame:
     """Unlabelled pixels whose four neighbours share a label other than -1, background included, take it."""
     shared = shared_around(labels, labels.where("label = -1")).where("shared <> -1")
     return labels.join(shared, ["x", "y"], "left").select("x", "y", F.coalesce("shared", "label").alias("label"))
 
 
-def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, on_step: Callable[[int, DataFrame], None] | None = None, exclude: Callable[[int, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Rows (x, y, label) after `steps` steps, or once a step changes no pixel. exclude(step, labels) may give ids (label) that
-    nothing flows into any more, and at a later step no fewer of them. The first step looks less far than the others, so it never is the last."""
-    grid = stored(with_targets(pixels, width, height).drop("label"))
-    labels = stored(pixels.select("x", "y", "label"))
-    left = labels.where("label = -1").count()  # a step changes only open pixels, and leaves none that it changes open
-    for step in range(steps):
-        stopped = None if exclude is None else exclude(step, labels).select(F.col("label").alias("flow"))
-        labels = stored(expand_step(grid, labels, width, height, step == 0, threshold, stopped))
-        if on_step is not None:
-            on_step(step, labels)
-        before, left = left, labels.where("label = -1").count()
-        if step and left == before:
-            break
-    return labels
+def _grow(steps: int, threshold: float, width: int, height: int, block: int):
+    """All steps of growth for the pixels of one block, from its pixels and those around it."""
+    halo = REACH * steps
+    side = block + 2 * halo
+
+    def run(key, t):
+        x0, y0 = (k.as_py() * block - halo for k in key)
+        c = {n: t.column(n).to_numpy() for n in ("x", "y", "label", "foreground", "fx", "fy", "gx", "gy", "stop")}
+        nowhere = side * side  # holds no label
+
+        def at(x, y):
+            i, j = x - x0, y - y0
+            return np.where((i >= 0) & (i < side) & (j >= 0) & (j < side), i * side + j, nowhere)
+
+        here = at(c["x"], c["y"])
+        label, taken = np.full(nowhere + 1, NO_PIXEL), np.zeros(nowhere + 1, np.int64)
+        label[here] = c["label"]
+        stops, first = np.unique(c["label"], return_index=True)
+        stop = c["stop"][first]
+        opens = np.flatnonzero((c["label"] == -1) & (c["foreground"] >= threshold))
+        one, two = at(c["fx"], c["fy"])[opens], at(c["gx"], c["gy"])[opens]
+        corners = [at(np.clip(c["x"][opens] + i, 0, width - 1), np.clip(c["y"][opens] + j, 0, height - 1)) for i, j in DIAGONALS]
+        bare = np.flatnonzero(c["label"] == -1)
+        around = [at(c["x"][bare] + i, c["y"][bare] + j) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+        mine, blank = here[opens], here[bare]
+        for step in range(steps):
+            flow = label[one] if step == 0 else np.maximum(label[one], label[two])
+            ok = (label[mine] == -1) & (flow != -1) & (flow != NO_PIXEL)
+            ok &= np.any([label[k] == flow for k in corners], 0)
+            place = np.minimum(np.searchsorted(stops, flow), len(stops) - 1)
+            ok &= ~((stops[place] == flow) & (stop[place] <= step))
+            label[mine[ok]], taken[mine[ok]] = flow[ok], step + 1
+            near = [label[k] for k in around]
+            ring = near[0]
+            fill = (label[blank] == -1) & (ring != -1) & (ring != NO_PIXEL) & (near[1] == ring) & (near[2] == ring) & (near[3] == ring)
+            label[blank[fill]], taken[blank[fill]] = ring[fill], step + 1
+            if step and not ok.any() and not fill.any():
+                break  # the first step looks less far than the others, so it never is the last
+        core = (c["x"] >= x0 + halo) & (c["x"] < x0 + halo + block) & (c["y"] >= y0 + halo) & (c["y"] < y0 + halo + block)
+        return pa.table([pa.array(c["x"][core]), pa.array(c["y"][core]), pa.array(label[here[core]]), pa.array(taken[here[core]])], ["x", "y", "label", "step"])
+
+    return run
+
+
+def grown(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, stops: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Rows (x, y, label, step) after `steps` steps of growth; step: at which a pixel took its label, 0 if it has that of the start.
+
+    In a step an unlabelled foreground pixel takes the label at its flow target if a diagonal neighbour has it; then unlabelled pixels
+    whose four neighbours share a label take that. stops (label, step): ids that nothing flows into from that step (from 0) on; islands still
+    take them. A step reaches REACH pixels, so a square block with a margin of REACH * steps pixels holds all that its own pixels depend
+    on: each block is grown to the end in one task, of a size that the block's area bounds, and pixels are shuffled once."""
+    halo = REACH * steps
+    rows = with_targets(pixels, width, height)
+    stop = F.lit(NEVER).cast("long") if stops is None else F.coalesce("_stop", F.lit(NEVER)).cast("long")
+    if stops is not None:
+        rows = rows.join(stops.select("label", F.col("step").alias("_stop")), "label", "left")
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block)))
+    whole = [F.col(c).cast("long").alias(c) for c in ("x", "y", "label", "fx", "fy", "gx", "gy")]
+    dealt = rows.select(*whole, F.col("foreground").cast("double").alias("foreground"), stop.alias("stop")).withColumn("bx", blocks("x")).withColumn("by", blocks("y"))
+    return dealt.groupBy("bx", "by").applyInArrow(_grow(steps, threshold, width, height, block), "x long, y long, label long, step long")
+
+
+def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, stops: DataFrame | None = None) -> DataFrame:
+    """Rows (x, y, label) after growth."""
+    return grown(pixels, width, height, steps, threshold, stops).select("x", "y", "label")
 
 
 def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20, threshold: float = 0.5) -> DataFrame:
@@ -130,23 +161,11 @@ def best_step(trace: DataFrame) -> DataFrame:
 def early_stopped(pixels: DataFrame, px: DataFrame, profiles: DataFrame, priors: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5) -> DataFrame:
     """Rows (x, y, label): growth in which a segment stops at the step that gained most confidence in its type.
 
-    The first run keeps the transcripts that each step adds; the second stops a segment once the step reaches its best one."""
-    before = stored(pixels.select("x", "y", "label"))
-    gained = [before.where("label > 0").join(px, ["x", "y"]).groupBy(F.col("label").alias("segment_id"), "gene_id").agg(F.count("*").alias("n")).withColumn("step", F.lit(0))]
-    last = [before]
-
-    def keep(step: int, labels: DataFrame) -> None:
-        new = labels.where("label > 0").join(last[0].where("label > 0").select("x", "y"), ["x", "y"], "left_anti")
-        gained.append(stored(new.join(px, ["x", "y"]).groupBy(F.col("label").alias("segment_id"), "gene_id").agg(F.count("*").alias("n")).withColumn("step", F.lit(step + 1))))
-        last[0] = labels
-
-    greedy_expansion(pixels, width, height, steps, threshold, on_step=keep)
-    every = gained[0]
-    for more in gained[1:]:
-        every = every.unionByName(more)
-    best = stored(best_step(confidence_trace(every, profiles, priors, steps)))
-    stop = lambda step, labels: best.where(F.col("step") <= step).select(F.col("segment_id").alias("label"))
-    return greedy_expansion(pixels, width, height, steps, threshold, exclude=stop)
+    The first run tells the step at which each pixel was taken; the second stops a segment once the step reaches its best one."""
+    first = grown(pixels, width, height, steps, threshold).where("label > 0").join(px, ["x", "y"])
+    gained = stored(first.groupBy(F.col("label").alias("segment_id"), "gene_id", F.col("step").cast("int").alias("step")).agg(F.count("*").alias("n")))
+    best = stored(best_step(confidence_trace(gained, profiles, priors, steps)))
+    return greedy_expansion(pixels, width, height, steps, threshold, best.select(F.col("segment_id").alias("label"), "step"))
 
 
 def ray_segmentation(pixels: DataFrame, hits: DataFrame, best: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as S
+from cellweave.operators import grid
 
 EPS = 1e-6
+TILES_AT_ONCE = 32
 
 
 def ramp(at: Column, size: int, border: float) -> Column:
@@ -16,6 +22,42 @@ def ramp(at: Column, size: int, border: float) -> Column:
     return F.least(F.lit(1.0), from_edge / F.lit(max(border, 0.5)))
 
 
+def _scored(size: int, channels: int, score: Callable, shared, k: int):
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            for lo in range(0, b.num_rows, TILES_AT_ONCE):
+                part = b.slice(lo, TILES_AT_ONCE)
+                n, lists = part.num_rows, part.column("cells")
+                sizes, cells = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+                x = np.zeros((n, size, size, channels))
+                at = np.repeat(np.arange(n), sizes), cells.field(0).to_numpy(zero_copy_only=False), cells.field(1).to_numpy(zero_copy_only=False)
+                for c in range(channels):
+                    x[(*at, c)] = cells.field(2 + c).to_numpy(zero_copy_only=False)
+                y = np.asarray(score(x, model), float).reshape(n, size, size, k)
+                i, j = np.indices((size, size)).reshape(2, -1)
+                one = lambda name: np.repeat(part.column(name).to_numpy(), size * size)  # noqa: B023, E731
+                x1, y1 = one("x1"), one("y1")
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (one("tile_id"), x1, y1, x1 + np.tile(i, n), y1 + np.tile(j, n), *(np.ascontiguousarray(y[..., c]).ravel() for c in range(k)))], ["tile_id", "x1", "y1", "x", "y", *[f"s{c}" for c in range(k)]])
+
+    return run
+
+
+def score_tiles(pixels: DataFrame, tiles: DataFrame, size: int, channels: list[str], score: Callable, model, names: list[str]) -> DataFrame:
+    """Rows (tile_id, x1, y1, x, y, *names): score(batch, model) over batches of whole tiles, a row for each pixel of each tile.
+
+    pixels: x, y, *channels, one row a pixel; what a tile lacks is 0. score takes an array (tiles, size, size, channels) and gives one of
+    (tiles, size, size, names). The model is broadcast; a tile is size x size pixels at most, and a task scores many tiles at once."""
+    placed = grid.points_to_tiles(pixels.select("x", "y", *channels), tiles.select("tile_id", "x1", "y1", "x2", "y2"), size)
+    cell = F.struct((F.col("x") - F.col("x1")).cast("int").alias("i"), (F.col("y") - F.col("y1")).cast("int").alias("j"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(channels)])
+    rows = tiles.select("tile_id", "x1", "y1").join(placed.groupBy("tile_id").agg(F.collect_list(cell).alias("cells")), "tile_id", "left")
+    rows = rows.withColumn("cells", F.coalesce("cells", F.array().cast(rows.schema["cells"].dataType)))
+    shared = pixels.sparkSession.sparkContext.broadcast(model)
+    kinds = ", ".join(f"{c} long" for c in ("tile_id", "x1", "y1", "x", "y")) + "".join(f", s{k} double" for k in range(len(names)))
+    out = rows.mapInArrow(_scored(size, len(channels), score, shared, len(names)), kinds)
+    return out.select("tile_id", "x1", "y1", "x", "y", *[F.col(f"s{k}").alias(n) for k, n in enumerate(names)])
+
+
 def stitch(tiles: DataFrame, size: int, overlap: float, classes: int) -> DataFrame:
     """tiles: x1, y1, x, y (slide pixels), foreground, angle, probs array. Weighted means a pixel; angles by their unit vectors."""
     border = size * overlap

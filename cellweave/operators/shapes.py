@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cellweave.operators import spatial
+from cellweave.sources.scratch import stored
 
 
 def boundary_edges(segments: DataFrame) -> DataFrame:
-    """Directed unit edges (segment_id, x1, y1, x2, y2) of each segment's outline, counter-clockwise: edges that two pixels of a
-    segment share cancel."""
+    """Directed unit edges (segment_id, x1, y1, x2, y2) of each segment's outline, counter-clockwise: a pixel's sides beyond which the segment
+    goes on are never made, as the pixels next to it in its row and column tell."""
+    row, column = W.partitionBy("segment_id", "y").orderBy("x"), W.partitionBy("segment_id", "x").orderBy("y")
     x, y = F.col("x"), F.col("y")
-    corners = [(x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)]
-    edge = F.explode(F.array(*[F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2")) for a, b, c, d in corners]))
-    every = segments.select("segment_id", edge.alias("e"))
-    side = F.struct(F.least("e.x1", "e.x2").alias("a"), F.least("e.y1", "e.y2").alias("b"), F.greatest("e.x1", "e.x2").alias("c"), F.greatest("e.y1", "e.y2").alias("d"))
-    return every.groupBy("segment_id", side.alias("side")).agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1").select("segment_id", "e.*")
+    beside = {"left": F.lag("x").over(row) == x - 1, "right": F.lead("x").over(row) == x + 1, "below": F.lag("y").over(column) == y - 1, "above": F.lead("y").over(column) == y + 1}
+    seen = segments.select("segment_id", "x", "y", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in beside.items()])
+    sides = {"below": (x, y, x + 1, y), "right": (x + 1, y, x + 1, y + 1), "above": (x + 1, y + 1, x, y + 1), "left": (x, y + 1, x, y)}
+    edges = F.array(*[F.when(~F.col(n), F.struct(*[v.alias(c) for v, c in zip(ends, ("x1", "y1", "x2", "y2"), strict=True)])) for n, ends in sides.items()])
+    return seen.select("segment_id", F.explode(F.array_compact(edges)).alias("e")).select("segment_id", "e.*")
 
 
 def pixel_areas(segments: DataFrame) -> DataFrame:
@@ -24,35 +27,35 @@ def pixel_areas(segments: DataFrame) -> DataFrame:
 
 
 def chained(edges: DataFrame) -> DataFrame:
-    """Rows (segment_id, ring, points array of struct x, y): outline edges chained into rings, a segment at a time."""
-
-    def run(pdf):
-        import pandas as pd
-
-        rows = []
-        out = {}
-        for a in pdf.sort_values(["x1", "y1", "x2", "y2"]).itertuples():
-            out.setdefault((a.x1, a.y1), []).append((a.x2, a.y2))
-        ring = 0
-        while out:
-            start = min(out)
-            at, points, came = start, [], None
-            while True:
-                points.append({"x": float(at[0]), "y": float(at[1])})
-                ways = out[at]
-                if came and len(ways) > 1:  # at a corner that two pixels touch, turn left and so stay on one pixel
-                    ways.sort(key=lambda w: -(came[0] * (w[1] - at[1]) - came[1] * (w[0] - at[0])))
-                to = ways.pop(0)
-                if not ways:
-                    del out[at]
-                came, at = (to[0] - at[0], to[1] - at[1]), to
-                if at == start:
-                    break
-            rows.append((int(pdf.segment_id.iloc[0]), ring, points))
-            ring += 1
-        return pd.DataFrame(rows, columns=["segment_id", "ring", "points"])
-
-    return edges.groupBy("segment_id").applyInPandas(run, "segment_id bigint, ring int, points array<struct<x:double,y:double>>")
+    """Rows (segment_id, ring, points array of struct x, y): outline edges of whole coordinates from 0 on, chained into rings, which are
+    numbered by their first points.
+
+    List ranking by doubling: each edge knows the least edge among the 2^k that follow it and how far that is, and meets the edge
+    2^k on for the next round. Once no round changes, the least edge is the ring's first and the distance tells an edge's place,
+    after as many rounds as the longest ring's length has binary digits. Only edges of a segment and place meet, whatever the ring's size."""
+    point = lambda x, y: F.col(x).cast("long") * F.lit(1 << 31) + F.col(y)
+    right, up = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    turn = F.when(right == 1, 0).when(up == 1, 1).when(right == -1, 2).otherwise(3)
+    one = edges.select("segment_id", point("x1", "y1").alias("at"), point("x2", "y2").alias("end"), turn.alias("d"))
+    ways = one.groupBy("segment_id", F.col("at").alias("end")).agg(F.collect_set("d").alias("ways"))  # two where pixels touch at a corner
+    left = F.when(F.size("ways") == 1, F.col("ways")[0]).otherwise((F.col("d") + 1) % 4)  # there a left turn stays on the pixel
+    now = stored(one.join(ways, ["segment_id", "end"]).select("segment_id", (F.col("at") * 4 + F.col("d")).alias("e"), (F.col("end") * 4 + left).alias("to")).select("*", F.col("e").alias("least"), F.lit(0).cast("long").alias("far")))
+    k = 0
+    while True:
+        ahead = now.select("segment_id", F.col("e").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"), F.col("far").alias("far2"))
+        less = F.col("least2") < F.col("least")
+        after = now.join(ahead, ["segment_id", "to"]).select("segment_id", "e", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), F.when(less, F.col("far2") + (1 << k)).otherwise(F.col("far")).alias("far"), less.alias("moved"))
+        now, k = stored(after), k + 1
+        if now.where("moved").isEmpty():
+            break
+    spot = F.floor(F.col("e") / 4)
+    corner = F.struct((-F.col("far")).alias("place"), F.floor(spot / (1 << 31)).cast("double").alias("x"), (spot % (1 << 31)).cast("double").alias("y"))
+    # far is the way ahead to the first edge: 0 for it, then one less than the ring's length and so on down
+    rings = now.groupBy("segment_id", "least").agg(F.sort_array(F.collect_list(corner)).alias("c"))  # an outline's own points
+    last = F.element_at("c", -1)
+    points = F.transform(F.concat(F.array(last), F.slice("c", 1, F.size("c") - 1)), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    ring = F.row_number().over(W.partitionBy("segment_id").orderBy("least")) - 1
+    return rings.select("segment_id", ring.alias("ring"), points.alias("points"))
 
 
 def jaccard_of_members(a: DataFrame, b: DataFrame, pairs: DataFrame, a_col: str, b_col: str, member: str) -> DataFrame:

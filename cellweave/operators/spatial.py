@@ -66,14 +66,41 @@ def dense_near(pixels: DataFrame, tx: DataFrame, k: int, radius: int, x: str, y:
     return pixels.select("x", "y").join(near.where(F.col("n") >= k), ["x", "y"], "left_semi")
 
 
-def nearest_points(sites: DataFrame, points: DataFrame, point: str, most: float) -> DataFrame:
-    """Rows (point, site, distance) of the nearest site within `most`; sites: site, sx, sy; points: point, x, y."""
-    at = points.withColumn("_gx", F.floor(F.col("x") / most)).withColumn("_gy", F.floor(F.col("y") / most))
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / most) - 1, F.floor(F.col(c) / most) + 1))
-    placed = sites.withColumn("_gx", around("sx")).withColumn("_gy", around("sy"))
-    d = F.sqrt((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")))
-    met = at.join(placed, ["_gx", "_gy"]).select(point, "site", d.alias("distance")).where(F.col("distance") <= most)
-    return met.groupBy(point).agg(F.min(F.struct("distance", "site")).alias("_b")).select(point, F.col("_b.site").alias("site"), F.col("_b.distance").alias("distance"))
+def nearest_points(sites: DataFrame, points: DataFrame, point: str, most: float | None = None, first: float = CELL) -> DataFrame:
+    """Rows (point, site, distance) of the nearest site, within `most` if that is given; the least site on ties. sites: site, sx, sy; points:
+    point, x, y.
+
+    Points meet the sites of neighbouring cells, and those without a site within a cell's side meet cells of twice the side, so
+    only sparse regions look far."""
+    good = lambda df, x, y: df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sites, left = good(sites.select("site", "sx", "sy"), "sx", "sy"), good(points.select(point, "x", "y"), "x", "y")
+    empty = left.select(point, F.lit(None).cast(sites.schema["site"].dataType).alias("site"), F.lit(None).cast("double").alias("distance")).limit(0)
+    if most is None:
+        sites, left = stored(sites), stored(left)
+        a, b = sites.agg(*[f(c) for c in ("sx", "sy") for f in (F.min, F.max)]).first(), left.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+        if a[0] is None or b[0] is None:
+            return empty
+        far = max(a[1], b[1]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[2], b[2])
+    else:
+        far = most
+    around = lambda c, r: F.explode(F.sequence(F.floor(F.col(c) / r) - 1, F.floor(F.col(c) / r) + 1))
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    out, r = None, first if most is None else min(first, most)
+    while True:
+        at = left.withColumn("_gx", F.floor(F.col("x") / r)).withColumn("_gy", F.floor(F.col("y") / r))
+        placed = sites.withColumn("_gx", around("sx", r)).withColumn("_gy", around("sy", r))
+        met = at.join(placed, ["_gx", "_gy"]).select(point, "site", F.sqrt(dx * dx + dy * dy).alias("distance")).where(F.col("distance") <= r)
+        found = met.groupBy(point).agg(F.min(F.struct("distance", "site")).alias("_b")).select(point, F.col("_b.site").alias("site"), F.col("_b.distance").alias("distance"))
+        if r >= far and out is None:
+            return found
+        found = stored(found)
+        out = found if out is None else out.unionByName(found)
+        if r >= far:
+            return out
+        left = stored(left.join(found.select(point), point, "left_anti"))
+        if left.isEmpty():
+            return out
+        r = 2 * r if most is None else min(2 * r, most)
 
 
 def kth_distance(pixels: DataFrame, tx: DataFrame, k: int, x: str, y: str, first: float = 4.0) -> DataFrame:
@@ -119,20 +146,26 @@ def uniformity_p(sums: DataFrame, trials: int, exact: bool) -> DataFrame:
 
 
 def tile_ownership(polygons: DataFrame, tiles: DataFrame, id_col: str) -> DataFrame:
-    """Rows (id_col, tile_id): the tile whose centre is nearest to the polygon, the least on ties. The pairs come from neighbouring cells
-    of a tile's side; a polygon without a centre there that is surely nearest meets every tile, which are few and sized by the slide."""
-    side = float(tiles.agg(F.max(F.col("x2") - F.col("x1"))).first()[0])
-    centers = tiles.select("tile_id", ((F.col("x1") + F.col("x2")) / 2).alias("tx"), ((F.col("y1") + F.col("y2")) / 2).alias("ty"))
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side) + 1))
+    """Rows (id_col, tile_id): the tile whose centre is nearest to the polygon, the least on ties. Polygons meet the centres in the cells of a
+    tile's side that they come near; one without a centre within that side meets cells of twice the side, and so on."""
+    centers = stored(tiles.select("tile_id", ((F.col("x1") + F.col("x2")) / 2).alias("tx"), ((F.col("y1") + F.col("y2")) / 2).alias("ty"), (F.col("x2") - F.col("x1")).alias("_side")))
+    left = stored(polygons.select(id_col, "ring"))
+    ends = centers.agg(F.max("_side"), F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
     b = S.ring_bounds(F.col("ring"))
-    extent = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])  # a centre of another cell is farther than side - extent
-    at = polygons.select(id_col, "ring", extent.alias("_extent"), F.floor(b["xmin"] / side).alias("_gx"), F.floor(b["ymin"] / side).alias("_gy"))
-    met = at.join(centers.withColumn("_gx", around("tx")).withColumn("_gy", around("ty")), ["_gx", "_gy"])
+    box = left.agg(F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"])).first()
+    if ends[0] is None or box[0] is None:
+        return left.select(id_col, F.lit(None).cast("long").alias("tile_id")).limit(0)
+    far, r, out = max(ends[2], box[1]) - min(ends[1], box[0]) + max(ends[4], box[3]) - min(ends[3], box[2]), float(ends[0]), None
     d = S.ring_distance(F.col("ring"), F.col("tx"), F.col("ty"))
-    best = F.min(F.struct(F.round(d, 9).alias("d"), "tile_id")).alias("_b")
-    near = stored(met.groupBy(id_col).agg(best, F.max("_extent").alias("_extent")).where(F.col("_b.d") < side - F.col("_extent")).select(id_col, F.col("_b.tile_id").alias("tile_id")))
-    far = polygons.select(id_col, "ring").join(near, id_col, "left_anti").crossJoin(F.broadcast(centers))
-    return near.unionByName(far.groupBy(id_col).agg(best).select(id_col, F.col("_b.tile_id").alias("tile_id")))
+    while True:
+        placed = centers.withColumn("_gx", F.floor(F.col("tx") / r)).withColumn("_gy", F.floor(F.col("ty") / r))
+        met = covered(left, r, r).join(placed, ["_gx", "_gy"]).select(id_col, "tile_id", F.round(d, 9).alias("d")).where(F.col("d") <= r)
+        found = stored(met.groupBy(id_col).agg(F.min(F.struct("d", "tile_id")).alias("_b")).select(id_col, F.col("_b.tile_id").alias("tile_id")))
+        out = found if out is None else out.unionByName(found)
+        left = stored(left.join(found.select(id_col), id_col, "left_anti"))
+        if r >= far or left.isEmpty():
+            return out
+        r *= 2
 
 
 def pixel_overlaps(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators import celltypes, counts, spatial, typefit
+from cellweave.operators import celltypes, counts, grid, spatial, typefit
 from cellweave.sources import io
 from cellweave.sources.scratch import stored
 
@@ -58,3 +58,15 @@ def model_report(found: DataFrame, models: typefit.Models, scores: DataFrame, ge
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def combined(results: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Rows (tile_id, local_id, ring, global_id): the segments of overlapping tiles as one segmentation.
+
+    results: tile_id, local_id, ring in the tile's coordinates. A segment stays if its own tile's centre is nearest to it, so what
+    several tiles saw is kept once; numbers follow tile and local id and are given by ranges."""
+    moved = F.transform("ring", lambda q: F.struct((q["x"] + F.col("x1")).alias("x"), (q["y"] + F.col("y1")).alias("y")))
+    placed = stored(results.join(tiles.select("tile_id", "x1", "y1"), "tile_id").select(F.struct("tile_id", "local_id").alias("seen"), moved.alias("ring")))
+    owner = spatial.tile_ownership(placed, tiles, "seen").where(F.col("seen.tile_id") == F.col("tile_id")).select("seen")
+    named = grid.dictionary(owner, "seen", "global_id")
+    return placed.join(named, "seen").select("seen.*", "ring", "global_id")

@@ -317,50 +317,43 @@ def split_tiles(t):
 
 
 def slide_tiles_of(t) -> DataFrame:
-    """Tiles of the whole slide; those of tiles_of() cover the pixels table's strip, as the statements do."""
+    """Tiles of the whole slide; those of tiles_of() cover the raster, a strip of it."""
     return grid.tile_grid(t.spark, *t.slide_size(), 64, 0.2)
 
 
-@query(f"WITH {TILES} SELECT transcript_id, tile_id FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2")
-def points_to_tiles(t):
-    return grid.points_to_tiles(t.tx, tiles_of(t), 64, "x_location", "y_location").select("transcript_id", "tile_id")
-
-
-@query(None)
-def points_to_slide_tiles(t):
-    return grid.points_to_tiles(t.tx, slide_tiles_of(t), 64, "x_location", "y_location").select("transcript_id", "tile_id")
+SLIDE_TILES = TILES.replace("CAST(160 AS BIGINT)", "CAST(800 AS BIGINT)")
 
 
-@query(f"WITH {TILES} SELECT CAST(tile_id AS INTEGER) AS tile_id, count(*) AS n FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2 GROUP BY 1")
-def write_transcript_tiles(t):
-    return _written_transcripts(t, tiles_of(t))
+IN_TILE = "x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2"
 
 
-@query(None)
-def write_transcript_slide_tiles(t):
-    return _written_transcripts(t, slide_tiles_of(t))
+@query(f"WITH {SLIDE_TILES} SELECT transcript_id, tile_id FROM {{tx}} JOIN tiles ON {IN_TILE}")
+def points_to_tiles(t):
+    return grid.points_to_tiles(t.tx, slide_tiles_of(t), 64, "x_location", "y_location").select("transcript_id", "tile_id")
 
 
-def _written_transcripts(t, tiles):
+def written_tiles(t, columns: list[str]) -> DataFrame:
+    """Transcripts written a folder a tile and read again as files, with the tile that a file's path tells."""
     path = scratch(t.spark)
-    io.write_transcript_tiles(t.tx.select("transcript_id", "x_location", "y_location"), tiles, path, 64)
-    files = t.spark.read.option("recursiveFileLookup", True).parquet(path)
-    return files.select(io.tile_id_of_path().alias("tile_id")).groupBy("tile_id").agg(F.count("*").alias("n"))
+    io.write_transcript_tiles(t.tx.select("x_location", "y_location", *columns), slide_tiles_of(t), path, 64)
+    files = t.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    return files.select(*columns, io.tile_id_of_path().alias("tile_id"))
 
 
-@query(f"WITH {TILES} SELECT tile_id, cell_id, count(*) AS n FROM {{nucleus_vertices}} JOIN tiles ON vertex_x >= x1 AND vertex_x < x2 AND vertex_y >= y1 AND vertex_y < y2 GROUP BY ALL")
-def write_nuclei_tiles(t):
-    return _written_nuclei(t, tiles_of(t))
+@query(f"WITH {SLIDE_TILES} SELECT CAST(tile_id AS INTEGER) AS tile_id, count(*) AS n FROM {{tx}} JOIN tiles ON {IN_TILE} GROUP BY 1")
+def write_transcript_tiles(t):
+    return written_tiles(t, ["transcript_id"]).groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
-@query(None)
-def write_nuclei_slide_tiles(t):
-    return _written_nuclei(t, slide_tiles_of(t))
+@query(f"WITH {SLIDE_TILES} SELECT transcript_id, qv, CAST(tile_id AS INTEGER) AS tile_id FROM {{tx}} JOIN tiles ON {IN_TILE}")
+def tile_id_from_path(t):
+    return written_tiles(t, ["transcript_id", "qv"])
 
 
-def _written_nuclei(t, tiles):
+@query(f"WITH {SLIDE_TILES} SELECT tile_id, cell_id, count(*) AS n FROM {{nucleus_vertices}} JOIN tiles ON vertex_x >= x1 AND vertex_x < x2 AND vertex_y >= y1 AND vertex_y < y2 GROUP BY ALL")
+def write_nuclei_tiles(t):
     path = scratch(t.spark)
-    grid.points_to_tiles(t.nucleus_vertices, tiles, 64, "vertex_x", "vertex_y").write.partitionBy("tile_id").parquet(path)
+    grid.points_to_tiles(t.nucleus_vertices, slide_tiles_of(t), 64, "vertex_x", "vertex_y").write.partitionBy("tile_id").parquet(path)
     return t.spark.read.parquet(path).groupBy(F.col("tile_id").cast("long").alias("tile_id"), "cell_id").agg(F.count("*").alias("n"))
 
 
@@ -427,13 +420,15 @@ def kth_nearest_distance(t):
     return d.select("x", "y", r6(F.col("distance")).alias("distance"))
 
 
-@query("""WITH d AS (SELECT n.cell_id, m.cell_id AS site, sqrt((m.x_centroid - n.cx - 7)*(m.x_centroid - n.cx - 7) + (m.y_centroid - n.cy - 4)*(m.y_centroid - n.cy - 4)) AS d FROM {nuclei} n JOIN {cell_metadata} m ON abs(m.x_centroid - n.cx - 7) <= 30 AND abs(m.y_centroid - n.cy - 4) <= 30)
-SELECT cell_id, arg_min(site, (d, site)) AS site, round(min(d), 6) AS distance FROM d WHERE d <= 30 GROUP BY cell_id""")
+@query("""WITH p AS (SELECT cell_id, CASE WHEN cell_id % 50 = 0 THEN cx + 900 ELSE cx + 7 END AS px, cy + 4 AS py FROM {nuclei}),
+d AS (SELECT p.cell_id, m.cell_id AS site, sqrt((x_centroid - px)*(x_centroid - px) + (y_centroid - py)*(y_centroid - py)) AS d FROM p CROSS JOIN {cell_metadata} m WHERE m.cell_id % 3 = 0)
+SELECT cell_id, arg_min(site, (d, site)) AS site, round(min(d), 6) AS distance FROM d GROUP BY cell_id""")
 def nearest_celltype(t):
-    """Nuclei, moved by (7, 4), with the nearest cell's centroid."""
-    sites = t.cell_metadata.select(F.col("cell_id").alias("site"), F.col("x_centroid").alias("sx"), F.col("y_centroid").alias("sy"))
-    points = t.nuclei.select("cell_id", (F.col("cx") + 7).cast("double").alias("x"), (F.col("cy") + 4).cast("double").alias("y"))
-    return spatial.nearest_points(sites, points, "cell_id", 30.0).select("cell_id", "site", r6(F.col("distance")).alias("distance"))
+    """Nuclei, moved by (7, 4), and every fiftieth far off the slide, with the nearest centroid of every third cell, however far."""
+    sites = t.cell_metadata.where("cell_id % 3 = 0").select(F.col("cell_id").alias("site"), F.col("x_centroid").alias("sx"), F.col("y_centroid").alias("sy"))
+    x = F.col("cx") + F.when(F.col("cell_id") % 50 == 0, 900).otherwise(7)
+    points = t.nuclei.select("cell_id", x.cast("double").alias("x"), (F.col("cy") + 4).cast("double").alias("y"))
+    return spatial.nearest_points(sites, points, "cell_id").select("cell_id", "site", r6(F.col("distance")).alias("distance"))
 
 
 @query(f"WITH {PX} SELECT x, y, gene_id, label, class FROM px JOIN {{pixels}} USING (x, y)")
@@ -742,7 +737,20 @@ def greedy_expansion(t):
 
 @query(None)
 def greedy_expansion_whole(t):
-    return expand.greedy_expansion(_with_pred(t), *t.size(), expand.STEPS)
+    """To the end of growth, with the step that took each pixel."""
+    return expand.grown(_with_pred(t), *t.size(), expand.STEPS)
+
+
+@query("""WITH c AS (SELECT label, x, y FROM {pixels} WHERE label > 0), e AS (SELECT label, count(*) AS n FROM (SELECT label, x, y, unnest([1, 2, 3, 4]) AS s FROM c) a
+ WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.label = a.label AND b.x = a.x + CASE s WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AND b.y = a.y + CASE s WHEN 3 THEN 1 WHEN 4 THEN -1 ELSE 0 END) GROUP BY label)
+SELECT label AS segment_id, count(*) AS area, max(e.n) AS outline, min(x) AS xmin, min(y) AS ymin, max(x) + 1 AS xmax, max(y) + 1 AS ymax FROM c JOIN e USING (label) GROUP BY label""")
+def outlines(t):
+    """What the chained rings of a segment enclose, how long they are and their box."""
+    rings = shapes.chained(shapes.boundary_edges(t.pixels.where("label > 0").select("x", "y", F.col("label").alias("segment_id"))))
+    b, signed = S.ring_bounds(F.col("points")), S.ring_area_signed(F.col("points"))
+    one = rings.select("segment_id", signed.alias("area"), F.size("points").alias("n"), *[c.alias(k) for k, c in b.items()])
+    ends = [f(c).cast("long").alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]
+    return one.groupBy("segment_id").agg(F.sum("area").cast("long").alias("area"), F.sum("n").cast("long").alias("outline"), *ends)
 
 
 @query("SELECT label AS segment_id, count(*) AS area FROM {pixels} WHERE label > 0 GROUP BY label")

@@ -13,6 +13,7 @@ from cellweave.functions import scalars as S
 from cellweave.operators import celltypes, counts, expand, grid, overlay, predictions, shapes, spatial, typefit
 from cellweave.plans import jobs
 from cellweave.plans.queries import (
+    IN_TILE, SLIDE_TILES,
     _A, _DIST, _HARD, _J, _JOINED, _PROBS, CELL_COUNTS, NUCLEUS, PREP, PX, TILES, _cell_counts, _encoded, _judged, _members, _memberships, _soft, _start, _with_pred,
     edges_sql, inside_sql, query, r6, slide_tiles_of, tiles_of,
 )
@@ -22,12 +23,6 @@ from cellweave.sources.scratch import scratch, stored
 # --- sinks and reads -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT transcript_id, CAST(qv AS INTEGER) AS tile_id FROM {tx}")
-def tile_id_from_path(t):
-    path = F.concat(F.lit("out/run/tile_"), F.col("qv").cast("int").cast("string"), F.lit(".parquet"))
-    return t.tx.select("transcript_id", io.tile_id_of_path(path).alias("tile_id"))
-
-
 @query("SELECT x - 32 AS x, y - 40 AS y, CASE WHEN label > 0 THEN k ELSE label END AS label FROM (SELECT x, y, label FROM {pixels} WHERE x >= 32 AND x < 96 AND y >= 40 AND y < 104) LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) AS k FROM (SELECT DISTINCT label FROM {pixels} WHERE label > 0 AND x >= 32 AND x < 96 AND y >= 40 AND y < 104)) USING (label)")
 def read_dataset_tile(t):
     path = scratch(t.spark)
@@ -105,14 +100,8 @@ d AS (SELECT n.id, n.tile_id, sqrt(min((x1 + {_DIST}*(x2-x1) - px)*(x1 + {_DIST}
 SELECT id AS {key}, arg_min(tile_id, (CASE WHEN inside THEN 0 ELSE round(dist, 9) END, tile_id)) AS tile_id FROM d GROUP BY id"""
 
 
-@query(f"WITH {_owner_sql('nucleus_vertices', 'cell_id', TILES)} HAVING id IN (SELECT cell_id FROM {{nuclei}} WHERE cx < 160)")
+@query(f"WITH {_owner_sql('nucleus_vertices', 'cell_id', SLIDE_TILES)}")
 def tile_ownership(t):
-    on_slide = t.polygons("nucleus_vertices", "cell_id").join(t.nuclei.where("cx < 160"), "cell_id", "left_semi")
-    return spatial.tile_ownership(on_slide, tiles_of(t), "cell_id")
-
-
-@query(None)
-def slide_tile_ownership(t):
     return spatial.tile_ownership(t.polygons("nucleus_vertices", "cell_id"), slide_tiles_of(t), "cell_id")
 
 
@@ -610,13 +599,20 @@ def job_preprocess(t):
     return labels.join(angles, ["x", "y"], "left").select("x", "y", "label", kind.alias("class"), r6(F.col("angle")).alias("angle"))
 
 
-@query(f"WITH {TILES}, p AS (SELECT tile_id, label AS segment_id, count(*) AS pixels FROM {{pixels}} JOIN tiles ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 WHERE label > 0 GROUP BY ALL), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY pixels DESC, tile_id) = 1) SELECT tile_id, segment_id, row_number() OVER (ORDER BY tile_id, segment_id) - 1 AS global_id FROM o")
+@query(f"WITH ow AS ({'WITH ' + _owner_sql('method_vertices', 'segment_id', SLIDE_TILES)}) SELECT tile_id, segment_id, row_number() OVER (ORDER BY tile_id, segment_id) - 1 AS global_id FROM ow")
 def job_combine(t):
-    """Tile results, each segment kept by the tile that holds most of it, then renumbered over all tiles."""
-    placed = grid.points_to_tiles(t.pixels.where("label > 0").select("x", "y", F.col("label").alias("segment_id")), tiles_of(t), 64)
-    sizes = placed.groupBy("tile_id", "segment_id").agg(F.count("*").alias("pixels"))
-    owner = F.row_number().over(W.partitionBy("segment_id").orderBy(F.desc("pixels"), "tile_id"))
-    return counts.renumber_segments(sizes.withColumn("_r", owner).where("_r = 1").select("tile_id", "segment_id"))
+    """Outlines that every tile gives, in its own coordinates and numbers, put together: a segment that several tiles saw stays with the tile
+    whose centre is nearest to it; then segments are numbered over all tiles."""
+    tiles, rings = slide_tiles_of(t), t.polygons("method_vertices", "segment_id")
+    b = S.ring_bounds(F.col("ring"))
+    cell = lambda c: F.floor(c / 64)
+    cover = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi) - 1)))
+    placed = tiles.withColumn("_gx", cover("x1", "x2")).withColumn("_gy", cover("y1", "y2"))
+    boxed = rings.select("segment_id", "ring", *[c.alias(f"_{n}") for n, c in b.items()]).withColumn("_gx", F.explode(F.sequence(cell(F.col("_xmin")), cell(F.col("_xmax"))))).withColumn("_gy", F.explode(F.sequence(cell(F.col("_ymin")), cell(F.col("_ymax")))))
+    seen = boxed.join(placed, ["_gx", "_gy"]).where("_xmin < x2 AND _xmax > x1 AND _ymin < y2 AND _ymax > y1").dropDuplicates(["tile_id", "segment_id"])
+    local = F.transform("ring", lambda q: F.struct((q["x"] - F.col("x1")).alias("x"), (q["y"] - F.col("y1")).alias("y")))
+    results = stored(seen.select("tile_id", F.col("segment_id").alias("local_id"), local.alias("ring")))
+    return jobs.combined(results, tiles).select("tile_id", F.col("local_id").alias("segment_id"), "global_id")
 
 
 @query("WITH s AS (SELECT 'ours' AS method, p.label, i.intensity FROM {pixels} p JOIN {image} i USING (x, y) WHERE p.label > 0 UNION ALL SELECT 'shifted', p.label, i.intensity FROM {pixels} p JOIN {image} i ON i.x = p.x + 2 AND i.y = p.y WHERE p.label > 0) SELECT method, label, round(avg(intensity), 6) AS mean_intensity, count(*) AS size FROM s GROUP BY ALL")
@@ -646,21 +642,14 @@ def job_comparison_layers(t):
     return inside.groupBy("layer").agg(F.count("*").alias("n"), (F.round(F.sum("area"), 4) + 0.0).alias("area"))
 
 
-@query(f"WITH {TILES} SELECT tile_id, count(*) AS transcripts FROM {{tx}} JOIN tiles ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2 GROUP BY tile_id")
+@query(f"WITH {SLIDE_TILES}, a AS (SELECT tile_id, count(*) AS transcripts FROM {{tx}} JOIN tiles ON {IN_TILE} GROUP BY tile_id), b AS (SELECT tile_id, count(DISTINCT cell_id) AS nuclei FROM {{nucleus_vertices}} JOIN tiles ON vertex_x >= x1 AND vertex_x < x2 AND vertex_y >= y1 AND vertex_y < y2 GROUP BY tile_id) SELECT tile_id, transcripts, coalesce(nuclei, 0) AS nuclei FROM a LEFT JOIN b USING (tile_id)")
 def job_tile_slide(t):
-    return _tiled(t, tiles_of(t))
-
-
-@query(None)
-def job_tile_whole_slide(t):
-    return _tiled(t, slide_tiles_of(t))
-
-
-def _tiled(t, tiles):
-    path = scratch(t.spark)
+    """Transcripts and nuclei of the whole slide, written a folder a tile and read again."""
+    path, tiles = scratch(t.spark), slide_tiles_of(t)
     io.write_transcript_tiles(t.tx.select("transcript_id", "x_location", "y_location"), tiles, f"{path}/transcripts", 64)
     io.write_transcript_tiles(t.nucleus_vertices.select("cell_id", F.col("vertex_x").alias("x_location"), F.col("vertex_y").alias("y_location")), tiles, f"{path}/nuclei", 64)
-    return t.spark.read.parquet(f"{path}/transcripts").groupBy(F.col("tile_id").cast("long").alias("tile_id")).agg(F.count("*").alias("transcripts"))
+    tx, nuclei = (t.spark.read.parquet(f"{path}/{n}").groupBy(F.col("tile_id").cast("long").alias("tile_id")) for n in ("transcripts", "nuclei"))
+    return tx.agg(F.count("*").alias("transcripts")).join(nuclei.agg(F.count_distinct("cell_id").alias("nuclei")), "tile_id", "left").fillna(0, ["nuclei"])
 
 
 @query(None)
@@ -675,15 +664,29 @@ def job_segment(t):
     return shapes.pixel_areas(segments).join(rings, "segment_id").join(types, "segment_id", "left")
 
 
-@query(None)
-def score_tiles(t):
-    """A user's function over tile batches (here transcripts a pixel), given and returning pandas rows a tile."""
+_SMOOTH = """ct AS (SELECT x, y, count(*) AS n FROM px GROUP BY x, y), tp AS (SELECT tile_id, p.x, p.y, x1, y1, x2, y2 FROM {pixels} p JOIN tiles ON p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2),
+nb AS (SELECT i, j, (2 - abs(i))*(2 - abs(j))/16.0E0 AS k FROM (SELECT unnest([-1, 0, 1]) AS i) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS j)),
+sm AS (SELECT tile_id, tp.x, tp.y, any_value(x1) AS x1, any_value(y1) AS y1, sum(k*coalesce(n, 0)) AS s FROM tp CROSS JOIN nb LEFT JOIN ct ON ct.x = tp.x + i AND ct.y = tp.y + j AND tp.x + i >= x1 AND tp.x + i < x2 AND tp.y + j >= y1 AND tp.y + j < y2 GROUP BY tile_id, tp.x, tp.y)"""
+
+#: A binomial filter over neighbouring pixels; outside of a tile there is nothing.
+FILTER = [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]]
+
 
-    def score(pdf):
-        out = pdf.groupby(["x", "y"], as_index=False).size().rename(columns={"size": "score"})
-        out["tile_id"] = pdf["tile_id"].iloc[0]
-        return out[["tile_id", "x", "y", "score"]]
+def filtered(batch: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A scorer: tiles (n, side, side, channels) filtered by weights (3, 3), zeros beyond their edges."""
+    wide = np.pad(batch, ((0, 0), (1, 1), (1, 1), (0, 0)))
+    side = batch.shape[1]
+    return sum(weights[i, j] * wide[:, i : i + side, j : j + side] for i in range(3) for j in range(3))
 
+
+def _tile_scores(t):
     px, _ = _encoded(t)
-    placed = grid.points_to_tiles(px, tiles_of(t), 64).select("tile_id", "x", "y")
-    return placed.groupBy("tile_id").applyInPandas(score, "tile_id long, x long, y long, score long")
+    counted = px.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    return predictions.score_tiles(counted, tiles_of(t), 64, ["n"], filtered, np.array(FILTER), ["score"])
+
+
+@query(f"WITH {PX}, {TILES}, {_SMOOTH} SELECT tile_id, x, y, round(s, 6) AS score FROM sm WHERE s > 0")
+def score_tiles(t):
+    """A user's function with weights over batches of whole tiles: transcripts a pixel, smoothed."""
+    out = _tile_scores(t).where("score > 0").join(t.pixels.select("x", "y"), ["x", "y"], "left_semi")
+    return out.select("tile_id", "x", "y", r6(F.col("score")).alias("score"))

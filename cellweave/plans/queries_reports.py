@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from cellweave.functions import scalars as S
 from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
 from cellweave.plans import jobs
-from cellweave.plans.queries import _J, GENES, NUCLEUS, TILES, _encoded, _members, _memberships, _soft, _start, _with_pred, query, r6, tiles_of
-from cellweave.plans.queries_jobs import _SCORES, FIT_STEPS, _fits
+from cellweave.plans.queries import _J, _W, GENES, NUCLEUS, PX, TILES, _encoded, _members, _memberships, _soft, _start, _with_pred, query, r6, tiles_of
+from cellweave.plans.queries_jobs import _SCORES, _SMOOTH, FILTER, FIT_STEPS, _fits, filtered
 from cellweave.sources import io
 from cellweave.sources.scratch import scratch, stored
 
@@ -103,7 +107,7 @@ def _null_sums(t, trials):
     y = F.when(F.col("trial") == 0, F.col("y_location")).otherwise(((m * 15485863 + F.col("trial") * 1299709) % (height * 100)).cast("double") / 100)
     points = trials.select(F.struct("transcript_id", "trial").alias("p"), "gene_id", x.alias("x"), y.alias("y"))
     sites = t.cell_metadata.select(F.col("cell_id").alias("site"), F.col("x_centroid").alias("sx"), F.col("y_centroid").alias("sy"))
-    near = spatial.nearest_points(sites, points.select("p", "x", "y"), "p", 30.0).join(points.select("p", "gene_id"), "p")
+    near = spatial.nearest_points(sites, points.select("p", "x", "y"), "p").join(points.select("p", "gene_id"), "p")
     return near.groupBy("gene_id", F.col("p.trial").alias("trial")).agg(F.sum("distance").alias("s"))
 
 
@@ -111,8 +115,9 @@ def _null_sums_sql(trials):
     return f"""{GENES}, tr AS (SELECT CAST(k AS INTEGER) AS trial FROM (SELECT unnest(generate_series(0, {trials})) AS k)),
 pts AS (SELECT trial, transcript_id, gene_id, CASE WHEN trial = 0 THEN x_location ELSE CAST((transcript_id % 1000003 * 7919 + trial * 104729) % 80000 AS DOUBLE)/100 END AS px,
   CASE WHEN trial = 0 THEN y_location ELSE CAST((transcript_id % 1000003 * 15485863 + trial * 1299709) % (n_rows*2000) AS DOUBLE)/100 END AS py FROM prep JOIN genes USING (feature_name) CROSS JOIN tr CROSS JOIN {{slide}}),
-d AS (SELECT trial, transcript_id, any_value(gene_id) AS gene_id, min(sqrt((x_centroid - px)*(x_centroid - px) + (y_centroid - py)*(y_centroid - py))) AS d FROM pts JOIN {{cell_metadata}} ON abs(x_centroid - px) <= 30 AND abs(y_centroid - py) <= 30 GROUP BY trial, transcript_id),
-s AS (SELECT gene_id, trial, sum(d) AS s FROM d WHERE d <= 30 GROUP BY ALL)"""
+dn AS (SELECT trial, transcript_id, any_value(gene_id) AS gene_id, min(sqrt((x_centroid - px)*(x_centroid - px) + (y_centroid - py)*(y_centroid - py))) AS d FROM pts JOIN {{cell_metadata}} ON abs(x_centroid - px) <= 30 AND abs(y_centroid - py) <= 30 GROUP BY trial, transcript_id),
+dw AS (SELECT trial, transcript_id, any_value(gene_id) AS gene_id, min(sqrt((x_centroid - px)*(x_centroid - px) + (y_centroid - py)*(y_centroid - py))) AS d FROM (SELECT * FROM pts ANTI JOIN (SELECT trial, transcript_id FROM dn WHERE d <= 30) USING (trial, transcript_id)) CROSS JOIN {{cell_metadata}} GROUP BY trial, transcript_id),
+s AS (SELECT gene_id, trial, sum(d) AS s FROM (SELECT * FROM dn WHERE d <= 30 UNION ALL SELECT * FROM dw) GROUP BY ALL)"""
 
 
 @query(f"""WITH {_null_sums_sql(TRIALS)}
@@ -125,6 +130,8 @@ def uniformity_test(t):
 
 
 P_TRIALS = 10
+#: The integral of exp(-u * u / 2) from 0 to z by Simpson's rule in 200 pieces, over z.
+_simpson = "(exp(-(z*k/200)*(z*k/200)/2) + 4*exp(-(z*(k + 0.5E0)/200)*(z*(k + 0.5E0)/200)/2) + exp(-(z*(k + 1)/200)*(z*(k + 1)/200)/2))/1200"
 
 
 @query(f"""WITH {_null_sums_sql(P_TRIALS)}, t AS (SELECT gene_id, coalesce(max(s) FILTER (trial = 0), 0) AS total FROM s GROUP BY 1)
@@ -133,7 +140,9 @@ def uniformity_exact(t):
     return spatial.uniformity_p(_null_sums(t, P_TRIALS), P_TRIALS, True).select("gene_id", r6(F.col("p")).alias("p"))
 
 
-@query(None)
+@query(f"""WITH {_null_sums_sql(P_TRIALS)}, g AS (SELECT DISTINCT gene_id FROM s), al AS (SELECT gene_id, trial, coalesce(s, 0) AS s FROM g CROSS JOIN tr LEFT JOIN s USING (gene_id, trial)),
+z AS (SELECT gene_id, (max(s) FILTER (trial = 0) - avg(s) FILTER (trial > 0))/nullif(stddev_pop(s) FILTER (trial > 0), 0) AS z FROM al GROUP BY gene_id)
+SELECT gene_id, round(CASE WHEN abs(z) > 9 THEN CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END ELSE 0.5E0 + z/sqrt(2*pi())*list_sum(list_transform(range(0, 200), lambda k: {_simpson})) END, 6) + 0.0 AS p FROM z""")
 def uniformity_normal(t):
     return spatial.uniformity_p(_null_sums(t, P_TRIALS), P_TRIALS, False).select("gene_id", r6(F.col("p")).alias("p"))
 
@@ -176,14 +185,23 @@ def job_postprocess_external(t):
     return held.groupBy("segment_id").agg(F.count("*").alias("n")).join(best, "segment_id")
 
 
-@query(None)
-def job_predict(t):
-    """Tile batches scored by a function and stitched over overlapping tiles."""
+_LOGIT = {"foreground": (0.5, -1.0), "angle": (0.1, 0.0)}  # slope and height of each logit over the smoothed transcripts
 
-    def score(pdf):
-        return pdf[["tile_id", "x", "y", "x1", "y1", "foreground", "angle"]]
 
-    placed = grid.points_to_tiles(_soft(t).select("x", "y", "foreground", "angle"), tiles_of(t), 64).select("tile_id", "x", "y", "x1", "y1", "foreground", "angle")
-    scored = placed.groupBy("tile_id").applyInPandas(score, "tile_id long, x long, y long, x1 long, y1 long, foreground double, angle double")
-    out = predictions.stitch(scored.withColumn("probs", F.array(F.lit(1.0))), 64, 0.2, 1)
+def scorer(batch, model):
+    """Smoothed transcripts to the logits of foreground and angle."""
+    weights, lines = model
+    return np.concatenate([a * filtered(batch, weights) + b for a, b in lines], -1)
+
+
+@query(f"""WITH {PX}, {TILES}, {_SMOOTH}, lo AS (SELECT x, y, {_W.format(c='x', o='x1')}*{_W.format(c='y', o='y1')} AS w, 1/(1 + exp(-(0.5E0*s - 1))) AS f, {2 * math.pi!r}/(1 + exp(-0.1E0*s)) - {math.pi!r} AS a FROM sm)
+SELECT x, y, round(sum(w*f)/sum(w), 6) AS foreground, round(atan2(sum(w*sin(a))/sum(w), sum(w*cos(a))/sum(w)), 6) + 0.0 AS angle FROM lo GROUP BY x, y""")
+def job_predict(t):
+    """Tile batches scored by a function with weights, decoded and stitched over overlapping tiles."""
+    px, _ = _encoded(t)
+    counted = px.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    scored = predictions.score_tiles(counted, tiles_of(t), 64, ["n"], scorer, (np.array(FILTER), list(_LOGIT.values())), ["l0", "l1"])
+    fg, angle, _ = S.decode_logits(F.array("l0", "l1", F.lit(0.0)), 1)
+    rows = scored.join(t.pixels.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", "x1", "y1", fg.alias("foreground"), angle.alias("angle"), F.array(F.lit(1.0)).alias("probs"))
+    out = predictions.stitch(rows, 64, 0.2, 1)
     return out.select("x", "y", r6(F.col("foreground")).alias("foreground"), r6(F.col("angle")).alias("angle"))

@@ -183,7 +183,7 @@ def test_growth_to_its_end_equals_brute_force(spark, monkeypatch):
     on = {p: 1.0 if (p[0] * 7 + p[1] * 3) % 11 else 0.2 for p in label}
     df = spark.createDataFrame([(*p, label[p], angle[p], on[p]) for p in label], "x long, y long, label long, angle double, foreground double")
     flow = {(r.x, r.y): ((r.fx, r.fy), (r.gx, r.gy)) for r in expand.with_targets(df, width, height).collect()}
-    want, ran, last = dict(label), 0, -1
+    want, last = dict(label), -1
     for step in range(expand.STEPS):
         now = dict(want)
         for (x, y), v in want.items():
@@ -197,13 +197,14 @@ def test_growth_to_its_end_equals_brute_force(spark, monkeypatch):
             around = {now.get((x + i, y + j)) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))}
             if v == -1 and len(around) == 1 and (s := around.pop()) is not None and s > 0:
                 full[x, y] = s
-        ran, changed, want = step + 1, full != want, full
+        changed, want = full != want, full
         last = step + 1 if changed else last
         if step and not changed:
             break
-    steps = []
-    got = {(r.x, r.y): r.label for r in expand.greedy_expansion(df, width, height, expand.STEPS, on_step=lambda k, _: steps.append(k)).collect()}
-    assert got == want and len(steps) == ran and last > 3
+    for block in (expand.BLOCK, 5):  # one block, and blocks smaller than the margin
+        out = expand.grown(df, width, height, expand.STEPS, block=block).collect()
+        assert {(r.x, r.y): r.label for r in out} == want and len(out) == len(want)
+        assert max(r.step for r in out) == last > 3 and {(r.x, r.y) for r in out if r.step} == {p for p in want if want[p] != label[p]}
 
     asked = []
     for name in ("greedy_expansion", "early_stopped"):
@@ -259,8 +260,8 @@ def test_stopped_segments_still_fill_islands(spark):
     n = 5
     labels = spark.createDataFrame([(x, y, -1 if (x, y) == (2, 2) or x == 4 else 7) for x in range(n) for y in range(n)], "x long, y long, label long")
     pixels = labels.selectExpr("x", "y", "label", "3.14159D AS angle", "1D AS foreground")
-    stop = lambda step, _: spark.createDataFrame([(7,)], "label long")
-    out = {(r.x, r.y): r.label for r in expand.greedy_expansion(pixels, n, n, 3, exclude=stop).collect()}
+    stops = spark.createDataFrame([(7, 0)], "label long, step long")
+    out = {(r.x, r.y): r.label for r in expand.greedy_expansion(pixels, n, n, 3, stops=stops).collect()}
     assert out[(2, 2)] == 7 and all(out[(4, y)] == -1 for y in range(n))
     free = {(r.x, r.y): r.label for r in expand.greedy_expansion(pixels, n, n, 3).collect()}
     assert any(free[(4, y)] == 7 for y in range(n))
