@@ -126,16 +126,21 @@ def _contexts(least: int):
 
 def _halves(least: int):
     """Rows (id, pos, at, bytes, l, r): the context of each wanted position, and hashes of its two longer strings, one of which each
-    window around the anchor must hold; null where the text ends before."""
+    window around the anchor must hold; null where the text ends before. They leave in pieces of about PIECE bytes."""
     reach = least - GRAM
     half = reach // 2
 
     def run(batches):
+        key, pos, at, cut, left, right = [], [], [], [], [], []
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(at, pa.int32()), pa.array(cut, pa.binary()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "pos", "at", "bytes", "l", "r"])
+
         for b in batches:
-            ids, texts, wants = b.column("id").to_numpy(), as_bytes(b.column("text")), b.column("wants").to_pylist()
-            key, pos, at, cut, left, right = [], [], [], [], [], []
-            for i, t, want in zip(ids.tolist(), texts, wants, strict=True):
-                for w in want:
+            ids, texts, wants = b.column("id").to_numpy(), b.column("text"), b.column("wants")
+            for k in range(b.num_rows):
+                t, i = texts[k].as_py().encode(), ids[k]
+                for w in wants[k].as_py():
                     p = w["pos"]
                     s = max(0, p - reach)
                     key.append(i)
@@ -144,7 +149,10 @@ def _halves(least: int):
                     cut.append(t[s : p + GRAM + reach])
                     left.append(xxhash.xxh3_64_intdigest(t[p - half : p + GRAM], 1) - 2**63 if p >= half else None)
                     right.append(xxhash.xxh3_64_intdigest(t[p : p + GRAM + half], 2) - 2**63 if p + GRAM + half <= len(t) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(at, pa.int32()), pa.array(cut, pa.binary()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "pos", "at", "bytes", "l", "r"])
+                    if len(cut) * (2 * reach + GRAM) > PIECE:
+                        yield rows()
+                        key, pos, at, cut, left, right = [], [], [], [], [], []
+        yield rows()
 
     return run
 
