@@ -32,18 +32,16 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import stored
 
 MARK = "▁"
-GAP = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 150_000
 PRIOR = 2000.0  # weight of the vocabulary's own scores, in pieces
+KEPT = 400_000  # distinct words that a task counts before it gives them away
 BITS = 18  # of a slot in the table of pieces' beginnings, at least; more where the vocabulary needs them
 
 
-def words(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.filter(F.split(low, GAP), lambda w: w != "")
+def words(text: bytes) -> list[bytes]:
+    """A text's words: of bytes only A-Z are lower-cased, and they are split at white space of ASCII, which is 0x20 and 0x09-0x0D."""
+    return text.lower().split()
 
 
 @dataclass
@@ -232,6 +230,25 @@ def _marginals(shared):
     return run
 
 
+def _count(batches):
+    """Rows (word, c, seen) of a task's texts, counted in parts: in training texts, and in all."""
+    train, other = Counter(), Counter()
+
+    def out():
+        each = list(train | other)
+        c = np.array([train[w] for w in each], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(each, pa.binary()).cast(pa.string()), pa.array(c), pa.array(c + np.array([other[w] for w in each], np.int64))], ["word", "c", "seen"])
+
+    for b in batches:
+        for t, mine in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+            (train if mine else other).update(words(t))
+            if len(train) + len(other) > KEPT:
+                yield out()
+                train, other = Counter(), Counter()
+    if train or other:
+        yield out()
+
+
 def _look_up(shared):
     """One row a text with the sums over its frequent words, and a row for each other word with its count."""
     names = ["id", "h", "word", "n", "rows", "n_tokens", "n_known", "base", "score"]
@@ -239,10 +256,10 @@ def _look_up(shared):
     def run(batches):
         index, known, base, score = shared.value
         for b in batches:
-            ids, h, w = b.column("id"), b.column("h"), b.column("low").to_pylist()
+            ids, h, w = b.column("id"), b.column("h"), b.column("text").cast(pa.binary()).to_pylist()
             at, rare, many, sums = [], [], [], np.zeros((len(w), 4))
             for i, t in enumerate(w):
-                tokens = t.split(" ") if t else []
+                tokens = words(t)
                 met = [index.get(x, -1) for x in tokens]
                 k = np.array(met, np.int64)
                 if -1 in met:
@@ -255,7 +272,7 @@ def _look_up(shared):
             n, r = len(w), len(at)
             take = pa.array([*range(n), *at])
             number = lambda x, kind: pa.array(np.append(x, np.zeros(r)).astype(kind))
-            yield pa.RecordBatch.from_arrays([ids.take(take), h.take(take), pa.array([None] * n + rare, pa.string()), pa.array([0] * n + many, pa.int64()), number(np.ones(n), np.int64), number(sums[:, 0], np.int64), number(sums[:, 1], np.int64), number(sums[:, 2], float), number(sums[:, 3], float)], names)
+            yield pa.RecordBatch.from_arrays([ids.take(take), h.take(take), pa.array([None] * n + rare, pa.binary()).cast(pa.string()), pa.array([0] * n + many, pa.int64()), number(np.ones(n), np.int64), number(sums[:, 0], np.int64), number(sums[:, 1], np.int64), number(sums[:, 2], float), number(sums[:, 3], float)], names)
 
     return run
 
@@ -264,8 +281,8 @@ def score(docs: DataFrame, train: Column, path: str = VOCABULARY, rounds: int =
     """Rows (id_col, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs; logs are decimal."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    tokens = rows.select("train", F.explode_outer(words(F.col("text"))).alias("word")).where("word IS NOT NULL")
-    counts = stored(tokens.groupBy("word").agg(F.sum(F.col("train").cast("long")).alias("c"), F.count("*").alias("seen")))
+    counted = rows.select("text", "train").mapInArrow(_count, "word string, c long, seen long")
+    counts = stored(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen")))
     texts = rows.where("train").count()
     got = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_all, v = (got["n"] or 0) + texts, (got["v"] or 0) + (1 if texts else 0)
@@ -279,9 +296,8 @@ def score(docs: DataFrame, train: Column, path: str = VOCABULARY, rounds: int =
 
     top = counts.orderBy(F.desc("seen"), "word").limit(frequent).select("word")
     known = table.join(top, "word").select("word", (F.col("c") > 0).alias("k"), base(F.col("c")).alias("b"), "m").toPandas()
-    lookup = counts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(known["word"])}, known["k"].to_numpy(float), known["b"].to_numpy(float), known["m"].to_numpy(float)))
-    low = F.array_join(words(F.col("text")), " ")
-    parts = rows.select("id", "h", low.alias("low")).mapInArrow(_look_up(lookup), f"id {rows.schema['id'].dataType.simpleString()}, h long, word string, n long, rows long, n_tokens long, n_known long, base double, score double")
+    lookup = counts.sparkSession.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(known["word"])}, known["k"].to_numpy(float), known["b"].to_numpy(float), known["m"].to_numpy(float)))
+    parts = rows.select("id", "h", "text").mapInArrow(_look_up(lookup), f"id {rows.schema['id'].dataType.simpleString()}, h long, word string, n long, rows long, n_tokens long, n_known long, base double, score double")
     parts = stored(parts)
     rare = parts.where("word IS NOT NULL").select("id", "h", "word", "n").join(table, "word")
     rare = rare.select("id", "h", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * base(F.col("c"))).alias("base"), (F.col("n") * F.col("m")).alias("score"))
