@@ -29,6 +29,7 @@ SELECT c_custkey AS cell_id, (c_custkey % 40)*20 + 10 + (c_nationkey % 5) - 2 AS
     "nucleus_vertices": f"SELECT cell_id, k, CAST(2*cx + r*dx AS DOUBLE)/2 AS vertex_x, CAST(2*cy + r*dy AS DOUBLE)/2 AS vertex_y FROM {{nuclei}} CROSS JOIN {_OCTAGON}",
     "truth_vertices": f"SELECT cell_id, k, CAST(2*cx + (r+2)*dx AS DOUBLE)/2 AS vertex_x, CAST(2*cy + (r+2)*dy AS DOUBLE)/2 AS vertex_y FROM {{nuclei}} CROSS JOIN {_OCTAGON}",
     "method_vertices": f"SELECT cell_id + 1000000 AS segment_id, k, CAST(2*cx + 3 + (r+2)*dx AS DOUBLE)/2 AS vertex_x, CAST(2*cy + (r+2)*dy AS DOUBLE)/2 AS vertex_y FROM {{nuclei}} CROSS JOIN {_OCTAGON} WHERE cell_id % 11 <> 0",
+    "moved_vertices": "SELECT cell_id + 2000000 AS segment_id, k, vertex_x + 1 AS vertex_x, vertex_y - 1 AS vertex_y FROM {truth_vertices} WHERE cell_id % 7 <> 0",
     "cell_metadata": """
 SELECT cell_id, CAST(cx AS DOUBLE) AS x_centroid, CAST(cy AS DOUBLE) AS y_centroid,
   CASE WHEN cell_id % 3 = 0 THEN 'boundary' WHEN cell_id % 3 = 1 THEN 'interior' ELSE 'expansion' END AS segmentation_method FROM {nuclei}""",

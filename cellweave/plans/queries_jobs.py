@@ -192,13 +192,15 @@ def average_iou(t):
     return out.select("truth_id", "segment_id", r6(F.col("overlap")).alias("intersection"), r6(F.col("union_area")).alias("union_area"), r6(F.col("overlap") / F.col("union_area")).alias("iou"))
 
 
-def _clipped_sql(*parts: tuple[int, str, str]) -> str:
-    """in_area(role, id, area): what of polygons lies in the box from (100, 50) to (500, 600)."""
+_BOX = "SELECT 9 AS role, 0 AS id, unnest([100.0E0, 500, 500, 100]) AS x1, unnest([50.0E0, 50, 600, 600]) AS y1, unnest([500.0E0, 500, 100, 100]) AS x2, unnest([50.0E0, 600, 600, 50]) AS y2"
+
+
+def _clipped_sql(*parts: tuple[int, str, str], box: str = _BOX) -> str:
+    """in_area(role, id, area): what of polygons lies in a box, by default that from (100, 50) to (500, 600)."""
     edges = _polys_sql(*parts).split(", boxes AS")[0].replace("polys AS (", "polys0 AS (", 1)
     roles = [r for r, _, _ in parts]
     slabs = ", ".join(f"{_met_sql(f'c{r}', r, 9)}, {_slabs_sql(f'c{r}', (r, 9))}" for r in roles)
     found = " UNION ALL ".join(f"SELECT {r} AS role, a_id AS id, a{r}9 AS area FROM c{r}_a JOIN c{r}_c USING (g)" for r in roles)
-    box = "SELECT 9 AS role, 0 AS id, unnest([100.0E0, 500, 500, 100]) AS x1, unnest([50.0E0, 50, 600, 600]) AS y1, unnest([500.0E0, 500, 100, 100]) AS x2, unnest([50.0E0, 600, 600, 50]) AS y2"
     return f"{edges}, polys AS (SELECT * FROM polys0 UNION ALL {box}), boxes AS (SELECT role, id, min(x1) AS xmin, max(x1) AS xmax, min(y1) AS ymin, max(y1) AS ymax FROM polys GROUP BY role, id), {slabs}, in_area AS (SELECT * FROM ({found}) WHERE area > 1e-9)"
 
 
@@ -250,8 +252,10 @@ def _max_sql(name: str, other: str) -> str:
     return f"{name}_m AS (SELECT a_id AS truth_id, b_id AS {other} FROM {name}_a JOIN {name}_c USING (g) WHERE a0{'1' if name == 'tm' else '2'} > 1 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY round(a0{'1' if name == 'tm' else '2'}, 9) DESC, b_id) = 1)"
 
 
-_PRIOR = f"""tr AS ({_members('truth_vertices', 'cell_id', 'truth_id')}), mb AS ({_members('method_vertices', 'segment_id', 'segment_id')}), nb AS ({_members('nucleus_vertices', 'cell_id', 'nucleus_id')}),
-{_polys_sql((0, '{truth_vertices}', 'cell_id'), (1, '{method_vertices}', 'segment_id'), (2, '{nucleus_vertices}', 'cell_id'))},
+def prior_sql(table: str) -> str:
+    """Truth cells against the segments of a table joined with nuclei, a row a cell."""
+    return f"""WITH tr AS ({_members('truth_vertices', 'cell_id', 'truth_id')}), mb AS ({_members(table, 'segment_id', 'segment_id')}), nb AS ({_members('nucleus_vertices', 'cell_id', 'nucleus_id')}),
+{_polys_sql((0, '{truth_vertices}', 'cell_id'), (1, '{' + table + '}', 'segment_id'), (2, '{nucleus_vertices}', 'cell_id'))},
 {_met_sql('tm', 0, 1)}, {_slabs_sql('tm', (0, 1))}, {_met_sql('tn', 0, 2)}, {_slabs_sql('tn', (0, 2))}, {_max_sql('tm', 'segment_id')}, {_max_sql('tn', 'nucleus_id')},
 ids AS (SELECT b.id AS truth_id, segment_id, nucleus_id FROM boxes b LEFT JOIN tm_m ON tm_m.truth_id = b.id LEFT JOIN tn_m ON tn_m.truth_id = b.id WHERE b.role = 0),
 al_g AS (SELECT truth_id AS g, 0 AS role, truth_id AS id FROM ids WHERE nucleus_id IS NOT NULL UNION ALL SELECT truth_id, 1, segment_id FROM ids WHERE nucleus_id IS NOT NULL AND segment_id IS NOT NULL UNION ALL SELECT truth_id, 2, nucleus_id FROM ids WHERE nucleus_id IS NOT NULL),
@@ -260,16 +264,16 @@ tru AS (SELECT truth_id, transcript_id FROM tr WHERE truth_id IN (SELECT truth_i
 met AS (SELECT coalesce(f.segment_id, -1) AS segment_id, coalesce(f.truth_id, -1) AS matching, coalesce(t.truth_id, -1) AS of FROM found f FULL JOIN tru t ON f.transcript_id = t.transcript_id),
 err AS (SELECT segment_id, CAST(count(*) FILTER (of <> -1 AND of <> own) AS BIGINT) AS n_confused, CAST(count(*) FILTER (of = -1) AS BIGINT) AS n_background, CAST(count(*) AS BIGINT) AS n_transcripts FROM (SELECT *, max(matching) OVER (PARTITION BY segment_id) AS own FROM met) GROUP BY segment_id),
 sh AS (SELECT truth_id, count(*) AS n FROM found JOIN tru USING (truth_id, transcript_id) GROUP BY truth_id),
-jc AS (SELECT truth_id, coalesce(n, 0) AS jaccard_intersection, m + t - coalesce(n, 0) AS jaccard_union FROM (SELECT truth_id, count(*) AS m FROM found GROUP BY 1) JOIN (SELECT truth_id, count(*) AS t FROM tru GROUP BY 1) USING (truth_id) LEFT JOIN sh USING (truth_id))"""
+jc AS (SELECT truth_id, coalesce(n, 0) AS jaccard_intersection, m + t - coalesce(n, 0) AS jaccard_union FROM (SELECT truth_id, count(*) AS m FROM found GROUP BY 1) JOIN (SELECT truth_id, count(*) AS t FROM tru GROUP BY 1) USING (truth_id) LEFT JOIN sh USING (truth_id))
+SELECT ids.truth_id, coalesce(ids.segment_id, -1) AS segment_id, round(a01 + a02 - a012, 6) AS intersection_area, round(a0 + a1 + a2 - a01 - a02 - a12 + a012, 6) AS union_area,
+ round((a01 + a02 - a012)/(a0 + a1 + a2 - a01 - a02 - a12 + a012), 6) AS iou, jaccard_intersection, jaccard_union, round(CAST(jaccard_intersection AS DOUBLE)/jaccard_union, 6) AS jaccard_index, n_confused, n_background, n_transcripts, segmentation_method
+FROM ids JOIN err ON err.segment_id = coalesce(ids.segment_id, -1) LEFT JOIN al_a ON al_a.g = ids.truth_id LEFT JOIN jc ON jc.truth_id = ids.truth_id JOIN {{cell_metadata}} c ON c.cell_id = ids.truth_id"""
 
 
-@query(f"""WITH {_PRIOR} SELECT ids.truth_id, coalesce(ids.segment_id, -1) AS segment_id, round(a01 + a02 - a012, 6) AS intersection_area, round(a0 + a1 + a2 - a01 - a02 - a12 + a012, 6) AS union_area,
- round((a01 + a02 - a012)/(a0 + a1 + a2 - a01 - a02 - a12 + a012), 6) AS iou, jaccard_intersection, jaccard_union, round(CAST(jaccard_intersection AS DOUBLE)/jaccard_union, 6) AS jaccard_index, n_confused, n_background, n_transcripts, segmentation_method
-FROM ids JOIN err ON err.segment_id = coalesce(ids.segment_id, -1) LEFT JOIN al_a ON al_a.g = ids.truth_id LEFT JOIN jc ON jc.truth_id = ids.truth_id JOIN {{cell_metadata}} c ON c.cell_id = ids.truth_id""")
-def benchmark_nuclear_prior(t):
-    """Truth cells against the method's segments joined with nuclei: areas, transcripts and errors in one row a cell."""
+def benchmarked(t, method):
+    """Truth cells against a method's segments joined with nuclei: areas, transcripts and errors in one row a cell."""
     tx = counts.prepared(t.tx).select("transcript_id", "x_location", "y_location")
-    sides = {"truth_id": _truth(t), "segment_id": _method(t), "nucleus_id": t.polygons("nucleus_vertices", "cell_id").withColumnRenamed("cell_id", "nucleus_id")}
+    sides = {"truth_id": _truth(t), "segment_id": method, "nucleus_id": t.polygons("nucleus_vertices", "cell_id").withColumnRenamed("cell_id", "nucleus_id")}
     members = [stored(spatial.points_in_polygons(p, tx, "x_location", "y_location").select(k, "transcript_id")) for k, p in sides.items()]
     out = overlay.nuclear_prior_benchmark(*sides.values(), *members)
     kind = t.cell_metadata.select(F.col("cell_id").alias("truth_id"), "segmentation_method")
@@ -277,6 +281,11 @@ def benchmark_nuclear_prior(t):
     return out.join(kind, "truth_id").select("truth_id", "segment_id", *rounded, "jaccard_intersection", "jaccard_union", "n_confused", "n_background", "n_transcripts", "segmentation_method")
 
 
+@query(prior_sql("method_vertices"))
+def benchmark_nuclear_prior(t):
+    return benchmarked(t, _method(t))
+
+
 @query(f"WITH {edges_sql('truth_vertices', 'cell_id')}, {inside_sql('{cell_metadata}', 'cell_id', 'x_centroid', 'y_centroid')} SELECT h.id AS truth_id, m.cell_id, segmentation_method FROM hit h JOIN {{cell_metadata}} m USING (cell_id)")
 def truth_with_metadata(t):
     return spatial.points_in_polygons(t.polygons("truth_vertices", "cell_id").withColumnRenamed("cell_id", "truth_id"), t.cell_metadata, "x_centroid", "y_centroid").select("truth_id", "cell_id", "segmentation_method")
@@ -590,13 +599,31 @@ def cull_empty_pixels(t):
     return expand.cull_empty_pixels(grown, tx, t.pixels.where("label > 0").select("x", "y"))
 
 
-@query(f"WITH {_NEAR}, lb AS (SELECT pts.x, pts.y, CASE WHEN dist <= 1 THEN cell_id + 1 WHEN (dist IS NULL OR dist > 3) AND dn.x IS NULL THEN 0 ELSE -1 END AS label FROM pts LEFT JOIN f USING (pt) LEFT JOIN dn ON dn.x = pts.x AND dn.y = pts.y), ct AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM lb WHERE label > 0 GROUP BY label) SELECT lb.x, lb.y, lb.label, CASE WHEN lb.label > 0 THEN CAST((lb.label - 1) % 3 + 1 AS INTEGER) ELSE 0 END AS class, round((atan2(my - lb.y, mx - lb.x) + {math.pi!r})/{2 * math.pi!r}, 6) AS angle FROM lb LEFT JOIN ct ON ct.label = lb.label")
+_NOISY = """tot AS (SELECT cell, sum(n) AS total FROM cnt GROUP BY cell), sh AS (SELECT avg(CASE WHEN total < 3 THEN 1.0E0 ELSE 0 END) AS share FROM tot),
+pr AS (SELECT 0 AS celltype, gene_id, 1.0E0/(SELECT count(*) FROM genes) AS prob FROM genes UNION ALL SELECT celltype + 1, gene_id, prob FROM {init_profiles}),
+jz AS (SELECT cell, celltype, sum(n*ln(prob)) + ln(CASE WHEN celltype = 0 THEN max(share) ELSE (1 - max(share))/3 END) AS j FROM cnt JOIN pr USING (gene_id) CROSS JOIN sh GROUP BY cell, celltype),
+pz AS (SELECT cell, celltype, exp(j - mj)/sum(exp(j - mj)) OVER (PARTITION BY cell) AS p FROM (SELECT *, max(j) OVER (PARTITION BY cell) AS mj FROM jz)),
+hz AS (SELECT cell, arg_min(celltype, (-round(p, 9), celltype)) AS celltype FROM pz GROUP BY cell),
+cz AS (SELECT cell, celltype, sx/(3*a) AS zx, sy/(3*a) AS zy FROM hz JOIN (SELECT cell_id AS id, sum(c) AS a, sum(ax*c) AS sx, sum(ay*c) AS sy FROM (SELECT cell_id, x1*y2 - x2*y1 AS c, x1 + x2 AS ax, y1 + y2 AS ay FROM (SELECT cell_id, vertex_x AS x1, vertex_y AS y1,
+ coalesce(lead(vertex_x) OVER w, first_value(vertex_x) OVER w) AS x2, coalesce(lead(vertex_y) OVER w, first_value(vertex_y) OVER w) AS y2 FROM {nucleus_vertices} WINDOW w AS (PARTITION BY cell_id ORDER BY k))) GROUP BY cell_id) g ON g.id = hz.cell),
+kz AS (SELECT n.cell_id, arg_min(celltype, (round(sqrt((zx - cx)*(zx - cx) + (zy - cy)*(zy - cy)), 9), cell)) AS class FROM {nuclei} n CROSS JOIN cz GROUP BY n.cell_id)"""
+
+
+@query(f"WITH nt AS (SELECT * FROM (WITH {CELL_COUNTS}, {_NOISY} SELECT cell_id, class FROM kz)), {_NEAR}, lb AS (SELECT pts.x, pts.y, CASE WHEN dist <= 1 THEN cell_id + 1 WHEN (dist IS NULL OR dist > 3) AND dn.x IS NULL THEN 0 ELSE -1 END AS label FROM pts LEFT JOIN f USING (pt) LEFT JOIN dn ON dn.x = pts.x AND dn.y = pts.y), ct AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM lb WHERE label > 0 GROUP BY label) SELECT lb.x, lb.y, lb.label, CASE WHEN lb.label > 0 THEN CAST(class AS INTEGER) ELSE 0 END AS class, round((atan2(my - lb.y, mx - lb.x) + {math.pi!r})/{2 * math.pi!r}, 6) AS angle FROM lb LEFT JOIN ct ON ct.label = lb.label LEFT JOIN nt ON nt.cell_id = lb.label - 1")
 def job_preprocess(t):
-    """Labels, angles to the centroid and classes of all pixels."""
+    """Labels, angles to the centroid and classes of all pixels; a nucleus has the type of the nearest cell that was typed, 0 for noise."""
     labels = stored(_labelled(t))
     angles = counts.angles_to_centroid(labels).select("x", "y", "angle")
-    kind = F.when(F.col("label") > 0, ((F.col("label") - 1) % 3 + 1).cast("int")).otherwise(0)
-    return labels.join(angles, ["x", "y"], "left").select("x", "y", "label", kind.alias("class"), r6(F.col("angle")).alias("angle"))
+    n, genes = _cell_counts(t)
+    n = stored(n)
+    profiles, priors = celltypes.with_noise(*_start(t), n.groupBy("cell").agg(F.sum("n").alias("total")), genes, 3)
+    typed = celltypes.hard_types(celltypes.posterior(n, profiles, priors)).select("cell", "celltype")
+    cx, cy = S.ring_centroid(F.col("ring"))
+    sites = t.polygons("nucleus_vertices", "cell_id").select(F.col("cell_id").alias("cell"), cx.alias("sx"), cy.alias("sy")).join(typed, "cell")
+    points = t.nuclei.select((F.col("cell_id") + 1).alias("label"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
+    near = spatial.nearest_points(sites.select(F.struct("cell", "celltype").alias("site"), "sx", "sy"), points, "label").select("label", F.col("site.celltype").cast("int").alias("class"))
+    out = labels.join(angles, ["x", "y"], "left").join(near, "label", "left")
+    return out.select("x", "y", "label", F.when(F.col("label") > 0, F.col("class")).otherwise(0).alias("class"), r6(F.col("angle")).alias("angle"))
 
 
 @query(f"WITH ow AS ({'WITH ' + _owner_sql('method_vertices', 'segment_id', SLIDE_TILES)}) SELECT tile_id, segment_id, row_number() OVER (ORDER BY tile_id, segment_id) - 1 AS global_id FROM ow")
@@ -623,14 +650,35 @@ def job_if_benchmark(t):
     return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH {_TILE_LABELS}, c AS (SELECT tile_id, count(*) AS nuclei FROM tl GROUP BY tile_id), m AS (SELECT nuclei AS m FROM c QUALIFY row_number() OVER (ORDER BY nuclei, tile_id) - 1 = CAST(floor(count(*) OVER ()/2) AS BIGINT)), roi AS (SELECT tiles.* FROM tiles WHERE tile_id = (SELECT min(tile_id) FROM c JOIN m ON nuclei = m)) SELECT 'pixels' AS layer, count(*) AS n FROM {{pixels}} JOIN roi ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 UNION ALL SELECT 'transcripts', count(*) FROM {{tx}} JOIN roi ON x_location >= x1 AND x_location < x2 AND y_location >= y1 AND y_location < y2")
+def _roi_sql() -> str:
+    """roi, the tile of median nuclei, and what of segments (0), nuclei (1) and truth (2) lies in it."""
+    roi = f"{_TILE_LABELS}, c AS (SELECT tile_id, count(*) AS nuclei FROM tl GROUP BY tile_id), m AS (SELECT nuclei AS m FROM c QUALIFY row_number() OVER (ORDER BY nuclei, tile_id) - 1 = CAST(floor(count(*) OVER ()/2) AS BIGINT)), roi AS (SELECT tiles.* FROM tiles WHERE tile_id = (SELECT min(tile_id) FROM c JOIN m ON nuclei = m))"
+    sides = "SELECT 9 AS role, 0 AS id, unnest([x1, x2, x2, x1])::DOUBLE AS x1, unnest([y1, y1, y2, y2])::DOUBLE AS y1, unnest([x2, x2, x1, x1])::DOUBLE AS x2, unnest([y1, y2, y2, y1])::DOUBLE AS y2 FROM roi"
+    return f"{roi}, {_clipped_sql((0, '{method_vertices}', 'segment_id'), (1, '{nucleus_vertices}', 'cell_id'), (2, '{truth_vertices}', 'cell_id'), box=sides)}"
+
+
+@query(f"""WITH {_roi_sql()} SELECT CASE role WHEN 0 THEN 'segments' WHEN 1 THEN 'nuclei' ELSE 'truth' END AS layer, count(*) AS n, round(sum(area), 4) AS size FROM in_area GROUP BY 1
+UNION ALL SELECT 'pixels', count(*), CAST(count(*) FILTER (label > 0) AS DOUBLE) FROM {{pixels}} JOIN roi ON x >= x1 AND x < x2 AND y >= y1 AND y < y2
+UNION ALL SELECT 'predictions', count(*), CAST(count(*) FILTER (foreground >= 0.5E0) AS DOUBLE) FROM {{pred}} JOIN roi ON x >= x1 AND x < x2 AND y >= y1 AND y < y2
+UNION ALL SELECT 'transcripts', count(*), CAST(count(DISTINCT feature_name) AS DOUBLE) FROM {{tx}} JOIN roi ON {IN_TILE}""")
 def job_roi_layers(t):
-    """Layers restricted to the region of interest."""
+    """Six layers restricted to the region of interest: outlines clipped to it, with the area that is left, pixels with those labelled, predictions
+    with those of foreground, and transcripts with their genes."""
     roi = counts.upper_median_tile(_tile_labels(t).groupBy("tile_id").agg(F.count("*").alias("nuclei")), "nuclei").select("tile_id")
-    box = tiles_of(t).join(roi, "tile_id")
-    pixels = grid.points_to_tiles(t.pixels.select("x", "y", "label"), box, 64)
-    tx = grid.points_to_tiles(t.tx.select("x_location", "y_location"), box, 64, "x_location", "y_location")
-    return pixels.agg(F.count("*").alias("n")).withColumn("layer", F.lit("pixels")).unionByName(tx.agg(F.count("*").alias("n")).withColumn("layer", F.lit("transcripts")))
+    tile = tiles_of(t).join(roi, "tile_id")
+    box = tile.first()  # one tile
+    layers = []
+    for name, table, key in (("segments", "method_vertices", "segment_id"), ("nuclei", "nucleus_vertices", "cell_id"), ("truth", "truth_vertices", "cell_id")):
+        area = overlay.clipped(t.polygons(table, key), box["x1"], box["y1"], box["x2"], box["y2"]).select(S.ring_area(F.col("ring")).alias("a")).where("a > 1e-9")
+        layers.append(area.agg(F.count("*").alias("n"), (F.round(F.coalesce(F.sum("a"), F.lit(0.0)), 4) + 0.0).alias("size")).where("n > 0").withColumn("layer", F.lit(name)))
+    of = lambda rows, name, size, x="x", y="y": grid.points_to_tiles(rows, tile, 64, x, y).agg(F.count("*").alias("n"), size.cast("double").alias("size")).withColumn("layer", F.lit(name))
+    layers.append(of(t.pixels.select("x", "y", "label"), "pixels", F.count(F.when(F.col("label") > 0, 1))))
+    layers.append(of(t.pred.select("x", "y", "foreground"), "predictions", F.count(F.when(F.col("foreground") >= 0.5, 1))))
+    layers.append(of(t.tx.select("x_location", "y_location", "feature_name"), "transcripts", F.count_distinct("feature_name"), "x_location", "y_location"))
+    out = layers[0]
+    for more in layers[1:]:
+        out = out.unionByName(more)
+    return out.select("layer", "n", "size")
 
 
 @query(f"WITH {_clipped_sql((0, '{truth_vertices}', 'cell_id'), (1, '{method_vertices}', 'segment_id'))} SELECT CASE WHEN role = 1 THEN 'method' ELSE segmentation_method END AS layer, count(*) AS n, round(sum(area), 4) AS area FROM in_area LEFT JOIN {{cell_metadata}} c ON role = 0 AND c.cell_id = in_area.id GROUP BY 1")
@@ -654,14 +702,17 @@ def job_tile_slide(t):
 
 @query(None)
 def job_segment(t):
-    """Grow segments, outline them, count their genes and type them."""
+    """Grow segments, outline them, count their genes and type them: the outline of most area, how many rings there are, transcripts, the type
+    and its probability."""
     labels = expand.greedy_expansion(_with_pred(t), *t.size(), expand.STEPS)
-    segments = labels.where("label > 0").select("x", "y", F.col("label").alias("segment_id"))
-    rings = shapes.chained(shapes.boundary_edges(segments)).groupBy("segment_id").agg(F.count("*").alias("rings"))
+    segments = stored(labels.where("label > 0").select("x", "y", F.col("label").alias("segment_id")))
+    rings = shapes.chained(shapes.boundary_edges(segments))
+    outer = rings.groupBy("segment_id").agg(F.count("*").alias("rings"), F.max_by("points", S.ring_area_signed(F.col("points"))).alias("outline"))
     px, _ = _encoded(t)
     n = counts.gene_counts(px.join(segments, ["x", "y"]), "segment_id").withColumnRenamed("segment_id", "cell")
-    types = celltypes.hard_types(celltypes.posterior(n, *_start(t))).select(F.col("cell").alias("segment_id"), "celltype")
-    return shapes.pixel_areas(segments).join(rings, "segment_id").join(types, "segment_id", "left")
+    totals = n.groupBy(F.col("cell").alias("segment_id")).agg(F.sum("n").alias("transcripts"))
+    types = celltypes.hard_types(celltypes.posterior(n, *_start(t))).select(F.col("cell").alias("segment_id"), "celltype", r6(F.col("p")).alias("p"))
+    return shapes.pixel_areas(segments).join(outer, "segment_id").join(totals, "segment_id", "left").join(types, "segment_id", "left")
 
 
 _SMOOTH = """ct AS (SELECT x, y, count(*) AS n FROM px GROUP BY x, y), tp AS (SELECT tile_id, p.x, p.y, x1, y1, x2, y2 FROM {pixels} p JOIN tiles ON p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2),

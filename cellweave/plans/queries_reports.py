@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as S
-from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
+from cellweave.operators import celltypes, counts, expand, grid, overlay, predictions, spatial
 from cellweave.plans import jobs
-from cellweave.plans.queries import _J, _W, GENES, NUCLEUS, PX, TILES, _encoded, _members, _memberships, _soft, _start, _with_pred, query, r6, tiles_of
-from cellweave.plans.queries_jobs import _SCORES, _SMOOTH, FILTER, FIT_STEPS, _fits, filtered
+from cellweave.plans.queries import _J, _W, GENES, NUCLEUS, PX, TILES, _encoded, _members, _memberships, _soft, _start, _with_pred, query, r6, slide_tiles_of, tiles_of
+from cellweave.plans.queries_jobs import (
+    _CHUNKS, _SCORES, _SMOOTH, FILTER, FIT_STEPS, _fits, _met_sql, _owner_sql, _polys_sql, _slabs_sql, benchmarked, filtered, prior_sql,
+)
 from cellweave.sources import io
 from cellweave.sources.scratch import scratch, stored
 
@@ -161,28 +163,46 @@ def job_model_report(t):
     return out.withColumn("value", F.round("value", 3) + 0.0)
 
 
-@query(f"WITH {_J}, cf AS (SELECT m.segment_id, count(*) AS n_transcripts, CAST(count(*) FILTER (t.truth_id IS NULL) AS BIGINT) AS n_background FROM mb m LEFT JOIN ta t ON t.transcript_id = m.transcript_id GROUP BY 1) SELECT b.truth_id, b.segment_id, round(CAST(shared AS DOUBLE)/(na + nb - shared), 6) AS jaccard, n_transcripts, n_background FROM best b JOIN (SELECT truth_id, count(*) AS na FROM ta GROUP BY 1) p ON p.truth_id = b.truth_id JOIN (SELECT segment_id, count(*) AS nb FROM mb GROUP BY 1) q ON q.segment_id = b.segment_id JOIN cf ON cf.segment_id = b.segment_id")
-def job_benchmark(t):
-    """Per truth cell: Jaccard with its best segment and that segment's counts."""
-    truth, method, best = _memberships(t)
-    pairs = best.select("truth_id", "segment_id")
-    j = shapes.jaccard_of_members(truth, method, pairs, "truth_id", "segment_id", "transcript_id").select("truth_id", "segment_id", r6(F.col("jaccard")).alias("jaccard"))
-    held = method.join(truth, "transcript_id", "left").groupBy("segment_id").agg(F.count("*").alias("n_transcripts"), F.sum(F.col("truth_id").isNull().cast("long")).alias("n_background"))
-    return j.join(held, "segment_id").select("truth_id", "segment_id", "jaccard", "n_transcripts", "n_background")
+METHODS = {"method": "method_vertices", "moved": "moved_vertices"}
 
 
-@query(f"WITH m AS ({_members('method_vertices', 'segment_id', 'segment_id')}), v AS ({_members('nucleus_vertices', 'cell_id', 'cell_id')}), s AS (SELECT segment_id, cell_id, count(*) AS shared FROM m JOIN v USING (transcript_id) GROUP BY ALL) SELECT m.segment_id, count(*) AS n, max(s.shared) AS nuclear FROM m JOIN (SELECT segment_id, max(shared) AS shared FROM s WHERE shared > 2 GROUP BY 1) s USING (segment_id) GROUP BY m.segment_id")
+@query(f"WITH bm AS ({' UNION ALL '.join(f'SELECT {chr(39)}{m}{chr(39)} AS method, * FROM ({prior_sql(v)})' for m, v in METHODS.items())}), ow AS ({'WITH ' + _owner_sql('truth_vertices', 'cell_id', _CHUNKS)}) SELECT bm.*, ow.tile_id AS chunk FROM bm JOIN ow ON ow.cell_id = bm.truth_id")
+def job_benchmark(t):
+    """The benchmark of several methods: a row for each method and truth cell, with the chunk of the slide that the cell belongs to. Equi-joins on
+    cells of the grid take the place of a loop over chunks, so no segment is cut off where chunks meet."""
+    parts = [benchmarked(t, t.polygons(v, "segment_id")).withColumn("method", F.lit(m)) for m, v in METHODS.items()]
+    height = math.ceil(t.size()[1] / 100) * 100
+    chunks = spatial.tile_ownership(t.polygons("truth_vertices", "cell_id"), grid.tile_grid(t.spark, 800, height, 100, 0.0), "cell_id").select(F.col("cell_id").alias("truth_id"), F.col("tile_id").alias("chunk"))
+    return parts[0].unionByName(parts[1]).join(chunks, "truth_id")
+
+
+@query(f"""WITH {GENES}, m AS ({_members('method_vertices', 'segment_id', 'segment_id')}), {_polys_sql((0, '{method_vertices}', 'segment_id'), (1, '{nucleus_vertices}', 'cell_id'))}, {_met_sql('mn', 0, 1)}, {_slabs_sql('mn', (0, 1))},
+kp AS (SELECT a_id AS segment_id, max(a01) AS area FROM mn_a JOIN mn_c USING (g) WHERE a01 > 2 GROUP BY 1), cs AS (SELECT segment_id, gene_id, count(*) AS n FROM m JOIN kp USING (segment_id) JOIN prep USING (transcript_id) JOIN genes USING (feature_name) GROUP BY ALL),
+js AS (SELECT segment_id, celltype, sum(n*ln(prob)) + ln(1.0E0/3) AS j FROM cs JOIN {{init_profiles}} USING (gene_id) GROUP BY ALL), ps AS (SELECT segment_id, celltype, exp(j - mj)/sum(exp(j - mj)) OVER (PARTITION BY segment_id) AS p FROM (SELECT *, max(j) OVER (PARTITION BY segment_id) AS mj FROM js)),
+hs AS (SELECT segment_id, arg_min(celltype, (-round(p, 9), celltype)) AS celltype FROM ps GROUP BY segment_id)
+SELECT kp.segment_id, round(area, 6) AS nucleus_overlap_area, coalesce(t.n, 0) AS transcripts, celltype FROM kp LEFT JOIN (SELECT segment_id, CAST(sum(n) AS BIGINT) AS n FROM cs GROUP BY 1) t USING (segment_id) LEFT JOIN hs USING (segment_id)""")
 def job_postprocess_external(t):
-    """External outlines, written and read as a polygon collection, kept where they share more than two transcripts with a nucleus."""
-    path = scratch(t.spark)
-    io.polygon_json(t.polygons("method_vertices", "segment_id"), "segment_id").write.json(path)
-    outlines = io.scan_polygon_json(t.spark, path).withColumnRenamed("cell", "segment_id")
-    tx = counts.prepared(t.tx).select("transcript_id", "x_location", "y_location")
-    held = stored(spatial.points_in_polygons(outlines, tx, "x_location", "y_location").select("segment_id", "transcript_id"))
-    nuclear = spatial.points_in_polygons(t.polygons("nucleus_vertices", "cell_id"), tx, "x_location", "y_location").select("cell_id", "transcript_id")
-    shared = held.join(nuclear, "transcript_id").groupBy("segment_id", "cell_id").agg(F.count("*").alias("shared")).where("shared > 2")
-    best = shared.groupBy("segment_id").agg(F.max("shared").alias("nuclear"))
-    return held.groupBy("segment_id").agg(F.count("*").alias("n")).join(best, "segment_id")
+    """External outlines, read as a polygon collection a tile, stitched, kept where they share more than two units of area with a nucleus, counted
+    and typed."""
+    path, tiles = scratch(t.spark), slide_tiles_of(t)
+    whole = t.polygons("method_vertices", "segment_id").withColumnRenamed("segment_id", "cell")
+    for k in (0, 1):  # two runs of the external tool, whose outlines overlap
+        io.polygon_json(whole.where(F.col("cell") % 3 != k), "cell").write.json(f"{path}/run={k}")
+    read = t.spark.read.schema("geometry struct<coordinates:array<array<array<double>>>,type:string,cell:bigint>").json(path)
+    ring = F.transform(F.col("geometry.coordinates")[0], lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))
+    outlines = read.select(F.col("geometry.cell").alias("local_id"), ring.alias("ring")).where(F.size("ring") > 3).dropDuplicates(["local_id"])
+    owner = spatial.tile_ownership(outlines, tiles, "local_id")
+    local = F.transform("ring", lambda q: F.struct((q["x"] - F.col("x1")).alias("x"), (q["y"] - F.col("y1")).alias("y")))
+    seen = outlines.join(owner, "local_id").join(tiles, "tile_id").select("tile_id", "local_id", local.alias("ring"))
+    segments = stored(jobs.combined(seen, tiles).select(F.col("local_id").alias("segment_id"), "ring"))
+    nuclear = overlay.intersections(segments, t.polygons("nucleus_vertices", "cell_id"), "segment_id", "cell_id", 2.0).groupBy("segment_id").agg(F.max("overlap").alias("area"))
+    kept = stored(segments.join(nuclear, "segment_id"))
+    tx = counts.encode_genes(counts.prepared(t.tx)).select("transcript_id", "gene_id", "x_location", "y_location")
+    n = stored(counts.gene_counts(spatial.points_in_polygons(kept.select("segment_id", "ring"), tx, "x_location", "y_location"), "segment_id").withColumnRenamed("segment_id", "cell"))
+    types = celltypes.hard_types(celltypes.posterior(n, *_start(t))).select(F.col("cell").alias("segment_id"), "celltype")
+    totals = n.groupBy(F.col("cell").alias("segment_id")).agg(F.sum("n").alias("transcripts"))
+    out = kept.join(totals, "segment_id", "left").join(types, "segment_id", "left")
+    return out.select("segment_id", r6(F.col("area")).alias("nucleus_overlap_area"), F.coalesce("transcripts", F.lit(0)).alias("transcripts"), "celltype")
 
 
 _LOGIT = {"foreground": (0.5, -1.0), "angle": (0.1, 0.0)}  # slope and height of each logit over the smoothed transcripts
