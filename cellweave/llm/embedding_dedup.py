@@ -16,7 +16,9 @@ Vectors of one direction at cosine c lie within eps = sqrt(2 - 2c) of each other
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component links with nothing
 (n_links 0, its own component, kept). Vectors of different lengths are compared as if the shorter were padded with zeros.
-Ids are expected to be unique whole numbers; a null id keeps a null component. Only the id and vector columns are read.
+Rows that share an id but not the vector are told apart, each with links of its own; repeated rows link with each other. A null id keeps
+a null component unless its vector links, and then it has the least id reached. An empty table gives an empty one. Only the id and vector columns
+are read, so others may clash.
 """
 
 from __future__ import annotations
@@ -213,13 +215,14 @@ def link(vectors: DataFrame, cosine: float = 0.9, dims: int = 8, id_col="vec_id"
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0))
+    good = rows.where((F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0))
     width = good.agg(F.max(F.size("v"))).first()[0]
     if not width:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    points = stored(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    copies = stored(good.select(F.col("id").alias("own"), "v").join(points.where("m > 1").select("v", F.col("id").alias("id"), "m"), "v").select("own", "id", "m"))
+    distinct = good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("m"))
+    named = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "v", "least", "m"))  # written once, so numbers stay
+    points = named.select("id", "m", "v")
     axes = np.ascontiguousarray(directions(points, width, min(max(dims, FILTER), width)))
     dims = min(dims, width)
     grid = np.ascontiguousarray(axes[:, :dims])
@@ -229,9 +232,11 @@ def link(vectors: DataFrame, cosine: float = 0.9, dims: int = 8, id_col="vec_id"
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib", "ma", "mb", "va", "vb")
     found = stored(met.mapInArrow(_join(width, axes, dims, cosine, eps), "id long, n long, to long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    own = rows.select("id").join(copies.select(F.col("own").alias("id"), F.col("id").alias("rep"), "m").distinct(), "id", "left")
-    own = own.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("m", F.lit(1)).alias("m"))
-    group = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    out = own.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(group.withColumnRenamed("id", "rep"), "rep", "left")
-    n, c = F.coalesce("n", F.lit(0)) + F.col("m") - 1, F.coalesce("component_id", "rep")
-    return out.select(F.col("id").alias("vec_id"), n.cast("long").alias("n_links"), c.alias("component_id"), F.col("id").eqNullSafe(c).alias("kept"))
+    group = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).join(named.select("id", "least"), "id")
+    group = stored(group)
+    least = group.groupBy("component_id").agg(F.min("least").alias("reached"))
+    reached = group.join(least, "component_id").select("id", "reached")
+    point = named.join(counts, "id", "left").join(reached, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("reached", "least").alias("c"))
+    out = rows.join(point, "v", "left")
+    c = F.coalesce("c", "id")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.col("id").eqNullSafe(c).alias("kept"))

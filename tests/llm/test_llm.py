@@ -549,6 +549,16 @@ def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in p for p in pairs), want[i], want[i] == i)
 
 
+def test_embedding_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (5, [0.1, 1.0]), (None, [0.0, 2.0]), (None, [-1.0, 0.0]), (None, None), (7, [-1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("id", "m", "v", "own", "rep", "least", "n", "c", "reached"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(df, 0.9).collect()), key=str)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (2, 2, 2, True), (5, 2, 2, False), (0, 2, 2, False), (0, 1, 7, False), (0, 0, None, True), (7, 1, 7, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert embedding_dedup.link(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].kept
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
@@ -608,3 +618,11 @@ def test_empty_tables(spark, empty):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
     assert url_filter.judge(pages, [("com", "/", "allow")]).count() == n
     assert sentencepiece_codec.encode(docs).count() == n and lattice_lm.score(docs, F.lit(True)).count() == n
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
