@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as S
-from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial
+from cellweave.operators import celltypes, counts, expand, grid, predictions, shapes, spatial, typefit
 from cellweave.plans import fixtures, jobs
 from cellweave.sources import io
 from cellweave.sources.scratch import scratch, stored
@@ -605,10 +606,13 @@ def fit_celltypes(t):
 
 @query(None)
 def fit_celltypes_whole(t):
-    """To the tolerance, in 100 steps at most."""
+    """To the tolerance, in 100 steps at most, each one pass over the counts."""
     n, genes = _cell_counts(t)
-    profiles, _ = celltypes.fit(n, genes, *_start(t))
-    return profiles.select("celltype", "gene_id", r6(F.col("prob")).alias("prob"))
+    n = stored(n)
+    rows = _start(t)[0].orderBy("celltype", "gene_id").collect()  # types x genes numbers
+    start = np.array([r["prob"] for r in rows]).reshape(3, -1)
+    models = typefit.fit(typefit.packed(n), genes.count(), {(3, 0): typefit.Model(start, np.full(3, 1 / 3))})
+    return typefit.tables(t.spark, models)[0].select("celltype", "gene_id", r6(F.col("prob")).alias("prob"))
 
 
 @query(f"WITH {_LP}, ll AS (SELECT cell, max(mj) + ln(sum(exp(j - mj))) AS ll FROM (SELECT *, max(j) OVER (PARTITION BY cell) AS mj FROM jn) GROUP BY cell) SELECT round(sum(ll), 3) AS loglik, round(2*143 - 2*sum(ll), 3) AS aic, round(143*ln(count(*)) - 2*sum(ll), 3) AS bic FROM ll")
