@@ -16,7 +16,9 @@ the ``FREQUENT`` most frequent words (a fixed number) in a broadcast; the other
 no frequent word can skew.
 
 Defined results: null texts count as empty and consist of the end alone. With no training row the counts are zero and
-the start weights are used. Rows with equal id and text are scored alike, each in a row of its own.
+the start weights are used. Rows with equal id and text are scored alike, each in a row of its own, null ids included; an empty table gives
+an empty one. Texts and words have any length; a word takes time in proportion to its letters, about a millisecond a letter for one of
+thousands. Only the id and text columns are read, so others may clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ which makes decoding exact for every text.
 The vocabulary is a file of public scores whose path is a parameter; it is read on the driver and broadcast (its size is fixed).
 
 Defined results: null texts give null ids and decode to null, empty texts give an empty array and decode to an empty
-text. Repeated rows are encoded each; only the id and text columns are read.
+text. Repeated rows are encoded each, null ids included; an empty table gives an empty one. A text is encoded whole, whatever its
+length. Only the id and text columns are read, so others may clash.
 """
 
 from __future__ import annotations
