@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import scalars as S
 from cellweave.operators import celltypes, counts, expand, grid, overlay, predictions, spatial
 from cellweave.plans import jobs
-from cellweave.plans.queries import _J, _W, GENES, NUCLEUS, PX, TILES, _encoded, _members, _memberships, _soft, _start, _with_pred, query, r6, slide_tiles_of, tiles_of
+from cellweave.plans.queries import _W, GENES, NUCLEUS, PX, TILES, _encoded, _members, _memberships, _start, _with_pred, query, r6, slide_tiles_of, tiles_of
 from cellweave.plans.queries_jobs import (
     _CHUNKS, _SCORES, _SMOOTH, FILTER, FIT_STEPS, _fits, _met_sql, _owner_sql, _polys_sql, _slabs_sql, benchmarked, filtered, prior_sql,
 )
