@@ -626,3 +626,21 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_of_twenty_thousand_words_are_handled_whole(spark):
+    """What stands at the very end of a text of 20,000 words is found by each operator."""
+    long, passage = prose(20000).split(), prose(13)
+    tail = f"{passage} password: hunter2secret"
+    rows = [(1, " ".join(long) + " " + tail), (2, " ".join([*long[:500], "other", *long[501:]]) + " " + tail), (3, "zu " * 400 + "end")]
+    docs = table(spark, rows)
+    hit = {r.doc_id: r for r in decontaminate.judge(docs, spark.createDataFrame([(5, passage)], "item_id long, text string")).collect()}
+    assert [(hit[i].n_hit, hit[i].n_words) for i in (1, 2)] == [(13, 20015)] * 2 and hit[3].n_hit == 0
+    found = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert all(max(s["end"] for s in found[i].spans) == len(rows[i - 1][1]) for i in (1, 2))
+    assert {r.doc_id: r.component_id for r in ngram_jaccard.link(docs, 4, 85).collect()} == {1: 1, 2: 1, 3: 3}
+    assert all(r.round_trip for r in sentencepiece_codec.encode(docs).collect())
+    left = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, least=200).collect()}
+    assert left[1].n_removed > 0.9 * left[1].n_bytes and left[2].n_spans == 2
+    score = {r.doc_id: r for r in lattice_lm.score(docs, F.lit(True)).collect()}
+    assert score[1].n_tokens == 20016 and score[1].n_known == 20016
