@@ -142,8 +142,9 @@ def tile_batches(px: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
 
 
 def upper_median_tile(per_tile: DataFrame, count: str) -> DataFrame:
-    """The first tile whose count equals the upper median of the counts."""
+    """The first tile whose count equals the upper median of the counts. Tiles are added up by count first, so that what is put in order is
+    as long as there are different counts."""
+    sizes = per_tile.groupBy(count).agg(F.count("*").alias("_n"), F.min("tile_id").alias("tile_id"))
     n = per_tile.count()
-    place = F.row_number().over(W.orderBy(count, "tile_id")) - 1  # one row a tile
-    at = per_tile.withColumn("_p", place).where(F.col("_p") == n // 2).select(F.col(count).alias("_m"))
-    return per_tile.join(F.broadcast(at), F.col(count) == F.col("_m")).agg(F.min("tile_id").alias("tile_id"), F.max(count).alias(count))
+    upto = sizes.withColumn("_upto", F.sum("_n").over(W.orderBy(count)))  # a row for each different count
+    return upto.where(F.col("_upto") > n // 2).agg(F.min(F.struct(count, "tile_id")).alias("_b")).select("_b.tile_id", f"_b.{count}")

@@ -62,8 +62,13 @@ def points_to_tiles(points: DataFrame, tiles: DataFrame, size: int, x: str = "x"
 
 
 def split_tiles(tiles: DataFrame, jobs: int) -> DataFrame:
-    """Contiguous near-equal ranges of tiles, the first ones larger."""
-    return tiles.select("tile_id", (F.ntile(jobs).over(W.orderBy("tile_id")) - 1).alias("job"))
+    """Contiguous near-equal ranges of tiles, the first ones larger. Tiles are numbered by ranges and not in one task."""
+    placed = dictionary(tiles, "tile_id", "_at")
+    n = placed.count()
+    size, more = n // jobs, n % jobs  # the first `more` jobs have one tile more
+    at, edge = F.col("_at"), more * (size + 1)
+    job = F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / max(size, 1)))
+    return placed.select("tile_id", job.cast("int").alias("job"))
 
 
 def neighbour_edges(pixels: DataFrame, width: int, height: int) -> DataFrame:
