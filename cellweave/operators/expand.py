@@ -104,9 +104,9 @@ def grown(pixels: DataFrame, width: int, height: int, steps: int, threshold: flo
     return dealt.groupBy("bx", "by").applyInArrow(_grow(steps, threshold, width, height, block), "x long, y long, label long, step long")
 
 
-def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, stops: DataFrame | None = None) -> DataFrame:
-    """Rows (x, y, label) after growth."""
-    return grown(pixels, width, height, steps, threshold, stops).select("x", "y", "label")
+def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, stops: DataFrame | None = None, when: bool = False) -> DataFrame:
+    """Rows (x, y, label) after growth; with `when` also the step that took each pixel."""
+    return grown(pixels, width, height, steps, threshold, stops).select("x", "y", "label", *["step"] * when)
 
 
 def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20, threshold: float = 0.5) -> DataFrame:
