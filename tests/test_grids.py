@@ -129,3 +129,29 @@ def test_combined_tiles_keep_one_copy_of_each_segment(spark):
         x, y = (sum(p[c] for p in r.ring) / 4 for c in ("x", "y"))
         near = lambda t: math.dist((x, y), ((corner[t][0] + corner[t][2]) / 2, (corner[t][1] + corner[t][3]) / 2))  # noqa: E731, B023
         assert near(r.tile_id) <= min(map(near, corner)) + 1.5
+
+
+def test_pixels_are_made_by_many_tasks_and_not_taken_for_few(spark, monkeypatch):
+    """The derived raster is split by lattice cells, and the optimizer doesn't hold it for small enough to broadcast whatever its size."""
+    import duckdb
+    from cellweave.plans import fixtures
+
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "CELLS_A_PART", 5, raising=False)
+    df = fixtures.table(spark, data, "pixels")
+    assert df.select("x").rdd.getNumPartitions() > 4
+    rows = sorted(map(tuple, df.collect()), key=lambda r: r[:2])
+    real = len(rows) * len(df.columns) * 8
+    for name in ("pixels", "pred"):
+        assert int(fixtures.table(spark, data, name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > real
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{data}/customer.parquet'")
+    assert rows == sorted(con.sql(fixtures.duckdb("SELECT * FROM {pixels}")).fetchall(), key=lambda r: r[:2])
+
+
+def test_tile_grid_is_a_range_of_the_tiles_starts(spark):
+    for width, height, size, overlap in ((160, 640, 64, 0.2), (50, 300, 64, 0.25), (64, 64, 64, 0.2), (65, 117, 64, 0.2)):
+        xs, ys = grid.tile_starts(width, size, overlap), grid.tile_starts(height, size, overlap)
+        out = grid.tile_grid(spark, width, height, size, overlap)
+        assert out._jdf.queryExecution().analyzed().toString().count("Range (") == 1  # not a list that the driver holds
+        assert sorted(map(tuple, out.collect())) == [(i * len(ys) + j, x, y, x + size, y + size) for i, x in enumerate(xs) for j, y in enumerate(ys)]
