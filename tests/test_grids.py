@@ -155,3 +155,17 @@ def test_tile_grid_is_a_range_of_the_tiles_starts(spark):
         out = grid.tile_grid(spark, width, height, size, overlap)
         assert out._jdf.queryExecution().analyzed().toString().count("Range (") == 1  # not a list that the driver holds
         assert sorted(map(tuple, out.collect())) == [(i * len(ys) + j, x, y, x + size, y + size) for i, x in enumerate(xs) for j, y in enumerate(ys)]
+
+
+def test_a_folder_is_written_by_the_task_that_has_its_rows(spark, tmp_path):
+    """Many tasks and folders: a file a folder, not one for each task that met it."""
+    from cellweave.sources import io
+
+    points = spark.range(4000).repartition(8).select("id", (F.col("id") * 37 % 256).cast("double").alias("x_location"), (F.col("id") * 91 % 256).cast("double").alias("y_location"))
+    tiles = grid.tile_grid(spark, 256, 256, 64, 0.2)
+    io.write_transcript_tiles(points, tiles, str(tmp_path / "t"), 64)
+    io.write_grid(points.select(F.col("x_location").cast("long").alias("x"), F.col("y_location").cast("long").alias("y"), "id"), str(tmp_path / "g"))
+    for name, depth in (("t", "*"), ("g", "*/*")):
+        folders = list((tmp_path / name).glob(f"{depth}=*"))
+        assert len(folders) > 11 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+        assert spark.read.parquet(str(tmp_path / name)).select("id").distinct().count() == 4000
