@@ -169,3 +169,14 @@ def test_a_folder_is_written_by_the_task_that_has_its_rows(spark, tmp_path):
         folders = list((tmp_path / name).glob(f"{depth}=*"))
         assert len(folders) > 11 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
         assert spark.read.parquet(str(tmp_path / name)).select("id").distinct().count() == 4000
+
+
+def test_points_left_over_are_not_joined_with_those_found(spark, tmp_path, monkeypatch):
+    """A round of nearest neighbours writes what it found and what is left at once: points meet sites and are folded, nothing else."""
+    plans = []
+    monkeypatch.setattr(spatial, "stored", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or df.localCheckpoint())
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0)], "site long, sx double, sy double")
+    points = spark.createDataFrame([(1, 3.0, 4.0), (2, 60.0, 0.0), (3, 400.0, 0.0)], "p long, x double, y double")
+    out = spatial.nearest_points(sites, points, "p").collect()
+    assert sorted((r.p, r.site, r.distance) for r in out) == [(1, 1, 5.0), (2, 2, 40.0), (3, 2, 300.0)]
+    assert not any("LeftAnti" in p for p in plans) and any("LeftOuter" in p for p in plans)
