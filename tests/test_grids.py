@@ -180,3 +180,14 @@ def test_points_left_over_are_not_joined_with_those_found(spark, tmp_path, monke
     out = spatial.nearest_points(sites, points, "p").collect()
     assert sorted((r.p, r.site, r.distance) for r in out) == [(1, 1, 5.0), (2, 2, 40.0), (3, 2, 300.0)]
     assert not any("LeftAnti" in p for p in plans) and any("LeftOuter" in p for p in plans)
+
+
+def test_pixels_are_made_without_a_broadcast(spark):
+    """Beside broadcast cells the tasks that scan the nuclei, one for a small file, would make all pixels."""
+    from cellweave.plans import fixtures
+
+    for name in ("pixels", "pred"):
+        rows = fixtures.table(spark, "/root/testdata/sf0.01", name).where("x >= 0").select("x", "y")
+        for df in (rows, fixtures.table(spark, "/root/testdata/sf0.01", "pixels").where("dx IS NOT NULL").select("x", "y", "dx")):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == spark.read.parquet("/root/testdata/sf0.01/customer.parquet").where("c_custkey % 40 < 8").count() * 400 or name == "pixels"
