@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cellweave.functions import scalars as S
 from cellweave.operators.celltypes import confidence_trace
@@ -109,14 +110,50 @@ def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, thr
     return grown(pixels, width, height, steps, threshold, stops).select("x", "y", "label", *["step"] * when)
 
 
-def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20, threshold: float = 0.5) -> DataFrame:
+TARGET = 2  # pixels from which a flow target at sqrt 2 lies at most
+
+
+def _joined(block: int, height: int):
+    """Components of the links that start in one block: rows (v, c, own, shared) of each pixel v that they touch, with the least pixel number c of
+    its component; own: v is foreground and lies in the block; shared: links of other blocks may touch it."""
+
+    def run(key, t):
+        bx, by = (k.as_py() for k in key)
+        start, to = t.column("id").to_numpy(), t.column("to").to_numpy()
+        v, at = np.unique(np.concatenate([start, to]), return_inverse=True)
+        a, b = at[: len(start)], at[len(start) :]
+        c = np.arange(len(v))
+        while True:
+            least = np.minimum(c[a], c[b])
+            was = c.copy()
+            for ends in (c[a], c[b]):
+                np.minimum.at(c, ends, least)
+            while (c[c] != c).any():
+                c = c[c]
+            if (was == c).all():
+                break
+        i, j = v // height - bx * block, v % height - by * block
+        inner = (i >= TARGET) & (i < block - TARGET) & (j >= TARGET) & (j < block - TARGET)
+        own = np.zeros(len(v), bool)
+        own[a] = True
+        return pa.table([pa.array(v), pa.array(v[c]), pa.array(own), pa.array(~inner)], ["v", "c", "own", "shared"])
+
+    return run
+
+
+def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
     """Undirected components of foreground pixels linked to their flow targets, which need not be foreground themselves, of at least
     `least` foreground pixels, numbered 1 .. n by their first pixel; other pixels are 0, but for those whose four neighbours
-    share a component, which join it. Labels are the least pixel number of a component, by propagation with jumps."""
-    number = F.col("x") * height + F.col("y")
+    share a component, which join it.
+
+    The links that start in a square block are joined in one task, whose size the block's area bounds. Components of blocks that share a
+    pixel at an edge are linked, and only these links, a small part of the pixels, take part in propagation with jumps."""
+    number = F.col("x").cast("long") * height + F.col("y")
     fx, fy = S.flow_destination(F.col("x"), F.col("y"), F.col("angle"), math.sqrt(2), width, height)
-    on = stored(pixels.where(F.col("foreground") >= threshold).select(number.alias("id"), (fx * height + fy).alias("to")))
-    edges = stored(on.select(F.col("id").alias("a"), F.col("to").alias("b")).union(on.select("to", "id")))
+    on = pixels.where(F.col("foreground") >= threshold).select(number.alias("id"), (fx * height + fy).cast("long").alias("to"), *[F.floor(F.col(c) / block).alias(f"b{c}") for c in ("x", "y")])
+    local = stored(on.groupBy("bx", "by").applyInArrow(_joined(block, height), "v long, c long, own boolean, shared boolean"))
+    links = local.where("shared").select("c", F.min("c").over(W.partitionBy("v")).alias("m")).where("c <> m").distinct()
+    edges = stored(links.select(F.col("c").alias("a"), F.col("m").alias("b")).union(links.select("m", "c")))
     labels = stored(edges.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "id")
@@ -126,13 +163,13 @@ def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20,
         if after.where("moved").isEmpty():
             break
         labels = after.select("id", "c")
-    labels = stored(labels.join(on.select("id"), "id", "left_semi"))
-    sizes = labels.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    named = dictionary(sizes, "c", "label", 1)
-    found = labels.join(named, "c").select("id", "label")
-    out = stored(pixels.select("x", "y", number.alias("id")).join(found, "id", "left").select("x", "y", F.coalesce("label", F.lit(0)).cast("long").alias("label")))
+    whole = labels.select(F.col("id").alias("c"), F.col("c").alias("root"))
+    found = stored(local.where("own").join(whole, "c", "left").select(F.col("v").alias("id"), F.coalesce("root", "c").alias("c")))
+    sizes = found.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    named = found.hint("merge").join(dictionary(sizes, "c", "label", 1), "c").select("id", "label")
+    out = stored(pixels.select("x", "y", number.alias("id")).hint("merge").join(named, "id", "left").select("x", "y", F.coalesce("label", F.lit(0)).cast("long").alias("label")))
     islands = shared_around(out, out.where("label = 0")).where("shared <> 0")
-    return out.join(islands, ["x", "y"], "left").select("x", "y", F.coalesce("shared", "label").alias("label"))
+    return out.hint("merge").join(islands, ["x", "y"], "left").select("x", "y", F.coalesce("shared", "label").alias("label"))
 
 
 def cull_empty_pixels(labels: DataFrame, tx: DataFrame, prior: DataFrame) -> DataFrame:
@@ -172,6 +209,6 @@ def ray_segmentation(pixels: DataFrame, hits: DataFrame, best: DataFrame, thresh
     """Rows (x, y, label): labels are kept; an unlabelled foreground pixel takes the segment its ray hits within that segment's best length.
 
     hits: x, y, segment_id, distance; best: segment_id, step (a length)."""
-    near = hits.join(best.select("segment_id", "step"), "segment_id").where(F.col("distance") <= F.col("step")).select("x", "y", "segment_id")
+    near = hits.hint("merge").join(best.select("segment_id", "step"), "segment_id").where(F.col("distance") <= F.col("step")).select("x", "y", "segment_id")
     open_ = (F.col("label") == -1) & (F.col("foreground") >= threshold) & F.col("segment_id").isNotNull()
     return pixels.join(near, ["x", "y"], "left").select("x", "y", F.when(open_, F.col("segment_id")).when(F.col("label") > 0, F.col("label")).otherwise(F.lit(0)).alias("label"))

@@ -364,3 +364,15 @@ def test_uniformity_p(spark):
         null = (s[1:] + [0.0])[:4]
         sd = statistics.pstdev(null)
         assert normal[g] is None if sd == 0 else normal[g] == pytest.approx(statistics.NormalDist(statistics.fmean(null), sd).cdf(s[0] or 0.0))
+
+
+def test_flow_components_meet_across_blocks(spark):
+    import numpy as np
+
+    n = 14
+    _, df = grid_of(spark, np.random.default_rng(5), n)
+    want = sorted(expand.flow_components(df, n, n, 3).collect())
+    assert sorted(expand.flow_components(df, n, n, 3, block=4).collect()) == want and max(r.label for r in want) > 3
+    line = spark.createDataFrame([(x, y, 0.0, 1.0) for x in range(40) for y in range(2)], "x long, y long, angle double, foreground double")
+    assert {r.label for r in expand.flow_components(line, 40, 2, 3, block=4).where("y = 0").collect()} == {1}
+    assert {r.label for r in expand.flow_components(line.withColumn("foreground", F.lit(0.0)), 40, 2, 3).collect()} == {0}
