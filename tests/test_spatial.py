@@ -376,3 +376,25 @@ def test_flow_components_meet_across_blocks(spark):
     line = spark.createDataFrame([(x, y, 0.0, 1.0) for x in range(40) for y in range(2)], "x long, y long, angle double, foreground double")
     assert {r.label for r in expand.flow_components(line, 40, 2, 3, block=4).where("y = 0").collect()} == {1}
     assert {r.label for r in expand.flow_components(line.withColumn("foreground", F.lit(0.0)), 40, 2, 3).collect()} == {0}
+
+
+def test_kth_distance_in_blocks_and_beyond_their_reach(spark):
+    spots = [(i * 7 % 50, i * i % 37) for i in range(60)] + [(200, 4)] * 3
+    tx = spark.createDataFrame([(a + 0.25, b + 0.75) for a, b in spots], "px double, py double")
+    pixels = spark.createDataFrame([(x, y) for x in range(-9, 60, 6) for y in range(-7, 40, 5)] + [(199, 3), (300, 80)], "x bigint, y bigint")
+    for first, block in ((32, 128), (4, 8), (1, 3)):
+        got = {(r.x, r.y): r.distance for r in spatial.kth_distance(pixels, tx, 4, "px", "py", first, block).collect()}
+        assert got == {(r.x, r.y): pytest.approx(sorted(math.dist((r.x, r.y), s) for s in spots)[3]) for r in pixels.collect()}
+
+
+def test_preprocessed_pixels_outside_of_segments_meet_nothing_by_their_label(spark, monkeypatch):
+    """Labels 0 and -1 are most of a slide, so a join on them would bring those pixels to one task."""
+    from cellweave.plans import queries_jobs
+    from cellweave.plans.queries import QUERIES
+
+    many = spark.range(4000).selectExpr("id AS x", "0L AS y", "CASE WHEN id < 5 THEN 1L WHEN id % 2 = 0 THEN 0L ELSE -1L END AS label")
+    monkeypatch.setattr(queries_jobs, "_labelled", lambda t: many)
+    out = QUERIES["job_preprocess"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, ((x#" not in plan and out.count() == 4000
+    assert {(r.label, r.angle is None) for r in out.select("label", "angle").distinct().collect()} >= {(0, True), (-1, True), (1, False)}
