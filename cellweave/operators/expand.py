@@ -22,6 +22,7 @@ STEPS = 15  # the most steps of growth
 DIAGONALS = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 REACH = 3  # pixels from which a step takes what it looks at: a flow target is 2 away at most, and an island's neighbour 1 more
 BLOCK = 192  # side of a block that is grown in one task
+BLOCKS_A_TASK = 8  # blocks that one task grows, one after the other; what it sorts before is as large as they are
 NO_PIXEL, NEVER = -(1 << 40), 1 << 40
 
 
@@ -93,16 +94,19 @@ def grown(pixels: DataFrame, width: int, height: int, steps: int, threshold: flo
     In a step an unlabelled foreground pixel takes the label at its flow target if a diagonal neighbour has it; then unlabelled pixels
     whose four neighbours share a label take that. stops (label, step): ids that nothing flows into from that step (from 0) on; islands still
     take them. A step reaches REACH pixels, so a square block with a margin of REACH * steps pixels holds all that its own pixels depend
-    on: each block is grown to the end in one task, of a size that the block's area bounds, and pixels are shuffled once."""
+    on: each block is grown to the end in one task, of a size that the block's area bounds, and pixels are shuffled once. Blocks lie in the raster
+    of width x height; the number of tasks follows from it, since shuffled pixels are small for what they take unpacked."""
     halo = REACH * steps
     rows = with_targets(pixels, width, height)
     stop = F.lit(NEVER).cast("long") if stops is None else F.coalesce("_stop", F.lit(NEVER)).cast("long")
     if stops is not None:
         rows = rows.join(stops.select("label", F.col("step").alias("_stop")), "label", "left")
-    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block)))
+    last = {"x": (width - 1) // block, "y": (height - 1) // block}
+    blocks = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - halo) / block), F.lit(0)), F.least(F.floor((F.col(c) + halo) / block), F.lit(last[c]))))
     whole = [F.col(c).cast("long").alias(c) for c in ("x", "y", "label", "fx", "fy", "gx", "gy")]
     dealt = rows.select(*whole, F.col("foreground").cast("double").alias("foreground"), stop.alias("stop")).withColumn("bx", blocks("x")).withColumn("by", blocks("y"))
-    return dealt.groupBy("bx", "by").applyInArrow(_grow(steps, threshold, width, height, block), "x long, y long, label long, step long")
+    tasks = -(-(last["x"] + 1) * (last["y"] + 1) // BLOCKS_A_TASK)
+    return dealt.repartition(tasks, "bx", "by").groupBy("bx", "by").applyInArrow(_grow(steps, threshold, width, height, block), "x long, y long, label long, step long")
 
 
 def greedy_expansion(pixels: DataFrame, width: int, height: int, steps: int, threshold: float = 0.5, stops: DataFrame | None = None, when: bool = False) -> DataFrame:
