@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions import scalars as S
-from cellweave.operators.spatial import CELL, covered
+from cellweave.operators.spatial import CELL, covered, flat_rings
 from cellweave.sources.scratch import stored
 
 CUTS = 1 << 20  # crossings of cuts with outlines looked at together
@@ -77,20 +77,105 @@ def combined_areas(layers: list[list[np.ndarray]]) -> np.ndarray:
     return total
 
 
-def _rings(value) -> list[np.ndarray]:
-    """A ring, a list of rings or null as arrays."""
-    if not value:
-        return []
-    rings = value if isinstance(value[0], list) else [value]
-    return [np.array([(p["x"], p["y"]) for p in r]) for r in rings]
+WIDE = 96  # points of a row's rings up to which rows are measured many at a time
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n numbers each, one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _padded(of: np.ndarray, rows: int, *values: np.ndarray) -> list[np.ndarray]:
+    """Values as matrices with a line for each row, filled up with nan; of: the row of each value, ascending."""
+    n = np.bincount(of, minlength=rows)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    out = []
+    for v in values:
+        out.append(np.full((rows, n.max(initial=0)), np.nan))
+        out[-1][of, at] = v
+    return out
+
+
+def _areas_together(rows: int, points: np.ndarray, n: np.ndarray, row: np.ndarray, layer: np.ndarray, layers: int) -> np.ndarray:
+    """combined_areas of many rows with few points each, a line a row. n, row and layer: of each ring, ascending by row."""
+    count = np.bincount(row, minlength=rows)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    bits = np.zeros((rows, count.max(initial=0)), np.int64)
+    bits[row, place] = 1 << layer
+    after = np.arange(1, n.sum() + 1)
+    after[np.cumsum(n) - 1] = np.cumsum(n) - n
+    e, of, ring = np.column_stack([points, points[after]]), np.repeat(row, n), np.repeat(place, n)
+    back = e[:, 0] > e[:, 2]
+    e[back] = e[back][:, [2, 3, 0, 1]]
+    slanted = e[:, 0] < e[:, 2]
+    (vertex,) = _padded(of, rows, points[:, 0])
+    x1, y1, x2, y2, owner = _padded(of[slanted], rows, *e[slanted].T, ring[slanted])
+    total = np.zeros((rows, 1 << layers))
+    if not x1.size:
+        return total
+    dx, dy = x2 - x1, y2 - y1
+    i, j = np.triu_indices(x1.shape[1], 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = dy / dx
+        det = dx[:, i] * dy[:, j] - dy[:, i] * dx[:, j]
+        wx, wy = x1[:, j] - x1[:, i], y1[:, j] - y1[:, i]
+        t, u = (wx * dy[:, j] - wy * dx[:, j]) / det, (wx * dy[:, i] - wy * dx[:, i]) / det
+        met = np.where((t > 0) & (t < 1) & (u > 0) & (u < 1), x1[:, i] + t * dx[:, i], np.nan)
+    xs = np.sort(np.concatenate([vertex, met], 1), 1)  # nan comes last
+    new = np.isfinite(xs)
+    new[:, 1:] &= xs[:, 1:] != xs[:, :-1]
+    (xs,) = _padded(np.nonzero(new)[0], rows, xs[new])
+    left, right = xs[:, :-1], xs[:, 1:]
+    step = max(1, CUTS // max(1, left.shape[1] * x1.shape[1]))
+    for lo in range(0, rows if left.size else 0, step):
+        s = slice(lo, lo + step)
+        mid, line = ((left[s] + right[s]) / 2)[:, :, None], lambda v: v[s][:, None, :]  # noqa: E731, B023
+        cut = (line(x1) < mid) & (mid < line(x2))
+        y = np.where(cut, line(y1) + (mid - line(x1)) * line(slope), np.inf)
+        by = np.argsort(y, 2)[:, :, : max(int(cut.sum(2).max()), 1)]  # the edges that the slab crosses come first
+        y = np.take_along_axis(y, by, 2)
+        own = np.take_along_axis(np.broadcast_to(line(owner), cut.shape), by, 2)
+        code = np.zeros(y.shape, np.int64)
+        for k in range(bits.shape[1]):
+            code |= np.where(np.cumsum(own == k, 2) % 2 == 1, bits[s, k][:, None, None], 0)
+        real = np.isfinite(y[:, :, 1:])
+        area = np.where(real, np.where(real, y[:, :, 1:], 0) - np.where(real, y[:, :, :-1], 0), 0) * np.where(real.any(2), right[s] - left[s], 0)[:, :, None]
+        at = np.arange(len(y))[:, None, None] * (1 << layers) + code[:, :, :-1]
+        total[s] += np.bincount(at.ravel(), area.ravel(), len(y) << layers).reshape(len(y), -1)
+    total[:, 0] = 0.0
+    return total
+
+
+def areas_of_rows(columns: list[pa.Array]) -> np.ndarray:
+    """combined_areas of each row, a line a row; columns: the layers. Rows of few points are measured together, as many as CUTS bounds."""
+    flat = [flat_rings(c) for c in columns]
+    points, n, row = (np.concatenate(v) for v in zip(*flat, strict=True))
+    layer = np.repeat(np.arange(len(columns)), [len(f[1]) for f in flat])
+    start, ring = np.cumsum(n) - n, n > 2
+    start, n, row, layer = start[ring], n[ring], row[ring], layer[ring]
+    by = np.argsort(row, kind="stable")
+    start, n, row, layer = start[by], n[by], row[by], layer[by]
+    rows = len(columns[0])
+    out, size = np.zeros((rows, 1 << len(columns))), np.bincount(row, n, rows).astype(np.int64)
+    first, rings = np.searchsorted(row, np.arange(rows)), np.bincount(row, minlength=rows)
+    for r in np.flatnonzero(size > WIDE):
+        own = range(first[r], first[r] + rings[r])
+        out[r] = combined_areas([[points[start[g] : start[g] + n[g]] for g in own if layer[g] == k] for k in range(len(columns))])
+    few = np.argsort(size, kind="stable")
+    few = few[(size[few] > 0) & (size[few] <= WIDE)]
+    while len(few):  # those of most points first, so that the first one bounds the others
+        many = max(1, CUTS // int(size[few[-1]]) ** 2)
+        few, now = few[:-many], np.sort(few[-many:])
+        own = _spans(first[now], rings[now])
+        out[now] = _areas_together(len(now), points[_spans(start[own], n[own])], n[own], np.repeat(np.arange(len(now)), rings[now]), layer[own], len(columns))
+    return out
 
 
 def _measured(layers: int):
     def run(batches):
         for b in batches:
-            columns = [b.column(1 + k).to_pylist() for k in range(layers)]
-            out = [combined_areas([_rings(c[i]) for c in columns]).tolist() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["row", "areas"])
+            areas = areas_of_rows([b.column(1 + k) for k in range(layers)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(areas), pa.list_(pa.float64()))], ["row", "areas"])
 
     return run
 
