@@ -130,7 +130,9 @@ def confidence_trace(increments: DataFrame, profiles: DataFrame, priors: DataFra
     """Rows (segment_id, step, gain): norm of the mean of a segment's type posteriors at step 0 and at a step, less the norm at step 0.
 
     increments: segment_id, step, gene_id, n, the transcripts that a step adds; step 0 holds those of the start. A window sums
-    log likelihoods over steps, so no step counts its transcripts anew. There are types x steps rows a segment."""
+    log likelihoods over steps, so no step counts its transcripts anew. There are types x steps rows a segment. The increments, which are read
+    twice, are written first."""
+    increments = stored(increments)
     lp = F.broadcast(profiles.select("gene_id", "celltype", F.log("prob").alias("lp")))
     added = increments.join(lp, "gene_id").groupBy("segment_id", "step", "celltype").agg(F.sum(F.col("n") * F.col("lp")).alias("s"))
     types = F.broadcast(priors.select("celltype", F.log("prior").alias("log_prior")))

@@ -204,7 +204,7 @@ def early_stopped(pixels: DataFrame, px: DataFrame, profiles: DataFrame, priors:
 
     The first run tells the step at which each pixel was taken; the second stops a segment once the step reaches its best one."""
     first = grown(pixels, width, height, steps, threshold).where("label > 0").join(px, ["x", "y"])
-    gained = stored(first.groupBy(F.col("label").alias("segment_id"), "gene_id", F.col("step").cast("int").alias("step")).agg(F.count("*").alias("n")))
+    gained = first.groupBy(F.col("label").alias("segment_id"), "gene_id", F.col("step").cast("int").alias("step")).agg(F.count("*").alias("n"))
     best = stored(best_step(confidence_trace(gained, profiles, priors, steps)))
     return greedy_expansion(pixels, width, height, steps, threshold, best.select(F.col("segment_id").alias("label"), "step"))
 

@@ -270,20 +270,23 @@ SELECT ids.truth_id, coalesce(ids.segment_id, -1) AS segment_id, round(a01 + a02
 FROM ids JOIN err ON err.segment_id = coalesce(ids.segment_id, -1) LEFT JOIN al_a ON al_a.g = ids.truth_id LEFT JOIN jc ON jc.truth_id = ids.truth_id JOIN {{cell_metadata}} c ON c.cell_id = ids.truth_id"""
 
 
-def benchmarked(t, method):
-    """Truth cells against a method's segments joined with nuclei: areas, transcripts and errors in one row a cell."""
-    tx = counts.prepared(t.tx).select("transcript_id", "x_location", "y_location")
-    sides = {"truth_id": _truth(t), "segment_id": method, "nucleus_id": t.polygons("nucleus_vertices", "cell_id").withColumnRenamed("cell_id", "nucleus_id")}
-    members = [stored(spatial.points_in_polygons(p, tx, "x_location", "y_location").select(k, "transcript_id")) for k, p in sides.items()]
-    out = overlay.nuclear_prior_benchmark(*sides.values(), *members)
+def benchmarked(t, *methods):
+    """For each method, truth cells against its segments joined with nuclei: areas, transcripts and errors in one row a cell. Transcripts are
+    prepared once, and those of truth cells and nuclei are found once for all methods."""
+    tx = stored(counts.prepared(t.tx).select("transcript_id", "x_location", "y_location"))
+    found = lambda polygons, key: stored(spatial.points_in_polygons(polygons, tx, "x_location", "y_location").select(key, "transcript_id"))
+    truth, nuclei = stored(_truth(t)), stored(t.polygons("nucleus_vertices", "cell_id").withColumnRenamed("cell_id", "nucleus_id"))
+    in_truth, in_nuclei = found(truth, "truth_id"), found(nuclei, "nucleus_id")
     kind = t.cell_metadata.select(F.col("cell_id").alias("truth_id"), "segmentation_method")
     rounded = [r6(F.col(c)).alias(c) for c in ("intersection_area", "union_area", "iou", "jaccard_index")]
-    return out.join(kind, "truth_id").select("truth_id", "segment_id", *rounded, "jaccard_intersection", "jaccard_union", "n_confused", "n_background", "n_transcripts", "segmentation_method")
+    for method in map(stored, methods):
+        out = overlay.nuclear_prior_benchmark(truth, method, nuclei, in_truth, found(method, "segment_id"), in_nuclei)
+        yield out.join(kind, "truth_id").select("truth_id", "segment_id", *rounded, "jaccard_intersection", "jaccard_union", "n_confused", "n_background", "n_transcripts", "segmentation_method")
 
 
 @query(prior_sql("method_vertices"))
 def benchmark_nuclear_prior(t):
-    return benchmarked(t, _method(t))
+    return next(benchmarked(t, _method(t)))
 
 
 @query(f"WITH {edges_sql('truth_vertices', 'cell_id')}, {inside_sql('{cell_metadata}', 'cell_id', 'x_centroid', 'y_centroid')} SELECT h.id AS truth_id, m.cell_id, segmentation_method FROM hit h JOIN {{cell_metadata}} m USING (cell_id)")

@@ -10,7 +10,7 @@ from test_overlay import arrays, star
 from test_spatial import box
 
 from cellweave.functions import scalars as S
-from cellweave.operators import expand, overlay, spatial
+from cellweave.operators import celltypes, expand, overlay, spatial
 from cellweave.plans import queries, queries_jobs, queries_reports  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,3 +86,10 @@ def test_distances_of_many_points_equal_those_of_one(spark):
     tiles = spark.createDataFrame([(0, 0, 0, 8, 8), (1, 6, 0, 14, 8)], "tile_id long, x1 long, y1 long, x2 long, y2 long")
     owned = spatial.tile_ownership(df.where("k < 202").select("k", "ring"), tiles, "k")
     assert owned.count() == 202
+
+
+def test_increments_are_made_once_and_of_the_raster_only(spark):
+    t = queries.Tables(spark, SMALL)
+    made = plan(queries_reports._increments(t))
+    assert "Range (" in made and "<= 159" in made
+    assert "Range (" not in plan(celltypes.confidence_trace(queries_reports._increments(t), *queries._start(t), 4))  # what is read twice was written
