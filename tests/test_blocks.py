@@ -10,7 +10,7 @@ from test_overlay import arrays, star
 from test_spatial import box
 
 from cellweave.functions import scalars as S
-from cellweave.operators import celltypes, expand, overlay, spatial
+from cellweave.operators import celltypes, expand, overlay, shapes, spatial
 from cellweave.plans import queries, queries_jobs, queries_reports  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -93,3 +93,33 @@ def test_increments_are_made_once_and_of_the_raster_only(spark):
     made = plan(queries_reports._increments(t))
     assert "Range (" in made and "<= 159" in made
     assert "Range (" not in plan(celltypes.confidence_trace(queries_reports._increments(t), *queries._start(t), 4))  # what is read twice was written
+
+
+@pytest.mark.parametrize("block", [4, 192])
+def test_outlines_that_leave_their_blocks_equal_outlines_in_one(spark, block):
+    r = random.Random(3)
+    cells = {(x, y): 1 + (x // 7) + 3 * (y // 9) for x in range(21) for y in range(18) if r.random() < 0.8}  # with holes and corners that touch
+    cells |= {(x, y): 99 for x in range(30, 60) for y in range(20) if 0 < x % 15 < 13 or y == 0}
+    segments = spark.createDataFrame([(s, x, y) for (x, y), s in cells.items()], "segment_id long, x long, y long")
+    edges = shapes.boundary_edges(segments, block)
+    around = {(s, *(v + d for v, d in zip((x, y, x, y), ends, strict=True))) for (x, y), s in cells.items() for (i, j), ends in shapes._SIDES if cells.get((x + i, y + j)) != s}
+    found = [tuple(e) for e in edges.collect()]
+    assert set(found) == around and len(found) == len(around)
+    used = []
+    for s, k, points in shapes.chained(edges, block).collect():
+        ring = [(int(p.x), int(p.y)) for p in points]
+        assert ring[0] == min(ring)
+        used += [(s, *p, *q) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+    assert sorted(used) == sorted(around)
+    first = {}
+    for s, k, points in shapes.chained(edges, block).collect():
+        first.setdefault(s, []).append((k, (points[0].x, points[0].y)))
+    assert all([k for k, _ in sorted(v)] == list(range(len(v))) and [p for _, p in sorted(v)] == sorted(p for _, p in v) for v in first.values())
+
+
+def test_rings_within_a_block_take_no_part_in_rounds(spark, monkeypatch):
+    segments = spark.createDataFrame([(k, 5 * k + i, j) for k in range(20) for i in range(3) for j in range(3)], "segment_id long, x long, y long")
+    sizes = []
+    monkeypatch.setattr(shapes, "stored", lambda df: sizes.append(df.count()) or df.localCheckpoint())
+    assert shapes.chained(shapes.boundary_edges(segments)).count() == 20
+    assert sizes[-2:] == [0, 0] and len(sizes) == 5
