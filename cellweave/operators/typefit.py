@@ -1,8 +1,8 @@
 """Fits of the cell-type mixture over numbers of types and chains, one pass over the counts a step for all of them.
 
-Cells are stored once as sparse rows. A step sends the models (types x genes numbers each, bounded by the parameters) to the tasks; a task
-multiplies its cells with all profiles at once and adds up, over its cells, what each type takes of each gene. These sums are
-added by Spark and only they, as large as the models, come back. So a step costs one pass whatever the number of models, and
+Cells are stored once as sparse rows, many in a block of bytes, so that a step reads blocks and converts no lists. A step sends the
+models (types x genes numbers each, bounded by the parameters) to the tasks; a task multiplies its cells with all profiles at once and
+adds up, over its cells, what each type takes of each gene. These sums are added by Spark and only they, as large as the models, come back. So a step costs one pass whatever the number of models, and
 models that no longer move take no part in it.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cellweave.sources.scratch import stored
 
 ROWS = 2048  # cells multiplied at once
+SUMS = 1 << 14  # sums of the models that one task adds up over the tasks of a pass
 
 
 @dataclass
@@ -43,10 +44,22 @@ class Model:
 Models = dict[tuple[int, int], Model]  # by number of types and chain
 
 
+def _blocks(batches):
+    """Rows (genes, n) of cells, up to ROWS of them as one row of bytes."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            genes, n = b.slice(lo, ROWS).columns
+            sizes = genes.value_lengths().to_numpy(zero_copy_only=False)
+            parts = [sizes.astype(np.int32), genes.flatten().to_numpy().astype(np.int32), n.flatten().to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in parts], ["sizes", "genes", "n"])
+
+
 def packed(counts: DataFrame) -> DataFrame:
-    """counts: cell, gene_id, n. Rows (genes, n), one a cell: at most as many entries as genes."""
+    """counts: cell, gene_id, n. Rows (sizes, genes, n) of up to ROWS cells each, as bytes: how many entries a cell has (int32), at most as many
+    as genes, and one cell's after the other's genes (int32) and counts (double)."""
     one = counts.groupBy("cell").agg(F.collect_list(F.struct("gene_id", F.col("n").cast("double").alias("n"))).alias("c"))
-    return stored(one.select(F.col("c.gene_id").alias("genes"), F.col("c.n").alias("n")))
+    lists = one.select(F.col("c.gene_id").alias("genes"), F.col("c.n").alias("n"))
+    return stored(lists.mapInArrow(_blocks, "sizes binary, genes binary, n binary"))
 
 
 def _pass(models: list[tuple[np.ndarray, np.ndarray]], genes: int):
@@ -59,11 +72,10 @@ def _pass(models: list[tuple[np.ndarray, np.ndarray]], genes: int):
     def run(batches):
         taken, cells, loglik, n = np.zeros((len(prior), genes)), np.zeros(len(prior)), np.zeros(len(models)), 0
         for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                sizes = part.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            for block in zip(*b.columns, strict=True):
+                sizes, at, v = (np.frombuffer(c.as_buffer(), t) for c, t in zip(block, (np.int32, np.int32, np.float64), strict=True))
                 x = np.zeros((len(sizes), genes))
-                x[np.repeat(np.arange(len(sizes)), sizes), part.column(0).flatten().to_numpy()] = part.column(1).flatten().to_numpy()
+                x[np.repeat(np.arange(len(sizes)), sizes), at] = v
                 joint = x @ logs + prior
                 for k in range(len(models)):
                     own = slice(first[k], first[k + 1])
@@ -85,7 +97,9 @@ def _pass(models: list[tuple[np.ndarray, np.ndarray]], genes: int):
 
 def swept(cells: DataFrame, models: list[Model], genes: int) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
     """For each model (what types take of genes, cells of types, log likelihood, number of cells), from one pass."""
-    sums = cells.mapInArrow(_pass([(m.profiles, m.priors) for m in models], genes), "row int, gene int, v double").groupBy("row", "gene").agg(F.sum("v").alias("v"))
+    each = cells.mapInArrow(_pass([(m.profiles, m.priors) for m in models], genes), "row int, gene int, v double")
+    parts = -(-sum(m.profiles.size for m in models) // SUMS)  # by the models' size: a shuffle file for each of the default partitions costs more than the pass
+    sums = each.repartition(parts, "row").groupBy("row", "gene").agg(F.sum("v").alias("v"))
     t = sums.toArrow()  # as large as the models
     row, gene, v = (t.column(c).to_numpy() for c in ("row", "gene", "v"))
     k = sum(len(m.priors) for m in models)

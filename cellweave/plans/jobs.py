@@ -11,12 +11,14 @@ from cellweave.sources.scratch import stored
 
 
 def nuclear_counts(tx: DataFrame, vertices: DataFrame, least_qv: float = 20.0, least_molecules: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(counts (cell, gene_id, n), genes (feature_name, gene_id)): transcripts of good quality, each in the first nucleus that holds it."""
-    good = counts.prepared(tx, least_qv)
-    genes = counts.gene_dictionary(good)
+    """(counts (cell, gene_id, n), genes (feature_name, gene_id)): transcripts of good quality, each in the first nucleus that holds it.
+    transcript_id tells transcripts apart; equal rows count as often as they are there."""
+    fair = counts.filter_quality(tx, least_qv)
+    genes = counts.good_genes(fair)
     polygons = io.assemble_polygons(vertices, "cell_id")
-    owned = spatial.assign_points_first(polygons, good.drop("cell_id"), "cell_id", "transcript_id", "x_location", "y_location").withColumnRenamed("cell_id", "cell")
-    n = counts.gene_counts(owned.join(good.select("transcript_id", "feature_name"), "transcript_id").join(genes, "feature_name"), "cell")
+    points = counts.named(fair.select("transcript_id", "feature_name", "x_location", "y_location"), genes)
+    owned = spatial.points_counted_first(polygons, points, "cell_id", ["transcript_id", "gene_id"], "x_location", "y_location")
+    n = owned.groupBy(F.col("cell_id").alias("cell"), "gene_id").agg(F.sum("n").alias("n"))
     if least_molecules > 1:
         n = counts.cell_gene_table(n, "cell", least_molecules).select("cell", "gene_id", "n")
     return n, genes
