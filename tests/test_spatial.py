@@ -398,3 +398,24 @@ def test_preprocessed_pixels_outside_of_segments_meet_nothing_by_their_label(spa
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter, ((x#" not in plan and out.count() == 4000
     assert {(r.label, r.angle is None) for r in out.select("label", "angle").distinct().collect()} >= {(0, True), (-1, True), (1, False)}
+
+
+def keyed_tables(spark, path, orders):
+    """customer, and a lineitem row of each order key."""
+    spark.range(80).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey").write.parquet(f"{path}/customer.parquet")
+    rows = [(k, 7 + i, 3 + i, 1 + i % 7, 20.0 + i) for i, k in enumerate(orders)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return [((k * 100_000 + p) * 10_000 + s) * 10 + n for k, p, s, n, _ in rows], [int(q) for *_, q in rows]
+
+
+def test_transcript_ids_beyond_64_bits_are_whole_numbers(spark, tmp_path):
+    """Order keys of 6 GB; the plain product stopped the queries that read transcript_id."""
+    from cellweave.plans.queries import QUERIES, Tables
+
+    path = str(tmp_path)
+    number, quantity = keyed_tables(spark, path, [0, 149_999, 14_411_000, 14_412_000, 28_900_000, 53_999_999])
+    exact = [n * 64 + q for n, q in zip(number, quantity, strict=True)]
+    assert sum(v >= 1 << 63 for v in exact) == 3
+    got = Tables(spark, path).tx.select("qv", "transcript_id").collect()
+    assert {r.qv: r.transcript_id for r in got} == {float(q): v % (1 << 63) for q, v in zip(quantity, exact, strict=True)}
+    assert QUERIES["points_to_tiles"](spark, path).where("transcript_id < 0 OR transcript_id IS NULL").count() == 0
