@@ -419,3 +419,23 @@ def test_transcript_ids_beyond_64_bits_are_whole_numbers(spark, tmp_path):
     got = Tables(spark, path).tx.select("qv", "transcript_id").collect()
     assert {r.qv: r.transcript_id for r in got} == {float(q): v % (1 << 63) for q, v in zip(quantity, exact, strict=True)}
     assert QUERIES["points_to_tiles"](spark, path).where("transcript_id < 0 OR transcript_id IS NULL").count() == 0
+
+
+def test_external_outlines_of_overlapping_tiles_are_stitched(spark, monkeypatch):
+    """Stitching had one copy of each outline to choose from and so changed nothing."""
+    from cellweave.plans import queries_reports
+    from cellweave.plans.queries import QUERIES
+
+    given, combined = [], queries_reports.jobs.combined
+    monkeypatch.setattr(queries_reports.jobs, "combined", lambda results, tiles: given.append(results) or combined(results, tiles))
+    out = QUERIES["job_postprocess_external"](spark, "/root/testdata/sf0.001").collect()
+    copies = [r["count"] for r in given[0].groupBy("local_id").count().collect()]
+    assert max(copies) >= 4 and sum(copies) > 1.2 * len(copies)
+    assert len({r.segment_id for r in out}) == len(out) > 100
+
+
+def test_tiles_see_what_their_box_meets(spark):
+    tiles = spark.createDataFrame([(0, 0, 0, 10, 10), (1, 8, 0, 18, 10), (2, 0, 8, 10, 18)], "tile_id long, x1 long, y1 long, x2 long, y2 long")
+    shapes_ = polygons(spark, [(1, box(1, 1, 2, 2)), (2, box(8.5, 1, 9.5, 2)), (3, box(9, 9, 9.5, 12)), (4, box(40, 2, 41, 3)), (5, box(10, 1, 11, 2))])
+    got = {(r.tile_id, r.segment_id): min(p.x for p in r.ring) for r in spatial.seen_by_tiles(shapes_, tiles, "segment_id", 10).collect()}
+    assert got == {(0, 1): 1, (0, 2): 8.5, (1, 2): 0.5, (0, 3): 9, (1, 3): 1, (2, 3): 9, (1, 4): 32, (1, 5): 2}
