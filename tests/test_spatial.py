@@ -439,3 +439,31 @@ def test_tiles_see_what_their_box_meets(spark):
     shapes_ = polygons(spark, [(1, box(1, 1, 2, 2)), (2, box(8.5, 1, 9.5, 2)), (3, box(9, 9, 9.5, 12)), (4, box(40, 2, 41, 3)), (5, box(10, 1, 11, 2))])
     got = {(r.tile_id, r.segment_id): min(p.x for p in r.ring) for r in spatial.seen_by_tiles(shapes_, tiles, "segment_id", 10).collect()}
     assert got == {(0, 1): 1, (0, 2): 8.5, (1, 2): 0.5, (0, 3): 9, (1, 3): 1, (2, 3): 9, (1, 4): 32, (1, 5): 2}
+
+
+def test_nearest_distances_against_all_pairs(spark):
+    sites = [(i * 7 % 50 + 0.5, i * i % 37 + 0.25) for i in range(30)] + [(0.5, 0.25), (400.0, 9.0), (None, 1.0), (3.0, float("nan"))]
+    points = [(i, i % 3, i * 13 % 61 - 5.0, i * i % 43 - 3.5) for i in range(80)] + [(1, 0, 300.0, 2.0), (7, 1, 9000.0, -70.0), (7, 1, 9000.0, -70.0), (8, 1, None, 2.0)]
+    s, p = spark.createDataFrame(sites, "sx double, sy double"), spark.createDataFrame(points, "k long, g int, x double, y double")
+    want = sorted((k, g, round(min(math.dist((x, y), q) for q in sites if q[0] is not None and q[1] == q[1]), 9)) for k, g, x, y in points if x is not None)
+    for reach, block, cell in ((2, 16, 16.0), (1, 1, 3.0), (3, 2, 1.0)):
+        got = spatial.nearest_distances(s, p, ["k", "g"], reach, block, cell).collect()
+        assert sorted((r.k, r.g, round(r.distance, 9)) for r in got) == want
+    assert spatial.nearest_distances(s.limit(0), p, ["k"]).count() == 0 == spatial.nearest_distances(s, p.limit(0), ["k"]).count()
+
+
+def test_uniformity_test_gives_p_values_of_points_drawn_anew(spark):
+    """It had no p-value, and the points of a trial were those of another, moved."""
+    from cellweave.plans import queries_reports
+    from cellweave.plans.queries import QUERIES
+
+    out = QUERIES["uniformity_test"](spark, "/root/testdata/sf0.001").collect()
+    for r in out:
+        assert r.p_exact in {0.0, 0.333333, 0.666667, 1.0}
+        assert r.p_normal == pytest.approx(statistics.NormalDist(r.null_mean, r.null_sd).cdf(r.total), abs=1e-5)
+    ids = spark.range(500).selectExpr("id * 640064 AS transcript_id", "explode(sequence(1, 2)) AS trial")
+    for text, name in queries_reports._drawn("div"):
+        ids = ids.withColumn(name, F.expr(text))
+    u, v = (np.array([[r[c] for r in ids.where(f"trial = {k}").orderBy("transcript_id").collect()] for k in (1, 2)]) / queries_reports.MERSENNE for c in "uv")
+    assert 0 <= min(u.min(), v.min()) and max(u.max(), v.max()) < 1 and len(np.unique((u[0] - u[1]).round(6) % 1)) > 400
+    assert max(abs(np.corrcoef(a, b)[0, 1]) for a, b in ((u[0], u[1]), (v[0], v[1]), (u[0], v[0]))) < 0.2
