@@ -467,3 +467,35 @@ def test_uniformity_test_gives_p_values_of_points_drawn_anew(spark):
     u, v = (np.array([[r[c] for r in ids.where(f"trial = {k}").orderBy("transcript_id").collect()] for k in (1, 2)]) / queries_reports.MERSENNE for c in "uv")
     assert 0 <= min(u.min(), v.min()) and max(u.max(), v.max()) < 1 and len(np.unique((u[0] - u[1]).round(6) % 1)) > 400
     assert max(abs(np.corrcoef(a, b)[0, 1]) for a, b in ((u[0], u[1]), (v[0], v[1]), (u[0], v[0]))) < 0.2
+
+
+def test_nearest_polygon_in_blocks(spark):
+    """Points with more than one polygon near, on edges, on ties, without a place and twice, against the distance of every pair."""
+    from cellweave.functions import scalars
+
+    shapes_ = polygons(spark, [(7, box(0, 0, 4, 4)), (3, box(6, 0, 9, 4)), (9, [(30, 30), (40, 31), (33, 44)]), (5, box(-20, -9, -18, 60)), (4, box(6, 6, 9, 9))])
+    places = [(i, j, i * 1.5 - 24, j * 1.25 - 12) for i in range(46) for j in range(50)]
+    points = spark.createDataFrame([*places, (90, 0, 5.0, 2.0), (90, 0, 5.0, 2.0), (91, 0, None, 2.0), (92, 0, 4.0, 1.0)], "i int, j int, x double, y double")
+    d = scalars.ring_distance(F.col("ring"), F.col("x"), F.col("y"))
+    every = points.where("x IS NOT NULL").crossJoin(shapes_.select("segment_id", "ring")).select("i", "j", d.alias("d"), "segment_id").where("d <= 5")
+    want = {(r.i, r.j): tuple(r.b) for r in every.groupBy("i", "j").agg(F.min(F.struct("d", "segment_id")).alias("b")).collect()}
+    for block in (16, 1):
+        got = spatial.nearest_polygon(shapes_, points, "segment_id", ["i", "j"], "x", "y", 5.0, block).collect()
+        assert len(got) == len(places) + 3
+        assert {(r.i, r.j): (r.distance, r.segment_id) for r in got if r.segment_id is not None} == {k: (pytest.approx(v[0], abs=1e-12), v[1]) for k, v in want.items()}
+    assert want[90, 0] == (1.0, 3) and want[92, 0] == (0.0, 7)
+    assert spatial.nearest_polygon(shapes_.limit(0), points, "segment_id", ["i", "j"], "x", "y", 5.0).where("distance IS NULL").count() == len(places) + 3
+    plan = spatial.nearest_polygon(shapes_, points, "segment_id", ["i", "j"], "x", "y", 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "Join" not in plan and plan.count("Aggregate") <= 1  # that of the rings; edges gave a row each and were shuffled
+
+
+def test_dense_pixels_in_blocks(spark):
+    spots = [(i * 7 % 30, i * i % 23) for i in range(150)] + [(40, 4)] * 6
+    tx = spark.createDataFrame([(a + 0.25, b + 0.75) for a, b in spots] + [(None, 1.0)], "px double, py double")
+    pixels = spark.createDataFrame([(x, y) for x in range(-3, 48) for y in range(-5, 28)] + [(41, 4), (None, 2)], "x long, y long")
+    want = sorted((r.x, r.y) for r in pixels.where("x IS NOT NULL").collect() if sum(math.dist((r.x, r.y), p) < 4 for p in spots) >= 5)
+    for block in (256, 8, 3):
+        df = spatial.dense_near(pixels, tx, 5, 4, "px", "py", block)
+        assert sorted((r.x, r.y) for r in df.collect()) == want and want.count((41, 4)) == 2
+    assert "Generate explode(array" not in df._jdf.queryExecution().optimizedPlan().toString()  # each place was spread over 45 pixels
+    assert spatial.dense_near(pixels, tx.limit(0), 5, 4, "px", "py").count() == 0
