@@ -176,22 +176,69 @@ def flow_components(pixels: DataFrame, width: int, height: int, least: int = 20,
     return out.hint("merge").join(islands, ["x", "y"], "left").select("x", "y", F.coalesce("shared", "label").alias("label"))
 
 
-def cull_empty_pixels(labels: DataFrame, tx: DataFrame, prior: DataFrame) -> DataFrame:
+MARGIN = 16  # pixels around a block that are peeled with it, so that most segments at its edge are whole
+
+
+def _peeled(block: int, margin: int):
+    """The pixels of one block with what is left of them after peeling to the end in and around it. A pixel at the edge of what the task holds is never
+    peeled, and a neighbour that is held too long only keeps others, so nothing is peeled too much. Rows of rim pixels, those at the block's edge and next
+    to it, tell whether its blocks agree."""
+    side = block + 2 * margin
+    here = np.zeros((side, side), bool)
+    here[margin:-margin, margin:-margin] = True
+    rim = np.zeros((side, side), bool)
+    rim[margin - 1 : side - margin + 1, margin - 1 : side - margin + 1] = True
+    rim[margin + 1 : side - margin - 1, margin + 1 : side - margin - 1] = False
+    inner = np.zeros((side, side), bool)
+    inner[1:-1, 1:-1] = True
+
+    def run(key, pixels, marks):
+        x0, y0 = (k.as_py() * block - margin for k in key)
+        at = (pixels.column("x").to_numpy() - x0) * side + pixels.column("y").to_numpy() - y0
+        given = pixels.column("label").to_numpy()
+        label, times, fixed = np.zeros(side * side, np.int64), np.bincount(at, minlength=side * side), np.zeros(side * side, bool)
+        label[at] = given
+        fixed[(marks.column("x").to_numpy() - x0) * side + marks.column("y").to_numpy() - y0] = True
+        open_ = np.flatnonzero((label > 0) & ~fixed & inner.ravel())
+        while len(open_):
+            same = sum(np.where(label[open_ + d] == label[open_], times[open_ + d], 0) for d in (-side, side, -1, 1))
+            gone = same < 4
+            if not gone.any():
+                break
+            label[open_[gone]] = 0
+            open_ = open_[~gone]
+        own, edge = here.ravel()[at], rim.ravel()[at]
+        told = own | edge
+        cols = [pixels.column("x").to_numpy(), pixels.column("y").to_numpy(), given, times[at], label[at] > 0, own, edge]
+        return pa.table([pa.array(c[told]) for c in cols], ["x", "y", "label", "n", "kept", "own", "rim"])
+
+    return run
+
+
+def cull_empty_pixels(labels: DataFrame, tx: DataFrame, prior: DataFrame, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
     """Peel border pixels of segments that hold no transcript and no prior label, until none is left.
 
-    labels: x, y, label of the grid; tx: x, y; prior: x, y. Removal only grows the set of borders, so the end doesn't depend
-    on the order; each round joins what was peeled last with its neighbours."""
-    fixed = tx.select("x", "y").union(prior.select("x", "y")).distinct().withColumn("fixed", F.lit(True))
-    soft = stored(labels.where("label > 0").join(fixed, ["x", "y"], "left").select("x", "y", "label", F.coalesce("fixed", F.lit(False)).alias("fixed")))
+    labels: x, y, label of the grid; tx: x, y; prior: x, y. Removal only grows the set of borders, so the end doesn't depend on the order: a
+    block and a margin around it are peeled to the end in one task, of a size that the area bounds, and only where blocks that share pixels disagree
+    all are peeled once more from what was left. Pixels of a place that comes several times are kept as often as a join of them gives."""
+    labels = stored(labels.select("x", "y", "label"))
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / block), F.floor((F.col(c) + margin) / block)))
+    dealt = lambda df: df.where("x IS NOT NULL AND y IS NOT NULL").withColumn("bx", blocks("x")).withColumn("by", blocks("y")).groupBy("bx", "by")
+    whole = [F.col(c).cast("long").alias(c) for c in ("x", "y")]
+    marks, soft = tx.select(*whole).unionByName(prior.select(*whole)), labels.where("label > 0").select(*whole, F.col("label").cast("long").alias("label"))
+    gone = []
     while True:
-        sides = F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-        near = soft.select(F.explode(sides).alias("p"), "label").select("p.x", "p.y", "label").groupBy("x", "y", "label").agg(F.count("*").alias("n"))
-        marked = soft.join(near, ["x", "y", "label"], "left").withColumn("border", F.coalesce("n", F.lit(0)) < 4)
-        kept = stored(marked.where("fixed OR NOT border").select("x", "y", "label", "fixed"))
-        if kept.count() == soft.count():
+        each = stored(dealt(soft).cogroup(dealt(marks)).applyInArrow(_peeled(block, margin), "x long, y long, label long, n long, kept boolean, own boolean, rim boolean"))
+        own = each.where("own")
+        gone.append(own.where("NOT kept").select("x", "y", F.lit(0).cast("long").alias("label")))
+        kept = own.where("kept").select("x", "y", "label", "n")
+        if each.where("rim").groupBy("x", "y").agg(F.min("kept").alias("a"), F.max("kept").alias("b")).where("a <> b").isEmpty():
             break
-        soft = kept
-    return labels.join(soft.select("x", "y", F.col("label").alias("left")), ["x", "y"], "left").select("x", "y", F.when(F.col("label") > 0, F.coalesce("left", F.lit(0))).otherwise(F.col("label")).alias("label"))
+        soft = kept.drop("n")
+    out = kept.select("x", "y", "label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
+    for more in gone:
+        out = out.unionByName(more)
+    return out.unionByName(labels.where("label IS NULL OR label <= 0"))
 
 
 def best_step(trace: DataFrame) -> DataFrame:

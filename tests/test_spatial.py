@@ -499,3 +499,35 @@ def test_dense_pixels_in_blocks(spark):
         assert sorted((r.x, r.y) for r in df.collect()) == want and want.count((41, 4)) == 2
     assert "Generate explode(array" not in df._jdf.queryExecution().optimizedPlan().toString()  # each place was spread over 45 pixels
     assert spatial.dense_near(pixels, tx.limit(0), 5, 4, "px", "py").count() == 0
+
+
+def test_cull_in_blocks_equals_one_block(spark):
+    """Segments longer than a margin, whose peeling goes through several blocks, in few rounds that are written."""
+    rng = np.random.default_rng(3)
+    n = 40
+    label = np.ones((n, n), int)
+    label[:, 25:] = 2
+    label[rng.random((n, n)) < 0.02] = 0
+    label[3, :] = -1
+    hold = {(int(a), int(b)) for a, b in rng.integers(0, n, (12, 2))}
+    want = label.copy()
+    while True:
+        wide = np.pad(want, 1)
+        same = sum(wide[1 + i : n + 1 + i, 1 + j : n + 1 + j] == want for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+        gone = [(x, y) for x in range(n) for y in range(n) if want[x, y] > 0 and same[x, y] < 4 and (x, y) not in hold]
+        if not gone:
+            break
+        for p in gone:
+            want[p] = 0
+    df = spark.createDataFrame([(x, y, int(label[x, y])) for x in range(n) for y in range(n)], "x long, y long, label long")
+    marks = spark.createDataFrame(sorted(hold), "x long, y long")
+    for block, margin in ((192, 16), (8, 3), (5, 1)):
+        out = expand.cull_empty_pixels(df, marks.limit(5), marks, block, margin).collect()
+        assert len(out) == n * n and {(r.x, r.y): r.label for r in out} == {(x, y): int(want[x, y]) for x in range(n) for y in range(n)}
+    rounds, stored = [], expand.stored
+    expand.stored = lambda d: rounds.append(1) or stored(d)
+    try:
+        expand.cull_empty_pixels(df, marks, marks)
+    finally:
+        expand.stored = stored
+    assert len(rounds) == 2  # the labels, and one round; each pixel deep was a round of the whole slide
