@@ -6,8 +6,8 @@ Vectors of one direction at cosine c lie within eps = sqrt(2 - 2c) of each other
    leading eigenvectors give ``dims`` projections, which never lengthen a distance.
 2. Points are sorted by their grid cells (side eps) on these dimensions, in epsilon grid order, by a range partitioning, and
    the sorted sequence is cut into intervals of ``BLOCK`` points, each stored with its bounds.
-3. Pairs of intervals come from an equi-join on the cells that their bounds cover on the first two dimensions, and stay
-   only if their bounds are within eps on all projected dimensions.
+3. Intervals are dealt to at most ``SIDE`` parts, and a task meets the intervals of two parts, which are read from what was dealt once: vectors are
+   not shuffled with each pair. Of each pair one order counts, and it stays only if the bounds are within eps on all projected dimensions.
 4. In a task, a pair of intervals is joined by recursion: sequences are halved and halves whose bounds are provably
    farther apart than eps are skipped. What is left at ``LEAF`` points is compared by ``FILTER`` projections, which again
    never lengthen a distance, and what passes exactly, in double precision.
@@ -35,6 +35,7 @@ from cellweave.llm.common import components, stored
 
 BLOCK = 2048
 LEAF = 512
+SIDE, LEAST = 128, 3  # parts of intervals at most, and intervals of a part at least; tasks are the square of the parts
 FILTER = 24  # projections by which points of two leaves are first compared
 SLACK = 1e-6  # on distances of projections, against rounding
 
@@ -126,20 +127,17 @@ def blocks(points: DataFrame, width: int, axes: np.ndarray, eps: float) -> DataF
 
 
 def block_pairs(cut: DataFrame, eps: float, dims: int) -> DataFrame:
-    """Pairs (a, b), a <= b, of intervals that aren't provably distant."""
-    bounds = cut.select("block", "lo", "hi")
+    """Rows (a, b, ia, ib, ma, mb, va, vb) of the pairs of intervals that aren't provably distant, each in one order and each interval with itself.
 
-    def over(k: int, wide: float):
-        return F.sequence(F.floor((F.col("lo")[k] - wide) / eps), F.floor((F.col("hi")[k] + wide) / eps))
-
-    def spread(wide: float):
-        one = bounds.withColumn("g0", F.explode(over(0, wide)))
-        return one.withColumn("g1", F.explode(over(1, wide))) if dims > 1 else one.withColumn("g1", F.lit(0))
-
-    a = spread(eps + SLACK).select("g0", "g1", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    b = spread(0.0).select("g0", "g1", F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    gap = sum((F.pow(F.greatest(F.col("alo")[k] - F.col("bhi")[k], F.col("blo")[k] - F.col("ahi")[k], F.lit(0.0)), 2) for k in range(dims)), F.lit(0.0))
-    return a.join(b, ["g0", "g1"]).where((F.col("a") <= F.col("b")) & (gap <= (eps + SLACK) ** 2)).select("a", "b").distinct()
+    Every part of the intervals meets every part, whatever the pairs: what is written is the intervals once for each side, so disk grows with them and
+    not with their square, and a task holds two parts."""
+    n = cut.count()
+    parts = -(-n // max(LEAST, -(-n // SIDE))) or 1
+    side = lambda s: cut.select(F.col("block").alias(s), F.col("ids").alias(f"i{s}"), F.col("m").alias(f"m{s}"), F.col("v").alias(f"v{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")).repartition(parts)
+    gap = sum((F.pow(F.greatest(F.col("loa")[k] - F.col("hib")[k], F.col("lob")[k] - F.col("hia")[k], F.lit(0.0)), 2) for k in range(dims)), F.lit(0.0))
+    once = (F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) == ((F.col("a") + F.col("b")) % 2 == 0))  # so that parts have equal work
+    met = side("a").join(side("b").hint("shuffle_replicate_nl"), once & (gap <= (eps + SLACK) ** 2))
+    return met.select("a", "b", "ia", "ib", "ma", "mb", "va", "vb")
 
 
 def linked(u: np.ndarray, v: np.ndarray, axes: np.ndarray, dims: int, cosine: float, eps: float) -> np.ndarray:
@@ -227,10 +225,7 @@ def link(vectors: DataFrame, cosine: float = 0.9, dims: int = 8, id_col="vec_id"
     dims = min(dims, width)
     grid = np.ascontiguousarray(axes[:, :dims])
     cut = stored(blocks(points, width, grid, eps))
-    pairs = stored(block_pairs(cut, eps, dims))
-    side = lambda s: cut.select(F.col("block").alias(s), F.col("ids").alias(f"i{s}"), F.col("m").alias(f"m{s}"), F.col("v").alias(f"v{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib", "ma", "mb", "va", "vb")
-    found = stored(met.mapInArrow(_join(width, axes, dims, cosine, eps), "id long, n long, to long"))
+    found = stored(block_pairs(cut, eps, dims).mapInArrow(_join(width, axes, dims, cosine, eps), "id long, n long, to long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     group = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).join(named.select("id", "least"), "id")
     group = stored(group)

@@ -644,3 +644,17 @@ def test_texts_of_twenty_thousand_words_are_handled_whole(spark):
     assert left[1].n_removed > 0.9 * left[1].n_bytes and left[2].n_spans == 2
     score = {r.doc_id: r for r in lattice_lm.score(docs, F.lit(True)).collect()}
     assert score[1].n_tokens == 20016 and score[1].n_known == 20016
+
+
+def test_embedding_intervals_meet_once_and_are_not_shuffled_with_each_pair(spark):
+    rng = np.random.default_rng(2)
+    low = rng.uniform(-1, 1, (25, 2))
+    high = low + rng.uniform(0, 0.5, low.shape)
+    rows = [((k % 3 << 32) + k, b"i", b"m", b"v", low[k].tolist(), high[k].tolist()) for k in range(25)]
+    cut = spark.createDataFrame(rows, "block long, ids binary, m binary, v binary, lo array<double>, hi array<double>")
+    pairs = embedding_dedup.block_pairs(cut, 0.4, 2)
+    got = [tuple(sorted((r.a & 0xFFFF, r.b & 0xFFFF))) for r in pairs.collect()]
+    gap = lambda i, j: np.linalg.norm(np.maximum(np.maximum(low[i] - high[j], low[j] - high[i]), 0))
+    assert sorted(got) == [(i, j) for i in range(25) for j in range(i, 25) if gap(i, j) <= 0.4] and len(got) < 325
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning" not in plan  # vectors were shuffled with each pair
