@@ -484,6 +484,9 @@ def test_nearest_polygon_in_blocks(spark):
         assert len(got) == len(places) + 3
         assert {(r.i, r.j): (r.distance, r.segment_id) for r in got if r.segment_id is not None} == {k: (pytest.approx(v[0], abs=1e-12), v[1]) for k, v in want.items()}
     assert want[90, 0] == (1.0, 3) and want[92, 0] == (0.0, 7)
+    inside = spark.createDataFrame([(1, 2.0, 2.0), (2, 2.0, 2.5), (2, 2.0, 2.5), (3, 4.0, 2.0), (3, 4.0, 2.0)], "i int, x double, y double")
+    got = spatial.nearest_polygon(shapes_, inside, "segment_id", ["i"], "x", "y", 5.0).collect()
+    assert {r.i: (r.distance, r.segment_id) for r in got} == {1: (0.0, 7), 2: (1.5, 7), 3: (0.0, 7)}  # rows of one point count its crossings together
     assert spatial.nearest_polygon(shapes_.limit(0), points, "segment_id", ["i", "j"], "x", "y", 5.0).where("distance IS NULL").count() == len(places) + 3
     plan = spatial.nearest_polygon(shapes_, points, "segment_id", ["i", "j"], "x", "y", 5.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "Join" not in plan and plan.count("Aggregate") <= 1  # that of the rings; edges gave a row each and were shuffled
